@@ -51,8 +51,7 @@ def word_key(seed: int, field: str, purpose: str, word: int, n_ids: int) -> tupl
 
 def _mix(x: Column) -> Column:
     x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(MIX_MULTIPLIERS[0])).bitwiseAND(F.lit(MASK))
-    x = (x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(MIX_MULTIPLIERS[1])).bitwiseAND(F.lit(MASK))
-    return x.bitwiseXOR(F.shiftright(x, 16))
+    return (x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(MIX_MULTIPLIERS[1])).bitwiseAND(F.lit(MASK))
 
 
 def _as_id(value: Column | int) -> Column:
@@ -103,8 +102,7 @@ def _truncated_mod(a: int, b: int) -> int:
 
 def _mix_value(x: int) -> int:
     x = ((x ^ (x >> 16)) * MIX_MULTIPLIERS[0]) & MASK
-    x = ((x ^ (x >> 15)) * MIX_MULTIPLIERS[1]) & MASK
-    return x ^ (x >> 16)
+    return ((x ^ (x >> 15)) * MIX_MULTIPLIERS[1]) & MASK
 
 
 def uniform_value(seed: int, field: str, purpose: str, *ids: int) -> float:

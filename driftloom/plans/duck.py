@@ -13,6 +13,11 @@ def num(value: float) -> str:
     return f"{float(value)!r}::DOUBLE"
 
 
+def rounded(value: str, digits: int = 6) -> str:
+    """Round without a negative zero (Spark has none)."""
+    return f"(round({value}, {digits}) + 0.0::DOUBLE)"
+
+
 def text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -28,8 +33,7 @@ def _word(seed: int, field: str, purpose: str, word: int, ids: Sequence[str]) ->
     ]
     x = f"(({' + '.join(terms)})::BIGINT & {MASK})"
     x = f"(xor({x}, {x} >> 16) * {MIX_MULTIPLIERS[0]} & {MASK})"
-    x = f"(xor({x}, {x} >> 15) * {MIX_MULTIPLIERS[1]} & {MASK})"
-    return f"xor({x}, {x} >> 16)"
+    return f"(xor({x}, {x} >> 15) * {MIX_MULTIPLIERS[1]} & {MASK})"
 
 
 def uniform(seed: int, field: str, purpose: str, *ids: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftloom.functions import pools
-from driftloom.functions.scalars import micros_of, micros_value, ntz_of
+from driftloom.functions.scalars import micros_of, micros_value
 from driftloom.operators import generate as g
 from driftloom.plans import duck
 from driftloom.plans.tables import query, table
@@ -85,7 +85,7 @@ def duck_table(spec, source, rid, keep=(), outer=None):
         first, second = duck_field(f, rid, spec.seed)
         inner.append(f"{first} AS _{f.name}")
         second = (outer or {}).get(f.name, second)
-        outside.append(f"round({second}, 6) AS {f.name}" if f.kind == "float" else f"{second} AS {f.name}")
+        outside.append(f"{duck.rounded(second)} AS {f.name}" if f.kind == "float" else f"{second} AS {f.name}")
     return f"SELECT {', '.join(outside)} FROM (SELECT {', '.join(inner)} FROM {source})"
 
 
@@ -254,7 +254,7 @@ def duck_series(spec, source, rid, keep=()):
                 f"({micros} / 1000000.0::DOUBLE) / {duck.num(s['period'] * 3600)})"
             )
             if f.kind == "int":
-                value = f"round({value}, 6)"
+                value = duck.rounded(value)
         patterns[f.name] = value
         names[f.name] = value
     base = duck_table(spec, source, rid, list(dict.fromkeys([*keep, rid])), patterns)
@@ -344,6 +344,3 @@ def gen_customers_transactions(spark, folder):
 def series_start(events):
     """First event time as a one-row scalar (a literal at run time)."""
     return events.agg(F.min(micros_of(F.col("ts")))).scalar()
-
-
-__all__ = ["duck_field", "duck_table", "duck_series", "rounded", "series_start", "ntz_of"]
