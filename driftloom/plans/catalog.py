@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftloom.plans import drifting, generation, profiling  # noqa: F401
+from driftloom.plans import drifting, generation, profiling, repairing  # noqa: F401
 from driftloom.plans.tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
