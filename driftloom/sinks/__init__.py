@@ -1 +1 @@
-"""sinks"""
+"""Sinks: files, console and Kafka."""

@@ -1 +1 @@
-"""sources"""
+"""Scans: landed payloads, history ranges and custom sources."""
