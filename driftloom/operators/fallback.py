@@ -29,7 +29,6 @@ def fill(
     synthetic: Column,
     reason: str | None = None,
     carry: bool = False,
-    chunk_seconds: float = 30 * 86400.0,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Real value where there is one, else the last good one (optional), else the synthetic one.
@@ -53,7 +52,7 @@ def fill(
         }
     )
     if carry:
-        key = SeriesKey(tuple(keys), bucket, (), chunk_seconds)
+        key = SeriesKey(tuple(keys), bucket)
         tagged = carry_forward(tagged, key, value, "_carried")
         has_carried = F.col("_carried").isNotNull() & (F.col("data_type") == "empty")
         tagged = tagged.withColumn("data_type", F.when(has_carried, "synthetic").otherwise(F.col("data_type")))

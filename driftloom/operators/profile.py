@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftloom.functions.scalars import is_missing, numeric_columns, text_columns
 
@@ -28,18 +30,47 @@ def shape(df: DataFrame) -> DataFrame:
     )
 
 
-def frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, value, n)`` for all columns in one pass and one shuffle.
-
-    Values are compared as text.  Duplicates combine on the map side, so the shuffle carries
-    distinct values, and a value that fills a third of the table costs one row per task.
+def _kinds(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Columns by the type their values are compared in."""
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        t = df.schema[c].dataType
+        if isinstance(t, T.IntegralType):
+            kind = "bigint"
+        elif isinstance(t, (T.DoubleType, T.FloatType)):
+            kind = "double"
+        elif isinstance(t, (T.StringType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)):
+            kind = t.simpleString()
+        else:
+            kind = "string"
+        kinds.setdefault(kind, []).append(c)
+    return kinds
+
+
+def frequencies(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
+    """``(column, value, n)`` per value type, in one pass and one shuffle for each type.
+
+    Values keep their type.  Duplicates combine on the map side, so the shuffle carries distinct
+    values, and a value that fills a third of the table costs one row per task.  ``column`` is
+    the position in ``columns``.
     """
-    pairs = [
-        F.struct(F.lit(c).alias("column"), F.when(~is_missing(df, c), _c(c).cast("string")).alias("value"))
-        for c in columns
-    ]
-    exploded = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.column", "p.value")
-    return exploded.groupBy("column", "value").agg(F.count("*").alias("n"))
+    columns, out = list(columns), []
+    for kind, names in _kinds(df, columns).items():
+        pairs = [
+            F.struct(
+                F.lit(columns.index(c)).alias("column"),
+                F.when(~is_missing(df, c), _c(c).cast(kind)).alias("value"),
+            )
+            for c in names
+        ]
+        exploded = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.column", "p.value")
+        out.append(exploded.groupBy("column", "value").agg(F.count("*").alias("n")))
+    return out
+
+
+def _named(columns: Sequence[str]) -> Column:
+    """Column name of a position."""
+    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column") + 1)
 
 
 def column_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
@@ -49,24 +80,28 @@ def column_counts(df: DataFrame, columns: Sequence[str] | None = None, approxima
     column and no shuffle of values, the choice for very wide or very large tables.
     """
     columns = list(columns or df.columns)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    types = [df.schema[c].dataType.simpleString() for c in columns]
     if approximate:
         stats = [
             F.struct(
                 F.lit(c).alias("column"),
-                F.lit(types[c]).alias("dtype"),
+                F.lit(t).alias("dtype"),
                 F.count_if(is_missing(df, c)).alias("null_count"),
                 F.approx_count_distinct(F.when(~is_missing(df, c), _c(c))).alias("unique_count"),
             )
-            for c in columns
+            for c, t in zip(columns, types)
         ]
         return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
-    counted = frequencies(df, columns).groupBy("column").agg(
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-        F.count("value").alias("unique_count"),
-    )
-    dtype = F.create_map(*[F.lit(x) for c in columns for x in (c, types[c])])[F.col("column")]
-    return counted.select("column", dtype.alias("dtype"), "null_count", "unique_count")
+    parts = [
+        counts.groupBy("column").agg(
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+            F.count("value").alias("unique_count"),
+        )
+        for counts in frequencies(df, columns)
+    ]
+    merged = reduce(DataFrame.unionByName, parts)
+    dtype = F.element_at(F.array(*[F.lit(t) for t in types]), F.col("column") + 1)
+    return merged.select(_named(columns).alias("column"), dtype.alias("dtype"), "null_count", "unique_count")
 
 
 def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -104,12 +139,12 @@ def medians(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """
     columns = list(columns or numeric_columns(df))
     brackets = []
-    for c in columns:
+    for i, c in enumerate(columns):
         v = F.when(~is_missing(df, c), _c(c).cast("double"))
         ends = F.percentile_approx(v, [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY)
         brackets.append(
             F.struct(
-                F.lit(c).alias("column"),
+                F.lit(i).alias("column"),
                 F.count(v).alias("n"),
                 ends[0].alias("lo"),
                 ends[1].alias("hi"),
@@ -121,7 +156,7 @@ def medians(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         .where("n > 0")
         .withColumns({"r1": F.expr("(n + 1) div 2"), "r2": F.expr("n div 2 + 1")})
     )
-    pairs = [F.struct(F.lit(c).alias("column"), _c(c).cast("double").alias("v")) for c in columns]
+    pairs = [F.struct(F.lit(i).alias("column"), _c(c).cast("double").alias("v")) for i, c in enumerate(columns)]
     values = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.column", "p.v")
     values = values.where("v is not null and not isnan(v)")
     # One row of state per numeric column of the schema: the broadcast is bounded by the schema.
@@ -154,7 +189,7 @@ def medians(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
     found = ranked.groupBy("column").agg(((at("r1") + at("r2")) / 2).alias("median"))
     checked = F.coalesce("median", F.raise_error(F.lit("median outside its sketch bracket")).cast("double"))
-    return found.select("column", checked.alias("median"))
+    return found.select(_named(columns).alias("column"), checked.alias("median"))
 
 
 # --- long form, value counts, histograms --------------------------------------

@@ -1,48 +1,54 @@
 """Order-dependent operations on series, safe for a series that holds most of the rows.
 
 A plain window over a series puts the whole series into one task.  The operators here cut
-every series into chunks of event time and work in three steps:
+long series into chunks of event time and work in three steps:
 
-1. windows over ``(series, chunk)``: many small groups, one shuffle of the rows;
+1. windows over ``(series, chunk)``: groups of bounded size, one shuffle of the rows;
 2. a summary with one row per chunk, over which a window per series carries context from
    chunk to chunk (its size is the number of chunks, not of rows);
 3. an equi-join of that context back on ``(series, chunk)``, which needs no second shuffle of
    the rows because they are already partitioned that way.
 
-Results do not depend on the chunk width; it only sets the size of the groups.
+Results do not depend on the chunks; these only set the size of the groups.  A row whose key
+is null belongs to a series of its own that is not cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from driftloom.functions import rng
-from driftloom.functions.scalars import floor_to
+from driftloom.functions.scalars import floor_to, micros_of
 
-DAY = 86400.0
+CHUNK_ROWS = 1_000_000
+# Chunks are planned for an even spread over time; this leaves room for busy hours.
+CHUNK_SLACK = 4
 
 
 @dataclass(frozen=True)
 class SeriesKey:
-    """How rows form series: key columns, time column, and tie breakers within one time."""
+    """How rows form series: key columns, time column, and tie breakers within one time.
+
+    A series of more than ``chunk_rows`` rows is cut into chunks of equal time span that hold
+    about a quarter of that each; ``chunk_seconds`` fixes the span instead.
+    """
 
     keys: tuple[str, ...]
     ts: str
     tie: tuple[str, ...] = ()
-    chunk_seconds: float = DAY
+    chunk_rows: int = CHUNK_ROWS
+    chunk_seconds: float | None = None
 
     @property
     def order(self) -> list[str]:
         return [self.ts, *self.tie]
 
-    @property
-    def chunk(self) -> Column:
-        return floor_to(F.col(self.ts), int(self.chunk_seconds * 1_000_000))
-
     def within(self) -> WindowSpec:
         return Window.partitionBy(*self.keys, "_chunk").orderBy(*self.order)
 
@@ -56,25 +62,33 @@ FROM = (Window.currentRow, Window.unboundedFollowing)
 AFTER = (1, Window.unboundedFollowing)
 
 
-def chunk_seconds_for(df: DataFrame, key: SeriesKey, max_rows: int = 1_000_000) -> float:
-    """Widest of a few chunk widths whose fullest chunk has at most ``max_rows`` rows.
+def chunked(df: DataFrame, key: SeriesKey) -> DataFrame:
+    """Rows with their ``_chunk`` number, increasing with time within a series.
 
-    Counts per (series, minute) first, so hot series combine on the map side; only one row of
-    maxima reaches the driver.
+    Only series above ``chunk_rows`` appear in the table of widths, so it has at most
+    ``rows / chunk_rows`` rows.  It is joined without a hint: Spark broadcasts it when its
+    measured size allows, and splits the skewed side of a shuffle join when it does not.
     """
-    widths = [60.0, 600.0, 3600.0, 6 * 3600.0, DAY, 7 * DAY, 28 * DAY]
-    minute = floor_to(F.col(key.ts), 60_000_000)
-    counts = df.groupBy(*key.keys, minute.alias("_minute")).agg(F.count("*").alias("_n"))
-    fullest = []
-    for width in widths:
-        bucket = F.floor(F.col("_minute") / F.lit(width / 60.0)).alias("_bucket")
-        per_bucket = counts.groupBy(*key.keys, bucket).agg(F.sum("_n").alias("_n"))
-        fullest.append(per_bucket.agg(F.max("_n").alias("n"), F.lit(width).alias("width")))
-    merged = fullest[0]
-    for frame in fullest[1:]:
-        merged = merged.unionByName(frame)
-    best = merged.where(F.col("n") <= max_rows).agg(F.max("width")).first()[0]
-    return best if best is not None else widths[0]
+    micros = micros_of(F.col(key.ts))
+    if key.chunk_seconds is not None:
+        no_key = reduce(or_, [F.col(k).isNull() for k in key.keys], F.lit(False))
+        chunk = F.floor(micros / F.lit(int(key.chunk_seconds * 1_000_000))).cast("long")
+        return df.withColumn("_chunk", F.when(no_key, F.lit(0)).otherwise(F.coalesce(chunk, F.lit(0))))
+    sizes = df.groupBy(*key.keys).agg(
+        F.count("*").alias("_n"), F.min(key.ts).alias("_lo_ts"), F.max(key.ts).alias("_hi_ts")
+    )
+    lo, hi = micros_of(F.col("_lo_ts")), micros_of(F.col("_hi_ts"))
+    width = F.ceil((hi - lo) / (F.lit(CHUNK_SLACK / key.chunk_rows) * F.col("_n")))
+    widths = sizes.where(F.col("_n") > key.chunk_rows).select(
+        *key.keys, lo.alias("_lo"), F.greatest(width, F.lit(1)).alias("_width")
+    )
+    if not key.keys:  # one series: its width is a scalar
+        scalar = widths.select(F.struct("_lo", "_width").alias("s")).scalar()
+        chunk = F.floor((micros - scalar["_lo"]) / scalar["_width"]).cast("long")
+        return df.withColumn("_chunk", F.coalesce(chunk, F.lit(0)))
+    joined = df.join(widths, list(key.keys), "left")
+    chunk = F.floor((micros - F.col("_lo")) / F.col("_width")).cast("long")
+    return joined.select(*df.columns, F.coalesce(chunk, F.lit(0)).alias("_chunk"))
 
 
 def _joined(rows: DataFrame, context: DataFrame, key: SeriesKey) -> DataFrame:
@@ -84,7 +98,7 @@ def _joined(rows: DataFrame, context: DataFrame, key: SeriesKey) -> DataFrame:
 def carry_forward(df: DataFrame, key: SeriesKey, column: str, out: str | None = None) -> DataFrame:
     """Last known value at or before each row of the series (null before the first one)."""
     out = out or f"{column}_filled"
-    rows = df.withColumn("_chunk", key.chunk)
+    rows = chunked(df, key)
     newest = F.when(F.col(column).isNotNull(), F.struct(*key.order, F.col(column).alias("_v")))
     chunks = rows.groupBy(*key.keys, "_chunk").agg(F.max(newest)["_v"].alias("_last"))
     before = F.last("_last", ignorenulls=True).over(key.across().rowsBetween(*BEFORE))
@@ -96,20 +110,21 @@ def carry_forward(df: DataFrame, key: SeriesKey, column: str, out: str | None =
 
 def position(df: DataFrame, key: SeriesKey, out: str = "position") -> DataFrame:
     """1-based position of each row in its series."""
-    rows = df.withColumn("_chunk", key.chunk)
+    rows = chunked(df, key)
     chunks = rows.groupBy(*key.keys, "_chunk").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(key.across().rowsBetween(*BEFORE)), F.lit(0))
     context = chunks.select(*key.keys, "_chunk", before.alias("_offset"))
     numbered = rows.withColumn("_rn", F.row_number().over(key.within()))
     joined = _joined(numbered, context, key)
-    return joined.withColumn(out, F.col("_offset") + F.col("_rn")).select(*df.columns, out)
+    offset = F.coalesce("_offset", F.lit(0))
+    return joined.withColumn(out, offset + F.col("_rn")).select(*df.columns, out)
 
 
 def interpolate(df: DataFrame, key: SeriesKey, column: str, out: str | None = None) -> DataFrame:
     """Linear interpolation by position: leading nulls stay, trailing nulls carry the last value."""
     out = out or f"{column}_interpolated"
     known = F.col(column).isNotNull()
-    rows = df.withColumn("_chunk", key.chunk)
+    rows = chunked(df, key)
     rows = rows.withColumn("_rn", F.row_number().over(key.within()).cast("long"))
     spot = F.when(known, F.col("_rn"))
     chunks = rows.groupBy(*key.keys, "_chunk").agg(
@@ -139,7 +154,7 @@ def interpolate(df: DataFrame, key: SeriesKey, column: str, out: str | None = No
             "_next": F.first(here, ignorenulls=True).over(key.within().rowsBetween(*FROM)),
         }
     )
-    joined = _joined(rows, context, key)
+    joined = _joined(rows, context, key).withColumn("_offset", F.coalesce("_offset", F.lit(0)))
 
     def either(near: str, far: str) -> tuple[Column, Column]:
         at = F.coalesce(F.col(f"{near}.at") + F.col("_offset"), F.col(f"{far}.at"))
@@ -155,14 +170,13 @@ def interpolate(df: DataFrame, key: SeriesKey, column: str, out: str | None = No
 def lag(df: DataFrame, key: SeriesKey, column: str, k: int = 1, out: str | None = None) -> DataFrame:
     """Value ``k`` rows earlier in the series, nulls included."""
     out = out or f"{column}_lag{k}"
-    rows = df.withColumn("_chunk", key.chunk)
+    rows = chunked(df, key)
     w = key.within()
     rows = rows.withColumns({"_rn": F.row_number().over(w), "_local": F.lag(column, k).over(w)})
     # The last k values of every chunk (at most k of them), oldest first.
     newest_first = Window.partitionBy(*key.keys, "_chunk").orderBy(*[F.col(c).desc() for c in key.order])
     recent = (
-        df.withColumn("_chunk", key.chunk)
-        .select(*key.keys, "_chunk", *key.order, F.struct(F.col(column).alias("v")).alias("_v"))
+        rows.select(*key.keys, "_chunk", *key.order, F.struct(F.col(column).alias("v")).alias("_v"))
         .withColumn("_back", F.row_number().over(newest_first))
         .where(F.col("_back") <= k)
     )
@@ -197,17 +211,18 @@ def newest(
     n: int,
     rank: str | None = None,
     oldest: bool = False,
-    salts: int = 64,
+    slices: int = 64,
 ) -> DataFrame:
     """The last (or first) ``n`` rows of every series, optionally with their rank.
 
-    Two rounds: the best ``n`` of each of ``salts`` slices of a series, then the best ``n`` of
-    those.  Both rank filters become group limits that cut before the shuffle, and no task sees
-    more than ``salts * n`` rows of a series however many rows it has.
+    Two rounds: the best ``n`` of every slice of a series, then the best ``n`` of those.  A slice
+    is a set of input partitions, so the group limit Spark derives from the rank filter leaves at
+    most ``n`` rows of a series per input task before the first shuffle, and the second round
+    sees at most ``slices * n`` rows of it.  The slices do not influence the result.
     """
     out = rank or "_rank"
     order = [F.col(c).asc() if oldest else F.col(c).desc() for c in key.order]
-    slice_of = F.pmod(F.xxhash64(*key.order), F.lit(salts))
+    slice_of = F.spark_partition_id() % F.lit(slices)
     first = Window.partitionBy(*key.keys, "_slice").orderBy(*order)
     final = Window.partitionBy(*key.keys).orderBy(*order)
     cut = (
