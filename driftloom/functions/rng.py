@@ -32,6 +32,7 @@ MASK = 0xFFFFFFFF
 FOLD_PRIMES = (2147483629, 2147483587)
 MIX_MULTIPLIERS = (0x7FEB352D, 0x45D9F3B)
 TWO_53 = 9007199254740992.0
+TWO_32 = 4294967296.0
 
 
 def word_key(seed: int, field: str, purpose: str, word: int, n_ids: int) -> tuple[int, list[int]]:
@@ -47,49 +48,59 @@ def word_key(seed: int, field: str, purpose: str, word: int, n_ids: int) -> tupl
 
 
 # --- column form -------------------------------------------------------------
+#
+# Expressions are built as SQL text: one parse per draw instead of dozens of Column calls.
+# An id is a column name, a SQL expression or an integer.
 
 
-def _mix(x: Column) -> Column:
-    x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(MIX_MULTIPLIERS[0])).bitwiseAND(F.lit(MASK))
-    return (x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(MIX_MULTIPLIERS[1])).bitwiseAND(F.lit(MASK))
+def _mix(x: str) -> str:
+    x = f"((({x}) ^ (({x}) >> 16)) * {MIX_MULTIPLIERS[0]}L & {MASK}L)"
+    return f"(({x} ^ ({x} >> 15)) * {MIX_MULTIPLIERS[1]}L & {MASK}L)"
 
 
-def _as_id(value: Column | int) -> Column:
-    column = value if isinstance(value, Column) else F.lit(int(value))
-    return column.cast("long")
+def _word(seed: int, field: str, purpose: str, word: int, ids: Sequence[str | int]) -> str:
+    base, multipliers = word_key(seed, field, purpose, word, len(ids))
+    prime = FOLD_PRIMES[word]
+    # A missing id counts as 0; without nulls the generated code is half as long.
+    terms = [f"((coalesce(cast({i} as bigint), 0L) % {prime}L) * {m}L & {MASK}L)" for i, m in zip(ids, multipliers)]
+    return _mix(f"({' + '.join([f'{base}L', *terms])}) & {MASK}L")
 
 
-def _word(seed: int, field: str, purpose: str, word: int, ids: Sequence[Column | int]) -> Column:
-    base, multipliers = word_key(seed, field, purpose, word, len(ids))
-    prime = F.lit(FOLD_PRIMES[word])
-    x = F.lit(base).cast("long")
-    for value, multiplier in zip(ids, multipliers):
-        x = x + ((_as_id(value) % prime) * F.lit(multiplier)).bitwiseAND(F.lit(MASK))
-    return _mix(x.bitwiseAND(F.lit(MASK)))
+def uniform_sql(seed: int, field: str, purpose: str, *ids: str | int) -> str:
+    high, low = (_word(seed, field, purpose, word, ids) for word in (0, 1))
+    return f"((({high} * 2097152L) + ({low} >> 11)) / {TWO_53!r}D)"
 
 
-def uniform(seed: int, field: str, purpose: str, *ids: Column | int) -> Column:
+def uniform(seed: int, field: str, purpose: str, *ids: str | int) -> Column:
     """Uniform double in [0, 1), a function of the key and the integer ids."""
-    high = _word(seed, field, purpose, 0, ids)
-    low = _word(seed, field, purpose, 1, ids)
-    return (high * F.lit(2097152) + F.shiftright(low, 11)) / F.lit(TWO_53)
+    return F.expr(uniform_sql(seed, field, purpose, *ids))
+
 
+def normal(seed: int, field: str, purpose: str, *ids: str | int) -> Column:
+    """Standard normal double by the Box-Muller transform; the angle takes one 32-bit word."""
+    u = uniform_sql(seed, field, purpose, *ids)
+    angle = _word(seed, field, purpose + "/angle", 0, ids)
+    turn = f"({2.0 * math.pi!r}D * ({angle} / {TWO_32!r}D))"
+    return F.expr(f"(sqrt(-2.0D * ln(1.0D - {u})) * cos({turn}))")
 
-def normal(seed: int, field: str, purpose: str, *ids: Column | int) -> Column:
-    """Standard normal double by the Box-Muller transform of two keyed uniforms."""
-    u = uniform(seed, field, purpose, *ids)
-    v = uniform(seed, field, purpose + "/angle", *ids)
-    return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(2.0 * math.pi) * v)
 
+def indices(seed: int, field: str, purpose: str, sizes: Sequence[int], *ids: str | int) -> list[Column]:
+    """Independent uniform integers in [0, n) for every n of ``sizes``, out of one draw.
 
-def index(seed: int, field: str, purpose: str, n: Column | int, *ids: Column | int) -> Column:
-    """Uniform integer in [0, n)."""
-    return F.floor(uniform(seed, field, purpose, *ids) * n).cast("long")
+    The product of the sizes must stay well below 2**53.
+    """
+    whole = F.expr(f"cast(floor({uniform_sql(seed, field, purpose, *ids)} * {math.prod(sizes)}D) as bigint)")
+    parts, step = [], 1
+    for n in sizes:
+        rest = whole if step == 1 else F.floor(whole / F.lit(float(step))).cast("long")
+        parts.append(rest % F.lit(n))
+        step *= n
+    return parts
 
 
-def text_id(value: Column) -> Column:
-    """Stable non-negative integer id of a string key (for draws keyed by series)."""
-    return F.conv(F.substring(F.md5(value.cast("string")), 1, 15), 16, 10).cast("long")
+def text_id(column: str) -> str:
+    """Stable non-negative integer id of a string key, as an id for the draws."""
+    return f"cast(conv(substring(md5(cast({column} as string)), 1, 15), 16, 10) as bigint)"
 
 
 # --- the same draw for driver literals ---------------------------------------
@@ -105,20 +116,21 @@ def _mix_value(x: int) -> int:
     return ((x ^ (x >> 15)) * MIX_MULTIPLIERS[1]) & MASK
 
 
+def _word_value(seed: int, field: str, purpose: str, word: int, ids: Sequence[int]) -> int:
+    x, multipliers = word_key(seed, field, purpose, word, len(ids))
+    for value, multiplier in zip(ids, multipliers):
+        x += (_truncated_mod(int(value), FOLD_PRIMES[word]) * multiplier) & MASK
+    return _mix_value(x & MASK)
+
+
 def uniform_value(seed: int, field: str, purpose: str, *ids: int) -> float:
     """Driver-side value of :func:`uniform` for literal ids."""
-    words = []
-    for word in (0, 1):
-        base, multipliers = word_key(seed, field, purpose, word, len(ids))
-        x = base
-        for value, multiplier in zip(ids, multipliers):
-            x += (_truncated_mod(int(value), FOLD_PRIMES[word]) * multiplier) & MASK
-        words.append(_mix_value(x & MASK))
-    return (words[0] * 2097152 + (words[1] >> 11)) / TWO_53
+    high, low = (_word_value(seed, field, purpose, word, ids) for word in (0, 1))
+    return (high * 2097152 + (low >> 11)) / TWO_53
 
 
 def normal_value(seed: int, field: str, purpose: str, *ids: int) -> float:
     """Driver-side value of :func:`normal` for literal ids."""
     u = uniform_value(seed, field, purpose, *ids)
-    v = uniform_value(seed, field, purpose + "/angle", *ids)
-    return math.sqrt(-2.0 * math.log(1.0 - u)) * math.cos(2.0 * math.pi * v)
+    turn = 2.0 * math.pi * (_word_value(seed, field, purpose + "/angle", 0, ids) / TWO_32)
+    return math.sqrt(-2.0 * math.log(1.0 - u)) * math.cos(turn)

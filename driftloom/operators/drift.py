@@ -31,7 +31,7 @@ def drift(
             changed[f.name] = _shifted(f, F.lit(sign * magnitude * f.std))
         elif f.kind == "category" and gate_open(spec.seed, f.name, magnitude, event):
             edges = cumulative(drifted_probabilities(f, spec.seed, magnitude, event))
-            changed[f.name] = _resampled(f, spec.seed, magnitude, F.col(row_id), F.lit(event), edges)
+            changed[f.name] = _resampled(f, spec.seed, magnitude, row_id, event, edges)
     return df.withColumns(changed)
 
 
@@ -56,7 +56,7 @@ def _shifted(f: FieldSpec, amount: Column) -> Column:
     return clip(F.col(f.name) + amount, f.low, f.high)
 
 
-def _resampled(f: FieldSpec, seed: int, magnitude: float, row_id: Column, event: Column, edges) -> Column:
+def _resampled(f: FieldSpec, seed: int, magnitude: float, row_id: str, event: str | int, edges) -> Column:
     hit = rng.uniform(seed, f.name, "drift/mask", row_id, event) < F.lit(magnitude)
     u = rng.uniform(seed, f.name, "drift/pick", row_id, event)
     return F.when(hit, choose(f.categories, edges, u)).otherwise(F.col(f.name))
@@ -85,8 +85,7 @@ def drift_epochs(df: DataFrame, ts: str, batch: str, origin_us: Column, interval
 
 def event_parameters(epochs: DataFrame, spec: TableSpec, magnitude: float) -> DataFrame:
     """Per drift event: the shift of every float field and the edges of every open category."""
-    epoch = F.col("epoch")
-    first, second = {}, {}
+    epoch, first, second = "epoch", {}, {}
     for f in spec.fields:
         if f.kind == "float":
             down = rng.uniform(spec.seed, f.name, "drift/direction", epoch) < 0.5
@@ -140,7 +139,7 @@ def drift_on_schedule(
         elif f.kind == "category":
             edges_column = F.col(f"_edges_{f.name}")
             edges = [edges_column[k] for k in range(len(f.categories) - 1)]
-            drawn = _resampled(f, spec.seed, magnitude, F.col(row_id), F.col("epoch"), edges)
+            drawn = _resampled(f, spec.seed, magnitude, row_id, "epoch", edges)
             changed[f.name] = F.when(edges_column.isNotNull(), drawn).otherwise(F.col(f.name))
     return joined.withColumns({**changed, "drifted": on}).select(*df.columns, "drifted", "epoch")
 

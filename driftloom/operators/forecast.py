@@ -79,7 +79,7 @@ def forecast_ar(coefficients: DataFrame, steps: int = HORIZON, step_seconds: flo
 
 
 def with_noise(
-    forecast: DataFrame, keys: Sequence[str], level: float, seed: int, series_id: Column, out: str = "generated"
+    forecast: DataFrame, keys: Sequence[str], level: float, seed: int, series_id: str, out: str = "generated"
 ) -> DataFrame:
     """Forecast plus N(0, level * std) noise.
 
@@ -88,7 +88,7 @@ def with_noise(
     """
     w = Window.partitionBy(*keys)
     scale = F.when(F.count("*").over(w) > 1, F.stddev_pop("forecast").over(w)).otherwise(F.col("sigma"))
-    z = rng.normal(seed, out, "noise", series_id, F.col("step"))
+    z = rng.normal(seed, out, "noise", series_id, "step")
     return forecast.withColumn(out, F.col("forecast") + F.lit(level) * scale * z)
 
 
@@ -124,11 +124,11 @@ def fit_moments(df: DataFrame, key: SeriesKey, value: str | None) -> DataFrame:
 
 
 def sample_moments(
-    moments: DataFrame, steps: int, step_seconds: float, seed: int, series_id: Column, out: str = "generated"
+    moments: DataFrame, steps: int, step_seconds: float, seed: int, series_id: str, out: str = "generated"
 ) -> DataFrame:
     """Moment-matched draws on the future grid."""
     future = forecast_calendar(moments, "last_ts", steps, step_seconds)
-    z = rng.normal(seed, out, "moments", series_id, F.col("step"))
+    z = rng.normal(seed, out, "moments", series_id, "step")
     return future.withColumn(out, F.col("mean") + F.col("std") * z)
 
 

@@ -8,7 +8,7 @@ with no shuffle, so the throughput scales with the number of cores.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from itertools import accumulate
 from typing import Any
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import pools, rng
 from driftloom.functions.scalars import MICROS_PER_SECOND, clip, micros_value, ntz_of
 from driftloom.schema import FieldSpec, SpecError, TableSpec
+from driftloom.session import small_methods
 
 log = logging.getLogger(__name__)
 
@@ -29,7 +30,7 @@ class Draws:
 
     seed: int
     field: str
-    row_id: Column
+    row_id: str
 
     def uniform(self, purpose: str = "value") -> Column:
         return rng.uniform(self.seed, self.field, purpose, self.row_id)
@@ -39,16 +40,24 @@ class Draws:
 
     def integer(self, low: int, high: int, purpose: str = "value") -> Column:
         """Uniform integer in [low, high], both ends included."""
-        return F.lit(low) + rng.index(self.seed, self.field, purpose, F.lit(high - low + 1), self.row_id)
+        return F.lit(low) + F.floor(self.uniform(purpose) * F.lit(float(high - low + 1))).cast("long")
 
-    def pick(self, pool: Iterable[str], purpose: str) -> Column:
-        values = list(pool)
-        return element(values, rng.index(self.seed, self.field, purpose, F.lit(len(values)), self.row_id))
+    def indices(self, *sizes: int, purpose: str = "value") -> list[Column]:
+        """Independent positions in pools of these sizes, out of one draw."""
+        return rng.indices(self.seed, self.field, purpose, sizes, self.row_id)
 
 
-def element(values: list[Any], position: Column) -> Column:
+def literal_array(values: Sequence[Any]) -> Column:
+    """Constant array; text goes through one parsed expression (cheaper to build than many columns)."""
+    if all(isinstance(v, str) for v in values):
+        quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+        return F.expr(f"array({quoted})")
+    return F.array(*[F.lit(v) for v in values])
+
+
+def element(values: Sequence[Any], position: Column) -> Column:
     """Zero-based pick from a literal array."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (position + 1).cast("int"))
+    return F.element_at(literal_array(values), (position + 1).cast("int"))
 
 
 def cumulative(probabilities: list[float]) -> list[float]:
@@ -89,31 +98,36 @@ def _datetime(spec: FieldSpec, draws: Draws) -> Column:
 
 
 def _name(spec: FieldSpec, draws: Draws) -> Column:
-    return F.concat_ws(" ", draws.pick(pools.FIRST_NAMES, "first"), draws.pick(pools.LAST_NAMES, "last"))
+    first, last = draws.indices(len(pools.FIRST_NAMES), len(pools.LAST_NAMES))
+    return F.concat_ws(" ", element(pools.FIRST_NAMES, first), element(pools.LAST_NAMES, last))
 
 
 def _email(spec: FieldSpec, draws: Draws) -> Column:
+    sizes = (len(pools.FIRST_NAMES), len(pools.LAST_NAMES), 9999, len(pools.MAIL_DOMAINS))
+    first, last, number, domain = draws.indices(*sizes)
     return F.concat(
-        F.lower(draws.pick(pools.FIRST_NAMES, "first")),
+        element([n.lower() for n in pools.FIRST_NAMES], first),
         F.lit("."),
-        F.lower(draws.pick(pools.LAST_NAMES, "last")),
-        draws.integer(1, 9999, "number").cast("string"),
+        element([n.lower() for n in pools.LAST_NAMES], last),
+        (number + 1).cast("string"),
         F.lit("@"),
-        draws.pick(pools.MAIL_DOMAINS, "domain"),
+        element(pools.MAIL_DOMAINS, domain),
     )
 
 
 def _address(spec: FieldSpec, draws: Draws) -> Column:
+    sizes = (9999, len(pools.STREETS), len(pools.CITIES), len(pools.STATES), 99999)
+    number, street, city, state, code = draws.indices(*sizes)
     return F.concat(
-        draws.integer(1, 9999, "number").cast("string"),
+        (number + 1).cast("string"),
         F.lit(" "),
-        draws.pick(pools.STREETS, "street"),
+        element(pools.STREETS, street),
         F.lit(", "),
-        draws.pick(pools.CITIES, "city"),
+        element(pools.CITIES, city),
         F.lit(", "),
-        draws.pick(pools.STATES, "state"),
+        element(pools.STATES, state),
         F.lit(" "),
-        F.lpad(draws.integer(1, 99999, "zip").cast("string"), 5, "0"),
+        F.lpad((code + 1).cast("string"), 5, "0"),
     )
 
 
@@ -133,7 +147,7 @@ def register_field_type(kind: str, build: FieldType) -> None:
     FIELD_TYPES[kind] = build
 
 
-def field_column(spec: FieldSpec, seed: int, row_id: Column) -> Column:
+def field_column(spec: FieldSpec, seed: int, row_id: str) -> Column:
     build = FIELD_TYPES.get(spec.kind)
     if build is None:
         log.warning("unknown field type %r of field %r: column of nulls", spec.kind, spec.name)
@@ -151,8 +165,8 @@ def row_ids(spark: SparkSession, size: int, start: int = 0, partitions: int | No
 
 def generate(ids: DataFrame, spec: TableSpec, row_id: str = "row_id", keep: Iterable[str] = ()) -> DataFrame:
     """One generated row per input row, fields in the order of the specification."""
-    rid = F.col(row_id)
-    return ids.select(*keep, *[field_column(f, spec.seed, rid).alias(f.name) for f in spec.fields])
+    small_methods(ids.sparkSession)
+    return ids.select(*keep, *[field_column(f, spec.seed, row_id).alias(f.name) for f in spec.fields])
 
 
 def generate_series(
@@ -170,11 +184,12 @@ def generate_series(
     over with the next one; ``continuous=True`` lets it run on.  The time of a row follows
     from its id, so batches join seamlessly without any state.
     """
+    small_methods(ids.sparkSession)
     rid = F.col(row_id)
     micros = F.lit(micros_value(start)) + rid * F.lit(spec.interval_us)
     columns = {}
     for f in spec.fields:
-        value = field_column(f, spec.seed, rid)
+        value = field_column(f, spec.seed, row_id)
         if f.kind in ("float", "int") and f.name != spec.time_field:
             if f.name in spec.trends:
                 value = with_trend(value, spec.trends[f.name], rid, batch_size, continuous)

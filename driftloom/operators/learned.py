@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions import rng
@@ -105,7 +105,7 @@ def generate_recursively(
     steps: int,
     step_seconds: int,
     seed: int,
-    series_id: Column,
+    series_id: str,
     noise_level: float = 0.1,
     cut_every: int = 6,
 ) -> DataFrame:
@@ -117,7 +117,7 @@ def generate_recursively(
     predicted = F.col(f"predicted_{value}")
     for step in range(1, steps + 1):
         scored = predict_forest({value: model}, state)
-        z = rng.normal(seed, value, "recursive", series_id, F.lit(step))
+        z = rng.normal(seed, value, "recursive", series_id, step)
         noisy = predicted + F.lit(noise_level * 0.1) * F.abs(predicted) * z
         scored = scored.withColumn("_new", noisy)
         point = F.struct(F.lit(step).alias("step"), F.col("_new").alias("generated"))

@@ -288,7 +288,7 @@ def ordered(df: DataFrame, key: SeriesKey, columns: Sequence[str] | None = None)
     return frame.orderBy(*key.order)
 
 
-def knocked_out(df: DataFrame, column: str, seed: int, share: float, row_id: Column, out: str) -> DataFrame:
+def knocked_out(df: DataFrame, column: str, seed: int, share: float, row_id: str, out: str) -> DataFrame:
     """Copy of a column with a keyed share of its values missing (to exercise repairs)."""
     gone = rng.uniform(seed, column, "outage", row_id) < F.lit(share)
     return df.withColumn(out, F.when(~gone, F.col(column)))

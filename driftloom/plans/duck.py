@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from driftloom.functions.rng import FOLD_PRIMES, MASK, MIX_MULTIPLIERS, word_key
@@ -42,16 +43,22 @@ def uniform(seed: int, field: str, purpose: str, *ids: str) -> str:
 
 
 def normal(seed: int, field: str, purpose: str, *ids: str) -> str:
-    u, v = uniform(seed, field, purpose, *ids), uniform(seed, field, purpose + "/angle", *ids)
-    return f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u})) * cos({PI2} * {v}))"
+    u, angle = uniform(seed, field, purpose, *ids), _word(seed, field, purpose + "/angle", 0, ids)
+    return f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u})) * cos({PI2} * ({angle}::DOUBLE / 4294967296.0::DOUBLE)))"
 
 
 def integer(seed: int, field: str, low: int, high: int, *ids: str, purpose: str = "value") -> str:
     return f"({low} + floor({uniform(seed, field, purpose, *ids)} * {high - low + 1})::BIGINT)"
 
 
-def pick(seed: int, field: str, purpose: str, pool: Sequence[str], *ids: str) -> str:
-    return f"({texts(pool)})[1 + floor({uniform(seed, field, purpose, *ids)} * {len(pool)})::BIGINT]"
+def indices(seed: int, field: str, purpose: str, sizes: Sequence[int], *ids: str) -> list[str]:
+    """Zero-based positions that share one draw."""
+    whole = f"floor({uniform(seed, field, purpose, *ids)} * {math.prod(sizes)}::DOUBLE)::BIGINT"
+    return [f"(({whole}) // {math.prod(sizes[:k])} % {n})" for k, n in enumerate(sizes)]
+
+
+def pick(pool: Sequence[str], position: str) -> str:
+    return f"({texts(pool)})[1 + {position}]"
 
 
 def clipped(value: str, low: float | None, high: float | None) -> str:

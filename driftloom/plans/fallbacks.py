@@ -38,7 +38,8 @@ def filled(spark, folder):
     ends = table(spark, folder, "events").agg(F.struct(F.min(day).alias("lo"), F.max(day).alias("hi"))).scalar()
     moments = rows.groupBy("user_id").agg(F.avg("reading").alias("_m"), F.stddev_samp("reading").alias("_s"))
     grid = fb.time_grid(moments, ["user_id", "_m", "_s"], ends["lo"], ends["hi"], DAY)
-    z = rng.normal(SEED, "reading", "fallback", F.col("user_id"), floor_to(F.col("bucket"), DAY * 1_000_000))
+    grid = grid.withColumn("_day", floor_to(F.col("bucket"), DAY * 1_000_000))
+    z = rng.normal(SEED, "reading", "fallback", "user_id", "_day")
     synthetic = F.col("_m") + F.coalesce("_s", F.lit(0.0)) * z
     out = fb.fill(grid, real, ["user_id"], "bucket", "reading", synthetic, "reason")
     return out.withColumn("reading", F.round("reading", 6))

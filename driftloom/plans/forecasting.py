@@ -105,7 +105,7 @@ _ID = duck.text_id("event_type")
 )
 def forecast_noise(spark, folder):
     """Generated continuation of 24 steps, and (as step 0) of a single step."""
-    coefficients, sid = fitted(spark, folder), rng.text_id(F.col("event_type"))
+    coefficients, sid = fitted(spark, folder), rng.text_id("event_type")
     many = f.with_noise(f.forecast_ar(coefficients, STEPS, DAY), ["event_type"], 0.1, SEED, sid)
     one = f.with_noise(f.forecast_ar(coefficients, 1, DAY), ["event_type"], 0.1, SEED, sid)
     both = many.unionByName(one.withColumn("step", F.lit(0)))
@@ -133,7 +133,7 @@ def seasonal_naive(spark, folder):
 )
 def moment_sampler(spark, folder):
     events, key = table(spark, folder, "events"), SeriesKey(("user_id",), "ts")
-    sid = F.col("user_id")
+    sid = "user_id"
     out = f.sample_moments(f.fit_moments(events, key, "value"), STEPS, 3600, SEED, sid)
     absent = f.sample_moments(f.fit_moments(events, key, "no_such_column"), STEPS, 3600, SEED, sid, "absent")
     both = out.join(absent.select("user_id", "step", "absent"), ["user_id", "step"])
@@ -211,5 +211,5 @@ def forest_recursive(spark, folder):
     features = [*FLAGS.keys, *[f"lag_{i}" for i in range(1, lags + 1)]]
     model = learned.train_forest(frame, ["y"], features, trees=20)["y"]
     state = learned.last_lags(window, FLAGS, "y", lags)
-    sid = rng.text_id(F.concat(*FLAGS.keys))
+    sid = rng.text_id("concat(l_returnflag, l_linestatus)")
     return learned.generate_recursively(model, state, FLAGS.keys, "y", lags, 12, DAY, SEED, sid)

@@ -53,26 +53,27 @@ def duck_field(f, rid, seed=SEED):
         u = duck.uniform(seed, f.name, "value", rid)
         return f"make_timestamp({lo} + floor({u} * {hi - lo})::BIGINT)", f"_{f.name}"
 
-    def pick(purpose, pool):
-        return duck.pick(seed, f.name, purpose, pool, rid)
-
-    def integer(low, high, purpose):
-        return duck.integer(seed, f.name, low, high, rid, purpose=purpose)
-
-    first, last = pick("first", pools.FIRST_NAMES), pick("last", pools.LAST_NAMES)
+    first, last = pools.FIRST_NAMES, pools.LAST_NAMES
     if f.kind == "name":
-        return f"{first} || ' ' || {last}", f"_{f.name}"
+        i, j = duck.indices(seed, f.name, "value", (len(first), len(last)), rid)
+        return f"{duck.pick(first, i)} || ' ' || {duck.pick(last, j)}", f"_{f.name}"
     if f.kind == "email":
+        i, j, k, m = duck.indices(
+            seed, f.name, "value", (len(first), len(last), 9999, len(pools.MAIL_DOMAINS)), rid
+        )
         return (
-            f"lower({first}) || '.' || lower({last}) || {integer(1, 9999, 'number')} || '@' || "
-            f"{pick('domain', pools.MAIL_DOMAINS)}",
+            f"lower({duck.pick(first, i)}) || '.' || lower({duck.pick(last, j)}) || (1 + {k}) || '@' || "
+            f"{duck.pick(pools.MAIL_DOMAINS, m)}",
             f"_{f.name}",
         )
     if f.kind == "address":
+        i, j, k, m, n = duck.indices(
+            seed, f.name, "value",
+            (9999, len(pools.STREETS), len(pools.CITIES), len(pools.STATES), 99999), rid,
+        )
         return (
-            f"{integer(1, 9999, 'number')} || ' ' || {pick('street', pools.STREETS)} || ', ' || "
-            f"{pick('city', pools.CITIES)} || ', ' || {pick('state', pools.STATES)} || ' ' || "
-            f"lpad({integer(1, 99999, 'zip')}::VARCHAR, 5, '0')",
+            f"(1 + {i}) || ' ' || {duck.pick(pools.STREETS, j)} || ', ' || {duck.pick(pools.CITIES, k)} || ', ' || "
+            f"{duck.pick(pools.STATES, m)} || ' ' || lpad((1 + {n})::VARCHAR, 5, '0')",
             f"_{f.name}",
         )
     return "NULL::VARCHAR", f"_{f.name}"
@@ -327,7 +328,7 @@ def gen_customers_transactions(spark, folder):
     )
     population = customers.agg(F.count("*")).scalar()
     orders = table(spark, folder, "orders").select("o_orderkey")
-    draws = g.Draws(TRANSACTIONS.seed, "customer_id", F.col("o_orderkey"))
+    draws = g.Draws(TRANSACTIONS.seed, "customer_id", "o_orderkey")
     position = F.floor(draws.uniform("customer") * population).cast("long")
     sales = g.generate_series(orders, TRANSACTIONS, START, BATCH, "o_orderkey", ["o_orderkey"])
     sales = sales.withColumn("customer_id", F.lit(FIRST_CUSTOMER) + position)
@@ -339,8 +340,3 @@ def gen_customers_transactions(spark, folder):
         .drop("emitted_at")
         .join(traits, "customer_id")
     )
-
-
-def series_start(events):
-    """First event time as a one-row scalar (a literal at run time)."""
-    return events.agg(F.min(micros_of(F.col("ts")))).scalar()

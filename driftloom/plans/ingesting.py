@@ -222,7 +222,7 @@ def default_series(spark, folder):
     events = table(spark, folder, "events")
     day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
     bounds = events.groupBy("user_id").agg(F.min(day).alias("first"), F.max(day).alias("last"))
-    out = h.default_series(bounds, ["user_id"], "first", "last", SEED, F.col("user_id"))
+    out = h.default_series(bounds, ["user_id"], "first", "last", SEED, "user_id")
     return out.withColumn("value", F.round("value", 6))
 
 

@@ -18,7 +18,7 @@ LOSSY = f"(SELECT event_id, user_id, ts, CASE WHEN {GONE} THEN NULL ELSE value E
 
 def lossy(spark, folder):
     events = table(spark, folder, "events").select("event_id", "user_id", "ts", "value")
-    return s.knocked_out(events, "value", SEED, SHARE, F.col("event_id"), "reading").drop("value")
+    return s.knocked_out(events, "value", SEED, SHARE, "event_id", "reading").drop("value")
 
 
 @query(

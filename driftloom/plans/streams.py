@@ -37,7 +37,7 @@ def stream_generate(spark, folder):
 
 def tagged_stream(spark, folder):
     """Streamed readings with provenance: a lost reading is an error."""
-    lossy = knocked_out(event_stream(spark, folder), "value", 42, 0.3, F.col("event_id"), "reading")
+    lossy = knocked_out(event_stream(spark, folder), "value", 42, 0.3, "event_id", "reading")
     real = F.col("reading").isNotNull()
     return lossy.withColumns(
         {

