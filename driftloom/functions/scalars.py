@@ -60,12 +60,19 @@ def floor_to(ts: Column, width_us: int, origin_us: int = 0) -> Column:
     return F.floor((micros_of(ts) - F.lit(origin_us)) / F.lit(width_us)).cast("long")
 
 
-def is_missing(df: DataFrame, name: str) -> Column:
-    """Null test that also counts NaN as missing for floating columns."""
-    column = F.col(f"`{name}`")
+def missing_sql(df: DataFrame, name: str) -> str:
+    """Null test that also counts NaN as missing for floating columns, as SQL text."""
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return column.isNull() | F.isnan(column)
-    return column.isNull()
+        return f"(`{name}` is null or isnan(`{name}`))"
+    return f"(`{name}` is null)"
+
+
+def present_sql(df: DataFrame, name: str, kind: str | None = None) -> str:
+    """The value where it is not missing, optionally cast, as SQL text."""
+    value = f"`{name}`" if kind is None else f"cast(`{name}` as {kind})"
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return f"if(isnan(`{name}`), null, {value})"
+    return value
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

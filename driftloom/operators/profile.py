@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftloom.functions.scalars import is_missing, numeric_columns, text_columns
+from driftloom.functions.scalars import missing_sql, numeric_columns, present_sql, text_columns
 
 # Quantile sketch: rank error at most n / ACCURACY; the bracket is five times as wide on each side.
 ACCURACY = 100_000
@@ -57,13 +57,9 @@ def frequencies(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
     columns, out = list(columns), []
     for kind, names in _kinds(df, columns).items():
         pairs = [
-            F.struct(
-                F.lit(columns.index(c)).alias("column"),
-                F.when(~is_missing(df, c), _c(c).cast(kind)).alias("value"),
-            )
-            for c in names
+            f"named_struct('column', {columns.index(c)}, 'value', {present_sql(df, c, kind)})" for c in names
         ]
-        exploded = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.column", "p.value")
+        exploded = df.selectExpr(f"inline_outer(array({', '.join(pairs)}))")
         out.append(exploded.groupBy("column", "value").agg(F.count("*").alias("n")))
     return out
 
@@ -83,15 +79,11 @@ def column_counts(df: DataFrame, columns: Sequence[str] | None = None, approxima
     types = [df.schema[c].dataType.simpleString() for c in columns]
     if approximate:
         stats = [
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(t).alias("dtype"),
-                F.count_if(is_missing(df, c)).alias("null_count"),
-                F.approx_count_distinct(F.when(~is_missing(df, c), _c(c))).alias("unique_count"),
-            )
+            f"""named_struct('column', '{c}', 'dtype', '{t}', 'null_count', count_if({missing_sql(df, c)}),
+                'unique_count', approx_count_distinct({present_sql(df, c)}))"""
             for c, t in zip(columns, types)
         ]
-        return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+        return df.agg(F.expr(f"array({', '.join(stats)})").alias("s")).select(F.inline("s"))
     parts = [
         counts.groupBy("column").agg(
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
@@ -108,17 +100,12 @@ def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column: min, max, mean and sample standard deviation, in one aggregate."""
     stats = []
     for c in columns or numeric_columns(df):
-        v = F.when(~is_missing(df, c), _c(c).cast("double"))
+        v = present_sql(df, c, "double")
         stats.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.min(v).alias("min"),
-                F.max(v).alias("max"),
-                F.avg(v).alias("mean"),
-                F.stddev_samp(v).alias("std"),
-            )
+            f"named_struct('column', '{c}', 'min', min({v}), 'max', max({v}), 'mean', avg({v}), "
+            f"'std', stddev_samp({v}))"
         )
-    return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+    return df.agg(F.expr(f"array({', '.join(stats)})").alias("s")).select(F.inline("s"))
 
 
 # --- exact medians -----------------------------------------------------------
@@ -140,25 +127,17 @@ def medians(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = list(columns or numeric_columns(df))
     brackets = []
     for i, c in enumerate(columns):
-        v = F.when(~is_missing(df, c), _c(c).cast("double"))
-        ends = F.percentile_approx(v, [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY)
-        brackets.append(
-            F.struct(
-                F.lit(i).alias("column"),
-                F.count(v).alias("n"),
-                ends[0].alias("lo"),
-                ends[1].alias("hi"),
-            )
-        )
+        v = present_sql(df, c, "double")
+        ends = f"percentile_approx({v}, array({0.5 - MARGIN}D, {0.5 + MARGIN}D), {ACCURACY})"
+        brackets.append(f"named_struct('column', {i}, 'n', count({v}), 'lo', {ends}[0], 'hi', {ends}[1])")
     state = (
-        df.agg(F.array(*brackets).alias("s"))
+        df.agg(F.expr(f"array({', '.join(brackets)})").alias("s"))
         .select(F.inline("s"))
         .where("n > 0")
         .withColumns({"r1": F.expr("(n + 1) div 2"), "r2": F.expr("n div 2 + 1")})
     )
-    pairs = [F.struct(F.lit(i).alias("column"), _c(c).cast("double").alias("v")) for i, c in enumerate(columns)]
-    values = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.column", "p.v")
-    values = values.where("v is not null and not isnan(v)")
+    pairs = [f"named_struct('column', {i}, 'v', cast(`{c}` as double))" for i, c in enumerate(columns)]
+    values = df.selectExpr(f"inline_outer(array({', '.join(pairs)}))").where("v is not null and not isnan(v)")
     # One row of state per numeric column of the schema: the broadcast is bounded by the schema.
     inside = values.join(F.broadcast(state), "column").where("v <= hi")
     slot = F.least(
@@ -240,7 +219,7 @@ def category_frequency(df: DataFrame, column: str) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Equal-width histogram with all bins present; the maximum falls into the last bin."""
-    present = df.where(~is_missing(df, column)).select(_c(column).cast("double").alias("v"))
+    present = df.where(f"not {missing_sql(df, column)}").select(_c(column).cast("double").alias("v"))
     ends = present.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
     flat = ends["lo"] == ends["hi"]
     lo = F.when(flat, ends["lo"] - 0.5).otherwise(ends["lo"])

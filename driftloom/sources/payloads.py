@@ -2,12 +2,15 @@
 
 Every function takes a frame with a JSON text column and is a narrow transformation: parse,
 explode, cast.  There is no shuffle; a big payload is one row and its points become rows in
-the same task.
+the same task.  The exploding is always the outer form with a filter on its output: for the
+inner form the optimizer adds a filter on its input, which would parse the payload once more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ def _series_text(top: Column) -> Column:
 
 def _plain_name(name: Column) -> Column:
     """``"1. open"`` -> ``open``; names without a numbered prefix stay."""
-    return F.coalesce(F.try_element_at(F.split(name, r"\. "), F.lit(2)), name)
+    return F.when(name.contains(". "), F.split_part(name, F.lit(". "), F.lit(2))).otherwise(name)
 
 
 def map_payload(
@@ -41,17 +44,24 @@ def map_payload(
     Values that are not numbers become null.
     """
     series = F.from_json(_series_text(F.col("_top")), "map<string,map<string,string>>")
-    points = (
-        df.select(*keep, _top(F.col(payload)).alias("_top"))
-        .select(*keep, F.explode(series).alias("_at", "_point"))
-        .select(*keep, "_at", F.map_entries("_point").alias("_point"))
+    parsed = df.select(*keep, _top(F.col(payload)).alias("_top")).select(*keep, series.alias("_series"))
+    # The names are resolved once per payload: plain name -> key as written.
+    written = F.array_distinct(F.flatten(F.transform(F.map_values("_series"), F.map_keys)))
+    named = parsed.select(*keep, "_series", written.alias("_keys")).select(
+        *keep, "_series", "_keys", F.transform("_keys", _plain_name).alias("_names")
     )
 
-    def number(name: str) -> Column:
-        match = F.filter("_point", lambda e: _plain_name(e["key"]) == F.lit(name))
-        return F.try_element_at(match, F.lit(1))["value"].try_cast("double").alias(name)
+    def key(name: str) -> Column:
+        place = F.nullif(F.array_position("_names", name), F.lit(0)).cast("int")
+        return F.try_element_at(F.col("_keys"), place).alias(f"_key_{name}")
 
-    return points.select(*keep, F.col("_at").try_cast("timestamp_ntz").alias("ts"), *map(number, fields))
+    points = (
+        named.select(*keep, "_series", *map(key, fields))
+        .select(*keep, *[f"_key_{f}" for f in fields], F.explode_outer("_series").alias("_at", "_point"))
+        .where("_at is not null")
+    )
+    numbers = [F.expr(f"try_cast(try_element_at(_point, `_key_{f}`) as double)").alias(f) for f in fields]
+    return points.select(*keep, F.col("_at").try_cast("timestamp_ntz").alias("ts"), *numbers)
 
 
 def array_payload(
@@ -70,7 +80,8 @@ def array_payload(
         result["timestamp"].alias("_times"),
         F.try_element_at(result["indicators"]["quote"], F.lit(1)).alias("_quote"),
     ).select(*keep, "_times", *[F.col("_quote")[f].alias(f) for f in fields])
-    points = arrays.select(*keep, F.inline(F.arrays_zip("_times", *fields)))
+    points = arrays.select(*keep, F.inline_outer(F.arrays_zip("_times", *fields)))
+    points = points.where(reduce(or_, [F.col(c).isNotNull() for c in ("_times", *fields)]))
     return points.select(*keep, _from_seconds("_times"), *fields)
 
 
@@ -80,7 +91,8 @@ def record_payload(
     """Array of records under ``Data`` with an epoch-seconds ``time``."""
     record = ", ".join(["time: bigint", *[f"{f}: double" for f in fields]])
     parsed = df.select(*keep, F.from_json(F.col(payload), f"struct<Data: array<struct<{record}>>>").alias("_p"))
-    points = parsed.select(*keep, F.inline("_p.Data"))
+    points = parsed.select(*keep, F.inline_outer("_p.Data"))
+    points = points.where(reduce(or_, [F.col(c).isNotNull() for c in ("time", *fields)]))
     return points.select(*keep, _from_seconds("time"), *fields)
 
 
