@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from driftloom.functions.scalars import missing_sql, numeric_columns, present_sql, text_columns
 
 # Quantile sketch: rank error at most n / ACCURACY; the bracket is five times as wide on each side.
-ACCURACY = 100_000
+ACCURACY = 10_000
 MARGIN = 5.0 / ACCURACY
 BUCKETS = 1024
 # Text columns with at most this many distinct values get value counts.
