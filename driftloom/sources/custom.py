@@ -48,6 +48,6 @@ def register_source(spark: SparkSession, format_name: str, ddl: str, fetch: Fetc
             return ddl
 
         def reader(self, schema: Any) -> DataSourceReader:
-            return _SliceReader(fetch, dict(self.options))
+            return _SliceReader(fetch, self.options)
 
     spark.dataSource.register(Source)
