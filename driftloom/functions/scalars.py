@@ -60,6 +60,11 @@ def floor_to(ts: Column, width_us: int, origin_us: int = 0) -> Column:
     return F.floor((micros_of(ts) - F.lit(origin_us)) / F.lit(width_us)).cast("long")
 
 
+def truncated(ts: Column, seconds: int) -> Column:
+    """Start of the bucket of a zone-less timestamp (days start at midnight, weeks on Thursday)."""
+    return ntz_of(floor_to(ts, seconds * MICROS_PER_SECOND) * F.lit(seconds * MICROS_PER_SECOND))
+
+
 def missing_sql(df: DataFrame, name: str) -> str:
     """Null test that also counts NaN as missing for floating columns, as SQL text."""
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):

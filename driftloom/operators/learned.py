@@ -51,6 +51,7 @@ def train_forest(
         inputs.append(f"_hot_{c}")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
     models = {}
+    df = df.persist()  # every stage of the pipeline reads the training rows again
     for target in targets:
         forest = RandomForestRegressor(
             featuresCol="_features", labelCol=target, predictionCol=f"predicted_{target}",
@@ -58,6 +59,7 @@ def train_forest(
         )
         rows = df.where(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("double"))
         models[target] = Pipeline(stages=[*stages, forest]).fit(rows)
+    df.unpersist()
     return models
 
 

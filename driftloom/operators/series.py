@@ -29,6 +29,8 @@ from driftloom.functions.scalars import floor_to, micros_of
 CHUNK_ROWS = 1_000_000
 # Chunks are planned for an even spread over time; this leaves room for busy hours.
 CHUNK_SLACK = 4
+# Bound of the broadcast table of long series (some tens of megabytes).
+MAX_LONG_SERIES = 500_000
 
 
 @dataclass(frozen=True)
@@ -65,9 +67,10 @@ AFTER = (1, Window.unboundedFollowing)
 def chunked(df: DataFrame, key: SeriesKey) -> DataFrame:
     """Rows with their ``_chunk`` number, increasing with time within a series.
 
-    Only series above ``chunk_rows`` appear in the table of widths, so it has at most
-    ``rows / chunk_rows`` rows.  It is joined without a hint: Spark broadcasts it when its
-    measured size allows, and splits the skewed side of a shuffle join when it does not.
+    Only series above ``chunk_rows`` rows, and above a ``MAX_LONG_SERIES``-th of all rows, appear
+    in the table of widths.  It therefore never has more than ``MAX_LONG_SERIES`` rows, whatever
+    the table, and is broadcast: a shuffle join would bring a long series together in one task,
+    which is what the chunks are there to avoid.
     """
     micros = micros_of(F.col(key.ts))
     if key.chunk_seconds is not None:
@@ -79,14 +82,15 @@ def chunked(df: DataFrame, key: SeriesKey) -> DataFrame:
     )
     lo, hi = micros_of(F.col("_lo_ts")), micros_of(F.col("_hi_ts"))
     width = F.ceil((hi - lo) / (F.lit(CHUNK_SLACK / key.chunk_rows) * F.col("_n")))
-    widths = sizes.where(F.col("_n") > key.chunk_rows).select(
+    share = df.agg(F.count("*")).scalar() / F.lit(float(MAX_LONG_SERIES))
+    widths = sizes.where((F.col("_n") > key.chunk_rows) & (F.col("_n") > share)).select(
         *key.keys, lo.alias("_lo"), F.greatest(width, F.lit(1)).alias("_width")
     )
     if not key.keys:  # one series: its width is a scalar
         scalar = widths.select(F.struct("_lo", "_width").alias("s")).scalar()
         chunk = F.floor((micros - scalar["_lo"]) / scalar["_width"]).cast("long")
         return df.withColumn("_chunk", F.coalesce(chunk, F.lit(0)))
-    joined = df.join(widths, list(key.keys), "left")
+    joined = df.join(F.broadcast(widths), list(key.keys), "left")
     chunk = F.floor((micros - F.col("_lo")) / F.col("_width")).cast("long")
     return joined.select(*df.columns, F.coalesce(chunk, F.lit(0)).alias("_chunk"))
 

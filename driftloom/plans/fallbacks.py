@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftloom.functions import rng
-from driftloom.functions.scalars import floor_to
+from driftloom.functions.scalars import floor_to, truncated
 from driftloom.operators import fallback as fb
 from driftloom.operators.series import SeriesKey
 from driftloom.plans import duck
@@ -30,7 +30,7 @@ FILLED_SQL = f"""(WITH l AS (SELECT *, date_trunc('day', ts)::TIMESTAMP AS bucke
 def filled(spark, folder):
     """Users by day: the mean reading, or a draw from the moments of the user."""
     rows = lossy(spark, folder)
-    day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
+    day = truncated(F.col("ts"), 86400)
     real = rows.groupBy("user_id", day.alias("bucket")).agg(
         F.avg("reading").alias("reading"),
         F.when(F.count("reading") == 0, F.lit("error")).alias("reason"),
@@ -67,7 +67,7 @@ def fallback_fill(spark, folder):
 def fallback_carry(spark, folder):
     """Only the last good value repairs a gap; before the first one the row is empty."""
     rows = lossy(spark, folder)
-    day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
+    day = truncated(F.col("ts"), 86400)
     real = rows.groupBy("user_id", day.alias("bucket")).agg(F.avg("reading").alias("reading"))
     ends = table(spark, folder, "events").agg(F.struct(F.min(day).alias("lo"), F.max(day).alias("hi"))).scalar()
     users = rows.select("user_id").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftloom.functions import rng
+from driftloom.functions.scalars import truncated
 from driftloom.operators import forecast as f
 from driftloom.operators import learned
 from driftloom.operators.arima import arima_forecast
@@ -23,14 +24,14 @@ DAILY_SQL = """(SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS day, roun
 
 def daily_events(spark, folder):
     """Daily totals per event type; rounded, so that both engines start from the same numbers."""
-    day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("day")
+    day = truncated(F.col("ts"), 86400).alias("day")
     events = table(spark, folder, "events")
     return events.groupBy("event_type", day).agg(F.round(F.sum("value"), 4).alias("y"))
 
 
 def daily_sales(spark, folder):
     """Daily line totals per return flag and line status."""
-    day = F.date_trunc("day", F.col("l_shipdate")).cast("timestamp_ntz").alias("day")
+    day = truncated(F.col("l_shipdate"), 86400).alias("day")
     items = table(spark, folder, "lineitem")
     return items.groupBy("l_returnflag", "l_linestatus", day).agg(
         F.round(F.sum("l_extendedprice"), 2).alias("y"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftloom.functions.scalars import micros_of
+from driftloom.functions.scalars import micros_of, truncated
 from driftloom.operators.series import SeriesKey
 from driftloom.plans import duck
 from driftloom.plans.tables import query, table
@@ -220,7 +220,7 @@ def span_granularity(spark, folder):
 )
 def default_series(spark, folder):
     events = table(spark, folder, "events")
-    day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
+    day = truncated(F.col("ts"), 86400)
     bounds = events.groupBy("user_id").agg(F.min(day).alias("first"), F.max(day).alias("last"))
     out = h.default_series(bounds, ["user_id"], "first", "last", SEED, "user_id")
     return out.withColumn("value", F.round("value", 6))

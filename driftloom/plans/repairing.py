@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from driftloom.functions.scalars import truncated
 from driftloom.operators import series as s
 from driftloom.plans import duck
 from driftloom.plans.tables import query, table
@@ -124,7 +125,7 @@ def history_union(spark, folder):
 )
 def ohlcv(spark, folder):
     key = s.SeriesKey(("event_type",), "ts", ("event_id",))
-    day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
+    day = truncated(F.col("ts"), 86400)
     return s.ohlcv(table(spark, folder, "events"), key, "value", F.lit(1), day)
 
 

@@ -45,7 +45,7 @@ class _Newest(StatefulProcessor):
         pass
 
 
-def buffered(stream: DataFrame, key: str, columns: list[str], order: list[str], n: int = 1000, slots: int = 8) -> DataFrame:
+def buffered(stream: DataFrame, key: str, columns: list[str], order: list[str], n: int = 1000, slots: int = 16) -> DataFrame:
     """After every micro-batch: the buffered rows of the (key, slot) groups it touched."""
     ddl = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     state = ", ".join(f"{c} {ddl[c]}" for c in columns)
