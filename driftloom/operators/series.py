@@ -51,17 +51,18 @@ class SeriesKey:
     def order(self) -> list[str]:
         return [self.ts, *self.tie]
 
-    def within(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys, "_chunk").orderBy(*self.order)
+    def within(self, backwards: bool = False) -> WindowSpec:
+        order = [F.col(c).desc() if backwards else F.col(c).asc() for c in self.order]
+        return Window.partitionBy(*self.keys, "_chunk").orderBy(*order)
 
-    def across(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys).orderBy("_chunk")
+    def across(self, backwards: bool = False) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy(F.col("_chunk").desc() if backwards else F.col("_chunk"))
 
 
+# Looking ahead is looking back in the reverse order: Spark evaluates a frame that grows from the
+# start in one pass, but one that ends at the last row in quadratic time.
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
-FROM = (Window.currentRow, Window.unboundedFollowing)
-AFTER = (1, Window.unboundedFollowing)
 
 
 def chunked(df: DataFrame, key: SeriesKey) -> DataFrame:
@@ -149,13 +150,13 @@ def interpolate(df: DataFrame, key: SeriesKey, column: str, out: str | None = No
         "_chunk",
         "_offset",
         F.last(tail, ignorenulls=True).over(key.across().rowsBetween(*BEFORE)).alias("_prev_far"),
-        F.first(head, ignorenulls=True).over(key.across().rowsBetween(*AFTER)).alias("_next_far"),
+        F.last(head, ignorenulls=True).over(key.across(backwards=True).rowsBetween(*BEFORE)).alias("_next_far"),
     )
     here = F.when(known, F.struct(F.col("_rn").alias("at"), F.col(column).alias("v")))
     rows = rows.withColumns(
         {
             "_prev": F.last(here, ignorenulls=True).over(key.within().rowsBetween(*UP_TO)),
-            "_next": F.first(here, ignorenulls=True).over(key.within().rowsBetween(*FROM)),
+            "_next": F.last(here, ignorenulls=True).over(key.within(backwards=True).rowsBetween(*UP_TO)),
         }
     )
     joined = _joined(rows, context, key).withColumn("_offset", F.coalesce("_offset", F.lit(0)))
@@ -178,10 +179,9 @@ def lag(df: DataFrame, key: SeriesKey, column: str, k: int = 1, out: str | None
     w = key.within()
     rows = rows.withColumns({"_rn": F.row_number().over(w), "_local": F.lag(column, k).over(w)})
     # The last k values of every chunk (at most k of them), oldest first.
-    newest_first = Window.partitionBy(*key.keys, "_chunk").orderBy(*[F.col(c).desc() for c in key.order])
     recent = (
         rows.select(*key.keys, "_chunk", *key.order, F.struct(F.col(column).alias("v")).alias("_v"))
-        .withColumn("_back", F.row_number().over(newest_first))
+        .withColumn("_back", F.row_number().over(key.within(backwards=True)))
         .where(F.col("_back") <= k)
     )
     tails = recent.groupBy(*key.keys, "_chunk").agg(
