@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and the bench; a cluster brings its own."""
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, scratch: str | None = None) -> SparkSession:
+    """Session of one machine for tests and the bench, with its own scratch folder; a cluster brings its own."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("driftloom")
@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("DRIFTLOOM_DRIVER_MEMORY", "12g"))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", scratch or tempfile.mkdtemp(prefix="driftloom-"))
         .getOrCreate()
     )
 
@@ -36,13 +37,15 @@ def small_methods(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+    """The shared folder the session names; without one, a folder below the session's warehouse.
+
+    Both are folders that all executors of a cluster share.  The session is not changed.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="driftloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/driftloom-scratch"
     return root.rstrip("/")
 
 
