@@ -5,8 +5,8 @@ lets them, in relative entropy, and at most ``most`` (2).  The dual of that prob
 variable per source: a rate is ``min(most, exp(lam * size / mean size))``, exponentially
 tilted by the document's tokens.  Newton steps on all duals at once, each one aggregate over
 the histogram of document sizes, find ``lam``; a bracket keeps every step inside.  Rates are
-then rounded to copies by keyed draws, with one threshold per source searched by counting so
-that the taken tokens meet the target within about one document.
+then rounded to copies by keyed draws, with one threshold per source searched by counting, and
+a few single documents that fill what is left, so that the taken tokens meet the target.
 
 All sums that decide are integers or decimals, so reruns agree whatever the order of tasks.
 Defined cases: null and empty texts have size 0, keep one copy and take nothing; sources
@@ -30,6 +30,10 @@ MOST = 2.0
 BINS, ROUNDS = 4096, 3
 #: Newton steps at most; the bracket halves at least every other one.
 STEPS = 60
+#: Relative distance from the target at which a dual is found.
+NEAR = 1e-9
+#: Single documents per source that fill what the threshold leaves open.
+PICKS = 3
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -82,20 +86,20 @@ def solve(hist: DataFrame, sources: DataFrame, most: float) -> DataFrame:
     for _ in range(STEPS):
         r = rate(F.col("_z"), F.col("_lam"), F.col("_mean"), most)
         words = (F.col("_z") * F.col("_docs")).cast("double")
-        both = join_checked(bins, state, ["_s"], "inner").groupBy("_s").agg(
-            _exact(words * r).alias("_sum"), _exact(F.when(r < most, words * F.col("_z") / F.col("_mean") * r).otherwise(0.0)).alias("_slope"))
-        step = join_checked(state, written(both), ["_s"], "inner")
+        held = ["_target", "_mean", "_lo", "_hi", "_lam"]
+        step = bins.join(state, "_s").groupBy("_s").agg(
+            _exact(words * r).alias("_sum"), _exact(F.when(r < most, words * F.col("_z") / F.col("_mean") * r).otherwise(0.0)).alias("_slope"),
+            *[F.first(c).alias(c) for c in held])
         gap = F.col("_sum") - F.col("_target")
         step = step.withColumn("_lo", F.when(gap <= 0, F.col("_lam")).otherwise(F.col("_lo"))).withColumn("_hi", F.when(gap >= 0, F.col("_lam")).otherwise(F.col("_hi")))
         newton = F.when(F.col("_slope") > 0, F.col("_lam") - gap / F.col("_slope"))
-        inside = newton.between(F.col("_lo"), F.col("_hi"))
         step = step.withColumn("_off", F.abs(gap) / F.col("_target"))
-        step = step.withColumn("_lam", F.when(F.col("_off") < 1e-9, F.col("_lam")).when(inside, newton).otherwise((F.col("_lo") + F.col("_hi")) / 2))
-        state = written(step.select("_s", "_target", "_mean", "_lo", "_hi", "_lam", "_off"))
-        if (state.agg(F.max("_off")).first()[0] or 0.0) < 1e-9:
+        lam = F.when(F.col("_off") < NEAR, F.col("_lam")).when(newton.between(F.col("_lo"), F.col("_hi")), newton).otherwise((F.col("_lo") + F.col("_hi")) / 2)
+        state = written(step.withColumn("_lam", lam).select("_s", *held, "_off"))
+        if (state.agg(F.max("_off")).first()[0] or 0.0) < NEAR:
             break
         state = state.drop("_off")
-    return join_checked(sources, written(state.select("_s", "_mean", "_lam")), ["_s"], "left")
+    return sources.join(state.select("_s", "_mean", "_lam"), "_s", "left")
 
 
 def _measures(key: str, text: str, source: str) -> list[Column]:
@@ -115,31 +119,35 @@ def _draw(most: float) -> tuple[Column, Column]:
 def thresholds(rows: DataFrame, plan: DataFrame, most: float) -> DataFrame:
     """``plan`` with ``_cut``: documents drawn below it get one more copy, and the target is met."""
     whole, value = _draw(most)
-    base = join_checked(rows.where("_z > 0"), plan, ["_s"], "inner").select("_s", "_z", "_target", (whole * F.col("_z")).alias("_base"), value.alias("_v"))
+    base = join_checked(rows.where("_z > 0"), plan, ["_s"], "inner").select("_s", "_z", "_u", "_target", (whole * F.col("_z")).alias("_base"), value.alias("_v"))
     found = base.groupBy("_s").agg(F.first("_target").alias("_target"), F.sum("_base").alias("_base"))
-    found = written(found.select("_s", (F.col("_target") - F.col("_base")).alias("_need"), F.lit(-1.0).alias("_cut"), F.lit(0).cast("long").alias("_done")))
+    found = written(found.select("_s", (F.col("_target") - F.col("_base")).alias("_need"), F.lit(-1.0).alias("_cut"), F.lit(0).cast("long").alias("_done"), F.array().cast("array<double>").alias("_picks")))
     width = 2.0
+    open_rows = base.where("_v IS NOT NULL")
     for _ in range(ROUNDS):
         step = width / BINS
         place = F.floor((F.col("_v") - F.col("_cut")) / step)
-        inside = join_checked(base.where("_v IS NOT NULL").select("_s", "_z", "_v"), found, ["_s"], "inner").where(place.between(0, BINS - 1))
-        bins = inside.groupBy("_s", place.alias("_bin")).agg(F.sum("_z").alias("_sum"), F.first("_need").alias("_need"), F.first("_done").alias("_done"))
+        inside = join_checked(open_rows.select("_s", "_z", "_v"), found, ["_s"], "inner").where(place.between(0, BINS - 1))
+        bins = inside.groupBy("_s", place.alias("_bin")).agg(F.sum("_z").alias("_sum"), F.first("_need").alias("_need"), F.first("_done").alias("_before"))
         # at most BINS rows of a source meet here
-        run = bins.withColumn("_upto", F.col("_done") + F.sum("_sum").over(Window.partitionBy("_s").orderBy("_bin")))
-        last = run.where("_upto <= _need").groupBy("_s").agg(F.max("_bin").alias("_last"), F.max("_upto").alias("_got"))
-        nxt = run.where("_upto > _need").groupBy("_s").agg(F.min("_bin").alias("_next"), F.min("_upto").alias("_over"))
-        found = join_checked(join_checked(found, written(last), ["_s"], "left"), written(nxt), ["_s"], "left")
-        done = F.coalesce(F.col("_got"), F.col("_done"))
+        run = bins.withColumn("_upto", F.col("_before") + F.sum("_sum").over(Window.partitionBy("_s").orderBy("_bin")))
+        below = F.col("_upto") <= F.col("_need")
+        ends = run.groupBy("_s").agg(F.max(F.when(below, F.col("_bin"))).alias("_last"), F.max(F.when(below, F.col("_upto"))).alias("_got"), F.min(F.when(~below, F.col("_bin"))).alias("_next"))
         # go on inside the bin that crosses the need; where none does, everything below is taken
-        start = F.when(F.col("_next").isNotNull(), F.col("_next")).when(F.col("_last").isNotNull(), F.col("_last") + 1).otherwise(0)
-        found = written(found.select("_s", "_need", (F.col("_cut") + start * step).alias("_cut"), done.alias("_done"), F.col("_over")))
-        over, width = found.select("_s", "_over"), step
-        found = found.drop("_over")
-    # the bin that crosses is taken too where that ends nearer to the need
-    found = join_checked(found, over, ["_s"], "left")
-    nearer = F.coalesce(F.col("_over") - F.col("_need") < F.col("_need") - F.col("_done"), F.lit(False))
-    cut = F.when(nearer, F.col("_cut") + width).otherwise(F.col("_cut"))
-    return join_checked(plan, written(found.select("_s", cut.alias("_cut"))), ["_s"], "left")
+        start = F.coalesce(F.col("_next"), F.col("_last") + 1, F.lit(0))
+        found = written(found.join(ends, "_s", "left").select("_s", "_need", (F.col("_cut") + start * step).alias("_cut"), F.coalesce(F.col("_got"), F.col("_done")).alias("_done"), "_picks"))
+        width = step
+    for _ in range(PICKS):
+        # the largest document above the threshold that still fits, repeated rows counted
+        spare = join_checked(open_rows, found, ["_s"], "inner").where((F.col("_v") >= F.col("_cut")) & ~F.array_contains("_picks", F.col("_u")) & (F.col("_z") <= F.col("_need") - F.col("_done")))
+        most_words = written(spare.groupBy("_s").agg(F.max("_z").alias("_most")))
+        first = written(join_checked(spare, most_words, ["_s"], "inner").where("_z = _most").groupBy("_s").agg(F.min("_u").alias("_pick")))
+        taken = join_checked(spare, first, ["_s"], "inner").where("_u = _pick").groupBy("_s").agg(F.sum("_z").alias("_sum"), F.first("_pick").alias("_pick"))
+        fits = F.coalesce(F.col("_done") + F.col("_sum") <= F.col("_need"), F.lit(False))
+        found = written(found.join(taken, "_s", "left").select(
+            "_s", "_need", "_cut", (F.col("_done") + F.when(fits, F.col("_sum")).otherwise(0)).alias("_done"),
+            F.when(fits, F.array_append("_picks", F.col("_pick"))).otherwise(F.col("_picks")).alias("_picks")))
+    return plan.join(found.select("_s", "_cut", "_picks"), "_s", "left")
 
 
 def mix_plan(docs: DataFrame, key: str, text: str, source: str, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +163,8 @@ def mix_plan(docs: DataFrame, key: str, text: str, source: str, weights: tuple[f
 
 def _copies(most: float) -> Column:
     whole, value = _draw(most)
-    return F.when(F.col("_z") == 0, F.lit(1)).otherwise(whole + F.coalesce(value < F.col("_cut"), F.lit(False)).cast("long"))
+    more = value.isNotNull() & ((value < F.col("_cut")) | F.array_contains("_picks", F.col("_u")))
+    return F.when(F.col("_z") == 0, F.lit(1)).otherwise(whole + F.coalesce(more, F.lit(False)).cast("long"))
 
 
 def mixed(
