@@ -211,7 +211,9 @@ def _first_pass(block: Block, stop: float, known: bool) -> str:
         return "short"
     if stop >= STOP_HIGH and length > LONG:
         return "good"
-    return "near" if stop >= STOP_LOW or not known else "bad"
+    if stop >= STOP_LOW or not known:
+        return "near"
+    return "bad" if block.linked else "short"
 
 
 def _second_pass(first: list[str]) -> list[str]:
