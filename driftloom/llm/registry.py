@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftloom.llm import exact_dedup, html_text, langid, lm_scoring, mixing, packing, quality, simhash, vector_search  # noqa: F401
+from driftloom.llm import exact_dedup, html_text, langid, lm_scoring, mixing, packing, pii, quality, simhash, vector_search  # noqa: F401
 from driftloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
