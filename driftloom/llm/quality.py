@@ -136,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = written(labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.avg(label).alias("_y")))
     draw = unit(F.xxhash64("_key", F.lit("fit")))
     known = known.where(draw < min(1.0, most / max(1, known.count())))
-    rows = docs.join(F.broadcast(known), docs[key] == F.col("_key")).select(octets(F.col(text)).alias("x"), F.col("_y").alias("y"), F.pmod(F.xxhash64("_key"), F.lit(4)).alias("check"))
+    rows = docs.select(F.col(key).alias("_key"), octets(F.col(text)).alias("x")).join(F.broadcast(known), "_key")
+    rows = rows.select("x", F.col("_y").alias("y"), F.pmod(F.xxhash64("_key"), F.lit(4)).alias("check"))
     rows = written(rows.mapInArrow(_measured, "x binary, y double, check long"))
     moments = _sums(rows, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
     none = np.zeros(0)
