@@ -39,8 +39,8 @@ from driftloom.llm.common import join_checked, octets, query, small_batches, tab
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Fingerprints of a cell: about so many per part of a divided node.
 CELL = 4096
-#: An upper node is meant to hold about so many fingerprints; more blocks make narrower nodes.
-NODE = 32
+#: Blocks of the upper nodes' masks: 15 masks of about 21 bits for four differences.
+BLOCKS = 6
 RUN = 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 LANES = np.uint64(0x0101010101010101)
@@ -90,11 +90,6 @@ def node_masks(bits: int, blocks: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(block, blocks - bits)]
 
 
-def blocks_for(n: int, bits: int) -> int:
-    """Fewest blocks whose nodes hold about ``NODE`` of ``n`` evenly spread fingerprints; any number finds all links."""
-    return next((b for b in range(bits + 1, bits + 5) if n / 2 ** (64 * (b - bits) / b) <= NODE), bits + 4)
-
-
 def gray_rank(prints: np.ndarray) -> np.ndarray:
     """Position of each fingerprint in the reflected Gray sequence."""
     rank = prints.copy()
@@ -186,13 +181,14 @@ def linked(cells: np.ndarray, prints: np.ndarray, bits: int, room: int = 1 << 20
     return back
 
 
-def links(prints: DataFrame, bits: int = BITS, cell: int = CELL) -> DataFrame:
+def links(prints: DataFrame, bits: int = BITS, cell: int = CELL, blocks: int = BLOCKS) -> DataFrame:
     """``a`` and ``b``: a spanning forest of the links between distinct fingerprints ``fp``, cell by cell.
 
-    ``prints`` is a written table of distinct fingerprints.
+    ``prints`` is a written table of distinct fingerprints.  More ``blocks`` make more and
+    narrower upper nodes; any number above ``bits`` finds all links.
     """
     n = prints.count()
-    masks = node_masks(bits, blocks_for(n, bits))
+    masks = node_masks(bits, max(blocks, bits + 1))
     nodes = F.array(*[F.struct(F.lit(i).alias("m"), F.lit(m - (1 << 64) if m >> 63 else m).cast("long").alias("mask")) for i, m in enumerate(masks)])
     spread = prints.select("fp", F.explode(nodes).alias("node")).select("fp", F.col("node.m").alias("m"), F.col("fp").bitwiseAND(F.col("node.mask")).alias("pattern"))
     hot = spread.groupBy("m", "pattern").agg(F.count("*").alias("c")).where(F.col("c") > 2 * cell)
