@@ -8,13 +8,12 @@ and no Python per row.
 
 Construction of one 32-bit word::
 
-    x = ((id_1 % P) * a_1 & M) + ((id_2 % P) * a_2 & M) + ... + k   (masked to 32 bits)
+    x = (low_1 * a_1 & M) + (high_1 * b_1 & M) + (low_2 * a_2 & M) + ... + k   (masked to 32 bits)
     x = mix(x)
 
-``a_i`` and ``k`` are derived on the driver from an md5 of the textual key, ``P``
-is a prime that differs between the two words of a uniform, so that two row ids
-that collide in one word do not collide in the other.  Two words make the 53 bits
-of a double in ``[0, 1)``.
+``low`` and ``high`` are the two halves of a 64-bit id; ``a_i``, ``b_i`` and ``k`` are derived
+on the driver from an md5 of the textual key and differ between the two words of a uniform, so
+all 64 bits of an id reach both words.  Two words make the 53 bits of a double in ``[0, 1)``.
 """
 
 from __future__ import annotations
@@ -26,24 +25,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# 32-bit mask, fold primes (below 2**31) and the two mixing
-# multipliers (below 2**31, so that a product with a 32-bit value fits a long).
+# 32-bit mask and the two mixing multipliers (below 2**31, so that a product with
+# a 32-bit value fits a long).
 MASK = 0xFFFFFFFF
-FOLD_PRIMES = (2147483629, 2147483587)
 MIX_MULTIPLIERS = (0x7FEB352D, 0x45D9F3B)
 TWO_53 = 9007199254740992.0
 TWO_32 = 4294967296.0
 
 
-def word_key(seed: int, field: str, purpose: str, word: int, n_ids: int) -> tuple[int, list[int]]:
-    """Additive constant and one odd multiplier per id for one word of a draw."""
+def word_key(seed: int, field: str, purpose: str, word: int, n_ids: int) -> tuple[int, list[tuple[int, int]]]:
+    """Additive constant, and odd multipliers of both halves of every id, for one word of a draw."""
     text = f"{seed}|{field}|{purpose}|{word}"
     digest = hashlib.md5(text.encode()).digest()
     base = int.from_bytes(digest[:4], "big")
     multipliers = []
     for position in range(n_ids):
         part = hashlib.md5(f"{text}|{position}".encode()).digest()
-        multipliers.append((int.from_bytes(part[:4], "big") >> 1) | 1)
+        multipliers.append(tuple((int.from_bytes(part[i : i + 4], "big") >> 1) | 1 for i in (0, 4)))
     return base, multipliers
 
 
@@ -60,9 +58,11 @@ def _mix(x: str) -> str:
 
 def _word(seed: int, field: str, purpose: str, word: int, ids: Sequence[str | int]) -> str:
     base, multipliers = word_key(seed, field, purpose, word, len(ids))
-    prime = FOLD_PRIMES[word]
     # A missing id counts as 0; without nulls the generated code is half as long.
-    terms = [f"((coalesce(cast({i} as bigint), 0L) % {prime}L) * {m}L & {MASK}L)" for i, m in zip(ids, multipliers)]
+    terms = []
+    for i, (a, b) in zip(ids, multipliers):
+        value = f"coalesce(cast({i} as bigint), 0L)"
+        terms.append(f"(({value} & {MASK}L) * {a}L & {MASK}L) + (({value} >>> 32) * {b}L & {MASK}L)")
     return _mix(f"({' + '.join([f'{base}L', *terms])}) & {MASK}L")
 
 
@@ -106,11 +106,6 @@ def text_id(column: str) -> str:
 # --- the same draw for driver literals ---------------------------------------
 
 
-def _truncated_mod(a: int, b: int) -> int:
-    remainder = abs(a) % b
-    return remainder if a >= 0 else -remainder
-
-
 def _mix_value(x: int) -> int:
     x = ((x ^ (x >> 16)) * MIX_MULTIPLIERS[0]) & MASK
     return ((x ^ (x >> 15)) * MIX_MULTIPLIERS[1]) & MASK
@@ -119,7 +114,8 @@ def _mix_value(x: int) -> int:
 def _word_value(seed: int, field: str, purpose: str, word: int, ids: Sequence[int]) -> int:
     x, multipliers = word_key(seed, field, purpose, word, len(ids))
     for value, multiplier in zip(ids, multipliers):
-        x += (_truncated_mod(int(value), FOLD_PRIMES[word]) * multiplier) & MASK
+        low, high = int(value) & MASK, (int(value) >> 32) & MASK
+        x += ((low * multiplier[0]) & MASK) + ((high * multiplier[1]) & MASK)
     return _mix_value(x & MASK)
 
 

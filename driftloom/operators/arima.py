@@ -1,224 +1,225 @@
-"""ARIMA and seasonal ARIMA, one fit per series in parallel grouped tasks.
-
-Spark bounds every group to the training window first and spreads the series over the tasks;
-the helper below only sees one short numpy vector.  Parameters start from the two-stage
-regression of Hannan and Rissanen (1982) and are refined by damped Gauss-Newton steps on the
-conditional sum of squares.
+"""ARIMA and seasonal ARIMA from sums of lagged products, so no series is ever collected.
+
+The fit follows Hannan and Rissanen (1982): autocovariances of the differenced series give a long
+autoregression, its residuals stand for the innovations, and one least-squares regression on lags
+of both gives the coefficients.  Every step is an aggregate over chunked lags; Python only solves
+one small linear system per series from a row of sums.  Seasonal and plain lags multiply out, with
+a free coefficient for every lag of the product.  Coefficients and the last values of a series are
+one row, which can be stored, loaded and used for any horizon.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftloom.operators.forecast import training_window
-from driftloom.operators.series import SeriesKey
+from driftloom.operators.series import SeriesKey, interpolate, lags, newest
+from driftloom.session import cut_lineage
 
 Order = tuple[int, int, int]
 Seasonal = tuple[int, int, int, int]
+#: Least order of the long autoregression.
+LONG = 16
 
 
 def fit_groups(
-    df: DataFrame,
-    key: SeriesKey,
-    fn: Callable[[pd.DataFrame], pd.DataFrame],
-    schema: str,
-    max_rows: int,
+    df: DataFrame, key: SeriesKey, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, max_rows: int
 ) -> DataFrame:
     """Run a per-series pandas function on the last ``max_rows`` rows of every series.
 
-    This is also the hook for custom models: any ``(rows of one series) -> rows`` function.
+    The hook for custom models: any ``(rows of one series) -> rows`` function.  The caller names
+    the number of rows that fit a task.
     """
     order = key.order
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return fn(pdf.sort_values(order, ignore_index=True))
 
-    return training_window(df, key, max_rows).groupBy(*key.keys).applyInPandas(run, schema)
+    return newest(df, key, max_rows).groupBy(*key.keys).applyInPandas(run, schema)
 
 
-def arima_forecast(
-    df: DataFrame,
-    key: SeriesKey,
-    value: str,
-    steps: int,
-    step_seconds: float,
-    order: Order = (1, 1, 1),
-    seasonal: Seasonal = (0, 0, 0, 0),
-    max_rows: int = 1000,
-) -> DataFrame:
-    """``(keys, step, ts, forecast, sigma, coefficients, status)`` for every series.
+def _differencing(d: int, seasonal: Seasonal) -> np.ndarray:
+    """Coefficients of (1 - B)^d (1 - B^s)^D by lag."""
+    poly = np.array([1.0])
+    for _ in range(d):
+        poly = np.convolve(poly, [1.0, -1.0])
+    for _ in range(seasonal[1]):
+        poly = np.convolve(poly, np.r_[1.0, np.zeros(seasonal[3] - 1), -1.0])
+    return poly
 
-    Gaps are interpolated by position.  A series that cannot be fitted is reported by its
-    ``status`` and gets a flat forecast, so no series disappears.
-    """
-    fields = [df.schema[k] for k in key.keys] + [
-        T.StructField("step", T.IntegerType()),
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("forecast", T.DoubleType()),
-        T.StructField("sigma", T.DoubleType()),
-        T.StructField("coefficients", T.ArrayType(T.DoubleType())),
-        T.StructField("status", T.StringType()),
-    ]
-    delta = pd.Timedelta(seconds=step_seconds)
-    keys, ts = list(key.keys), key.ts
-
-    def one_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf[value].astype(float).interpolate(method="linear").dropna().to_numpy()
-        path, sigma, beta, status = fit_and_forecast(y, steps, order, seasonal)
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * steps for k in keys})
-        out["step"] = np.arange(1, steps + 1, dtype="int32")
-        out["ts"] = [pdf[ts].iloc[-1] + h * delta for h in range(1, steps + 1)]
-        out["forecast"], out["sigma"], out["status"] = path, sigma, status
-        out["coefficients"] = [beta] * steps
-        return out
-
-    columns = df.select(*key.keys, *key.order, value)
-    return fit_groups(columns, key, one_series, T.StructType(fields), max_rows)
-
-
-# --- numeric helper for one vector -------------------------------------------
-
-
-def _difference(y: np.ndarray, lag: int) -> np.ndarray:
-    return y[lag:] - y[:-lag]
-
-
-def _polynomial(coefficients: np.ndarray, lag: int, sign: float) -> np.ndarray:
-    out = np.zeros(1 + lag * len(coefficients))
-    out[0] = 1.0
-    out[lag::lag] = sign * coefficients
-    return out
-
-
-def _polynomials(beta: np.ndarray, order: Order, seasonal: Seasonal) -> tuple[np.ndarray, np.ndarray]:
-    (p, _, q), (sp, _, sq, s) = order, seasonal
-    a, b, c, d = np.split(beta, np.cumsum([p, q, sp]))
-    ar = np.convolve(_polynomial(a, 1, -1.0), _polynomial(c, max(s, 1), -1.0))
-    ma = np.convolve(_polynomial(b, 1, 1.0), _polynomial(d[:sq], max(s, 1), 1.0))
-    return ar, ma
-
-
-def _stable(polynomial: np.ndarray) -> bool:
-    trimmed = np.trim_zeros(polynomial, "b")
-    return len(trimmed) < 2 or bool(np.all(np.abs(np.roots(trimmed[::-1])) > 1.001))
-
-
-def _inverse(ma: np.ndarray, n: int) -> np.ndarray:
-    """Impulse response of 1/ma, long enough to have decayed (at most n terms)."""
-    psi = np.zeros(n)
-    psi[0] = 1.0
-    for k in range(1, n):
-        m = min(k, len(ma) - 1)
-        psi[k] = -np.dot(ma[1 : m + 1], psi[k - m : k][::-1])
-        if k % 64 == 0 and k > len(ma) and np.abs(psi[k - len(ma) : k]).max() < 1e-14:
-            return psi[:k]
-    return psi
-
-
-def _residuals(w: np.ndarray, beta: np.ndarray, order: Order, seasonal: Seasonal) -> np.ndarray:
-    ar, ma = _polynomials(beta, order, seasonal)
-    skip = len(ar) - 1
-    filtered = np.convolve(w, ar)[skip : len(w)]
-    if len(ma) == 1:
-        return filtered
-    return np.convolve(filtered, _inverse(ma, len(filtered)))[: len(filtered)]
-
-
-def _start(w: np.ndarray, order: Order, seasonal: Seasonal) -> np.ndarray:
-    """Hannan-Rissanen start: innovations of a long autoregression, then one regression."""
-    (p, _, q), (sp, _, sq, s) = order, seasonal
-    reach = max([p, q] + ([s * max(sp, sq)] if s else []))
-    m = min(max(reach + 2, int(np.ceil(2 * np.log(len(w))))), len(w) // 3)
-    lags = np.column_stack([w[m - i : len(w) - i] for i in range(1, m + 1)])
-    e = np.concatenate([np.zeros(m), w[m:] - lags @ np.linalg.lstsq(lags, w[m:], rcond=None)[0]])
-    first = m + reach
-    shifts = [(w, i) for i in range(1, p + 1)] + [(e, j) for j in range(1, q + 1)]
-    shifts += [(w, s * i) for i in range(1, sp + 1)] + [(e, s * j) for j in range(1, sq + 1)]
-    if not shifts or len(w) - first < 2 * len(shifts):
-        return np.zeros(len(shifts))
-    x = np.column_stack([v[first - i : len(w) - i] for v, i in shifts])
-    beta = np.linalg.lstsq(x, w[first:], rcond=None)[0]
+
+def _lag_set(n: int, seasonal_n: int, s: int) -> list[int]:
+    return sorted({i + s * j for i in range(n + 1) for j in range(seasonal_n + 1)} - {0})
+
+
+def _stable(coefficients: np.ndarray, at: Sequence[int], sign: float) -> bool:
+    if not len(at):
+        return True
+    poly = np.zeros(max(at) + 1)
+    poly[0] = 1.0
+    poly[list(at)] = sign * coefficients
+    poly = np.trim_zeros(poly, "b")
+    return len(poly) < 2 or bool(np.all(np.abs(np.roots(poly[::-1])) > 1.001))
+
+
+def _solve(sums: np.ndarray, rhs: np.ndarray, ar: list[int], ma: list[int]) -> np.ndarray:
+    """Least squares from normal equations, drawn in until the filter is stable."""
+    beta = np.linalg.lstsq(sums, rhs, rcond=None)[0]
     for _ in range(60):
-        if all(_stable(poly) for poly in _polynomials(beta, order, seasonal)):
+        if _stable(beta[: len(ar)], ar, -1.0) and _stable(beta[len(ar) :], ma, 1.0):
             return beta
         beta = beta * 0.8
-    return np.zeros(len(shifts))
-
-
-def _refined(w: np.ndarray, beta: np.ndarray, order: Order, seasonal: Seasonal, rounds: int = 30) -> np.ndarray:
-    damping, e = 1e-3, _residuals(w, beta, order, seasonal)
-    best = float(e @ e)
-    for _ in range(rounds):
-        jacobian = np.column_stack(
-            [
-                (_residuals(w, beta + step, order, seasonal) - e) / 1e-5
-                for step in np.eye(len(beta)) * 1e-5
-            ]
-        )
-        normal = jacobian.T @ jacobian
-        step = np.linalg.lstsq(normal + damping * np.diag(np.diag(normal)), -jacobian.T @ e, rcond=None)[0]
-        trial = beta + step
-        if all(_stable(poly) for poly in _polynomials(trial, order, seasonal)):
-            trial_e = _residuals(w, trial, order, seasonal)
-            cost = float(trial_e @ trial_e)
-            if cost < best:
-                done = best - cost < 1e-9 * best
-                beta, e, best, damping = trial, trial_e, cost, damping / 4
-                if done:
-                    break
-                continue
-        damping *= 8
-        if damping > 1e8:
-            break
-    return beta
-
-
-def fit_and_forecast(
-    y: np.ndarray, steps: int, order: Order, seasonal: Seasonal = (0, 0, 0, 0)
-) -> tuple[np.ndarray, float, list[float], str]:
-    """(forecast, residual deviation, coefficients, status) of one series.
-
-    Coefficients come in the order AR, MA, seasonal AR, seasonal MA, then the mean when there is
-    no differencing.
+    return np.zeros_like(beta)
+
+
+def _melted(df: DataFrame, key: SeriesKey, values: Sequence[str]) -> tuple[DataFrame, SeriesKey]:
+    """One row per target: every series and target is a series of its own."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("target"), F.col(v).cast("double").alias("y")) for v in values]))
+    rest = [c for c in key.order if c not in key.keys]
+    rows = df.select(*key.keys, *rest, pairs.alias("_t")).select(*key.keys, *rest, "_t.target", "_t.y")
+    return rows, SeriesKey((*key.keys, "target"), key.ts, key.tie, key.chunk_rows, key.chunk_seconds)
+
+
+def _dot(coefficients: Sequence[float], columns: Sequence[str]):  # noqa: ANN202
+    total = F.lit(0.0)
+    for c, name in zip(coefficients, columns, strict=True):
+        total = total + F.lit(float(c)) * F.col(name)
+    return total
+
+
+def fit_arima(
+    df: DataFrame, key: SeriesKey, values: Sequence[str], order: Order = (1, 1, 1), seasonal: Seasonal = (0, 0, 0, 0)
+) -> DataFrame:
+    """One row per series and target: ``n_obs, last_ts, coefficients, sigma, status`` and its last values.
+
+    Gaps are interpolated by position.  ``status`` is ``ok``, ``constant``, ``short`` or ``empty``;
+    every series and target is there.  Coefficients: those of the AR lags, then of the MA lags, then
+    the mean where nothing is differenced.
     """
     (p, d, q), (sp, sd, sq, s) = order, seasonal
-    size = p + q + sp + sq
-    needed = d + sd * s + 3 * (max([p, q] + ([s * max(sp, sq)] if s else [])) + 2)
-    if len(y) == 0:
-        return np.full(steps, np.nan), float("nan"), [], "empty"
-    if len(y) < max(needed, 8):
-        return np.full(steps, y[-1]), 0.0, [], "short"
-    levels = [(1, k) for k in range(d)] + [(s, k) for k in range(sd)]
-    w, stages = y, []
-    for lag, _ in levels:
-        stages.append((w, lag))
-        w = _difference(w, lag)
-    mean = float(w.mean()) if not levels else 0.0
-    w = w - mean
-    if float(np.abs(w).max()) < 1e-12:
-        beta, e, status = np.zeros(size), np.zeros(len(w)), "constant"
+    ar, ma, poly = _lag_set(p, sp, s), _lag_set(q, sq, s), _differencing(d, seasonal)
+    steps = [j for j in range(len(poly)) if poly[j]]
+    reach = max([0, *ar, *ma])
+    rows, tk = _melted(df, key, values)
+    ends = rows.groupBy(*tk.keys).agg(F.max(tk.ts).alias("last_ts"), F.count("y").alias("n_obs"))
+    plain = [*tk.keys, *[c for c in tk.order if c not in tk.keys]]
+    filled = interpolate(rows, tk, "y", "v").where(F.col("v").isNotNull()).select(*plain, "v")
+    if len(steps) > 1:
+        wanted = {f"v{j}": ("v", j) for j in steps[1:]}
+        filled = lags(filled, tk, wanted).withColumn("w", _dot(poly[steps], ["v", *wanted]))
+    else:
+        filled = filled.withColumn("w", F.col("v"))
+    level = filled.groupBy(*tk.keys).agg(F.avg("w").alias("mean")) if len(steps) == 1 else None
+    if level is not None:
+        filled = filled.join(level, list(tk.keys)).withColumn("w", F.col("w") - F.col("mean")).drop("mean")
+    work = cut_lineage(filled.select(*plain, "v", "w"))
+    long = max(reach + 2, LONG) if ma else 0
+    if ma:
+        at = {f"w{i}": ("w", i) for i in range(1, long + 1)}
+        lagged = lags(work.where("w is not null"), tk, at)
+        products = [F.sum(F.col("w") * F.col("w")).alias("g0"), *[F.sum(F.col("w") * F.col(c)).alias(f"g{i}") for i, c in enumerate(at, 1)]]
+        gamma = lagged.groupBy(*tk.keys).agg(F.array(*products).alias("g"))
+
+        def whiten(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                out = []
+                for g in pdf["g"]:
+                    g = np.array([x or 0.0 for x in g])
+                    toeplitz = g[np.abs(np.subtract.outer(np.arange(long), np.arange(long)))]
+                    out.append(np.linalg.lstsq(toeplitz, g[1:], rcond=None)[0] if g[0] > 0 else np.zeros(long))
+                yield pdf.drop(columns="g").assign(a=out)
+
+        names = [gamma.schema[k] for k in tk.keys]
+        long_ar = gamma.mapInPandas(whiten, T.StructType([*names, T.StructField("a", T.ArrayType(T.DoubleType()))]))
+        joined = lagged.join(long_ar, list(tk.keys))
+        e = F.col("w")
+        for i, c in enumerate(at):
+            e = e - F.col("a")[i] * F.col(c)
+        work = work.where("w is null").select(*plain, "v", "w", F.lit(None).cast("double").alias("e")).unionByName(joined.select(*plain, "v", "w", e.alias("e")))
+        work = cut_lineage(work)
     else:
-        beta = _start(w, order, seasonal)
-        beta = _refined(w, beta, order, seasonal) if size else beta
-        e, status = _residuals(w, beta, order, seasonal), "ok"
-    ar, ma = _polynomials(beta, order, seasonal)
-    past_w, past_e = list(w), list(np.concatenate([np.zeros(len(w) - len(e)), e]))
-    for _ in range(steps):
-        value = -sum(ar[i] * past_w[-i] for i in range(1, len(ar)))
-        value += sum(ma[j] * past_e[-j] for j in range(1, len(ma)) if j <= len(past_e))
-        past_w.append(value)
-        past_e.append(0.0)
-    path = np.array(past_w[len(w) :]) + mean
-    for base, lag in reversed(stages):
-        history = list(base)
-        for value in path:
-            history.append(history[-lag] + value)
-        path = np.array(history[len(base) :])
-    coefficients = [float(b) for b in beta] + ([] if levels else [mean])
-    return path, float(e.std()), coefficients, status
+        work = work.withColumn("e", F.lit(0.0))
+    regress = {**{f"x{i}": ("w", i) for i in ar}, **{f"u{i}": ("e", i) for i in ma}}
+    known = work.where("w is not null")
+    lagged = lags(known, tk, regress) if regress else known
+    x = list(regress)
+    whole = F.lit(True)
+    for c in x:
+        whole = whole & F.col(c).isNotNull()
+    pick = lambda c: F.when(whole, c)
+    sums = [F.sum(pick(F.col(a) * F.col(b))) for a in x for b in x] + [F.sum(pick(F.col("w") * F.col(b))) for b in x]
+    fitted = lagged.groupBy(*tk.keys).agg(F.array(*sums, F.sum(pick(F.col("w") * F.col("w"))), F.count(F.when(whole, 1)).cast("double")).alias("sums"), F.count("w").alias("n_w"))
+    keep = max(reach, len(poly), 1)
+    last = newest(work.select(*plain, "v", "w", "e"), tk, keep, rank="_r").groupBy(*tk.keys).agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("_r")).alias("at"), F.col("v"), F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("e", F.lit(0.0)).alias("e")))).alias("_last"))
+    table = ends.join(fitted, list(tk.keys), "left").join(last, list(tk.keys), "left")
+    if level is not None:
+        table = table.join(level, list(tk.keys), "left")
+    else:
+        table = table.withColumn("mean", F.lit(0.0))
+    table = table.select(*tk.keys, "n_obs", "last_ts", "sums", "n_w", "mean", *[F.col(f"_last.{f}").alias(f"last_{f}") for f in ("v", "w", "e")])
+    needed = len(poly) - 1 + 3 * (reach + 2)
+
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k = len(x)
+        for pdf in frames:
+            found = []
+            for n_obs, n_w, sums, mean in zip(pdf["n_obs"], pdf["n_w"], pdf["sums"], pdf["mean"], strict=True):
+                z = np.array([v or 0.0 for v in sums]) if sums is not None else np.zeros(k * k + k + 2)
+                status = "empty" if not n_obs else "short" if n_obs < max(needed, 3 * long, 8) else "constant" if z[-2] < 1e-20 * max(n_w, 1) else "ok"
+                beta = _solve(z[: k * k].reshape(k, k), z[k * k : k * k + k], ar, ma) if status == "ok" and k else np.zeros(k)
+                rss = z[-2] - 2 * beta @ z[k * k : k * k + k] + beta @ z[: k * k].reshape(k, k) @ beta
+                sigma = float(np.sqrt(max(rss, 0.0) / z[-1])) if status == "ok" and z[-1] else 0.0
+                found.append(([float(b) for b in beta] + ([] if len(poly) > 1 else [float(mean or 0.0)]), sigma, status))
+            yield pdf.drop(columns=["sums", "n_w", "mean"]).assign(coefficients=[f[0] for f in found], sigma=[f[1] for f in found], status=[f[2] for f in found])
+
+    many = T.ArrayType(T.DoubleType())
+    fields = [table.schema[k] for k in (*tk.keys, "n_obs", "last_ts")] + [T.StructField(f"last_{f}", many) for f in ("v", "w", "e")]
+    fields += [T.StructField("coefficients", many), T.StructField("sigma", T.DoubleType()), T.StructField("status", T.StringType())]
+    return table.mapInPandas(finish, T.StructType(fields))
+
+
+def forecast_arima(
+    coefficients: DataFrame, steps: int, step_seconds: float, order: Order = (1, 1, 1), seasonal: Seasonal = (0, 0, 0, 0)
+) -> DataFrame:
+    """Forecast rows from a table of :func:`fit_arima` (``step``, ``ts``, ``forecast``); no status but ``ok`` gives a flat one."""
+    (p, d, q), (sp, _, sq, s) = order, seasonal
+    ar, ma, poly = _lag_set(p, sp, s), _lag_set(q, sq, s), _differencing(d, seasonal)
+
+    def one(status: str, beta: np.ndarray, v: np.ndarray, w: np.ndarray, e: np.ndarray) -> list[float]:
+        if v is None or not len(v):
+            return [float("nan")] * steps
+        if status != "ok":
+            return [float(v[-1])] * steps
+        mean = 0.0 if len(poly) > 1 else beta[-1]
+        level, past_w, past_e = list(v), list(w), list(e)
+        for _ in range(steps):
+            new = sum(b * past_w[-i] for b, i in zip(beta, ar)) + sum(b * past_e[-i] for b, i in zip(beta[len(ar) :], ma))  # noqa: B905
+            past_w.append(new)
+            past_e.append(0.0)
+            level.append(new + mean - sum(poly[j] * level[-j] for j in range(1, len(poly))))
+        return [float(x) for x in level[-steps:]]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            paths = [one(*row) for row in zip(pdf["status"], pdf["coefficients"], pdf["last_v"], pdf["last_w"], pdf["last_e"], strict=True)]
+            yield pdf.drop(columns=["last_v", "last_w", "last_e"]).assign(path=paths)
+
+    kept = [f for f in coefficients.schema.fields if f.name not in ("last_v", "last_w", "last_e")]
+    paths = coefficients.mapInPandas(run, T.StructType([*kept, T.StructField("path", T.ArrayType(T.DoubleType()))]))
+    each = paths.select("*", F.posexplode("path").alias("_at", "forecast"))
+    micros = (F.col("_at") + 1).cast("long") * F.lit(int(step_seconds * 1_000_000)).cast("long")
+    return each.withColumns({"step": F.col("_at") + 1, "ts": F.timestamp_add("MICROSECOND", micros, F.col("last_ts"))}).drop("path", "_at")
+
 
+def arima_forecast(
+    df: DataFrame, key: SeriesKey, value: str, steps: int, step_seconds: float, order: Order = (1, 1, 1), seasonal: Seasonal = (0, 0, 0, 0)
+) -> DataFrame:
+    """Fit and forecast one value: ``(keys, step, ts, forecast, sigma, coefficients, status)``."""
+    out = forecast_arima(fit_arima(df, key, [value], order, seasonal), steps, step_seconds, order, seasonal)
+    return out.select(*key.keys, "step", "ts", "forecast", "sigma", "coefficients", "status")

@@ -1,7 +1,7 @@
 """Native forecasts: coefficient tables and forecasts without Python workers.
 
-A fit is an aggregate per series over its training window (:func:`training_window`), so its
-result is a small coefficient table; a forecast explodes each coefficient row into its horizon.
+A fit is an aggregate per series over all its rows, so its result is a small coefficient table;
+a forecast explodes each coefficient row into its horizon.
 """
 
 from __future__ import annotations
@@ -12,17 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions import rng
-from driftloom.operators.series import SeriesKey, newest
+from driftloom.operators.series import SeriesKey, lags, newest
 
-HORIZON, HISTORY_WINDOW, TRAINING_ROWS = 24, 72, 1000
+HORIZON = 24
 PHI_LIMIT = 0.999
 
 
-def training_window(df: DataFrame, key: SeriesKey, n: int = TRAINING_ROWS) -> DataFrame:
-    """The last ``n`` rows of every series; groups built on it are bounded whatever the skew."""
-    return newest(df, key, n)
-
-
 def forecast_calendar(last: DataFrame, last_ts: str, steps: int, step_seconds: float) -> DataFrame:
     """One row per future step: ``step`` 1..steps and ``ts`` = last time + step * frequency."""
     exploded = last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
@@ -30,15 +25,15 @@ def forecast_calendar(last: DataFrame, last_ts: str, steps: int, step_seconds: f
     return exploded.withColumn("ts", F.timestamp_add("MICROSECOND", micros, F.col(last_ts)))
 
 
-def fit_ar(window: DataFrame, key: SeriesKey, value: str) -> DataFrame:
+def fit_ar(df: DataFrame, key: SeriesKey, value: str) -> DataFrame:
     """ARIMA(1,1,0) by least squares on the differences, one coefficient row per series.
 
-    ``window`` must be bounded per series (:func:`training_window`).  ``status`` is ``ok``,
-    ``constant`` (no variation to learn from: flat forecast) or ``short`` (under three points).
+    ``status`` is ``ok``, ``constant`` (no variation to learn from: flat forecast) or ``short``
+    (under three points).
     """
-    w = Window.partitionBy(*key.keys).orderBy(*key.order)
-    rows = window.where(F.col(value).isNotNull()).withColumn("_dy", F.col(value) - F.lag(value).over(w))
-    rows = rows.withColumn("_ldy", F.lag("_dy").over(w))
+    known = df.where(F.col(value).isNotNull())
+    rows = lags(known, key, {"_y1": (value, 1), "_y2": (value, 2)})
+    rows = rows.withColumn("_dy", F.col(value) - F.col("_y1")).withColumn("_ldy", F.col("_y1") - F.col("_y2"))
     order = F.struct(*key.order)
     cross = F.col("_dy") * F.col("_ldy")
     sums = rows.groupBy(*key.keys).agg(
@@ -93,21 +88,25 @@ def with_noise(
 
 
 def seasonal_naive(df: DataFrame, key: SeriesKey, value: str, season: int, steps: int, step_seconds: float) -> DataFrame:
-    """The last season repeated; only the last ``season`` rows of a series are shuffled on."""
+    """The last season repeated; only the last ``season`` rows of a series are shuffled on.
+
+    A series shorter than a season goes on flat at its last value, with status ``short``.
+    """
     last = newest(df, key, season, rank="_recency")
-    size = F.count("*").over(Window.partitionBy(*key.keys))
-    phase = F.lit(season) - F.col("_recency")  # 0 for the oldest value of the season
     w = Window.partitionBy(*key.keys)
-    placed = last.withColumns({"_last_ts": F.max(key.ts).over(w), "_size": size}).where(
-        (F.col("_size") == season) & (phase < steps)
-    )
-    repeated = placed.withColumn("step", F.explode(F.sequence(phase + 1, F.lit(steps), F.lit(season))))
+    placed = last.withColumns({"_last_ts": F.max(key.ts).over(w), "_size": F.count("*").over(w)})
+    whole = F.col("_size") == season
+    placed = placed.where(whole | (F.col("_recency") == 1))
+    phase = F.when(whole, F.lit(season) - F.col("_recency")).otherwise(F.lit(0))  # 0 for the oldest value of the season
+    stride = F.when(whole, F.lit(season)).otherwise(F.lit(1))
+    repeated = placed.where(phase < steps).withColumn("step", F.explode(F.sequence(phase + 1, F.lit(steps), stride)))
     micros = F.col("step").cast("long") * F.lit(int(step_seconds * 1_000_000)).cast("long")
     return repeated.select(
         *key.keys,
         "step",
         F.timestamp_add("MICROSECOND", micros, F.col("_last_ts")).alias("ts"),
         F.col(value).alias("forecast"),
+        F.when(F.col("_size") == season, "ok").otherwise("short").alias("status"),
     )
 
 
@@ -150,12 +149,14 @@ def standardise(df: DataFrame, columns: Sequence[str], train: DataFrame | None =
     return df.withColumns(scaled)
 
 
-def categories_of(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
-    """Sorted categories of a column; more than ``limit`` of them is an error, not a cut."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} categories")
-    return sorted(r[0] for r in rows)
+def categories_of(df: DataFrame, column: str) -> DataFrame:
+    """Categories of a column as a table (``category``), whatever their number."""
+    return df.select(F.col(column).alias("category")).where(F.col(column).isNotNull()).distinct()
+
+
+def one_hot_rows(df: DataFrame, column: str, categories: DataFrame, row_id: str) -> DataFrame:
+    """Sparse form for any number of categories: one row (row id, category) for each one that is set."""
+    return df.join(categories, df[column] == categories["category"]).select(row_id, "category")
 
 
 def one_hot(df: DataFrame, column: str, categories: Sequence[str]) -> DataFrame:

@@ -5,20 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions import rng
 from driftloom.functions.scalars import numeric_columns, text_columns
-from driftloom.operators.series import SeriesKey, newest
+from driftloom.operators.series import SeriesKey, lags as lagged_columns, newest
 from driftloom.session import cut_lineage
 
 
 def default_features(df: DataFrame, targets: Sequence[str]) -> list[str]:
-    """All numeric and text columns that are not targets."""
-    usable = set(numeric_columns(df)) | set(text_columns(df))
+    """All numeric columns that are not targets; text features are named by the caller, as their categories reach the driver."""
+    usable = set(numeric_columns(df))
     return [c for c in df.columns if c in usable and c not in targets]
 
 
@@ -32,6 +32,7 @@ def train_forest(
 ) -> dict[str, PipelineModel]:
     """One forest per target; numbers are standardised, text is one-hot encoded.
 
+    A missing number counts as the mean of the training rows, so that every row gets a prediction.
     A category unknown to the training rows gives all zeros.  The model of a target predicts the
     target itself, in its own unit.
     """
@@ -39,7 +40,8 @@ def train_forest(
     numeric = [c for c in features if c in numeric_columns(df)]
     text = [c for c in features if c in text_columns(df)]
     stages = [
-        VectorAssembler(inputCols=numeric, outputCol="_numbers", handleInvalid="skip"),
+        Imputer(inputCols=numeric, outputCols=[f"_filled_{c}" for c in numeric]),
+        VectorAssembler(inputCols=[f"_filled_{c}" for c in numeric], outputCol="_numbers", handleInvalid="keep"),
         StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True),
     ] if numeric else []
     inputs = ["_scaled"] if numeric else []
@@ -51,7 +53,7 @@ def train_forest(
         inputs.append(f"_hot_{c}")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
     models = {}
-    df = df.persist()  # every stage of the pipeline reads the training rows again
+    df = cut_lineage(df)  # every stage of the pipeline reads the training rows again
     for target in targets:
         forest = RandomForestRegressor(
             featuresCol="_features", labelCol=target, predictionCol=f"predicted_{target}",
@@ -59,7 +61,6 @@ def train_forest(
         )
         rows = df.where(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("double"))
         models[target] = Pipeline(stages=[*stages, forest]).fit(rows)
-    df.unpersist()
     return models
 
 
@@ -84,10 +85,9 @@ def load_models(targets: Sequence[str], path: str) -> dict[str, PipelineModel]:
 # --- recursive generation ----------------------------------------------------
 
 
-def lag_frame(window: DataFrame, key: SeriesKey, value: str, lags: int) -> DataFrame:
-    """Training rows with ``lag_1 .. lag_n``; ``window`` must be bounded per series."""
-    w = Window.partitionBy(*key.keys).orderBy(*key.order)
-    framed = window.withColumns({f"lag_{i}": F.lag(value, i).over(w) for i in range(1, lags + 1)})
+def lag_frame(df: DataFrame, key: SeriesKey, value: str, lags: int) -> DataFrame:
+    """Training rows with ``lag_1 .. lag_n``."""
+    framed = lagged_columns(df, key, {f"lag_{i}": (value, i) for i in range(1, lags + 1)})
     return framed.where(F.col(f"lag_{lags}").isNotNull())
 
 

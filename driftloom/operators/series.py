@@ -1,44 +1,42 @@
 """Order-dependent operations on series, safe for a series that holds most of the rows.
 
 A plain window over a series puts the whole series into one task.  The operators here cut
-long series into chunks of event time and work in three steps:
+large tables into chunks of bounded size and work in three steps:
 
-1. windows over ``(series, chunk)``: groups of bounded size, one shuffle of the rows;
+1. rows are range-partitioned by (series, time, tie) over sampled edges and written with the
+   number of their chunk, whatever the spread of the times (:func:`chunked`);
 2. a summary with one row per chunk, over which a window per series carries context from
    chunk to chunk (its size is the number of chunks, not of rows);
-3. an equi-join of that context back on ``(series, chunk)``, which needs no second shuffle of
-   the rows because they are already partitioned that way.
+3. windows over ``(series, chunk)`` and an equi-join of that context.
 
-Results do not depend on the chunks; these only set the size of the groups.  A row whose key
-is null belongs to a series of its own that is not cut.
+Results do not depend on the chunks; these only set the size of the groups.  Operators that
+follow one another share chunks: rows that :func:`chunked` returned are not cut again.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from driftloom.functions import rng
 from driftloom.functions.scalars import floor_to, micros_of
+from driftloom.session import cut_lineage
 
 CHUNK_ROWS = 1_000_000
-# Chunks are planned for an even spread over time; this leaves room for busy hours.
-CHUNK_SLACK = 4
-# Bound of the broadcast table of long series (some tens of megabytes).
-MAX_LONG_SERIES = 500_000
 
 
 @dataclass(frozen=True)
 class SeriesKey:
     """How rows form series: key columns, time column, and tie breakers within one time.
 
-    A series of more than ``chunk_rows`` rows is cut into chunks of equal time span that hold
-    about a quarter of that each; ``chunk_seconds`` fixes the span instead.
+    A table of more than ``chunk_rows`` rows is cut into chunks of about that many rows;
+    ``chunk_seconds`` cuts by a fixed span of time instead, which is for series known to be even.
     """
 
     keys: tuple[str, ...]
@@ -68,36 +66,29 @@ UP_TO = (Window.unboundedPreceding, Window.currentRow)
 def chunked(df: DataFrame, key: SeriesKey) -> DataFrame:
     """Rows with their ``_chunk`` number, increasing with time within a series.
 
-    Only series above ``chunk_rows`` rows, and above a ``MAX_LONG_SERIES``-th of all rows, appear
-    in the table of widths.  It therefore never has more than ``MAX_LONG_SERIES`` rows, whatever
-    the table, and is broadcast: a shuffle join would bring a long series together in one task,
-    which is what the chunks are there to avoid.
+    Edges are sampled over (series, time, tie), so a stray date, a burst or a null key makes no
+    large chunk; rows equal in all of these are told apart by a hash of the row.  The table is
+    written once, as sampling again would move the edges.
     """
-    micros = micros_of(F.col(key.ts))
+    if "_chunk" in df.columns:
+        return df
     if key.chunk_seconds is not None:
-        no_key = reduce(or_, [F.col(k).isNull() for k in key.keys], F.lit(False))
-        chunk = F.floor(micros / F.lit(int(key.chunk_seconds * 1_000_000))).cast("long")
-        return df.withColumn("_chunk", F.when(no_key, F.lit(0)).otherwise(F.coalesce(chunk, F.lit(0))))
-    sizes = df.groupBy(*key.keys).agg(
-        F.count("*").alias("_n"), F.min(key.ts).alias("_lo_ts"), F.max(key.ts).alias("_hi_ts")
-    )
-    lo, hi = micros_of(F.col("_lo_ts")), micros_of(F.col("_hi_ts"))
-    width = F.ceil((hi - lo) / (F.lit(CHUNK_SLACK / key.chunk_rows) * F.col("_n")))
-    share = df.agg(F.count("*")).scalar() / F.lit(float(MAX_LONG_SERIES))
-    widths = sizes.where((F.col("_n") > key.chunk_rows) & (F.col("_n") > share)).select(
-        *key.keys, lo.alias("_lo"), F.greatest(width, F.lit(1)).alias("_width")
-    )
-    if not key.keys:  # one series: its width is a scalar
-        scalar = widths.select(F.struct("_lo", "_width").alias("s")).scalar()
-        chunk = F.floor((micros - scalar["_lo"]) / scalar["_width"]).cast("long")
-        return df.withColumn("_chunk", F.coalesce(chunk, F.lit(0)))
-    joined = df.join(F.broadcast(widths), list(key.keys), "left")
-    chunk = F.floor((micros - F.col("_lo")) / F.col("_width")).cast("long")
-    return joined.select(*df.columns, F.coalesce(chunk, F.lit(0)).alias("_chunk"))
+        chunk = F.floor(micros_of(F.col(key.ts)) / F.lit(int(key.chunk_seconds * 1_000_000))).cast("long")
+        return df.withColumn("_chunk", F.coalesce(chunk, F.lit(-(1 << 62))))  # null times come first
+    n = -(-df.count() // key.chunk_rows)
+    if n <= 1:
+        return df.withColumn("_chunk", F.lit(0).cast("long"))
+    plain = [c for c, t in df.dtypes if not t.startswith("map")]
+    dealt = df.repartitionByRange(n, *key.keys, *key.order, F.xxhash64(*plain))
+    return cut_lineage(dealt.withColumn("_chunk", F.spark_partition_id().cast("long")))
 
 
 def _joined(rows: DataFrame, context: DataFrame, key: SeriesKey) -> DataFrame:
-    return rows.join(context, [*key.keys, "_chunk"], "left")
+    """Rows with the context of their chunk; a null key matches itself."""
+    names = [*key.keys, "_chunk"]
+    renamed = context.select(*[F.col(c).alias(f"_c_{c}") for c in names], *[c for c in context.columns if c not in names])
+    match = [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in names]
+    return rows.join(renamed, reduce(and_, match), "left").drop(*[f"_c_{c}" for c in names])
 
 
 def carry_forward(df: DataFrame, key: SeriesKey, column: str, out: str | None = None) -> DataFrame:
@@ -172,32 +163,40 @@ def interpolate(df: DataFrame, key: SeriesKey, column: str, out: str | None = No
     return joined.withColumn(out, value).select(*df.columns, out)
 
 
-def lag(df: DataFrame, key: SeriesKey, column: str, k: int = 1, out: str | None = None) -> DataFrame:
-    """Value ``k`` rows earlier in the series, nulls included."""
-    out = out or f"{column}_lag{k}"
-    rows = chunked(df, key)
+def lags(df: DataFrame, key: SeriesKey, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+    """Columns ``out -> (column, k)`` with the value ``k`` rows earlier in the series, nulls included."""
+    rows, reach = chunked(df, key), max(k for _, k in wanted.values())
+    sources = list(dict.fromkeys(c for c, _ in wanted.values()))
     w = key.within()
-    rows = rows.withColumns({"_rn": F.row_number().over(w), "_local": F.lag(column, k).over(w)})
-    # The last k values of every chunk (at most k of them), oldest first.
+    rows = rows.withColumns(
+        {"_rn": F.row_number().over(w), **{f"_local_{out}": F.lag(c, k).over(w) for out, (c, k) in wanted.items()}}
+    )
+    # The last values of every chunk (at most ``reach`` of them), oldest first.
+    kept = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(sources)])
     recent = (
-        rows.select(*key.keys, "_chunk", *key.order, F.struct(F.col(column).alias("v")).alias("_v"))
+        rows.select(*key.keys, "_chunk", *[c for c in key.order if c not in key.keys], kept.alias("_v"))
         .withColumn("_back", F.row_number().over(key.within(backwards=True)))
-        .where(F.col("_back") <= k)
+        .where(F.col("_back") <= reach)
     )
     tails = recent.groupBy(*key.keys, "_chunk").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("at"), F.col("_v.v").alias("v"))))
-        .alias("_tail")
+        F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("at"), F.col("_v").alias("v")))).alias("_tail")
     )
-    window = key.across().rowsBetween(-k, -1)
-    halo = F.flatten(F.collect_list("_tail").over(window))
-    context = tails.select(*key.keys, "_chunk", halo.alias("_halo"))
-    joined = _joined(rows, context, key)
-    needed = F.lit(k + 1) - F.col("_rn")  # how far back from the end of the halo
-    from_halo = F.when(
-        F.size("_halo") >= needed, F.try_element_at(F.col("_halo"), (-needed).cast("int"))["v"]
+    before = F.flatten(F.collect_list("_tail").over(key.across().rowsBetween(-reach, -1)))
+    context = tails.select(*key.keys, "_chunk", before.alias("_before")).withColumn(
+        "_halo", F.when(F.size("_before") > reach, F.slice("_before", -reach, reach)).otherwise(F.col("_before"))
     )
-    value = F.when(F.col("_rn") > k, F.col("_local")).otherwise(from_halo)
-    return joined.withColumn(out, value).select(*df.columns, out)
+    joined = _joined(rows, context.drop("_before"), key)
+    found = {}
+    for out, (c, k) in wanted.items():
+        needed = F.lit(k + 1) - F.col("_rn")  # how far back from the end of the halo
+        item = F.when(F.size("_halo") >= needed, F.try_element_at(F.col("_halo"), (-needed).cast("int"))["v"][f"v{sources.index(c)}"])
+        found[out] = F.when(F.col("_rn") > k, F.col(f"_local_{out}")).otherwise(item)
+    return joined.withColumns(found).select(*df.columns, *wanted)
+
+
+def lag(df: DataFrame, key: SeriesKey, column: str, k: int = 1, out: str | None = None) -> DataFrame:
+    """Value ``k`` rows earlier in the series, nulls included."""
+    return lags(df, key, {out or f"{column}_lag{k}": (column, k)})
 
 
 def difference(df: DataFrame, key: SeriesKey, column: str, k: int = 1, out: str | None = None) -> DataFrame:
@@ -215,16 +214,18 @@ def newest(
     n: int,
     rank: str | None = None,
     oldest: bool = False,
-    slices: int = 64,
+    slices: int | None = None,
 ) -> DataFrame:
     """The last (or first) ``n`` rows of every series, optionally with their rank.
 
     Two rounds: the best ``n`` of every slice of a series, then the best ``n`` of those.  A slice
     is a set of input partitions, so the group limit Spark derives from the rank filter leaves at
-    most ``n`` rows of a series per input task before the first shuffle, and the second round
-    sees at most ``slices * n`` rows of it.  The slices do not influence the result.
+    most ``n`` rows of a series per input task before the first shuffle.  There are about as
+    many slices as the root of the number of input partitions, so neither round brings more than
+    that many times ``n`` rows of a series together.  The slices do not influence the result.
     """
     out = rank or "_rank"
+    slices = slices or max(8, math.isqrt(df.rdd.getNumPartitions()))
     order = [F.col(c).asc() if oldest else F.col(c).desc() for c in key.order]
     slice_of = F.spark_partition_id() % F.lit(slices)
     first = Window.partitionBy(*key.keys, "_slice").orderBy(*order)
@@ -258,7 +259,7 @@ def budget_split(
     admitted = newest(
         windowed.select(row_id, *dict.fromkeys([*slot.keys, *slot.order])), slot, max_requests, oldest=True
     ).select(row_id, F.lit(True).alias("_admitted"))
-    joined = df.join(admitted, row_id, "left")
+    joined = df.join(admitted.withColumnRenamed(row_id, "_id"), F.col(row_id).eqNullSafe(F.col("_id")), "left").drop("_id")
     real = F.col("_admitted").isNotNull()
     return joined.withColumns(
         {
@@ -308,7 +309,7 @@ def ohlcv(
 
     All aggregates combine on the map side, so a hot series or bucket shuffles one row per task.
     """
-    order = F.struct(*key.order)
+    order = F.struct(*key.order) if key.tie else F.col(key.ts)  # one plain column aggregates by hash
     return df.groupBy(*key.keys, bucket.alias(bucket_name)).agg(
         F.min_by(value, order).alias("open"),
         F.max(value).alias("high"),

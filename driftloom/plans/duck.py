@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from driftloom.functions.rng import FOLD_PRIMES, MASK, MIX_MULTIPLIERS, word_key
+from driftloom.functions.rng import MASK, MIX_MULTIPLIERS, word_key
 
 PI2 = "6.283185307179586::DOUBLE"
 
@@ -29,9 +29,9 @@ def texts(values: Sequence[str]) -> str:
 
 def _word(seed: int, field: str, purpose: str, word: int, ids: Sequence[str]) -> str:
     base, multipliers = word_key(seed, field, purpose, word, len(ids))
-    terms = [str(base)] + [
-        f"((({i})::BIGINT % {FOLD_PRIMES[word]}) * {m} & {MASK})" for i, m in zip(ids, multipliers)
-    ]
+    terms = [str(base)]
+    for i, (a, b) in zip(ids, multipliers):
+        terms.append(f"((({i})::BIGINT & {MASK}) * {a} & {MASK}) + (((({i})::BIGINT >> 32) & {MASK}) * {b} & {MASK})")
     x = f"(({' + '.join(terms)})::BIGINT & {MASK})"
     x = f"(xor({x}, {x} >> 16) * {MIX_MULTIPLIERS[0]} & {MASK})"
     return f"(xor({x}, {x} >> 15) * {MIX_MULTIPLIERS[1]} & {MASK})"

@@ -8,7 +8,8 @@ from driftloom.functions import rng
 from driftloom.functions.scalars import truncated
 from driftloom.operators import forecast as f
 from driftloom.operators import learned
-from driftloom.operators.arima import arima_forecast
+from driftloom.operators.arima import arima_forecast, fit_arima, fit_groups
+from driftloom.operators.arima import forecast_arima as forecast_from
 from driftloom.operators.series import SeriesKey
 from driftloom.plans import duck
 from driftloom.plans.tables import query, table
@@ -58,7 +59,7 @@ FORECAST_SQL = f"""(SELECT *, last_ts + to_days(step::INTEGER) AS ts,
 
 
 def fitted(spark, folder):
-    return f.fit_ar(f.training_window(daily_events(spark, folder), TYPE), TYPE, "y")
+    return f.fit_ar(daily_events(spark, folder), TYPE, "y")
 
 
 @query(
@@ -117,7 +118,7 @@ def forecast_noise(spark, folder):
     "seasonal_naive",
     f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS k,
                     max(day) OVER (PARTITION BY event_type) AS last_ts FROM {DAILY_SQL})
-        SELECT event_type, step::INTEGER AS step, last_ts + to_days(step::INTEGER) AS ts, y AS forecast
+        SELECT event_type, step::INTEGER AS step, last_ts + to_days(step::INTEGER) AS ts, y AS forecast, 'ok' AS status
         FROM r, (SELECT unnest(range(1, {STEPS + 1})) AS step) WHERE k <= 7 AND (step - 1) % 7 = 7 - k""",
 )
 def seasonal_naive(spark, folder):
@@ -162,10 +163,20 @@ def standardise(spark, folder):
             (o_orderstatus = 'O')::INTEGER AS "o_orderstatus=O" FROM orders""",
 )
 def one_hot(spark, folder):
-    """Categories of the closed and open orders; a pending one is unknown and gives zeros."""
+    """Categories F and O; a pending order is unknown and gives zeros."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
-    known = [c for c in f.categories_of(orders, "o_orderstatus") if c != "P"]
-    return f.one_hot(orders, "o_orderstatus", known).drop("o_orderstatus")
+    return f.one_hot(orders, "o_orderstatus", ["F", "O"]).drop("o_orderstatus")
+
+
+@query(
+    "one_hot_rows",
+    "SELECT o_orderkey, o_orderpriority AS category FROM orders WHERE o_orderpriority <> '5-LOW'",
+)
+def one_hot_rows(spark, folder):
+    """Sparse encoding with categories from a table; a low priority is no category of it."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
+    known = f.categories_of(orders.where("o_orderpriority <> '5-LOW'"), "o_orderpriority")
+    return f.one_hot_rows(orders, "o_orderpriority", known, "o_orderkey")
 
 
 @query(
@@ -193,6 +204,64 @@ def forecast_sarima(spark, folder):
     return arima_forecast(daily_sales(spark, folder), FLAGS, "y", STEPS, DAY, seasonal=(1, 1, 1, 12))
 
 
+SALES_SQL = """(SELECT l_returnflag, l_linestatus, date_trunc('day', l_shipdate)::TIMESTAMP AS day, target, y FROM (
+    SELECT l_returnflag, l_linestatus, date_trunc('day', l_shipdate) AS l_shipdate, round(sum(l_extendedprice), 2) AS y1,
+        count(*)::DOUBLE AS y2 FROM lineitem GROUP BY ALL) UNPIVOT (y FOR target IN (y1, y2)))"""
+
+
+@query(
+    "arima_stored",
+    f"""WITH a AS (SELECT *, y - lag(y) OVER (PARTITION BY l_returnflag, l_linestatus, target ORDER BY day) AS w FROM {SALES_SQL}),
+        b AS (SELECT *, lag(w) OVER (PARTITION BY l_returnflag, l_linestatus, target ORDER BY day) AS x FROM a),
+        c AS (SELECT l_returnflag, l_linestatus, target, max(day) AS last_ts, arg_max(y, day) AS yn, arg_max(w, day) AS wn,
+                sum(w * x) / sum(x * x) AS phi, count(*) AS n FROM b GROUP BY ALL)
+        SELECT l_returnflag, l_linestatus, CASE target WHEN 'y1' THEN 'y' ELSE 'lines' END AS target, n AS n_obs, round(phi, 6) AS phi,
+            step::INTEGER AS step, last_ts + to_days(step::INTEGER) AS ts,
+            round(yn + wn * phi * (1 - phi ** step) / (1 - phi), 3) AS forecast
+        FROM c, (SELECT unnest(range(1, {STEPS + 1})) AS step)""",
+)
+def arima_stored(spark, folder):
+    """ARIMA(1,1,0) of two targets on whole series: fitted, stored, loaded and used for a later horizon."""
+    path = fresh_path(spark, "arima")
+    sales = daily_sales(spark, folder)
+    learned.save_coefficients(fit_arima(sales, FLAGS, ["y", "lines"], (1, 1, 0)), path, 1)
+    stored = learned.load_coefficients(spark, path, [*FLAGS.keys, "target"])
+    out = forecast_from(stored, STEPS, DAY, (1, 1, 0))
+    return out.select(*FLAGS.keys, "target", "n_obs", F.round(F.col("coefficients")[0], 6).alias("phi"), "step", "ts", F.round("forecast", 3).alias("forecast"))
+
+
+@query(
+    "forecast_seasonal_walk",
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS k FROM {DAILY_SQL}),
+        e AS (SELECT event_type, max(day) AS last_ts, list(y ORDER BY k) AS v FROM r WHERE k <= 8 GROUP BY 1)
+        SELECT event_type, step::INTEGER AS step, last_ts + to_days(step::INTEGER) AS ts,
+            round(v[1] + v[8 - step] - v[8], 4) AS forecast
+        FROM e, (SELECT unnest(range(1, 8)) AS step)""",
+)
+def forecast_seasonal_walk(spark, folder):
+    """(0,1,0)(0,1,0,7): the last value plus what last week's values changed since then."""
+    out = arima_forecast(daily_events(spark, folder), TYPE, "y", 7, DAY, (0, 1, 0), (0, 1, 0, 7))
+    return out.select("event_type", "step", "ts", F.round("forecast", 4).alias("forecast"))
+
+
+@query(
+    "custom_model",
+    f"""SELECT event_type, round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 3) AS intercept
+        FROM (SELECT *, epoch_us(day) // 86400000000 - 19700 AS x FROM {DAILY_SQL}) GROUP BY 1""",
+)
+def custom_model(spark, folder):
+    """A line through the daily totals of every type, as a user's own pandas model."""
+    import pandas as pd
+
+    def line(pdf):
+        x = (pdf["day"].astype("datetime64[us]").astype("int64") // 86_400_000_000 - 19700).astype(float)
+        slope = ((x - x.mean()) * (pdf["y"] - pdf["y"].mean())).sum() / ((x - x.mean()) ** 2).sum()
+        return pd.DataFrame({"event_type": [pdf["event_type"].iloc[0]], "slope": [slope], "intercept": [pdf["y"].mean() - slope * x.mean()]})
+
+    out = fit_groups(daily_events(spark, folder), TYPE, line, "event_type string, slope double, intercept double", 100_000)
+    return out.select("event_type", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
+
+
 @query("forest")
 def forest(spark, folder):
     """Forest per target on the daily sales, saved, loaded and applied."""
@@ -207,10 +276,9 @@ def forest(spark, folder):
 def forest_recursive(spark, folder):
     """Twelve days per series, each prediction fed back as the newest lag."""
     sales, lags = daily_sales(spark, folder), 3
-    window = f.training_window(sales, FLAGS)
-    frame = learned.lag_frame(window, FLAGS, "y", lags)
+    frame = learned.lag_frame(sales, FLAGS, "y", lags)
     features = [*FLAGS.keys, *[f"lag_{i}" for i in range(1, lags + 1)]]
     model = learned.train_forest(frame, ["y"], features, trees=20)["y"]
-    state = learned.last_lags(window, FLAGS, "y", lags)
+    state = learned.last_lags(sales, FLAGS, "y", lags)
     sid = rng.text_id("concat(l_returnflag, l_linestatus)")
     return learned.generate_recursively(model, state, FLAGS.keys, "y", lags, 12, DAY, SEED, sid)

@@ -172,14 +172,13 @@ def warm_start(spark, folder):
     return h.last_days(table(spark, folder, "events").select("event_id", "ts", "value"), "ts", 20)
 
 
-def _bars_sql(kind, source, series, ts, value, tie, seconds, limit=None):
+def _bars_sql(kind, source, series, ts, value, tie, seconds):
     width = seconds * 1_000_000
-    cap = f"QUALIFY row_number() OVER (PARTITION BY series ORDER BY bucket DESC) <= {limit}" if limit else ""
     return f"""SELECT '{kind}' AS kind, '{source}' AS source, {series} AS series,
             make_timestamp(epoch_us({ts}) // {width} * {width}) AS bucket,
             arg_min({value}, ({ts}, {tie})) AS open, max({value}) AS high, min({value}) AS low,
             arg_max({value}, ({ts}, {tie})) AS close, count(*) AS volume, {seconds}::BIGINT AS bar_seconds
-        FROM {source} GROUP BY series, bucket {cap}"""
+        FROM {source} GROUP BY series, bucket"""
 
 
 @query(
@@ -189,10 +188,10 @@ def _bars_sql(kind, source, series, ts, value, tie, seconds, limit=None):
         for args in [
             ("map", "events", "event_type", "ts", "value", "event_id", 86400),
             ("arrays", "events", "event_type", "ts", "value", "event_id", 1800),
-            ("records", "events", "event_type", "ts", "value", "event_id", 3600, 2000),
+            ("records", "events", "event_type", "ts", "value", "event_id", 3600),
             ("map", "orders", "o_orderstatus", "o_orderdate", "o_totalprice", "o_orderkey", 604800),
             ("arrays", "orders", "o_orderstatus", "o_orderdate", "o_totalprice", "o_orderkey", 604800),
-            ("records", "orders", "o_orderstatus", "o_orderdate", "o_totalprice", "o_orderkey", 86400, 2000),
+            ("records", "orders", "o_orderstatus", "o_orderdate", "o_totalprice", "o_orderkey", 86400),
         ]
     ),
 )

@@ -68,8 +68,8 @@ def series_position(spark, folder):
 )
 def lag_diff(spark, folder):
     events = table(spark, folder, "events").select("event_id", "user_id", "ts", "value")
-    out = s.difference(s.lag(events, KEY, "value", 12), KEY, "value")
-    return out.withColumn("value_diff1", F.round("value_diff1", 6))
+    out = s.lags(events, KEY, {"value_lag12": ("value", 12), "_before": ("value", 1)})
+    return out.withColumn("value_diff1", F.round(F.col("value") - F.col("_before"), 6)).drop("_before")
 
 
 @query(

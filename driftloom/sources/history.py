@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import rng
 from driftloom.functions.scalars import MICROS_PER_SECOND, floor_to, micros_of, ntz_literal, ntz_of
-from driftloom.operators.series import SeriesKey, newest, ohlcv
+from driftloom.operators.series import SeriesKey, ohlcv
 
 MINUTE, HOUR, DAY, WEEK = 60, 3600, 86400, 604800
 # Per kind of source, (longest span in days, bar width in seconds); None is "longer".
@@ -19,7 +19,6 @@ GRANULARITY: dict[str, tuple[tuple[int | None, int], ...]] = {
     "arrays": ((5, 5 * MINUTE), (30, 30 * MINUTE), (90, HOUR), (365, DAY), (None, WEEK)),
     "records": ((3, MINUTE), (30, HOUR), (None, DAY)),
 }
-MAX_POINTS = {"records": 2000}
 
 
 def read_history(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame:
@@ -57,17 +56,12 @@ def _long(value: int) -> Column:
 def bars_by_span(
     df: DataFrame, key: SeriesKey, value: str, volume: Column, kind: str, aggregate: int = 1
 ) -> DataFrame:
-    """Bars whose width follows from the span of the table, newest points first where capped.
-
-    The span is one scalar; the bars are one combined aggregate; the cap is a group limit.
-    """
+    """Bars whose width follows from the span of the table: one scalar and one combined aggregate."""
     span = df.agg(F.floor((micros_of(F.max(key.ts)) - micros_of(F.min(key.ts))) / (DAY * MICROS_PER_SECOND)))
     width = bar_seconds(kind, span.scalar()) * F.lit(aggregate)
     width_us = width * F.lit(MICROS_PER_SECOND)
     bucket = ntz_of(F.floor(micros_of(F.col(key.ts)) / width_us).cast("long") * width_us)
-    bars = ohlcv(df, key, value, volume, bucket).withColumn("bar_seconds", width.cast("long"))
-    limit = MAX_POINTS.get(kind)
-    return newest(bars, SeriesKey(key.keys, "bucket"), limit) if limit else bars
+    return ohlcv(df, key, value, volume, bucket).withColumn("bar_seconds", width.cast("long"))
 
 
 def default_series(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftloom.operators import fallback as fb
 from driftloom.operators import forecast as f
 from driftloom.operators import learned
-from driftloom.operators.arima import arima_forecast, fit_and_forecast, fit_groups
+from driftloom.operators.arima import arima_forecast, fit_arima, fit_groups
 from driftloom.operators.series import SeriesKey
 from driftloom.session import fresh_path
 
@@ -44,13 +44,13 @@ def test_explosive_series_is_bounded(spark):
 
 
 @pytest.mark.parametrize("phi, theta", [(0.6, 0.3), (-0.6, -0.3), (0.8, -0.3)])
-def test_arima_recovers_parameters(phi, theta):
-    _, sigma, (a, b), status = fit_and_forecast(simulated(phi, theta, 4000), 3, (1, 1, 1))
-    assert status == "ok" and abs(a - phi) < 0.08 and abs(b - theta) < 0.08 and abs(sigma - 1) < 0.05
+def test_arima_recovers_parameters(spark, phi, theta):
+    fit = fit_arima(series(spark, a=simulated(phi, theta, 4000)), KEY, ["y"]).first()
+    assert fit.status == "ok" and np.allclose(fit.coefficients, [phi, theta], atol=0.09) and abs(fit.sigma - 1) < 0.05
 
 
-def test_sarima_recovers_parameters():
-    phi, theta, sphi, stheta, s = 0.5, 0.3, 0.6, 0.4, 12
+def test_sarima_recovers_parameters(spark):
+    phi, theta, sphi, stheta, s = 0.5, 0.3, 0.6, 0.4, 6
     e = np.random.default_rng(2).normal(size=5000)
     w = np.zeros(5000)
     for t in range(30, 5000):
@@ -59,18 +59,28 @@ def test_sarima_recovers_parameters():
     y, seasonal = np.cumsum(w[500:]), np.zeros(len(w[500:]) + s)
     for t in range(len(y)):
         seasonal[t + s] = seasonal[t] + y[t]
-    _, _, beta, status = fit_and_forecast(seasonal, 24, (1, 1, 1), (1, 1, 1, s))
-    assert status == "ok" and np.allclose(beta, [phi, theta, sphi, stheta], atol=0.1)
+    fit = fit_arima(series(spark, a=seasonal), KEY, ["y"], (1, 1, 1), (1, 1, 1, s)).first()
+    want = [phi, sphi, -phi * sphi, theta, stheta, theta * stheta]
+    assert fit.status == "ok" and np.allclose(fit.coefficients, want, atol=0.15)
 
 
-def test_arima_edge_cases():
-    assert fit_and_forecast(np.array([]), 2, (1, 1, 1))[3] == "empty"
-    path, _, _, status = fit_and_forecast(np.array([3.0]), 2, (1, 1, 1))
-    assert status == "short" and list(path) == [3.0, 3.0]
-    path, _, _, status = fit_and_forecast(np.full(60, 7.0), 2, (1, 1, 1))
-    assert status == "constant" and list(path) == [7.0, 7.0]
-    path, _, beta, _ = fit_and_forecast(np.random.default_rng(1).normal(5, 1, 500), 2, (1, 0, 0))
-    assert abs(beta[-1] - 5) < 0.2 and np.all(np.abs(path - 5) < 1)
+def test_arima_edge_cases(spark):
+    values = {"none": [None, None], "one": [3.0], "flat": [7.0] * 60, "mean": np.random.default_rng(1).normal(5, 1, 500)}
+    for order in ((1, 1, 1), (1, 0, 0)):
+        out = arima_forecast(series(spark, **values), KEY, "y", 2, 3600, order).toPandas()
+        assert out.groupby("k").size().eq(2).all() and len(out) == 8
+        by = {k: g for k, g in out.groupby("k")}
+        assert set(by["none"].status) == {"empty"} and by["none"].forecast.isna().all()
+        assert by["one"].forecast.tolist() == [3.0, 3.0] and set(by["one"].status) == {"short"}
+        assert by["flat"].forecast.tolist() == [7.0, 7.0]
+    assert abs(by["mean"].coefficients.iloc[0][-1] - 5) < 0.2 and (by["mean"].forecast - 5).abs().max() < 1
+
+
+def test_arima_does_not_depend_on_chunks(spark):
+    df = series(spark, a=simulated(0.6, 0.3, 400), b=simulated(0.2, 0.1, 90, seed=3))
+    whole = {(r.k, r.step): r.forecast for r in arima_forecast(df, KEY, "y", 3, 3600).collect()}
+    cut = {(r.k, r.step): r.forecast for r in arima_forecast(df, SeriesKey(("k",), "ts", chunk_rows=50), "y", 3, 3600).collect()}
+    assert whole.keys() == cut.keys() and all(abs(whole[x] - cut[x]) < 1e-8 for x in whole)
 
 
 def test_arima_job(spark):
@@ -91,9 +101,18 @@ def test_custom_model(spark):
 
 def test_seasonal_naive_repeats_and_needs_a_season(spark):
     out = f.seasonal_naive(series(spark, a=range(10), b=[1, 2]), KEY, "y", 3, 7, 3600)
-    rows = out.orderBy("step").collect()
+    rows = out.where("k = 'a'").orderBy("step").collect()
     assert [r.forecast for r in rows] == [7, 8, 9, 7, 8, 9, 7]
     assert rows[0].ts == START + timedelta(hours=10)
+    assert [(r.forecast, r.status) for r in out.where("k = 'b'").collect()] == [(2, "short")] * 7
+
+
+def test_fits_use_the_whole_series(spark):
+    """Three thousand points, the first half with another coefficient than the second."""
+    y = np.concatenate([simulated(0.8, 0.0, 1500), simulated(-0.5, 0.0, 1500, seed=1)])
+    fit = f.fit_ar(series(spark, a=y), KEY, "y").first()
+    d = np.diff(y)
+    assert fit.n_obs == 3000 and abs(fit.phi - (d[1:] @ d[:-1]) / (d[:-1] @ d[:-1])) < 1e-9
 
 
 def test_noise_scale(spark):
@@ -107,11 +126,11 @@ def test_noise_scale(spark):
 
 def test_standardise_and_one_hot(spark):
     df = spark.createDataFrame([(1.0, 3.0, "a"), (2.0, 3.0, "b"), (3.0, 3.0, None)], "x double, c double, t string")
-    out = f.one_hot(f.standardise(df, ["x", "c"]), "t", f.categories_of(df, "t")).orderBy("x").toPandas()
+    known = f.categories_of(df, "t")
+    assert {(r.x, r.category) for r in f.one_hot_rows(df, "t", known, "x").collect()} == {(1.0, "a"), (2.0, "b")}
+    out = f.one_hot(f.standardise(df, ["x", "c"]), "t", ["a", "b"]).orderBy("x").toPandas()
     assert np.allclose(out.x, [-1.224744871, 0, 1.224744871]) and (out.c == 0).all()
     assert out["t=a"].tolist() == [1, 0, 0] and out["t=b"].tolist() == [0, 1, 0]
-    with pytest.raises(ValueError, match="more than 1"):
-        f.categories_of(df, "t", limit=1)
 
 
 def test_forest_predicts_in_target_units_and_reloads(spark):
@@ -119,7 +138,7 @@ def test_forest_predicts_in_target_units_and_reloads(spark):
     x = r.random(400)
     rows = [(float(v), "u" if v > 0.5 else "d", 1000 + 100 * float(v), float(-v)) for v in x]
     df = spark.createDataFrame(rows, "x double, side string, y double, z double")
-    models = learned.train_forest(df, ["y", "z"], trees=10)
+    models = learned.train_forest(df, ["y", "z"], ["x", "side"], trees=10)
     path = fresh_path(spark, "models")
     learned.save_models(models, path)
     unseen = spark.createDataFrame([(0.9, "sideways", 0.0, 0.0)], df.schema)
@@ -129,7 +148,9 @@ def test_forest_predicts_in_target_units_and_reloads(spark):
         pd.testing.assert_frame_equal(a, b)
     fitted = learned.predict_forest(models, df).toPandas()
     assert (fitted.predicted_y - fitted.y).abs().mean() < 10 and fitted.predicted_z.between(-1, 0).all()
-    assert learned.default_features(df, ["y", "z"]) == ["x", "side"]
+    assert learned.default_features(df, ["y", "z"]) == ["x"]
+    gaps = spark.createDataFrame([(None, "u", 0.0, 0.0), (0.2, None, 0.0, 0.0)], df.schema)
+    assert learned.predict_forest(models, gaps).where("predicted_y is not null").count() == 2
 
 
 def test_recursion_feeds_predictions_back(spark):

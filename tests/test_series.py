@@ -89,6 +89,35 @@ def test_chunks_follow_time(df):
     assert rows._chunk.is_monotonic_increasing
 
 
+@pytest.mark.parametrize("shape", ["stray date", "burst", "null key"])
+def test_chunks_are_bounded(spark, shape):
+    rows = [(i, "a" if shape != "null key" else None, START + timedelta(seconds=0 if shape == "burst" else i), 1.0) for i in range(20_000)]
+    rows.append((-1, rows[0][1], datetime(1970, 1, 1) if shape == "stray date" else START, 1.0))
+    df = spark.createDataFrame(rows, "id bigint, series string, ts timestamp_ntz, value double")
+    sizes = s.chunked(df, s.SeriesKey(("series",), "ts", (), chunk_rows=1000)).groupBy("series", "_chunk").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 4000 and sizes.agg({"count": "sum"}).first()[0] == 20_001
+
+
+def test_chunks_are_shared(df):
+    key = KEYS[1]
+    once = s.chunked(df, key)
+    assert s.chunked(once, key) is once
+    out = s.carry_forward(s.position(once, key), key, "value", "y")
+    assert out.count() == df.count()
+
+
+def test_null_and_early_times_come_first(spark):
+    rows = [(1, "a", datetime(1969, 1, 1), 1.0), (2, "a", None, 2.0), (3, "a", datetime(1980, 1, 1), 3.0)]
+    df = spark.createDataFrame(rows, "id bigint, series string, ts timestamp_ntz, value double")
+    for key in (s.SeriesKey(("series",), "ts", ("id",), chunk_seconds=60.0), s.SeriesKey(("series",), "ts", ("id",), chunk_rows=1)):
+        assert {r.id: r.position for r in s.position(df, key).collect()} == {2: 1, 1: 2, 3: 3}
+
+
+def test_budget_of_null_ids(spark):
+    df = spark.createDataFrame([(None, "a", START), (1, "a", START)], "id bigint, series string, ts timestamp_ntz")
+    assert {r.data_type for r in s.budget_split(df, s.SeriesKey(("series",), "ts"), "id", 5).collect()} == {"real"}
+
+
 def test_series_without_keys(df, frame):
     key = s.SeriesKey((), "ts", ("id",), chunk_rows=50)
     ordered = frame.sort_values(["ts", "id"])
