@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions import rng
 from driftloom.functions.scalars import clip, floor_to, ntz_of
 from driftloom.operators.generate import choose, cumulative
 from driftloom.schema import FieldSpec, TableSpec
+from driftloom.session import cut_lineage
 
+#: So many batch times are folded in one row; more are followed by pointer doubling.
+FOLD_TIMES = 20_000
 # Bounds of a drifted probability before it is normalised.
 PROBABILITY_FLOOR, PROBABILITY_CEILING = 0.01, 1.0
 
@@ -65,22 +68,60 @@ def _resampled(f: FieldSpec, seed: int, magnitude: float, row_id: str, event: st
 # --- schedule ----------------------------------------------------------------
 
 
-def drift_epochs(df: DataFrame, ts: str, batch: str, origin_us: Column, interval_seconds: float) -> DataFrame:
-    """The batches that drift: the first one of every interval after the first interval.
+def drift_epochs(df: DataFrame, ts: str, batch: str, origin_us: Column, interval_seconds: float, fold: int = FOLD_TIMES) -> DataFrame:
+    """The batches that drift: a batch drifts once ``interval_seconds`` have passed since the last drift.
 
-    ``origin_us`` is the start of the run.  One row per drift event, with ``epoch`` (the number
-    of the interval), the ``batch`` that drifts and ``drift_ts``, the time it starts.  The
-    aggregates combine on the map side, so a hot batch costs nothing extra.
+    ``origin_us`` is the start of the run.  One row per drift event, with ``epoch`` (the number of
+    whole intervals since the start), the ``batch`` that drifts and ``drift_ts``, the time it
+    starts.  Up to ``fold`` times are walked in order within one row.  For more, every time points to
+    the first batch at least one interval later, and the events are what the start reaches over these
+    pointers, found by doubling them: as many rounds as the logarithm of the number of events.
     """
     width = int(interval_seconds * 1_000_000)
     starts = df.groupBy(batch).agg(F.min(ts).alias("drift_ts"))
-    epoch = F.floor((floor_to(F.col("drift_ts"), 1) - origin_us) / F.lit(width)).cast("long")
-    return (
-        starts.withColumn("epoch", epoch)
-        .where("epoch >= 1")
-        .groupBy("epoch")
-        .agg(F.min_by(batch, "drift_ts").alias(batch), F.min("drift_ts").alias("drift_ts"))
+    starts = cut_lineage(starts.withColumn("_t", floor_to(F.col("drift_ts"), 1) - origin_us))
+    zero = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("_t"))
+    times = cut_lineage(starts.where("_t >= 0").select("_t").union(zero).distinct())
+    slot = F.floor(F.col("_t") / F.lit(width)).cast("long")
+    if times.count() <= fold:
+        reached = _walked(times, width)
+    else:
+        reached = _reached(times, zero, slot, width)
+    events = starts.join(reached.where("_t > 0"), "_t").groupBy("_t").agg(F.min(batch).alias(batch), F.min("drift_ts").alias("drift_ts"))
+    return events.select(slot.alias("epoch"), batch, "drift_ts")
+
+
+def _walked(times: DataFrame, width: int) -> DataFrame:
+    """The drift times among ``times``, walked from zero."""
+    def step(acc: Column, t: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return F.when(t >= last + width, F.array_append(acc, t)).otherwise(acc)
+
+    every = times.agg(F.sort_array(F.collect_list("_t")).alias("_all"))
+    return every.select(F.explode(F.aggregate("_all", F.array(F.lit(0).cast("long")), step)).alias("_t"))
+
+
+def _reached(times: DataFrame, zero: DataFrame, slot: Column, width: int) -> DataFrame:
+    # The first time at or after (time + interval) in the next slot, else the first one of a later slot.
+    marks = times.select(slot.alias("_b"), "_t", F.lit(False).alias("_asks")).union(
+        times.select((slot + 1).alias("_b"), (F.col("_t") + width).alias("_t"), F.lit(True).alias("_asks"))
     )
+    w = Window.partitionBy("_b").orderBy(F.desc("_t"), F.asc("_asks")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(~F.col("_asks"), F.col("_t")), ignorenulls=True).over(w)
+    near = marks.withColumn("_near", seen).where("_asks").select((F.col("_t") - width).alias("_t"), "_near")
+    per_slot = times.groupBy(slot.alias("_b")).agg(F.min("_t").alias("_first"))  # one row per interval
+    ahead = Window.orderBy("_b")
+    far = F.when(F.lead("_b", 1).over(ahead) >= F.col("_b") + 2, F.lead("_first", 1).over(ahead)).otherwise(F.lead("_first", 2).over(ahead))
+    jump = near.withColumn("_b", slot).join(per_slot.select("_b", far.alias("_far")), "_b", "left")
+    jump = cut_lineage(jump.select("_t", F.coalesce("_near", "_far").alias("_to")).where("_to is not null"))
+    reached = zero
+    while True:
+        more = cut_lineage(reached.join(jump, "_t").select(F.col("_to").alias("_t")))
+        if not more.count():
+            break
+        reached = cut_lineage(reached.union(more).distinct())
+        jump = cut_lineage(jump.join(jump.select(F.col("_t").alias("_to"), F.col("_to").alias("_next")), "_to").select("_t", F.col("_next").alias("_to")))
+    return reached
 
 
 def event_parameters(epochs: DataFrame, spec: TableSpec, magnitude: float) -> DataFrame:

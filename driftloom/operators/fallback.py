@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.operators.series import SeriesKey, carry_forward
+from driftloom.operators.series import SeriesKey, carry_forward, chunked, lag, position
 
 RATIO_LIMIT, RATIO_MINIMUM = 0.8, 10
 
@@ -64,6 +64,32 @@ def fill(
     )
 
 
+def fill_from_model(
+    rows: DataFrame, key: SeriesKey, value: str, coefficients: DataFrame, emitted_at: Column, reason: str | None = None
+) -> DataFrame:
+    """Missing values of a gridded series from its fitted model (:func:`forecast.fit_ar`) and recent context.
+
+    A gap of h steps after the last known value takes the model's forecast h steps ahead of it.  Adds
+    ``data_type``, ``source`` (real, model or none), ``error`` (why the value is missing) and ``emitted_at``.
+    """
+    known = rows.where(F.col(value).isNotNull())
+    steps = lag(known, key, value, 1, "_previous").select(*key.keys, *key.order, (F.col(value) - F.col("_previous")).alias("_dy"))
+    placed = position(chunked(rows, key), key, "_at").join(steps, [*key.keys, *key.order], "left")
+    context = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("y"), F.coalesce("_dy", F.lit(0.0)).alias("dy"), F.col("_at").alias("at")))
+    carried = carry_forward(placed.withColumn("_context", context), key, "_context", "_last")
+    joined = carried.join(coefficients.select(*key.keys, "phi"), list(key.keys), "left")
+    phi, h = F.col("phi"), F.col("_at") - F.col("_last.at")
+    made = F.col("_last.y") + F.col("_last.dy") * phi * (F.lit(1.0) - F.pow(phi, h)) / (F.lit(1.0) - phi)
+    real = F.col(value).isNotNull()
+    source = F.when(real, "real").when(made.isNotNull(), "model").otherwise("none")
+    error = F.when(~real, F.coalesce(F.col(reason), F.lit("missing")) if reason else F.lit("missing"))
+    return joined.withColumns({
+        "_filled": F.coalesce(F.col(value), made),
+        "data_type": F.when(real, "real").when(made.isNotNull(), "synthetic").otherwise("empty"),
+        "source": source, "error": error, "emitted_at": emitted_at,
+    }).select(*[F.col("_filled").alias(c) if c == value else F.col(c) for c in rows.columns], "data_type", "source", "error", "emitted_at")
+
+
 def synthetic_ratio(
     df: DataFrame, keys: Sequence[str], bucket: str, limit: float = RATIO_LIMIT, minimum: int = RATIO_MINIMUM
 ) -> DataFrame:

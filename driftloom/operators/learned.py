@@ -57,7 +57,7 @@ def train_forest(
     for target in targets:
         forest = RandomForestRegressor(
             featuresCol="_features", labelCol=target, predictionCol=f"predicted_{target}",
-            numTrees=trees, maxDepth=depth, seed=seed,
+            numTrees=trees, maxDepth=depth, seed=seed, bootstrap=trees > 1,
         )
         rows = df.where(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("double"))
         models[target] = Pipeline(stages=[*stages, forest]).fit(rows)

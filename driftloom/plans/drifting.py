@@ -58,8 +58,16 @@ def drift_category(spark, folder):
     return out.select("o_orderkey", "o_orderpriority")
 
 
-# Batches of ten minutes of event time, drift every six hours.
-BATCH_SECONDS, DRIFT_SECONDS = 600, 6 * 3600
+# Batches of ten minutes of event time; drift six hours and some after the last one, no multiple of a batch.
+BATCH_SECONDS, DRIFT_SECONDS = 600, 6 * 3600 + 250
+WIDTH = DRIFT_SECONDS * 1_000_000
+EVENTS_SQL = f"""b AS (SELECT *, floor(epoch_us(ts) / {BATCH_SECONDS * 1_000_000}.0::DOUBLE)::BIGINT AS batch FROM events),
+        s AS (SELECT batch, min(epoch_us(ts)) AS t, min(ts) AS batch_ts FROM b GROUP BY batch),
+        o AS (SELECT min(t) AS o FROM s),
+        d(t) AS (SELECT o FROM o UNION ALL
+                 SELECT min(s.t) FROM s, d WHERE s.t >= d.t + {WIDTH} HAVING min(s.t) IS NOT NULL),
+        f AS (SELECT floor((d.t - o) / {WIDTH}.0::DOUBLE)::BIGINT AS epoch, min(batch) AS batch
+              FROM d, o, s WHERE s.t = d.t AND d.t > o GROUP BY 1)"""
 TYPES = ["click", "view", "signup", "error", "purchase"]
 STREAM = TableSpec.of(
     "events",
@@ -90,12 +98,7 @@ def _schedule_sql() -> str:
         for k, p in enumerate(kind.probabilities)
     )
     edges = [f"list_sum(p[1:{k}]) / list_sum(p)" for k in range(1, len(TYPES))]
-    return f"""WITH b AS (SELECT *, floor(epoch_us(ts) / {BATCH_SECONDS * 1_000_000}.0::DOUBLE)::BIGINT AS batch
-                   FROM events),
-        s AS (SELECT batch, min(ts) AS batch_ts FROM b GROUP BY batch),
-        e AS (SELECT *, floor((epoch_us(batch_ts) - (SELECT min(epoch_us(ts)) FROM events))
-                              / {DRIFT_SECONDS * 1_000_000}.0::DOUBLE)::BIGINT AS epoch FROM s),
-        f AS (SELECT epoch, arg_min(batch, batch_ts) AS batch FROM e WHERE epoch >= 1 GROUP BY epoch),
+    return f"""WITH RECURSIVE {EVENTS_SQL},
         q AS (SELECT *, [{moved}] AS p,
                 CASE WHEN {duck.uniform(SEED, 'value', 'drift/direction', 'epoch')} < 0.5 THEN -1 ELSE 1 END
                   * {duck.num(MAGNITUDE * value.std)} AS shift,
@@ -119,13 +122,9 @@ def drift_schedule(spark, folder):
 
 @query(
     "drift_counts",
-    f"""WITH s AS (SELECT floor(epoch_us(ts) / {BATCH_SECONDS * 1_000_000}.0::DOUBLE)::BIGINT AS batch,
-                   min(ts) AS t FROM events GROUP BY 1),
-        e AS (SELECT *, floor((epoch_us(t) - (SELECT min(epoch_us(ts)) FROM events))
-                              / {DRIFT_SECONDS * 1_000_000}.0::DOUBLE)::BIGINT AS epoch FROM s),
-        f AS (SELECT *, epoch >= 1 AND row_number() OVER (PARTITION BY epoch ORDER BY t) = 1 AS drifted FROM e)
-        SELECT 'events' AS generator, count(*) AS batches, count(*) FILTER (drifted) AS drift_events,
-            max(t) FILTER (drifted) AS last_drift FROM f""",
+    f"""WITH RECURSIVE {EVENTS_SQL}
+        SELECT 'events' AS generator, count(*) AS batches, count(f.batch) AS drift_events,
+            max(batch_ts) FILTER (f.batch IS NOT NULL) AS last_drift FROM s LEFT JOIN f ON s.batch = f.batch""",
 )
 def drift_counts(spark, folder):
     rows = _scheduled(spark, folder).withColumn("generator", F.lit("events"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import rng
 from driftloom.functions.scalars import floor_to, truncated
 from driftloom.operators import fallback as fb
+from driftloom.operators.forecast import fit_ar
 from driftloom.operators.series import SeriesKey
 from driftloom.plans import duck
 from driftloom.plans.repairing import LOSSY, lossy
@@ -77,6 +78,40 @@ def fallback_carry(spark, folder):
     return out.withColumn("reading", F.round("reading", 6))
 
 
+_LOST = duck.uniform(SEED, "y", "outage", "day_no", duck.text_id("event_type"))
+
+
+@query(
+    "fallback_model",
+    f"""WITH d AS (SELECT *, epoch_us(day) // 86400000000 AS day_no FROM (
+                SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS day, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)),
+        g AS (SELECT event_type, day, CASE WHEN {_LOST} >= 0.3::DOUBLE THEN total END AS y FROM d),
+        k AS (SELECT *, row_number() OVER w AS pos FROM g WINDOW w AS (PARTITION BY event_type ORDER BY day)),
+        n AS (SELECT *, y - lag(y) OVER (PARTITION BY event_type ORDER BY day) AS dy FROM k WHERE y IS NOT NULL),
+        o AS (SELECT *, lag(dy) OVER (PARTITION BY event_type ORDER BY day) AS ldy FROM n),
+        f AS (SELECT event_type, greatest(-0.999::DOUBLE, least(0.999::DOUBLE, sum(dy * ldy) / sum(ldy * ldy))) AS phi FROM o GROUP BY 1),
+        j AS (SELECT k.*, last_value(n.y IGNORE NULLS) OVER w AS ly, last_value(coalesce(n.dy, CASE WHEN n.y IS NOT NULL THEN 0 END) IGNORE NULLS) OVER w AS ldy,
+                last_value(CASE WHEN n.y IS NOT NULL THEN k.pos END IGNORE NULLS) OVER w AS lpos
+              FROM k LEFT JOIN n ON k.event_type = n.event_type AND k.day = n.day
+              WINDOW w AS (PARTITION BY k.event_type ORDER BY k.day ROWS UNBOUNDED PRECEDING))
+        SELECT j.event_type, j.day, round(coalesce(y, ly + ldy * phi * (1 - phi ** (pos - lpos)) / (1 - phi)), 4) AS y,
+            CASE WHEN y IS NOT NULL THEN 'real' WHEN ly IS NOT NULL THEN 'synthetic' ELSE 'empty' END AS data_type,
+            CASE WHEN y IS NOT NULL THEN 'real' WHEN ly IS NOT NULL THEN 'model' ELSE 'none' END AS source,
+            CASE WHEN y IS NULL THEN 'missing' END AS error, day + INTERVAL 1 DAY AS emitted_at
+        FROM j JOIN f ON j.event_type = f.event_type""",
+)
+def fallback_model(spark, folder):
+    """Daily totals with three in ten days lost, repaired by the fitted model of each type."""
+    day = truncated(F.col("ts"), DAY)
+    daily = table(spark, folder, "events").groupBy("event_type", day.alias("day")).agg(F.round(F.sum("value"), 4).alias("y"))
+    daily = daily.withColumn("_day", floor_to(F.col("day"), DAY * 1_000_000))
+    kept = rng.uniform(SEED, "y", "outage", "_day", rng.text_id("event_type")) >= 0.3
+    daily = daily.withColumn("y", F.when(kept, F.col("y"))).drop("_day")
+    key = SeriesKey(("event_type",), "day")
+    out = fb.fill_from_model(daily, key, "y", fit_ar(daily, key, "y"), F.col("day") + F.expr("interval 1 day"))
+    return out.withColumn("y", F.round("y", 4))
+
+
 @query(
     "synthetic_ratio",
     f"""SELECT user_id, count(*) FILTER (data_type = 'real') AS real_rows,

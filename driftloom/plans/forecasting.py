@@ -272,6 +272,41 @@ def forest(spark, folder):
     return out.select("l_returnflag", "l_linestatus", "day", "y", "predicted_y")
 
 
+@query(
+    "forest_groups",
+    """SELECT l_returnflag, l_linestatus, day, round(avg(y) OVER (PARTITION BY l_returnflag, l_linestatus), 3) AS predicted_y
+       FROM (SELECT l_returnflag, l_linestatus, date_trunc('day', l_shipdate)::TIMESTAMP AS day, round(sum(l_extendedprice), 2) AS y
+             FROM lineitem GROUP BY ALL)""",
+)
+def forest_groups(spark, folder):
+    """One tree without resampling on the two keys: the mean of each group."""
+    sales = daily_sales(spark, folder)
+    models = learned.train_forest(sales, ["y"], list(FLAGS.keys), trees=1)
+    out = learned.predict_forest(models, sales)
+    return out.select("l_returnflag", "l_linestatus", "day", F.round("predicted_y", 3).alias("predicted_y"))
+
+
+_FLAG_ID = duck.text_id("concat(l_returnflag, l_linestatus)")
+
+
+@query(
+    "forest_recursive_groups",
+    f"""SELECT l_returnflag, l_linestatus, step::INTEGER AS step, last_ts + to_days(step::INTEGER) AS ts,
+            round(m * (1.0::DOUBLE + 0.01::DOUBLE * {duck.normal(SEED, 'y', 'recursive', _FLAG_ID, 'step')}), 3) AS generated
+        FROM (SELECT l_returnflag, l_linestatus, max(day) AS last_ts, avg(y) AS m FROM (
+                SELECT l_returnflag, l_linestatus, date_trunc('day', l_shipdate)::TIMESTAMP AS day, round(sum(l_extendedprice), 2) AS y
+                FROM lineitem GROUP BY ALL) GROUP BY ALL), (SELECT unnest(range(1, 7)) AS step)""",
+)
+def forest_recursive_groups(spark, folder):
+    """Six days per series from a one-tree model of the keys: the group's mean with keyed noise."""
+    sales = daily_sales(spark, folder)
+    model = learned.train_forest(sales, ["y"], list(FLAGS.keys), trees=1)["y"]
+    state = learned.last_lags(sales, FLAGS, "y", 1)
+    sid = rng.text_id("concat(l_returnflag, l_linestatus)")
+    out = learned.generate_recursively(model, state, FLAGS.keys, "y", 1, 6, DAY, SEED, sid)
+    return out.withColumn("generated", F.round("generated", 3))
+
+
 @query("forest_recursive")
 def forest_recursive(spark, folder):
     """Twelve days per series, each prediction fed back as the newest lag."""

@@ -340,3 +340,29 @@ def gen_customers_transactions(spark, folder):
         .drop("emitted_at")
         .join(traits, "customer_id")
     )
+
+
+def _coin(spec, draws):
+    return F.when(draws.uniform() < 0.5, "heads").otherwise("tails")
+
+
+@query(
+    "gen_custom_field",
+    f"""SELECT o_orderkey, CASE WHEN {duck.uniform(42, 'side', 'value', 'o_orderkey')} < 0.5 THEN 'heads' ELSE 'tails' END AS side
+        FROM orders""",
+)
+def gen_custom_field(spark, folder):
+    """A field of a user's own type over the order ids."""
+    g.register_field_type("coin", _coin)
+    spec = TableSpec.of("coins", {"side": {"type": "coin"}}, 42)
+    return g.generate(table(spark, folder, "orders"), spec, "o_orderkey", ["o_orderkey"])
+
+
+WIDE = "(SELECT o_orderkey, o_orderkey * 4000000007 AS wide FROM orders)"
+
+
+@query("gen_wide_ids", duck_table(PRESET, WIDE, "wide", ["wide"]))
+def gen_wide_ids(spark, folder):
+    """The preset over ids far above 32 bits."""
+    ids = table(spark, folder, "orders").select((F.col("o_orderkey") * F.lit(4000000007)).alias("wide"))
+    return rounded(g.generate(ids, PRESET, "wide", ["wide"]), PRESET)

@@ -6,6 +6,7 @@ unpacked again; the oracle is the plain selection.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from driftloom.functions.scalars import micros_of, truncated
@@ -15,6 +16,7 @@ from driftloom.plans.tables import query, table
 from driftloom.session import fresh_path
 from driftloom.sinks import writers
 from driftloom.sources import history as h
+from driftloom.sources.custom import register_source
 from driftloom.sources import payloads as p
 
 SEED = 42
@@ -142,12 +144,7 @@ def mixed_body():
        FROM events""",
 )
 def ingest_bad_split(spark, folder):
-    good, bad = p.split(packed(_events(spark, folder), mixed_body()), "payload")
-    return (
-        good.withColumn("reason", F.lit(None).cast("string"))
-        .unionByName(bad.withColumn("shape", F.lit(None).cast("string")))
-        .select("event_id", "shape", "reason")
-    )
+    return p.classified(packed(_events(spark, folder), mixed_body()), "payload").select("event_id", "shape", "reason")
 
 
 # --- history -----------------------------------------------------------------
@@ -290,3 +287,20 @@ def parquet_scan(spark, folder):
     return h.read_history(spark, f"{folder}/supplier.parquet")
 
 
+
+
+def _order_slice(lo, hi, options):
+    """Orders with keys in [lo, hi), read where the slice is planned."""
+    import pyarrow.dataset as ds
+
+    rows = ds.dataset(options["path"]).to_table(columns=["o_orderkey", "o_totalprice"], filter=(ds.field("o_orderkey") >= lo) & (ds.field("o_orderkey") < hi))
+    return pa.RecordBatch.from_arrays([c.combine_chunks() for c in rows.columns], names=rows.column_names)
+
+
+@query("custom_source", "SELECT o_orderkey, o_totalprice FROM orders")
+def custom_source(spark, folder):
+    """A user's own source that serves the orders in slices of their keys."""
+    register_source(spark, "order_slices", "o_orderkey bigint, o_totalprice double", _order_slice)
+    end = table(spark, folder, "orders").agg(F.max("o_orderkey") + 1).first()[0]
+    reader = spark.read.format("order_slices").option("end", str(end)).option("sliceRows", str(max(1, end // 8 + 1)))
+    return reader.option("path", f"{folder}/orders.parquet").load()

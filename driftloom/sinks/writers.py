@@ -55,15 +55,16 @@ def write_kafka(df: DataFrame, topic: str, servers: str) -> None:
     payload.option("topic", topic).save()
 
 
-def show(df: DataFrame, name: str = "console", pretty: bool = True, rows: int = 20) -> str:
-    """Print the first rows as a table (or one JSON object per line); returns the text."""
+def show(df: DataFrame, name: str = "console", pretty: bool = True, rows: int | None = None) -> int:
+    """Print all rows (or the first ``rows``), a partition at a time; returns how many were printed."""
+    picked = df if rows is None else df.limit(rows)
     if pretty:
-        lines = [f"--- {name} ---", *[str(r.asDict()) for r in df.limit(rows).collect()]]
-    else:
-        lines = [r["value"] for r in kafka_payload(df.limit(rows)).collect()]
-    text = "\n".join(lines)
-    print(text)
-    return text
+        print(f"--- {name} ---")
+    printed = 0
+    for row in (picked if pretty else kafka_payload(picked)).toLocalIterator():
+        print(row.asDict() if pretty else row["value"])
+        printed += 1
+    return printed
 
 
 def sample(df: DataFrame, fraction: float, seed: int, row_id: str) -> DataFrame:

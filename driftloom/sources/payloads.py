@@ -15,6 +15,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.session import cut_lineage
+
 BAR_FIELDS = ("open", "high", "low", "close", "volume")
 # Fixed texts that mark the payload shapes.
 SERIES_MARK = "Time Series"
@@ -31,11 +33,6 @@ def _series_text(top: Column) -> Column:
     return F.try_element_at(top, key)
 
 
-def _plain_name(name: Column) -> Column:
-    """``"1. open"`` -> ``open``; names without a numbered prefix stay."""
-    return F.when(name.contains(". "), F.split_part(name, F.lit(". "), F.lit(2))).otherwise(name)
-
-
 def map_payload(
     df: DataFrame, payload: str, keep: Sequence[str] = (), fields: Sequence[str] = BAR_FIELDS
 ) -> DataFrame:
@@ -43,25 +40,13 @@ def map_payload(
 
     Values that are not numbers become null.
     """
-    series = F.from_json(_series_text(F.col("_top")), "map<string,map<string,string>>")
-    parsed = df.select(*keep, _top(F.col(payload)).alias("_top")).select(*keep, series.alias("_series"))
-    # The names are resolved once per payload: plain name -> key as written.
-    written = F.array_distinct(F.flatten(F.transform(F.map_values("_series"), F.map_keys)))
-    named = parsed.select(*keep, "_series", written.alias("_keys")).select(
-        *keep, "_series", "_keys", F.transform("_keys", _plain_name).alias("_names")
-    )
-
-    def key(name: str) -> Column:
-        place = F.nullif(F.array_position("_names", name), F.lit(0)).cast("int")
-        return F.try_element_at(F.col("_keys"), place).alias(f"_key_{name}")
-
-    points = (
-        named.select(*keep, "_series", *map(key, fields))
-        .select(*keep, *[f"_key_{f}" for f in fields], F.explode_outer("_series").alias("_at", "_point"))
-        .where("_at is not null")
-    )
-    numbers = [F.expr(f"try_cast(try_element_at(_point, `_key_{f}`) as double)").alias(f) for f in fields]
-    return points.select(*keep, F.col("_at").try_cast("timestamp_ntz").alias("ts"), *numbers)
+    inner = ", ".join(f"`{f}`: string" for f in fields)
+    # Field names lose their number where they stand, so that one parse finds them by name.
+    text = F.regexp_replace(_series_text(F.col("_top")), r'"[^"]*?\. ([^"]+)"(\s*:)', '"$1"$2')
+    parsed = df.select(*keep, _top(F.col(payload)).alias("_top")).select(*keep, text.alias("_text"))
+    points = parsed.select(*keep, F.explode_outer(F.from_json("_text", f"map<string,struct<{inner}>>")).alias("_at", "_point"))
+    numbers = [F.col("_point")[f].try_cast("double").alias(f) for f in fields]
+    return points.where("_at is not null").select(*keep, F.col("_at").try_cast("timestamp_ntz").alias("ts"), *numbers)
 
 
 def array_payload(
@@ -124,6 +109,6 @@ def classified(df: DataFrame, payload: str) -> DataFrame:
 
 
 def split(df: DataFrame, payload: str) -> tuple[DataFrame, DataFrame]:
-    """(good payloads with their shape, quarantined payloads with the reason)."""
-    tagged = classified(df, payload)
+    """(good payloads with their shape, quarantined payloads with the reason), classified once and written."""
+    tagged = cut_lineage(classified(df, payload))
     return tagged.where("reason is null").drop("reason"), tagged.where("reason is not null").drop("shape")

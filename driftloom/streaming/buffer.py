@@ -32,13 +32,16 @@ class _Newest(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = list(self.rows.get()) if self.rows.exists() else []
         frames = [pd.DataFrame(held, columns=self.columns)] if held else []
-        merged = pd.concat([*frames, *[r[self.columns] for r in rows]], ignore_index=True)
-        kept = merged.sort_values(self.order).tail(self.n)
+        kept, seen = (frames[0] if frames else pd.DataFrame(columns=self.columns)), len(held)
+        for frame in rows:  # never more than one frame beyond what is kept
+            seen += len(frame)
+            part = frame[self.columns]
+            kept = (pd.concat([kept, part], ignore_index=True) if len(kept) else part).sort_values(self.order).tail(self.n)
         self.rows.put([tuple(r) for r in kept.itertuples(index=False)])
         out = kept.copy()
         for name, value in zip(reversed(self.keys), reversed(key)):
             out.insert(0, name, value)
-        out["dropped"] = len(merged) - len(kept)
+        out["dropped"] = seen - len(kept)
         yield out[[*self.keys, *self.columns, "dropped"]]
 
     def close(self) -> None:
@@ -68,7 +71,15 @@ def write_buffer(buffer: DataFrame, path: str, checkpoint: str) -> DataStreamWri
 
 def latest(spark: SparkSession, path: str, key: str, order: list[str], n: int = 1000) -> DataFrame:
     """Exactly the newest ``n`` rows per key out of the last state of every slot."""
-    rows = spark.read.parquet(path)
-    last = rows.groupBy(key, "slot").agg(F.max("batch_id").alias("batch_id"))
-    current = rows.join(last, [key, "slot", "batch_id"], "left_semi")
+    current = _current(spark.read.parquet(path), key)
     return newest(current, SeriesKey((key,), order[0], tuple(order[1:])), n).drop("slot", "dropped", "batch_id")
+
+
+def _current(rows: DataFrame, key: str) -> DataFrame:
+    last = rows.groupBy(key, "slot").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(last, [key, "slot", "batch_id"], "left_semi")
+
+
+def compact(spark: SparkSession, path: str, out: str, key: str) -> None:
+    """Write only the last state of every slot to ``out``; its size does not grow with the batches."""
+    _current(spark.read.parquet(path), key).write.mode("overwrite").parquet(out)

@@ -38,18 +38,18 @@ def files(name: str, path: str, fmt: str = "parquet", generators: tuple[str, ...
     return Sink(name, write, generators)
 
 
-def console(name: str = "console", pretty: bool = True, rows: int = 20) -> Sink:
+def console(name: str = "console", pretty: bool = True, rows: int | None = None) -> Sink:
     return Sink(name, lambda batch, batch_id: show(batch, f"{name} {batch_id}", pretty, rows) and None)
 
 
-def kafka(name: str, topic: str, servers: str) -> Sink:
+def kafka(name: str, topic: str, servers: str, generators: tuple[str, ...] | None = None) -> Sink:
     """Kafka sink: one JSON message per row, at least once (needs the connector jar)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         writer = kafka_payload(batch).write.format("kafka").option("kafka.bootstrap.servers", servers)
         writer.option("topic", topic).save()
 
-    return Sink(name, write)
+    return Sink(name, write, generators)
 
 
 def fan_out(
@@ -58,13 +58,14 @@ def fan_out(
     status_path: str,
     checkpoint: str,
     listeners: Sequence[Callable[[DataFrame, int], None]] = (),
-    retry_failed: bool = False,
+    retry_failed: bool = True,
 ) -> DataStreamWriter:
     """Write every micro-batch to all sinks and call all listeners.
 
     The batch is computed once and kept while the targets read it.  A failing target does not
-    stop the others; its failure is a row under ``status_path``.  ``retry_failed=True`` fails the
-    query after all targets were tried, so that a restart repeats the batch for them.
+    stop the others; its failure is a row under ``status_path``.  The query then fails after all
+    targets were tried, so that a restart repeats the batch for them; ``retry_failed=False`` goes
+    on and leaves the batch of a failing target out.
     """
     targets = [(s.name, s) for s in sinks] + [
         (f"listener:{getattr(fn, '__name__', 'call')}", Sink("", fn)) for fn in listeners
@@ -81,7 +82,7 @@ def fan_out(
                     status.append((batch_id, name, True, None))
                 except Exception as error:  # noqa: BLE001 - one bad target must not stop the rest
                     log.error("target %r failed on batch %s: %s", name, batch_id, error)
-                    status.append((batch_id, name, False, str(error)[:1000]))
+                    status.append((batch_id, name, False, str(error)))
         finally:
             kept.unpersist()
         rows = spark.createDataFrame(status, STATUS_SCHEMA).coalesce(1)

@@ -25,19 +25,20 @@ def monitor_counts(stream: DataFrame, streamer: Column, ts: str) -> DataFrame:
 
 
 def snapshots(counts: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Keep the complete counts of every micro-batch under ``path``; the newest one is current."""
+    """Keep the counts that each micro-batch changed under ``path``; the newest row of a key is current."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
 
-    return counts.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint)
+    return counts.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
 
 
 def current_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The newest snapshot (the filter is on a partition column, so only its files are read)."""
+    """The newest row of every streamer and data type."""
     table = spark.read.parquet(path)
-    newest = table.agg(F.max("snapshot")).scalar()
-    return table.where(F.col("snapshot") == newest).drop("snapshot")
+    rest = [c for c in table.columns if c not in ("streamer", "data_type", "snapshot")]
+    best = table.groupBy("streamer", "data_type").agg(F.max_by(F.struct(*rest), "snapshot").alias("_row"))
+    return best.select("streamer", "data_type", "_row.*")
 
 
 class ProgressLog(StreamingQueryListener):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import Any
 
@@ -18,7 +19,11 @@ from driftloom.streaming.sources import continuous_rows
 def drain(writer: DataStreamWriter, timeout: float | None = None) -> StreamingQuery:
     """Process everything that is there now, then end."""
     query = writer.trigger(availableNow=True).start()
-    query.awaitTermination(timeout) if timeout else query.awaitTermination()
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
+        query.stop()
+        raise TimeoutError(f"the stream was not drained within {timeout} seconds")
     return query
 
 
@@ -35,12 +40,11 @@ def run_for(writer: DataStreamWriter, seconds: float, every_seconds: float = 1.0
 def drift_event(batch_id: int, batch_seconds: float, drift_seconds: float) -> int | None:
     """Number of the drift event that falls on a micro-batch, or None.
 
-    Micro-batch k stands for the time ``k * batch_seconds`` of the run; the first batch of every
-    drift interval after the first one drifts.
+    Micro-batch k stands for the time ``k * batch_seconds`` of the run; a batch drifts when at
+    least ``drift_seconds`` have passed since the last one that did.
     """
-    epoch = int(batch_id * batch_seconds // drift_seconds)
-    before = int((batch_id - 1) * batch_seconds // drift_seconds) if batch_id > 0 else 0
-    return epoch if epoch >= 1 and epoch != before else None
+    every = max(1, math.ceil(drift_seconds / batch_seconds))
+    return batch_id // every if batch_id > 0 and batch_id % every == 0 else None
 
 
 def continuous_generator(

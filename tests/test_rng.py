@@ -59,3 +59,13 @@ def test_null_id_is_zero(spark):
 def test_text_id_is_stable(spark):
     ids = spark.createDataFrame([("a",), ("b",), ("a",)], "s string").select(F.expr(rng.text_id("s"))).collect()
     assert ids[0] == ids[2] != ids[1]
+
+
+def test_all_bits_of_an_id_count(spark):
+    """Ids that share their low or high half, or differ by a prime, give other rows."""
+    steps = [2147483629, 1 << 31, 1 << 32, 1 << 40, -(1 << 33)]
+    df = spark.range(1000).withColumns({f"u{k}": rng.uniform(1, "f", "value", f"id + {step}L") for k, step in enumerate([0, *steps])})
+    rows = df.collect()
+    for k in range(1, len(steps) + 1):
+        assert sum(r["u0"] == r[f"u{k}"] for r in rows) == 0
+    assert all(abs(r["u2"] - rng.uniform_value(1, "f", "value", r["id"] + (1 << 31))) < 1e-15 for r in rows)

@@ -46,7 +46,7 @@ def test_fan_out_isolates_failures_and_filters(spark, landed):
         fanout.files("odd", f"{out}/odd", "csv", ("g1",)),
         fanout.console("screen", rows=1),
     ]
-    runner.drain(fanout.fan_out(stream_of(spark, landed), sinks, f"{out}/status", f"{out}/cp", [broken, count]))
+    runner.drain(fanout.fan_out(stream_of(spark, landed), sinks, f"{out}/status", f"{out}/cp", [broken, count], retry_failed=False))
     status = fanout.status_of(spark, f"{out}/status").toPandas()
     assert status.groupby("sink").ok.all().to_dict() == {
         "all": True, "broken": False, "odd": True, "screen": True, "listener:broken": False, "listener:count": True,
@@ -66,7 +66,7 @@ def test_failed_batch_is_repeated_without_duplicates(spark, landed):
     def start():
         sinks = [fanout.files("all", f"{out}/all"), fanout.Sink("flaky", flaky)]
         stream = stream_of(spark, landed)
-        return runner.drain(fanout.fan_out(stream, sinks, f"{out}/status", f"{out}/cp", retry_failed=True))
+        return runner.drain(fanout.fan_out(stream, sinks, f"{out}/status", f"{out}/cp"))
 
     with pytest.raises(Exception, match="flaky"):
         start()
@@ -135,7 +135,8 @@ def test_run_for_emits_several_batches_and_stops(spark):
 def test_drift_event_schedule():
     events = [runner.drift_event(b, 1.0, 3.0) for b in range(8)]
     assert events == [None, None, None, 1, None, None, 2, None]
-    assert runner.drift_event(4, 1.0, 0.25) == 16
+    assert runner.drift_event(4, 1.0, 0.25) == 4
+    assert [7 * b for b in range(1, 9) if runner.drift_event(b, 7.0, 10.0)] == [14, 28, 42, 56]
 
 
 def test_continuous_source_schema(spark):
