@@ -106,9 +106,9 @@ def added(parts: DataFrame, slots: int) -> dict[int, np.ndarray]:
     driver ever holds more than eight of them; ``slots`` arrays reach the driver at the end.
     """
     n = parts.rdd.getNumPartitions()
-    while n > 8:
-        parts, n = parts.coalesce(-(-n // 8)).mapInArrow(_added, "slot int, data binary"), -(-n // 8)
-        parts = parts.repartition(n)
+    while n > 8:  # a shuffle first: merging partitions in place would merge the tasks that make the parts
+        n = -(-n // 8)
+        parts = parts.repartition(n).mapInArrow(_added, "slot int, data binary")
     sums: dict[int, np.ndarray] = {}
     for row in parts.toLocalIterator():
         data = np.frombuffer(row["data"], np.float64)
