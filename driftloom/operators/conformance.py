@@ -21,7 +21,10 @@ def _rules(f: FieldSpec, df: DataFrame) -> list[tuple[str, Column]]:
     if f.kind in CAST_TYPES:
         if isinstance(df.schema[f.name].dataType, T.StringType):
             value = raw.try_cast(CAST_TYPES[f.kind])
-        rules.append(("type", raw.isNotNull() & value.isNull()))
+        wrong = raw.isNotNull() & value.isNull()
+        if f.kind == "int" and isinstance(df.schema[f.name].dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+            wrong = raw.isNotNull() & (raw != F.floor(raw))
+        rules.append(("type", wrong))
     if f.kind in ("float", "int"):
         low, high = (f.low, f.high) if f.kind == "float" else f.int_range
         if low is not None:

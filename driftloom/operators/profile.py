@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftloom.functions.scalars import missing_sql, numeric_columns, present_sql, text_columns
+from driftloom.session import cut_lineage
 
 # Quantile sketch: rank error at most n / ACCURACY; the bracket is five times as wide on each side.
 ACCURACY = 10_000
@@ -47,21 +49,29 @@ def _kinds(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     return kinds
 
 
-def frequencies(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
-    """``(column, value, n)`` per value type, in one pass and one shuffle for each type.
+def frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column`` (its position), one value field per type, and ``n``: one pass and one shuffle for all columns.
 
-    Values keep their type.  Duplicates combine on the map side, so the shuffle carries distinct
-    values, and a value that fills a third of the table costs one row per task.  ``column`` is
-    the position in ``columns``.
+    Values keep their type, in the field ``v_<type>``; a missing value has none.  Duplicates combine
+    on the map side, so the shuffle carries distinct values, and a value that fills a third of the
+    table costs one row per task.
     """
-    columns, out = list(columns), []
-    for kind, names in _kinds(df, columns).items():
-        pairs = [
-            f"named_struct('column', {columns.index(c)}, 'value', {present_sql(df, c, kind)})" for c in names
-        ]
-        exploded = df.selectExpr(f"inline_outer(array({', '.join(pairs)}))")
-        out.append(exploded.groupBy("column", "value").agg(F.count("*").alias("n")))
-    return out
+    columns, kinds = list(columns), _kinds(df, columns)
+    pairs = []
+    for kind, names in kinds.items():
+        for c in names:
+            fields = [f"'v_{k}', {present_sql(df, c, k) if k == kind else f'cast(null as {k})'}" for k in kinds]
+            pairs.append(f"named_struct('column', {columns.index(c)}, {', '.join(fields)})")
+    exploded = df.selectExpr(f"inline_outer(array({', '.join(pairs)}))")
+    return exploded.groupBy("column", *[f"v_{k}" for k in kinds]).agg(F.count("*").alias("n"))
+
+
+def _counted(counts: DataFrame) -> DataFrame:
+    """Missing and distinct values per column of a table of :func:`frequencies`."""
+    there = reduce(or_, [F.col(c).isNotNull() for c in counts.columns if c.startswith("v_")])
+    return counts.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(~there, F.col("n"))), F.lit(0)).alias("null_count"), F.count_if(there).alias("unique_count")
+    )
 
 
 def _named(columns: Sequence[str]) -> Column:
@@ -79,32 +89,34 @@ def column_counts(df: DataFrame, columns: Sequence[str] | None = None, approxima
     types = [df.schema[c].dataType.simpleString() for c in columns]
     if approximate:
         stats = [
-            f"""named_struct('column', '{c}', 'dtype', '{t}', 'null_count', count_if({missing_sql(df, c)}),
+            f"""named_struct('column', {_text(c)}, 'dtype', '{t}', 'null_count', count_if({missing_sql(df, c)}),
                 'unique_count', approx_count_distinct({present_sql(df, c)}))"""
             for c, t in zip(columns, types)
         ]
         return df.agg(F.expr(f"array({', '.join(stats)})").alias("s")).select(F.inline("s"))
-    parts = [
-        counts.groupBy("column").agg(
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-            F.count("value").alias("unique_count"),
-        )
-        for counts in frequencies(df, columns)
-    ]
-    merged = reduce(DataFrame.unionByName, parts)
+    merged = _counted(frequencies(df, columns))
     dtype = F.element_at(F.array(*[F.lit(t) for t in types]), F.col("column") + 1)
     return merged.select(_named(columns).alias("column"), dtype.alias("dtype"), "null_count", "unique_count")
 
 
+def _text(name: str) -> str:
+    """A column name as a SQL literal."""
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _moment_fields(v: str) -> str:
+    return f"'min', min({v}), 'max', max({v}), 'mean', avg({v}), 'std', stddev_samp({v})"
+
+
+def _bracket_fields(v: str) -> str:
+    ends = f"percentile_approx({v}, array({0.5 - MARGIN}D, {0.5 + MARGIN}D), {ACCURACY})"
+    return f"'n', count({v}), 'lo', {ends}[0], 'hi', {ends}[1]"
+
+
 def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column: min, max, mean and sample standard deviation, in one aggregate."""
-    stats = []
-    for c in columns or numeric_columns(df):
-        v = present_sql(df, c, "double")
-        stats.append(
-            f"named_struct('column', '{c}', 'min', min({v}), 'max', max({v}), 'mean', avg({v}), "
-            f"'std', stddev_samp({v}))"
-        )
+    names = columns or numeric_columns(df)
+    stats = [f"named_struct('column', {_text(c)}, {_moment_fields(present_sql(df, c, 'double'))})" for c in names]
     return df.agg(F.expr(f"array({', '.join(stats)})").alias("s")).select(F.inline("s"))
 
 
@@ -125,19 +137,17 @@ def medians(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     bracket, the query fails rather than returning another value.
     """
     columns = list(columns or numeric_columns(df))
-    brackets = []
-    for i, c in enumerate(columns):
-        v = present_sql(df, c, "double")
-        ends = f"percentile_approx({v}, array({0.5 - MARGIN}D, {0.5 + MARGIN}D), {ACCURACY})"
-        brackets.append(f"named_struct('column', {i}, 'n', count({v}), 'lo', {ends}[0], 'hi', {ends}[1])")
-    state = (
-        df.agg(F.expr(f"array({', '.join(brackets)})").alias("s"))
-        .select(F.inline("s"))
-        .where("n > 0")
-        .withColumns({"r1": F.expr("(n + 1) div 2"), "r2": F.expr("n div 2 + 1")})
-    )
+    brackets = [f"named_struct('column', {i}, {_bracket_fields(present_sql(df, c, 'double'))})" for i, c in enumerate(columns)]
+    state = df.agg(F.expr(f"array({', '.join(brackets)})").alias("s")).select(F.inline("s"))
     pairs = [f"named_struct('column', {i}, 'v', cast(`{c}` as double))" for i, c in enumerate(columns)]
-    values = df.selectExpr(f"inline_outer(array({', '.join(pairs)}))").where("v is not null and not isnan(v)")
+    values = df.selectExpr(f"inline_outer(array({', '.join(pairs)}))").withColumn("n", F.lit(1))
+    return _medians(values, state).select(_named(columns).alias("column"), "median")
+
+
+def _medians(values: DataFrame, state: DataFrame) -> DataFrame:
+    """Medians of weighted ``values`` (column, v, n) inside the brackets of ``state`` (column, n, lo, hi)."""
+    state = state.where("n > 0").select("column", "lo", "hi", F.expr("(n + 1) div 2").alias("r1"), F.expr("n div 2 + 1").alias("r2"))
+    values = values.where("v is not null and not isnan(v)")
     # One row of state per numeric column of the schema: the broadcast is bounded by the schema.
     inside = values.join(F.broadcast(state), "column").where("v <= hi")
     slot = F.least(
@@ -151,7 +161,7 @@ def medians(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         "r2",
         F.when(below, F.lit(-1)).otherwise(slot).cast("int").alias("bucket"),
         F.when(~below, F.col("v")).alias("v"),
-    ).agg(F.count("*").alias("n"))
+    ).agg(F.sum("n").alias("n"))
     totals = counted.groupBy("column", "r1", "r2", "bucket").agg(F.sum("n").alias("total"))
     upto = F.sum("total").over(Window.partitionBy("column").orderBy("bucket"))
     hit = totals.withColumn("before", upto - F.col("total")).where(
@@ -168,7 +178,7 @@ def medians(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
     found = ranked.groupBy("column").agg(((at("r1") + at("r2")) / 2).alias("median"))
     checked = F.coalesce("median", F.raise_error(F.lit("median outside its sketch bracket")).cast("double"))
-    return found.select(_named(columns).alias("column"), checked.alias("median"))
+    return found.select("column", checked.alias("median"))
 
 
 # --- long form, value counts, histograms --------------------------------------
@@ -177,12 +187,36 @@ PROFILE_METRICS = ("null_count", "unique_count", "min", "max", "mean", "std", "m
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """Long-form profile ``(column, metric, value)``; metrics a column lacks give no row."""
+    """Long-form profile ``(column, metric, value)``; metrics a column lacks give no row.
+
+    Two scans: one aggregate for moments and median brackets, and one pass of value frequencies,
+    from which the counts and, inside the brackets, the medians follow.
+    """
     columns = list(columns or df.columns)
     numeric = [c for c in numeric_columns(df) if c in columns]
-    wide = column_counts(df, columns, approximate).drop("dtype")
-    if numeric:
-        wide = wide.join(moments(df, numeric), "column", "left").join(medians(df, numeric), "column", "left")
+    at = columns.index
+    if approximate:
+        wide = column_counts(df, columns, True).drop("dtype")
+        if numeric:
+            wide = wide.join(moments(df, numeric), "column", "left").join(medians(df, numeric), "column", "left")
+    else:
+        counts = cut_lineage(frequencies(df, columns))
+        wide = _counted(counts)
+        if numeric:
+            stats = [
+                f"named_struct('column', {at(c)}, {_moment_fields(v)}, {_bracket_fields(v)})" for c in numeric for v in [present_sql(df, c, "double")]
+            ]
+            state = cut_lineage(df.agg(F.expr(f"array({', '.join(stats)})").alias("s")).select(F.inline("s")))
+            numbers = [F.col(f"v_{k}").cast("double") for k in ("bigint", "double") if f"v_{k}" in counts.columns]
+            mine = F.col("column").isin([at(c) for c in numeric])
+            if len(numbers) and all(t in ("bigint", "double") for t in _kinds(df, numeric)):
+                values = counts.where(mine).select("column", F.coalesce(*numbers).alias("v"), "n")
+                middle = _medians(values, state)
+            else:  # decimals are compared as text
+                named = F.map_from_arrays(F.array(*[F.lit(c) for c in numeric]), F.array(*[F.lit(at(c)) for c in numeric]))
+                middle = medians(df, numeric).select(F.element_at(named, F.col("column")).alias("column"), "median")
+            wide = wide.join(state.drop("n", "lo", "hi"), "column", "left").join(middle, "column", "left")
+        wide = wide.withColumn("column", _named(columns))
     present = [m for m in PROFILE_METRICS if m in wide.columns]
     wide = wide.select("column", *[F.col(m).cast("double").alias(m) for m in present])
     return wide.unpivot("column", present, "metric", "value").where("value is not null")
@@ -218,8 +252,9 @@ def category_frequency(df: DataFrame, column: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """Equal-width histogram with all bins present; the maximum falls into the last bin."""
-    present = df.where(f"not {missing_sql(df, column)}").select(_c(column).cast("double").alias("v"))
+    """Equal-width histogram of the finite values with all bins present; the maximum falls into the last bin."""
+    value = _c(column).cast("double")
+    present = df.where(f"not {missing_sql(df, column)}").where(F.abs(value) < float("inf")).select(value.alias("v"))
     ends = present.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
     flat = ends["lo"] == ends["hi"]
     lo = F.when(flat, ends["lo"] - 0.5).otherwise(ends["lo"])
