@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
@@ -86,3 +87,21 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+
+
+#: Steps of a grid that come out of one array.
+GRID_BLOCK = 4096
+
+
+def stepped(df: DataFrame, columns: Sequence[str], start: Column, end: Column, step_seconds: int, out: str) -> DataFrame:
+    """``columns`` of every row at every step from ``start`` to ``end`` (both included).
+
+    Steps are dealt in blocks, so the longest array holds a step per block, not per point.
+    """
+    step = step_seconds * MICROS_PER_SECOND
+    last = F.floor((micros_of(F.col("_end")) - micros_of(F.col("_start"))) / F.lit(step)).cast("long")
+    rows = df.select(*columns, start.alias("_start"), end.alias("_end")).withColumn("_last", last).where("_last >= 0")
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / GRID_BLOCK).cast("long"))))
+    first = F.col("_block") * GRID_BLOCK
+    rows = rows.withColumn("_k", F.explode(F.sequence(first, F.least(F.col("_last"), first + GRID_BLOCK - 1))))
+    return rows.select(*columns, F.timestamp_add("MICROSECOND", F.col("_k") * F.lit(step), F.col("_start")).alias(out))

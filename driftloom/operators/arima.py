@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftloom.operators.series import SeriesKey, interpolate, lags, newest
+from driftloom.operators.series import SeriesKey, chunked, interpolate, lags, newest
 from driftloom.session import cut_lineage
 
 Order = tuple[int, int, int]
@@ -106,8 +106,9 @@ def fit_arima(
     steps = [j for j in range(len(poly)) if poly[j]]
     reach = max([0, *ar, *ma])
     rows, tk = _melted(df, key, values)
+    rows = chunked(cut_lineage(rows), tk)  # chunks are assigned once, for all steps below
     ends = rows.groupBy(*tk.keys).agg(F.max(tk.ts).alias("last_ts"), F.count("y").alias("n_obs"))
-    plain = [*tk.keys, *[c for c in tk.order if c not in tk.keys]]
+    plain = [*tk.keys, *[c for c in tk.order if c not in tk.keys], "_chunk"]
     filled = interpolate(rows, tk, "y", "v").where(F.col("v").isNotNull()).select(*plain, "v")
     if len(steps) > 1:
         wanted = {f"v{j}": ("v", j) for j in steps[1:]}

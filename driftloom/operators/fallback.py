@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.functions import rng
+from driftloom.functions.scalars import stepped
 from driftloom.operators.series import SeriesKey, carry_forward, chunked, lag, position
 
 RATIO_LIMIT, RATIO_MINIMUM = 0.8, 10
@@ -16,8 +18,7 @@ def time_grid(
     series: DataFrame, keys: Sequence[str], start: Column, end: Column, step_seconds: int, out: str = "bucket"
 ) -> DataFrame:
     """Every series at every step from ``start`` to ``end``; one input row per series."""
-    step = F.make_dt_interval(secs=F.lit(step_seconds))
-    return series.select(*keys, F.explode(F.sequence(start, end, step)).alias(out))
+    return stepped(series, keys, start, end, step_seconds, out)
 
 
 def fill(
@@ -90,6 +91,24 @@ def fill_from_model(
     }).select(*[F.col("_filled").alias(c) if c == value else F.col(c) for c in rows.columns], "data_type", "source", "error", "emitted_at")
 
 
+def fill_stream(
+    stream: DataFrame, moments: DataFrame, keys: Sequence[str], value: str, seed: int, row_id: str, emitted_at: Column
+) -> DataFrame:
+    """Missing values of a stream from a stored model table (``mean``, ``std``) by a stream-static join.
+
+    Adds ``source`` (real, model or none), ``error`` (the reason column of the row) and ``emitted_at``.
+    A row whose key the model does not know stays, without a value.
+    """
+    joined = stream.join(moments.select(*keys, "mean", "std"), list(keys), "left")
+    made = F.col("mean") + F.col("std") * rng.normal(seed, value, "fallback", row_id)
+    real = F.col(value).isNotNull()
+    return joined.withColumns({
+        "source": F.when(real, "real").when(made.isNotNull(), "model").otherwise("none"),
+        "error": F.when(~real, F.coalesce("reason", F.lit("missing"))),
+        "emitted_at": emitted_at, "_filled": F.coalesce(F.col(value), made),
+    }).drop("mean", "std", value).withColumnRenamed("_filled", value)
+
+
 def synthetic_ratio(
     df: DataFrame, keys: Sequence[str], bucket: str, limit: float = RATIO_LIMIT, minimum: int = RATIO_MINIMUM
 ) -> DataFrame:

@@ -222,6 +222,17 @@ def default_series(spark, folder):
     return out.withColumn("value", F.round("value", 6))
 
 
+@query(
+    "default_point",
+    f"""SELECT user_id, t AS timestamp, {duck.rounded(duck.normal(SEED, 'value', 'default', 'user_id', 'epoch_us(t) // 86400000000'))} AS value
+        FROM (SELECT user_id, max(ts) AS t FROM events GROUP BY user_id)""",
+)
+def default_point(spark, folder):
+    """One default point per user, at the user's last time."""
+    last = table(spark, folder, "events").groupBy("user_id").agg(F.max("ts").alias("t"))
+    return h.default_point(last, ["user_id"], "t", SEED, "user_id").withColumn("value", F.round("value", 6))
+
+
 # --- sinks: written to the shared folder and read back -----------------------
 
 ORDER_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]

@@ -6,11 +6,14 @@ import time
 
 from pyspark.sql import functions as F
 
+from driftloom.operators.fallback import fill_stream
+from driftloom.operators.forecast import fit_moments
 from driftloom.operators.generate import generate, stamp
+from driftloom.plans import duck
 from driftloom.plans.generation import PRESET, duck_table, rounded
 from driftloom.plans.repairing import GONE
 from driftloom.plans.tables import query, table
-from driftloom.operators.series import knocked_out
+from driftloom.operators.series import SeriesKey, knocked_out
 from driftloom.session import fresh_path
 from driftloom.streaming import buffer, fanout, monitor, runner
 from driftloom.streaming.sources import landed_files
@@ -60,6 +63,52 @@ def stream_monitor(spark, folder):
     return monitor.current_counts(spark, f"{path}/out")
 
 
+_M = "(SELECT event_type, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1)"
+
+
+@query(
+    "stream_fallback",
+    f"""SELECT event_id, e.event_type, CASE WHEN {GONE} THEN round(m + s * {duck.normal(42, 'reading', 'fallback', 'event_id')}, 6) ELSE value END AS reading,
+            CASE WHEN {GONE} THEN 'model' ELSE 'real' END AS source, CASE WHEN {GONE} THEN 'error' END AS error, ts AS emitted_at
+        FROM events e JOIN {_M} m ON e.event_type = m.event_type""",
+)
+def stream_fallback(spark, folder):
+    """Lost readings of a stream repaired where they pass, from the stored moments of their type."""
+    path = fresh_path(spark, "repair")
+    fit_moments(table(spark, folder, "events"), SeriesKey(("event_type",), "ts"), "value").write.parquet(f"{path}/moments")
+    model = spark.read.parquet(f"{path}/moments")
+    repaired = fill_stream(tagged_stream(spark, folder), model, ["event_type"], "reading", 42, "event_id", F.col("ts"))
+    rows = repaired.select("event_id", "event_type", F.when(F.col("source") == "model", F.round("reading", 6)).otherwise(F.col("reading")).alias("reading"), "source", "error", "emitted_at")
+    runner.drain(fanout.fan_out(rows, [fanout.files("repaired", f"{path}/out")], f"{path}/status", f"{path}/checkpoint"))
+    return spark.read.parquet(f"{path}/out").drop("batch_id")
+
+
+@query(
+    "stream_continuous",
+    duck_table(PRESET, "events", "event_id", ["event_id"]),
+)
+def stream_continuous(spark, folder):
+    """The endless generator, started, stopped once it has passed all event ids, and read back by id."""
+    path, events = fresh_path(spark, "endless"), table(spark, folder, "events").select("event_id")
+    last = events.agg(F.max("event_id")).first()[0]
+    done = []
+
+    def emit(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
+        done.append(batch_id)
+
+    size = max(1000, (last + 1) // 4)
+    running = runner.continuous_generator(spark, PRESET, size, f"{path}/checkpoint", emit).trigger(processingTime="0 seconds").start()
+    try:
+        deadline = time.time() + 120
+        while len(done) * size <= last and running.isActive and time.time() < deadline:
+            time.sleep(0.1)
+    finally:
+        running.stop()
+    made = spark.read.parquet(f"{path}/out").drop("batch_id", "generator", "drifted").withColumnRenamed("row_id", "event_id")
+    return rounded(made.join(events, "event_id", "left_semi"), PRESET)
+
+
 def _broken(batch, batch_id):
     raise RuntimeError("target is down")
 

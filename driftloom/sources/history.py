@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions import rng
-from driftloom.functions.scalars import MICROS_PER_SECOND, floor_to, micros_of, ntz_literal, ntz_of
+from driftloom.functions.scalars import MICROS_PER_SECOND, floor_to, micros_of, ntz_literal, ntz_of, stepped
 from driftloom.operators.series import SeriesKey, ohlcv
 
 MINUTE, HOUR, DAY, WEEK = 60, 3600, 86400, 604800
@@ -72,11 +72,14 @@ def default_series(
     The value is keyed by series and day, so any slice of the grid can be made alone.
     """
     day = DAY * MICROS_PER_SECOND
-    grid = bounds.select(
-        *keys,
-        F.expr(series_id).alias("_id"),
-        F.explode(F.sequence(F.col(start), F.col(end), F.expr("interval 1 day"))).alias("timestamp"),
-    )
+    numbered_rows = bounds.withColumn("_id", F.expr(series_id))
+    grid = stepped(numbered_rows, [*keys, "_id"], F.col(start), F.col(end), DAY, "timestamp")
     numbered = grid.withColumn("_day", floor_to(F.col("timestamp"), day))
     value = rng.normal(seed, "value", "default", "_id", "_day")
     return numbered.select(*keys, "timestamp", value.alias("value"))
+
+
+def default_point(series: DataFrame, keys: Sequence[str], at: str, seed: int, series_id: str) -> DataFrame:
+    """Default data without a range: one standard-normal point per series at the time ``at``."""
+    placed = series.withColumns({"_id": F.expr(series_id), "_day": floor_to(F.col(at), DAY * MICROS_PER_SECOND)})
+    return placed.select(*keys, F.col(at).alias("timestamp"), rng.normal(seed, "value", "default", "_id", "_day").alias("value"))
