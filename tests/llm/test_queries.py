@@ -1,0 +1,26 @@
+"""Every document query at the smallest scale: against its oracle, or one row for each row of its table."""
+
+import duckdb
+import pytest
+
+from check import compare
+from driftloom.llm.registry import ORACLES, QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, name):
+    frame = QUERIES[name](spark, FOLDER).toPandas()
+    if name in ORACLES:
+        duck = duckdb.connect()
+        for table in ("documents", "embeddings", "pages"):
+            duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+        assert compare(frame, duck.sql(ORACLES[name]).df()) == ""
+        return
+    source, key = ("pages", "page_id") if "html" in name else ("documents", "doc_id")
+    ids = [r[0] for r in spark.read.parquet(f"{FOLDER}/{source}.parquet").select(key).collect()]
+    if name == "op9_packing":
+        assert set(frame[key]) == set(ids) and frame[frame.start == 0][key].is_unique
+    else:
+        assert sorted(frame[key]) == sorted(ids)
