@@ -98,10 +98,14 @@ def best_of_block(q: np.ndarray, q_row: np.ndarray, c: np.ndarray, c_row: np.nda
         known[own[i, near.ravel()]] = -np.inf
         known = known.reshape(near.shape)
         floor = np.partition(known, -k, axis=1)[:, -k] if known.shape[1] >= k else np.full(len(bound), -np.inf)
-        i, j = np.nonzero((bound >= floor[:, None]) & ~own)
+        alive = (bound >= floor[:, None]) & ~own
+        left = np.flatnonzero(alive.any(0))  # candidates that some query of the slice still needs
         for a, b in zip(qs[1:], cs[1:], strict=True):
-            keep = np.concatenate([np.einsum("ij,ij->i", a[at][i[s : s + 65536]], b[j[s : s + 65536]]) + slack >= floor[i[s : s + 65536]] for s in range(0, len(i), 65536)] or [np.zeros(0, bool)])
-            i, j = i[keep], j[keep]
+            keep = alive[:, left] & (a[at] @ b[left].T + slack >= floor[:, None])
+            alive[:, left] = keep
+            left = left[keep.any(0)]
+        i, j = np.nonzero(alive[:, left])
+        j = left[j]
         score = np.concatenate([_whole(q[at][i[s : s + 65536]], c[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
         order = np.lexsort((c_rank[j], -score.astype(object) if len(score) and score.min() == -(1 << 63) else -score, i))
         i, j, score = i[order], j[order], score[order]
