@@ -85,6 +85,7 @@ def _whole(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def best_of_block(q: np.ndarray, q_row: np.ndarray, c: np.ndarray, c_row: np.ndarray, c_rank: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """(query, candidate, score) of the k best candidates of every query; equal scores by ``c_rank``."""
     found: list[tuple[np.ndarray, ...]] = []
+    small = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) < EXACT and q.shape[1] <= 1 << 13
     qs, cs = [segment_statistics(q, n) for n in LEVELS], [segment_statistics(c, n) for n in LEVELS]
     slack = 1e-9 * (np.linalg.norm(q, axis=1).max(initial=0) * np.linalg.norm(c, axis=1).max(initial=0) + 1)
     for lo in range(0, len(q), 128):
@@ -104,9 +105,18 @@ def best_of_block(q: np.ndarray, q_row: np.ndarray, c: np.ndarray, c_row: np.nda
             keep = alive[:, left] & (a[at] @ b[left].T + slack >= floor[:, None])
             alive[:, left] = keep
             left = left[keep.any(0)]
-        i, j = np.nonzero(alive[:, left])
-        j = left[j]
-        score = np.concatenate([_whole(q[at][i[s : s + 65536]], c[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
+        alive = alive[:, left]
+        if small:  # whole numbers below 2**53 all along, so the products are exact
+            dots = np.where(alive, q[at] @ c[left].T, -np.inf)
+            if dots.shape[1] > k:
+                alive &= dots >= np.partition(dots, -k, axis=1)[:, -k, None]
+            i, j = np.nonzero(alive)
+            score = dots[i, j].astype(np.int64)
+            j = left[j]
+        else:
+            i, j = np.nonzero(alive)
+            j = left[j]
+            score = np.concatenate([_whole(q[at][i[s : s + 65536]], c[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
         order = np.lexsort((c_rank[j], -score.astype(object) if len(score) and score.min() == -(1 << 63) else -score, i))
         i, j, score = i[order], j[order], score[order]
         starts = np.searchsorted(i, i)
