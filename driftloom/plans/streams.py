@@ -91,6 +91,8 @@ def stream_continuous(spark, folder):
     """The endless generator, started, stopped once it has passed all event ids, and read back by id."""
     path, events = fresh_path(spark, "endless"), table(spark, folder, "events").select("event_id")
     last = events.agg(F.max("event_id")).first()[0]
+    if last is None or last < 0:  # no id that the generator passes
+        return rounded(generate(events.where("event_id >= 0"), PRESET, "event_id", ["event_id"]), PRESET)
     done = []
 
     def emit(batch, batch_id):
@@ -100,8 +102,9 @@ def stream_continuous(spark, folder):
     size = max(1000, (last + 1) // 4)
     running = runner.continuous_generator(spark, PRESET, size, f"{path}/checkpoint", emit).trigger(processingTime="0 seconds").start()
     try:
-        deadline = time.time() + 120
-        while len(done) * size <= last and running.isActive and time.time() < deadline:
+        while len(done) * size <= last:
+            if not running.isActive:
+                raise running.exception() or RuntimeError("the generator ended before it had passed all ids")
             time.sleep(0.1)
     finally:
         running.stop()

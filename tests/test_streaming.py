@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.operators.generate import generate, row_ids
+from driftloom.plans import streams
 from driftloom.plans.streams import stream_bounded  # noqa: F401  (registers the queries)
 from driftloom.schema import PRESET_SERIES, PRESET_TABULAR, TableSpec
 from driftloom.session import fresh_path
@@ -148,3 +149,37 @@ def test_progress_metrics(spark):
     df = spark.createDataFrame(rows, monitor.METRIC_SCHEMA)
     got = {r.label: (r.batches, r.records, r.seconds) for r in monitor.metrics(df).collect()}
     assert got == {"a": (2, 400, 3.0), "b": (1, 5, 0.5)}
+
+
+def events_folder(spark, n):
+    path = fresh_path(spark, "events")
+    spark.range(n).withColumnRenamed("id", "event_id").write.parquet(f"{path}/events.parquet")
+    return path
+
+
+def test_stream_continuous_waits_for_all_ids(spark, monkeypatch):
+    """However long it takes: here every look at the clock is an hour after the last one."""
+    clock = iter(range(0, 10**9, 3600))
+    monkeypatch.setattr(streams.time, "time", lambda: next(clock))
+    ids = [r.event_id for r in streams.stream_continuous(spark, events_folder(spark, 2500)).select("event_id").collect()]
+    assert sorted(ids) == list(range(2500))
+
+
+def test_stream_continuous_raises_what_failed(spark, monkeypatch):
+    def fails_late(spark, spec, size, checkpoint, emit):
+        def some(batch, batch_id):
+            if batch_id > 1:
+                raise RuntimeError("the disk is full")
+            emit(batch, batch_id)
+
+        return made(spark, spec, size, checkpoint, some)
+
+    made = runner.continuous_generator
+    monkeypatch.setattr(streams.runner, "continuous_generator", fails_late)
+    with pytest.raises(Exception, match="the disk is full"):
+        streams.stream_continuous(spark, events_folder(spark, 5000)).count()
+
+
+def test_stream_continuous_of_no_events(spark):
+    none, some = (streams.stream_continuous(spark, events_folder(spark, n)) for n in (0, 3))
+    assert none.count() == 0 and none.dtypes == some.dtypes
