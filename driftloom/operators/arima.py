@@ -23,7 +23,7 @@ from driftloom.session import cut_lineage
 
 Order = tuple[int, int, int]
 Seasonal = tuple[int, int, int, int]
-#: Least order of the long autoregression.
+#: Order of the long autoregression of a series that has the rows for it, at least.
 LONG = 16
 
 
@@ -57,6 +57,12 @@ def _lag_set(n: int, seasonal_n: int, s: int) -> list[int]:
     return sorted({i + s * j for i in range(n + 1) for j in range(seasonal_n + 1)} - {0})
 
 
+def _long_order(n: int, reach: int) -> int:
+    """Order of the long autoregression for ``n`` values: at most a quarter of them where these allow the lags of the model."""
+    wanted = max(reach + 2, LONG)
+    return max(1, reach, min(wanted, n // 4))
+
+
 def _stable(coefficients: np.ndarray, at: Sequence[int], sign: float) -> bool:
     if not len(at):
         return True
@@ -119,28 +125,30 @@ def fit_arima(
     if level is not None:
         filled = filled.join(level, list(tk.keys)).withColumn("w", F.col("w") - F.col("mean")).drop("mean")
     work = cut_lineage(filled.select(*plain, "v", "w"))
-    long = max(reach + 2, LONG) if ma else 0
     if ma:
+        longest = work.where("w is not null").groupBy(*tk.keys).count().agg(F.max("count")).first()[0] or 0
+        long = _long_order(longest, reach)
         at = {f"w{i}": ("w", i) for i in range(1, long + 1)}
         lagged = lags(work.where("w is not null"), tk, at)
         products = [F.sum(F.col("w") * F.col("w")).alias("g0"), *[F.sum(F.col("w") * F.col(c)).alias(f"g{i}") for i, c in enumerate(at, 1)]]
-        gamma = lagged.groupBy(*tk.keys).agg(F.array(*products).alias("g"))
+        gamma = lagged.groupBy(*tk.keys).agg(F.array(*products).alias("g"), F.count("w").alias("m"))
 
         def whiten(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
                 out = []
-                for g in pdf["g"]:
-                    g = np.array([x or 0.0 for x in g])
-                    toeplitz = g[np.abs(np.subtract.outer(np.arange(long), np.arange(long)))]
-                    out.append(np.linalg.lstsq(toeplitz, g[1:], rcond=None)[0] if g[0] > 0 else np.zeros(long))
-                yield pdf.drop(columns="g").assign(a=out)
+                orders = [_long_order(n, reach) for n in pdf["m"]]
+                for g, m in zip(pdf["g"], orders, strict=True):
+                    g = np.array([x or 0.0 for x in g[: m + 1]])
+                    toeplitz = g[np.abs(np.subtract.outer(np.arange(m), np.arange(m)))]
+                    out.append(np.linalg.lstsq(toeplitz, g[1:], rcond=None)[0] if g[0] > 0 else np.zeros(m))
+                yield pdf.drop(columns="g").assign(m=orders, a=out)
 
         names = [gamma.schema[k] for k in tk.keys]
-        long_ar = gamma.mapInPandas(whiten, T.StructType([*names, T.StructField("a", T.ArrayType(T.DoubleType()))]))
+        long_ar = gamma.mapInPandas(whiten, T.StructType([*names, T.StructField("m", T.LongType()), T.StructField("a", T.ArrayType(T.DoubleType()))]))
         joined = lagged.join(long_ar, list(tk.keys))
         e = F.col("w")
         for i, c in enumerate(at):
-            e = e - F.col("a")[i] * F.col(c)
+            e = e - F.when(F.col("m") > i, F.get("a", F.lit(i)) * F.col(c)).otherwise(F.lit(0.0))
         work = work.where("w is null").select(*plain, "v", "w", F.lit(None).cast("double").alias("e")).unionByName(joined.select(*plain, "v", "w", e.alias("e")))
         work = cut_lineage(work)
     else:
@@ -172,7 +180,7 @@ def fit_arima(
             found = []
             for n_obs, n_w, sums, mean in zip(pdf["n_obs"], pdf["n_w"], pdf["sums"], pdf["mean"], strict=True):
                 z = np.array([v or 0.0 for v in sums]) if sums is not None else np.zeros(k * k + k + 2)
-                status = "empty" if not n_obs else "short" if n_obs < max(needed, 3 * long, 8) else "constant" if z[-2] < 1e-20 * max(n_w, 1) else "ok"
+                status = "empty" if not n_obs else "short" if n_obs < max(needed, 8) else "constant" if z[-2] < 1e-20 * max(n_w, 1) else "ok"
                 beta = _solve(z[: k * k].reshape(k, k), z[k * k : k * k + k], ar, ma) if status == "ok" and k else np.zeros(k)
                 rss = z[-2] - 2 * beta @ z[k * k : k * k + k] + beta @ z[: k * k].reshape(k, k) @ beta
                 sigma = float(np.sqrt(max(rss, 0.0) / z[-1])) if status == "ok" and z[-1] else 0.0

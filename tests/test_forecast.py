@@ -64,6 +64,19 @@ def test_sarima_recovers_parameters(spark):
     assert fit.status == "ok" and np.allclose(fit.coefficients, want, atol=0.15)
 
 
+def test_short_series_are_fitted(spark):
+    """From ten observations on, also beside a long series."""
+    many = {f"n{n}": simulated(0.7, 0.3, n, seed=n) for n in (9, 10, 12, 30, 47, 2000)}
+    out = arima_forecast(series(spark, **many), KEY, "y", 3, 3600).toPandas()
+    by = {k: g for k, g in out.groupby("k")}
+    assert {k for k, g in by.items() if set(g.status) == {"short"}} == {"n9"}
+    for n in (10, 12, 30, 47, 2000):
+        got = by[f"n{n}"]
+        assert set(got.status) == {"ok"} and got.sigma.iloc[0] > 0 and np.any(got.coefficients.iloc[0]) and got.forecast.nunique() > 1
+    alone = arima_forecast(series(spark, n30=many["n30"]), KEY, "y", 3, 3600).toPandas()
+    assert np.allclose(sorted(alone.forecast), sorted(by["n30"].forecast), atol=1e-8)
+
+
 def test_arima_edge_cases(spark):
     values = {"none": [None, None], "one": [3.0], "flat": [7.0] * 60, "mean": np.random.default_rng(1).normal(5, 1, 500)}
     for order in ((1, 1, 1), (1, 0, 0)):
