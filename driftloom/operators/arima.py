@@ -57,9 +57,13 @@ def _lag_set(n: int, seasonal_n: int, s: int) -> list[int]:
     return sorted({i + s * j for i in range(n + 1) for j in range(seasonal_n + 1)} - {0})
 
 
-def _long_order(n: int, reach: int) -> int:
-    """Order of the long autoregression for ``n`` values: at most a quarter of them where these allow the lags of the model."""
-    wanted = max(reach + 2, LONG)
+def _long_order(n: int, reach: int, s: int) -> int:
+    """Order of the long autoregression for ``n`` values: a few of short series, several seasons of long ones.
+
+    It grows with the logarithm of the length, so the innovations become exact as a series grows,
+    and takes at most a quarter of the values where these allow the lags of the model.
+    """
+    wanted = max(reach + 2, LONG, int(10 * np.log10(max(n, 1))), s * (int(np.log2(max(n, 1))) // 2))
     return max(1, reach, min(wanted, n // 4))
 
 
@@ -127,7 +131,7 @@ def fit_arima(
     work = cut_lineage(filled.select(*plain, "v", "w"))
     if ma:
         longest = work.where("w is not null").groupBy(*tk.keys).count().agg(F.max("count")).first()[0] or 0
-        long = _long_order(longest, reach)
+        long = _long_order(longest, reach, s)
         at = {f"w{i}": ("w", i) for i in range(1, long + 1)}
         lagged = lags(work.where("w is not null"), tk, at)
         products = [F.sum(F.col("w") * F.col("w")).alias("g0"), *[F.sum(F.col("w") * F.col(c)).alias(f"g{i}") for i, c in enumerate(at, 1)]]
@@ -136,7 +140,7 @@ def fit_arima(
         def whiten(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
                 out = []
-                orders = [_long_order(n, reach) for n in pdf["m"]]
+                orders = [_long_order(n, reach, s) for n in pdf["m"]]
                 for g, m in zip(pdf["g"], orders, strict=True):
                     g = np.array([x or 0.0 for x in g[: m + 1]])
                     toeplitz = g[np.abs(np.subtract.outer(np.arange(m), np.arange(m)))]

@@ -64,6 +64,29 @@ def test_sarima_recovers_parameters(spark):
     assert fit.status == "ok" and np.allclose(fit.coefficients, want, atol=0.15)
 
 
+def seasonal_walk(n, s=12, seed=2):
+    """ARIMA(1,1,1)(1,1,1,s) of ``n`` values, and its coefficients by lag."""
+    phi, theta, sphi, stheta = 0.5, 0.3, 0.6, 0.4
+    e = np.random.default_rng(seed).normal(size=n + 500)
+    w = np.zeros(n + 500)
+    for t in range(s + 1, n + 500):
+        w[t] = phi * w[t - 1] + sphi * w[t - s] - phi * sphi * w[t - s - 1]
+        w[t] += e[t] + theta * e[t - 1] + stheta * e[t - s] + theta * stheta * e[t - s - 1]
+    y, seasonal = np.cumsum(w[500:]), np.zeros(n + s)
+    for t in range(n):
+        seasonal[t + s] = seasonal[t] + y[t]
+    return seasonal, [phi, sphi, -phi * sphi, theta, stheta, theta * stheta]
+
+
+def test_sarima_recovers_parameters_at_the_period_of_the_query(spark):
+    many = {str(seed): seasonal_walk(6000, seed=seed)[0] for seed in range(4)}
+    fits = fit_arima(series(spark, **many), KEY, ["y"], (1, 1, 1), (1, 1, 1, 12)).collect()
+    assert {r.status for r in fits} == {"ok"} and len(fits) == 4
+    off = np.array([r.coefficients for r in fits]) - seasonal_walk(1)[1]
+    print("largest errors, of one series and of the mean:", np.abs(off).max(), np.abs(off.mean(0)).max())
+    assert np.abs(off).max() < 0.1 and np.abs(off.mean(0)).max() < 0.05
+
+
 def test_short_series_are_fitted(spark):
     """From ten observations on, also beside a long series."""
     many = {f"n{n}": simulated(0.7, 0.3, n, seed=n) for n in (9, 10, 12, 30, 47, 2000)}
