@@ -3,9 +3,12 @@
 A page is cut into blocks of text at block-level tags.  The first pass classes every block by
 the density of stop words, the density of links and its length as good, bad, near-good or
 short; the second pass gives ambiguous blocks the label of their nearest decided neighbours.
-What a page itself marks counts first: text within menus, headers, footers, sidebars, notices,
-adverts, forms, scripts and comments is never main text, and where a page marks an article,
-blocks within it are main text unless they are lists of links, and blocks outside it are not.
+Text within what a page marks as menus, headers, footers, sidebars, notices, adverts, forms,
+scripts and comments is never main text.  An article that a page marks is evidence for both
+passes: within it a block may hold more links, near-good counts as good, and what no neighbour
+decides is good; outside it the thresholds stay and what no neighbour decides is bad.  Labels
+of neighbours do not pass its edge.  A marked article without running text on a page that has
+some outside of it, such as a teaser card, is no evidence.
 
 Defined cases: a null or empty page gives the empty text; unclosed and crossing tags end with
 their container; a script, style or comment that is never closed ends with the page; white
@@ -21,6 +24,7 @@ from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +35,8 @@ from driftloom.llm.common import query, small_batches, table
 #: Thresholds of the first pass: link density, lengths in characters, shares of stop words.
 MAX_LINKS, SHORT, LONG = 0.2, 70, 200
 STOP_LOW, STOP_HIGH = 0.2, 0.3
+#: Link density that a block within a marked article may have.
+ARTICLE_LINKS = 0.5
 #: Headings reach this far for a good block that follows.
 HEADING_REACH = 200
 
@@ -202,22 +208,27 @@ def _stop_share(block: Block) -> float:
     return sum(w.lower() in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def _first_pass(block: Block, stop: float, known: bool) -> str:
-    """``known``: whether the page's language is one whose stop words are listed; else length alone counts."""
+def _first_pass(block: Block, stop: float, known: bool, article: bool = False) -> str:
+    """``known``: whether the page's language is one whose stop words are listed; else length alone counts.
+
+    ``article``: whether a mark of the page speaks for the block.
+    """
     length = len(block.text)
-    if block.linked / length > MAX_LINKS or "\xa9" in block.text:
+    if block.linked / length > (ARTICLE_LINKS if article else MAX_LINKS):
+        return "short" if article and block.heading else "bad"
+    if "\xa9" in block.text and (length < LONG or not article):
         return "bad"
     if length < SHORT:
         return "short"
     if stop >= STOP_HIGH and length > LONG:
         return "good"
     if stop >= STOP_LOW or not known:
-        return "near"
-    return "bad" if block.linked else "short"
+        return "good" if article else "near"
+    return "bad" if block.linked and not article else "short"
 
 
-def _second_pass(first: list[str]) -> list[str]:
-    """Ambiguous blocks take the label of the nearest decided one; a tie, or none at all, is good."""
+def _second_pass(first: list[str], tie: str = "good") -> list[str]:
+    """Ambiguous blocks take the label of the nearest decided one; a tie, or none at all, is ``tie``."""
     label = list(first)
     for kinds in ({"good", "bad"}, {"good", "bad", "near"}):
         decided = [i for i, x in enumerate(label) if x in kinds and x != "short"]
@@ -225,43 +236,49 @@ def _second_pass(first: list[str]) -> list[str]:
         now = list(label)
         for i, x in enumerate(label):
             if x == which:
-                near = _closest(decided, label, i)
-                now[i] = "bad" if near and near[0][1] else "good"
+                now[i] = _closest(decided, label, i, tie)
         label = now
     return label
 
 
-def _closest(decided: list[int], label: list[str], i: int) -> list[tuple[int, bool]]:
+def _closest(decided: list[int], label: list[str], i: int, tie: str) -> str:
     at = bisect(decided, i)
-    some = [j for j in decided[max(0, at - 2) : at + 2] if j != i]
-    return sorted((abs(i - j), label[j] == "bad") for j in some)[:1]
+    some = [(abs(i - j), label[j] != tie, label[j]) for j in decided[max(0, at - 2) : at + 2] if j != i]
+    return min(some)[2] if some else tie
 
 
-def classify(page: list[Block]) -> list[Block]:
-    """Labels ``good`` and ``bad`` for all blocks of a page."""
-    if any(b.article and not b.dropped for b in page):
-        for b in page:  # the page says where its article is
-            lists_links = b.linked / len(b.text) > 0.9 and not b.heading and len(b.text) < LONG
-            b.label = "good" if b.article and not b.dropped and not lists_links else "bad"
-        return page
-    for b in page:
-        b.label = "bad"
-    open_blocks = [b for b in page if not b.dropped]
-    stops = [_stop_share(b) for b in open_blocks]
-    known = any(s >= STOP_LOW and len(b.text) >= SHORT for s, b in zip(stops, open_blocks, strict=True))
-    label = _second_pass([_first_pass(b, s, known) for b, s in zip(open_blocks, stops, strict=True)])
+def _decide(some: list[Block], first: list[str], tie: str) -> None:
+    """Labels of blocks that may lend each other theirs, from those of the first pass."""
+    label = _second_pass(first, tie)
     # headings go with the good block that follows closely
-    for i, b in enumerate(open_blocks):
+    for i, b in enumerate(some):
         if b.heading and label[i] != "good" and b.linked == 0:
             reach, j = 0, i + 1
-            while j < len(open_blocks) and reach <= HEADING_REACH:
+            while j < len(some) and reach <= HEADING_REACH:
                 if label[j] == "good":
                     label[i] = "good"
                     break
-                reach += len(open_blocks[j].text)
+                reach += len(some[j].text)
                 j += 1
-    for b, x in zip(open_blocks, label, strict=True):
+    for b, x in zip(some, label, strict=True):
         b.label = x
+
+
+def classify(page: list[Block]) -> list[Block]:
+    """Labels ``good`` and ``bad`` for all blocks of a page."""
+    for b in page:
+        b.label = "bad"
+    open_blocks = [b for b in page if not b.dropped]
+    stops = [_stop_share(b) for b in open_blocks]
+    known = any(s >= STOP_LOW and len(b.text) >= SHORT for s, b in zip(stops, open_blocks, strict=True))
+    first = [_first_pass(b, s, known) for b, s in zip(open_blocks, stops, strict=True)]
+    running = {b.article for b, x in zip(open_blocks, first, strict=True) if x in ("good", "near")}
+    if running == {False} or not any(b.article for b in open_blocks):
+        _decide(open_blocks, first, "good")
+        return page
+    for article, run in groupby(zip(open_blocks, stops, strict=True), lambda x: x[0].article):
+        side = list(run)
+        _decide([b for b, _ in side], [_first_pass(b, s, known, article) for b, s in side], "good" if article else "bad")
     return page
 
 

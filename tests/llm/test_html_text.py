@@ -31,6 +31,22 @@ def test_density_rules_without_marks():
     assert main_text(page) == f"{LONG.strip()}\nshort one\n{TEA.strip()}"
 
 
+LINKS = "<p><a href=/x>more of the news of the day that we have for you</a> and <a href=/y>what they had to say about all of this</a></p>"
+
+
+def test_both_passes_run_inside_a_marked_article():
+    page = f"<article><p>{LONG}</p>{LINKS}<p>an offer</p>{LINKS}{LINKS}<p>{TEA}</p><p>\xa9 2020 the owner</p></article>"
+    assert main_text(page) == f"{LONG.strip()}\n{TEA.strip()}"
+
+
+def test_main_text_outside_teaser_cards():
+    cards = "<article><h2><a href=/a>one of the stories</a></h2><p>a few words</p></article>" * 3
+    assert main_text(f"<div>{cards}</div><div><p>{LONG}</p><p>{TEA}</p></div>").endswith(f"{LONG.strip()}\n{TEA.strip()}")
+    told = f"<article><p>{LONG}</p></article>"
+    assert main_text(f"<p>a line above</p>{told}<div><p>{TEA}</p><p>its last line</p></div>") == f"{LONG.strip()}\n{TEA.strip()}\nits last line"
+    assert main_text(f"<p>a line above</p>{told}<p>a line below</p>") == LONG.strip()
+
+
 def test_short_blocks_take_the_nearest_label():
     page = f"<p>{LONG}</p><p>near the good one</p>" + "<p><a href=/x>link text that is all of it and long enough to be decided as bad here, surely</a></p><p>near the links</p>" * 2
     labels = {b.text: b.label for b in classify(blocks(page))}
