@@ -25,7 +25,7 @@ null; repeated rows are separate rows of one component; an empty table gives no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -241,7 +241,11 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     """``key``, ``fp`` and ``component`` (the smallest key reachable by links) of every row."""
     rows = written(fingerprints(docs, key, text, shingle).withColumnRenamed(key, "_id"))
     prints = written(rows.groupBy("fp").agg(F.min("_id").alias("_least"), F.count("*").alias("_c")))
-    roots = components(links(prints.select("fp"), bits))
+    return named(rows, prints, components(links(prints.select("fp"), bits)), key)
+
+
+def named(rows: DataFrame, prints: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``rows`` (``_id``, ``fp``) with the smallest id of the component that ``roots`` puts their ``fp`` in."""
     named = prints.join(roots.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("_least").alias("component"), F.sum("_c").alias("_size"))
     # only fingerprints of more than one row need a name
@@ -253,7 +257,12 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
 
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """One row of each component of ``docs``: the one with the smallest key, all columns unchanged."""
-    found = written(near_components(docs, key, text, bits, shingle).select(F.col(key).alias("_id"), "fp", "component", "root"))
+    return one_of_each(docs, near_components(docs, key, text, bits, shingle), lambda some: fingerprints(some, "_k", "_text", shingle), key, text)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, prints_of: Callable[[DataFrame], DataFrame], key: str, text: str) -> DataFrame:
+    """One row of each component ``found``; ``prints_of`` gives ``_k`` and ``fp`` of rows ``_k``, ``_text``."""
+    found = written(found.select(F.col(key).alias("_id"), "fp", "component", "root"))
     first = F.col("_id").eqNullSafe(F.col("component"))
     by = found.groupBy("_id").agg(F.count_if(first).alias("_kept"), F.count("*").alias("_c"))
     by = written(by.where("_kept < _c OR _c > 1"))
@@ -265,7 +274,7 @@ def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: in
     # rows that share a key are told apart by their fingerprints; one of each component stays
     alone = join_checked(keyed, shared, ["_id"], "left_anti").select("_row.*")
     some = join_checked(keyed, shared, ["_id"], "left_semi").select(F.col("_row").alias("_k"), F.col(f"_row.{text}").alias("_text"))
-    some = fingerprints(some, "_k", "_text", shingle).withColumn("_id", F.col(f"_k.{key}"))
+    some = prints_of(some).withColumn("_id", F.col(f"_k.{key}"))
     own = written(found.where(first).select("_id", "fp", "root").distinct())
     once = join_checked(some, own, ["_id", "fp"], "inner").groupBy("root").agg(F.first("_k").alias("_k"))
     return alone.unionByName(once.select("_k.*"))
