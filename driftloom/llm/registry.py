@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from driftloom.llm import exact_dedup, html_text, langid, lm_scoring, mixing, packing, pii, quality, simhash, vector_search  # noqa: F401
+from driftloom.llm import (  # noqa: F401
+    exact_dedup, html_text, langid, lm_scoring, mixing, packing, pii, quality, simhash, url_filter, va_clusters, vector_search, whitening,
+)
 from driftloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
