@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.session import cut_lineage
+from driftloom.session import cut_lineage, fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +24,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 #: The most rows of fixed width that are broadcast; above it a join shuffles.
 BROADCAST_ROWS = 500_000
+#: The most row numbers that are broadcast at once.
+LISTED_ROWS = 2_000_000
 #: Rows of an Arrow batch handed to a Python function that sees whole texts.
 BATCH_ROWS = 256
 
@@ -64,6 +68,73 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, mos
     return left.join(renamed, match, how).drop(*[f"__{c}" for c in on])
 
 
+class Rows:
+    """The rows of a table by number, to read again or leave out a listed set of them without moving any.
+
+    A number is that of the row's file, by its path, and its place in the file.  Listed rows are
+    broadcast as plain numbers, at most ``most`` at a time: a longer list is worked off in passes
+    over consecutive files, each with the part of the list that belongs to them.  So the texts of
+    a table are read where they lie at every size, and never shuffled.  Files that are not
+    Parquet, and frames that are no table, are written first.
+    """
+
+    #: Bits of the place in a file, and of the blocks of rows that a pass is made of.
+    PLACE, SPAN = 40, 20
+
+    def __init__(self, docs: DataFrame, most: int = LISTED_ROWS) -> None:
+        self.most = max(1, most)
+        self.columns = docs.columns
+        self.docs = docs if _is_parquet(docs) else written(docs)
+        paths = self.docs.select(F.col("_metadata.file_path").alias("_path")).distinct()
+        files = [(r[0], i) for i, r in enumerate(sorted(paths.collect()))]  # one per file, as the driver lists them anyway
+        self.files = docs.sparkSession.createDataFrame(files, "_path string, _file long")
+        self.paths = [p for p, _ in files]
+
+    def numbered(self) -> DataFrame:
+        """``_doc``, a struct of all columns, and ``_at``, the number of the row."""
+        rows = self.docs.select(
+            F.struct(*[F.col(f"`{c}`") for c in self.columns]).alias("_doc"), F.col("_metadata.row_index").alias("_place"), F.col("_metadata.file_path").alias("_in"))
+        rows = rows.join(F.broadcast(self.files), F.col("_in") == F.col("_path"))
+        return rows.select("_doc", F.shiftleft("_file", self.PLACE).bitwiseOR(F.col("_place")).alias("_at"), "_in")
+
+    def _passes(self, listed: DataFrame) -> list[tuple[int, int]]:
+        """Ranges of blocks that together hold all rows, with at most ``most`` listed ones each, or one block."""
+        blocks = listed.groupBy(F.shiftright("_at", self.SPAN).alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()
+        cuts, held = [-1], 0
+        for r in blocks:
+            if held and held + r.n > self.most:
+                cuts.append(r.b)
+                held = 0
+            held += r.n
+        return list(zip(cuts, [*cuts[1:], 1 << 62], strict=True))
+
+    def chosen(self, listed: DataFrame, inside: bool, *columns: Column | str) -> DataFrame:
+        """``columns`` (of ``_doc`` and ``_at``) of the rows that ``listed`` (written, distinct ``_at``) holds, or of all others."""
+        rows, how = self.numbered(), "left_semi" if inside else "left_anti"
+        passes = self._passes(listed) if listed.count() > self.most else [(-1, 1 << 62)]
+        if len(passes) == 1:
+            return rows.join(F.broadcast(listed), "_at", how).select(*columns)
+        path = fresh_path(listed.sparkSession, "rows")
+        block = F.shiftright("_at", self.SPAN)
+        for low, high in passes:
+            first, last = (min(max(b, 0) >> (self.PLACE - self.SPAN), len(self.paths) - 1) for b in (low, high))
+            part = rows.where(F.col("_in").between(self.paths[first], self.paths[last]) & (block >= low) & (block < high))
+            part.join(F.broadcast(listed.where((block >= low) & (block < high))), "_at", how).select(*columns).write.mode("append").parquet(path)
+        return listed.sparkSession.read.parquet(path)
+
+
+def _is_parquet(docs: DataFrame) -> bool:
+    """Whether every row of ``docs`` is a row of a Parquet file: a scan below nothing but filters and projections."""
+    plan = docs._jdf.queryExecution().analyzed().toString()
+    if not all(re.match(r"[\s+:-]*(Project|Filter|SubqueryAlias|Relation)\b", line) for line in plan.splitlines()):
+        return False
+    try:
+        docs.select("_metadata.row_index", "_metadata.file_path")
+    except AnalysisException:
+        return False
+    return "_metadata" not in docs.columns
+
+
 def unit(hashed: Column) -> Column:
     """A 64-bit hash as a number in [0, 1)."""
     return F.shiftrightunsigned(hashed, 11).cast("double") * F.lit(2.0**-53)

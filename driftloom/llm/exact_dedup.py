@@ -1,8 +1,11 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash.
 
 A text counts without differences in white space: each run of it is one space, null is empty.
-Rows whose (length, prefix hash) no other row has are settled by the first scan, which keeps
-two numbers of every text; only rows of the other groups have their whole content hashed.
+The first scan keeps two numbers of every text, its length and the hash of its prefix.  Rows
+whose length no other row has are settled by the lengths; of the others, those whose prefix no
+row of the same length has are settled by the prefixes; only the rows that are left have their
+content read again and hashed in full.  They are found by their place in the files (``Rows``),
+so no step moves a text, at any size.
 
 Defined cases: empty and null texts are one group; a null id counts as larger than any other;
 of repeated rows (same id, same text) exactly one stays; an empty table gives no rows; extra
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import BROADCAST_ROWS, SPACE, join_checked, query, table, written
+from driftloom.llm.common import LISTED_ROWS, SPACE, Rows, join_checked, query, table, written
 
 #: Code points of a text that the prefix hash covers.
 PREFIX = 256
@@ -25,66 +28,54 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _measured(text: Column, prefix: int) -> list[Column]:
-    plain = normalised(text)
-    return [F.length(plain).alias("_n"), F.xxhash64(F.substring(plain, 1, prefix)).alias("_p")]
+def full_hash(text: Column) -> Column:
+    return F.sha2(normalised(text).cast("binary"), 256)
+
+
+def _shared(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows whose ``by`` another row has."""
+    groups = written(rows.groupBy(*by).agg(F.count("*").alias("_c")).where("_c > 1").select(*by))
+    return join_checked(rows, groups, list(by), "left_semi")
+
+
+def _settled(docs: Rows, key: str, text: str, carry: dict[str, Column], prefix: int) -> DataFrame:
+    """One row per row of ``docs``: ``_id``, ``_at``, ``_carry``, and for rows in groups ``_first`` and ``_c``."""
+    body = F.col(f"_doc.`{text}`")
+    columns = [c.alias(k) for k, c in carry.items()]
+    plain = docs.numbered().select(F.col(f"_doc.`{key}`").alias("_id"), "_at", normalised(body).alias("_plain"), body.alias("_text"))
+    rows = plain.select(
+        "_id", "_at", F.length("_plain").alias("_n"), F.xxhash64(F.substring("_plain", 1, prefix)).alias("_p"), F.struct(F.lit(0).alias("_"), *columns).alias("_carry"))
+    rows = written(rows)
+    live = _shared(_shared(rows.select("_at", "_n", "_p"), "_n"), "_n", "_p").select("_at")
+    full = written(docs.chosen(written(live), True, "_at", F.unhex(full_hash(body)).alias("_full")))
+    both = rows.select("_id", "_at").join(full, "_at")
+    first = F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_at").alias("at"))).alias("_first")
+    groups = written(both.groupBy("_full").agg(first, F.count("*").alias("_c")).where("_c > 1"))
+    in_groups = written(full.join(groups, "_full").select("_at", "_first", "_c", "_full"))
+    return join_checked(rows.select("_id", "_at", "_carry"), in_groups, ["_at"], "left")
 
 
 def exact_groups(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", carry: dict[str, Column] | None = None,
-    prefix: int = PREFIX, broadcast_rows: int = BROADCAST_ROWS,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", carry: dict[str, Column] | None = None, prefix: int = PREFIX, listed_rows: int = LISTED_ROWS,
 ) -> DataFrame:
-    """One row per row of ``docs``: the key, ``keep_id``, ``group_size``, ``kept`` and the ``carry`` columns.
-
-    The surviving (length, prefix) groups are broadcast when their number is at most
-    ``broadcast_rows``.  Beyond it every text is hashed in full where it is read, which costs
-    less than moving texts, and the groups form by the full hash alone.
-    """
-    sizes = docs.select(*_measured(F.col(text), prefix)).groupBy("_n", "_p").agg(F.count("*").alias("_c"))
-    live = written(sizes.where("_c > 1").select("_n", "_p"))
-    rows = docs.select(
-        F.col(key).alias("_id"), F.struct(F.lit(0).alias("_"), *[c.alias(k) for k, c in (carry or {}).items()]).alias("_carry"),
-        *_measured(F.col(text), prefix), F.col(text).alias("_text"),
-    )
-    full = F.unhex(F.sha2(normalised(F.col("_text")).cast("binary"), 256))
-    if live.count() <= broadcast_rows:
-        rows = join_checked(rows, live.withColumn("_live", F.lit(True)), ["_n", "_p"], "left", broadcast_rows)
-        full = F.when(F.col("_live"), full)
-    rows = written(rows.select("_id", "_carry", "_n", full.alias("_full"), F.monotonically_increasing_id().alias("_row")))
-    groups = (
-        rows.where("_full IS NOT NULL").groupBy("_n", "_full")
-        .agg(F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("_first"),
-             F.count("*").alias("_c"))
-        .where("_c > 1")
-    )
-    out = join_checked(rows, written(groups), ["_n", "_full"], "left", broadcast_rows)
+    """One row per row of ``docs``: the key, ``keep_id``, ``group_size``, ``kept`` and the ``carry`` columns (of ``_text``)."""
+    out = _settled(Rows(docs, listed_rows), key, text, carry or {}, prefix)
     alone = F.col("_first").isNull()
     return out.select(
         F.col("_id").alias(key),
         F.when(alone, F.col("_id")).otherwise(F.col("_first.id")).alias("keep_id"),
         F.coalesce(F.col("_c"), F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("_row") == F.col("_first.row"))).alias("kept"),
+        (alone | (F.col("_at") == F.col("_first.at"))).alias("kept"),
         *[F.col("_carry").getField(k).alias(k) for k in (carry or {})],
         F.col("_full").alias("content_hash"),
     )
 
 
-def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` does not keep, all columns unchanged.
-
-    Texts are not shuffled unless the dropped rows are too many to broadcast.
-    """
-    plan = written(exact_groups(docs, key, text).where("group_size > 1").select(F.col(key).alias("_id"), F.col("content_hash").alias("_full"), "kept"))
-    by = plan.groupBy("_id", "_full").agg(F.max("kept").alias("_kept"), F.count("*").alias("_c"))
-    by = written(by.where("NOT _kept OR _c > 1"))
-    gone, twins = by.where("NOT _kept").select("_id", "_full"), by.where("_kept").select("_id", "_full")
-    keyed = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_id"), F.unhex(F.sha2(normalised(F.col(text)).cast("binary"), 256)).alias("_full"))
-    keyed = join_checked(keyed, gone, ["_id", "_full"], "left_anti")
-    if twins.count():
-        others = join_checked(keyed, twins, ["_id", "_full"], "left_anti")
-        one = join_checked(keyed, twins, ["_id", "_full"], "left_semi").groupBy("_id", "_full").agg(F.first("_row").alias("_row"))
-        keyed = others.select("_row").unionByName(one.select("_row"))
-    return keyed.select("_row.*")
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", listed_rows: int = LISTED_ROWS) -> DataFrame:
+    """``docs`` without the rows that ``exact_groups`` does not keep, all columns unchanged."""
+    rows = Rows(docs, listed_rows)
+    gone = written(_settled(rows, key, text, {}, PREFIX).where("_at <> _first.at").select("_at"))
+    return rows.chosen(gone, False, "_doc.*")
 
 
 ORACLE = r"""
@@ -97,7 +88,5 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 @query("op8_exact_dedup", ORACLE)
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    digest = F.sha2(normalised(F.col("text")).cast("binary"), 256)
-    groups = exact_groups(docs, carry={"text_sha256": digest})
+    groups = exact_groups(table(spark, folder, "documents"), carry={"text_sha256": full_hash(F.col("_text"))})
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

@@ -25,7 +25,7 @@ null; repeated rows are separate rows of one component; an empty table gives no
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import join_checked, octets, query, small_batches, table, written
+from driftloom.llm.common import LISTED_ROWS, Rows, join_checked, octets, query, small_batches, table, written
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Fingerprints of a cell: about so many per part of a divided node.
@@ -255,29 +255,17 @@ def named(rows: DataFrame, prints: DataFrame, roots: DataFrame, key: str) -> Dat
     return out.select(F.col("_id").alias(key), "fp", component.alias("component"), F.coalesce("root", "fp").alias("root"))
 
 
-def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each component of ``docs``: the one with the smallest key, all columns unchanged."""
-    return one_of_each(docs, near_components(docs, key, text, bits, shingle), lambda some: fingerprints(some, "_k", "_text", shingle), key, text)
-
-
-def one_of_each(docs: DataFrame, found: DataFrame, prints_of: Callable[[DataFrame], DataFrame], key: str, text: str) -> DataFrame:
-    """One row of each component ``found``; ``prints_of`` gives ``_k`` and ``fp`` of rows ``_k``, ``_text``."""
-    found = written(found.select(F.col(key).alias("_id"), "fp", "component", "root"))
-    first = F.col("_id").eqNullSafe(F.col("component"))
-    by = found.groupBy("_id").agg(F.count_if(first).alias("_kept"), F.count("*").alias("_c"))
-    by = written(by.where("_kept < _c OR _c > 1"))
-    keyed = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_id"))
-    keyed = join_checked(keyed, by.where("_c = 1 OR _kept = 0").select("_id"), ["_id"], "left_anti")
-    shared = by.where("_c > 1 AND _kept > 0").select("_id")
-    if not shared.count():
-        return keyed.select("_row.*")
-    # rows that share a key are told apart by their fingerprints; one of each component stays
-    alone = join_checked(keyed, shared, ["_id"], "left_anti").select("_row.*")
-    some = join_checked(keyed, shared, ["_id"], "left_semi").select(F.col("_row").alias("_k"), F.col(f"_row.{text}").alias("_text"))
-    some = prints_of(some).withColumn("_id", F.col(f"_k.{key}"))
-    own = written(found.where(first).select("_id", "fp", "root").distinct())
-    once = join_checked(some, own, ["_id", "fp"], "inner").groupBy("root").agg(F.first("_k").alias("_k"))
-    return alone.unionByName(once.select("_k.*"))
+def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS, shingle: int = SHINGLE, listed_rows: int = LISTED_ROWS) -> DataFrame:
+    """One row of each component of ``docs``: the one with the smallest key, all columns unchanged.
+
+    Rows are told apart by their place in the files, so rows that share a key are rows of their
+    own, and texts are read where they lie at every size.
+    """
+    rows = Rows(docs, listed_rows)
+    name = F.struct(F.col(f"_doc.`{key}`").isNull().alias("no"), F.col(f"_doc.`{key}`").alias("id"), F.col("_at").alias("at"))
+    found = near_components(rows.numbered().select(name.alias("_name"), F.col(f"_doc.`{text}`").alias("_text")), "_name", "_text", bits, shingle)
+    gone = written(found.where("_name <> component").select(F.col("_name.at").alias("_at")))
+    return rows.chosen(gone, False, "_doc.*")
 
 
 @query("op6_simhash")

@@ -15,6 +15,17 @@ def test_ids_are_those_of_the_tokenizer_file(text):
     assert encode(text, RANKS, JSON).tolist() == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_are_found_in_linear_time():
+    """Texts without white space, up to just below the limit of a run, cost no search from every position."""
+    import time
+    runs = " ".join("ab" * 9_999 for _ in range(20))
+    started = time.perf_counter()
+    assert max(map(len, runs.split())) == 19_998
+    assert time.perf_counter() - started < 1
+    text = " ".join("你好世界" * 500 for _ in range(10))
+    assert encode(text, RANKS, JSON).tolist() == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
+
+
 def rebuilt(rows):
     """Ids by document from pieces, after checking that sequences have no gap."""
     sequences, documents = defaultdict(list), defaultdict(list)
