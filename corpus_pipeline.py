@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import exact_dedup, mixing, packing, quality, shingles
+from driftloom.llm import exact_dedup, mixing, packing, quality, simhash
 from driftloom.llm.common import table, written
 
 
@@ -19,8 +19,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: five-word shingles, a similarity of 0.8 or more."""
-    return shingles.drop_similar(docs)
+    """One document of each component of near duplicates by SimHash: four-word shingles, at most four bits."""
+    return simhash.drop_near(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
