@@ -85,7 +85,11 @@ def chunked(df: DataFrame, key: SeriesKey) -> DataFrame:
 
 def _joined(rows: DataFrame, context: DataFrame, key: SeriesKey) -> DataFrame:
     """Rows with the context of their chunk; a null key matches itself."""
-    names = [*key.keys, "_chunk"]
+    return matched(rows, context, [*key.keys, "_chunk"])
+
+
+def matched(rows: DataFrame, context: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Left join of rows with the columns ``context`` has for their ``names``; a null name matches itself."""
     renamed = context.select(*[F.col(c).alias(f"_c_{c}") for c in names], *[c for c in context.columns if c not in names])
     match = [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in names]
     return rows.join(renamed, reduce(and_, match), "left").drop(*[f"_c_{c}" for c in names])

@@ -258,7 +258,7 @@ def custom_model(spark, folder):
         slope = ((x - x.mean()) * (pdf["y"] - pdf["y"].mean())).sum() / ((x - x.mean()) ** 2).sum()
         return pd.DataFrame({"event_type": [pdf["event_type"].iloc[0]], "slope": [slope], "intercept": [pdf["y"].mean() - slope * x.mean()]})
 
-    out = fit_groups(daily_events(spark, folder), TYPE, line, "event_type string, slope double, intercept double", 100_000)
+    out = fit_groups(daily_events(spark, folder), TYPE, line, "event_type string, slope double, intercept double", 100_000, cut=False)
     return out.select("event_type", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
 
 

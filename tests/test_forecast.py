@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftloom.operators import fallback as fb
 from driftloom.operators import forecast as f
 from driftloom.operators import learned
-from driftloom.operators.arima import arima_forecast, fit_arima, fit_groups
+from driftloom.operators.arima import Shape, arima_forecast, fit_arima, fit_groups
 from driftloom.operators.series import SeriesKey
 from driftloom.session import fresh_path
 
@@ -127,6 +127,69 @@ def test_arima_job(spark):
     assert out[out.k == "a"].ts.min() == START + timedelta(hours=300)
 
 
+def css(y, order, seasonal, parameters):
+    """Innovations of plain loops over a series, for parameters (phi, seasonal phi, theta, seasonal theta)."""
+    (p, d, q), (sp, sd, sq, s) = order, seasonal
+    w = np.diff(np.asarray(y, float), d) if d else np.asarray(y, float)
+    for _ in range(sd):
+        w = w[s:] - w[:-s]
+    phi, sphi, theta, stheta = np.split(np.asarray(parameters, float), np.cumsum([p, sp, q])[:3])
+    one, two = np.r_[1, -phi], np.zeros(s * sp + 1)
+    two[0] = 1
+    if sp:
+        two[s::s] = -sphi
+    ar = np.convolve(one, two)
+    one, two = np.r_[1, theta], np.zeros(s * sq + 1)
+    two[0] = 1
+    if sq:
+        two[s::s] = stheta
+    ma = np.convolve(one, two)
+    e = np.zeros(len(w))
+    for t in range(len(ar) - 1, len(w)):
+        e[t] = sum(c * w[t - i] for i, c in enumerate(ar)) - sum(c * e[t - i] for i, c in enumerate(ma) if 0 < i <= t)
+    return e, len(ar) - 1
+
+
+@pytest.mark.parametrize(("order", "seasonal", "chunk_rows"), [
+    ((1, 1, 1), (0, 0, 0, 0), 1_000_000), ((2, 0, 1), (0, 0, 0, 0), 1_000_000), ((1, 1, 1), (1, 1, 1, 4), 1_000_000), ((0, 1, 2), (0, 0, 0, 0), 1_000_000),
+    ((2, 1, 0), (0, 0, 0, 0), 1_000_000), ((1, 1, 1), (1, 1, 1, 4), 60), ((2, 0, 1), (0, 0, 0, 0), 60),
+])
+def test_arima_is_the_least_of_the_sum_of_squares(spark, order, seasonal, chunk_rows):
+    """Against plain loops: the residuals are the innovations, and no small step finds a smaller sum."""
+    y = simulated(0.5, 0.4, 240, seed=5) if order[1] else simulated(0.5, 0.4, 240, seed=5)[1:] - simulated(0.5, 0.4, 240, seed=5)[:-1] + 3
+    got = fit_arima(series(spark, a=y), SeriesKey(("k",), "ts", chunk_rows=chunk_rows), ["y"], order, seasonal).first()
+    assert got.status == "ok"
+    shape = Shape(order, seasonal)
+    beta = np.array(got.coefficients)[: len(shape.ar) + len(shape.ma)]
+    best = shape.parameters(beta[: len(shape.ar)], beta[len(shape.ar) :])
+    level = y if order[1] else np.asarray(y) - np.mean(y)
+    e, skipped = css(level, order, seasonal, best)
+    assert got.sigma == pytest.approx(np.sqrt(e @ e / (len(e) - skipped)), rel=1e-9)
+    held = min(len(got.last_e), max([1, *shape.ma]))
+    assert np.allclose(got.last_e[-held:], e[-held:], atol=1e-8)
+    for i in range(len(best)):
+        for by in (-1e-3, 1e-3):
+            near = best + by * np.eye(len(best))[i]
+            other, _ = css(level, order, seasonal, near)
+            assert other @ other >= e @ e * (1 - 1e-9)
+
+
+def test_null_key_and_ties_of_arima(spark):
+    """A null key is a series of its own, on both ways; large integer keys keep their value."""
+    y = simulated(0.5, 0.3, 80)
+    rows = [(k, START + timedelta(hours=i), float(v)) for k in (None, (1 << 60) + 1) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp_ntz, y double")
+    for chunk_rows in (1_000_000, 25):
+        out = arima_forecast(df, SeriesKey(("k",), "ts", chunk_rows=chunk_rows), "y", 3, 3600).collect()
+        assert sorted((str(r.k), r.step) for r in out) == [(k, s) for k in sorted([str((1 << 60) + 1), "None"]) for s in (1, 2, 3)]
+        assert {r.status for r in out} == {"ok"} and len({round(r.forecast, 9) for r in out}) == 3
+
+
+def test_custom_model_fails_on_a_longer_series(spark):
+    with pytest.raises(Exception, match="max_rows"):
+        fit_groups(series(spark, a=range(10)), KEY, lambda pdf: pdf, "k string, ts timestamp_ntz, y double", 5, cut=False).collect()
+
+
 def test_custom_model(spark):
     def mean_model(pdf):
         return pd.DataFrame({"k": [pdf.k.iloc[0]], "mean": [pdf.y.mean()]})
