@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftloom.functions import rng
 from driftloom.functions.scalars import clip, floor_to, ntz_of
@@ -11,8 +14,8 @@ from driftloom.operators.generate import choose, cumulative
 from driftloom.schema import FieldSpec, TableSpec
 from driftloom.session import cut_lineage
 
-#: So many batch times are folded in one row; more are followed by pointer doubling.
-FOLD_TIMES = 20_000
+#: Batch times of a range that one task walks, about.
+PART_TIMES = 1_000_000
 # Bounds of a drifted probability before it is normalised.
 PROBABILITY_FLOOR, PROBABILITY_CEILING = 0.01, 1.0
 
@@ -68,60 +71,74 @@ def _resampled(f: FieldSpec, seed: int, magnitude: float, row_id: str, event: st
 # --- schedule ----------------------------------------------------------------
 
 
-def drift_epochs(df: DataFrame, ts: str, batch: str, origin_us: Column, interval_seconds: float, fold: int = FOLD_TIMES) -> DataFrame:
+def drift_epochs(df: DataFrame, ts: str, batch: str, origin_us: Column, interval_seconds: float, part_times: int = PART_TIMES) -> DataFrame:
     """The batches that drift: a batch drifts once ``interval_seconds`` have passed since the last drift.
 
     ``origin_us`` is the start of the run.  One row per drift event, with ``epoch`` (the number of
     whole intervals since the start), the ``batch`` that drifts and ``drift_ts``, the time it
-    starts.  Up to ``fold`` times are walked in order within one row.  For more, every time points to
-    the first batch at least one interval later, and the events are what the start reaches over these
-    pointers, found by doubling them: as many rounds as the logarithm of the number of events.
+    starts.  Batch times are dealt into ranges of about ``part_times``.  A range maps the last drift
+    before it to the last drift in it, which is a step function with at most as many steps as
+    one interval holds batches.  The functions of all ranges follow one another, a few steps
+    each, and give every range the drift it starts from; then all ranges are walked at once.
     """
     width = int(interval_seconds * 1_000_000)
-    starts = df.groupBy(batch).agg(F.min(ts).alias("drift_ts"))
-    starts = cut_lineage(starts.withColumn("_t", floor_to(F.col("drift_ts"), 1) - origin_us))
-    zero = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("_t"))
-    times = cut_lineage(starts.where("_t >= 0").select("_t").union(zero).distinct())
-    slot = F.floor(F.col("_t") / F.lit(width)).cast("long")
-    if times.count() <= fold:
-        reached = _walked(times, width)
+    starts = df.groupBy(batch).agg(F.min(ts).alias("drift_ts")).withColumn("_t", floor_to(F.col("drift_ts"), 1) - origin_us)
+    # of batches that start together the first one stands for all
+    times = cut_lineage(starts.where("_t >= 0").groupBy("_t").agg(F.min(batch).alias(batch), F.min("drift_ts").alias("drift_ts")))
+    n = -(-times.count() // max(1, part_times))
+    if n > 1:
+        parts = cut_lineage(times.repartitionByRange(n, "_t").withColumn("_part", F.spark_partition_id()))
+        parts = parts.join(_entries(parts, width), "_part")
     else:
-        reached = _reached(times, zero, slot, width)
-    events = starts.join(reached.where("_t > 0"), "_t").groupBy("_t").agg(F.min(batch).alias(batch), F.min("drift_ts").alias("drift_ts"))
-    return events.select(slot.alias("epoch"), batch, "drift_ts")
+        parts = times.withColumns({"_part": F.lit(0), "_from": F.lit(0).cast("long")})
+    schema = T.StructType([times.schema[c] for c in ("_t", batch, "drift_ts")])
 
+    def walk(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("_t").to_numpy(), kind="stable")
+        t, last, hits = table.column("_t").to_numpy()[order], table.column("_from")[0].as_py(), []
+        while (at := int(np.searchsorted(t, last + width))) < len(t):
+            hits.append(order[at])
+            last = int(t[at])
+        return table.select(["_t", batch, "drift_ts"]).take(pa.array(hits, pa.int64()))
 
-def _walked(times: DataFrame, width: int) -> DataFrame:
-    """The drift times among ``times``, walked from zero."""
-    def step(acc: Column, t: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.when(t >= last + width, F.array_append(acc, t)).otherwise(acc)
+    events = parts.groupBy("_part").applyInArrow(walk, schema)
+    return events.select(F.floor(F.col("_t") / F.lit(width)).cast("long").alias("epoch"), batch, "drift_ts")
 
-    every = times.agg(F.sort_array(F.collect_list("_t")).alias("_all"))
-    return every.select(F.explode(F.aggregate("_all", F.array(F.lit(0).cast("long")), step)).alias("_t"))
 
+def _steps(t: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of sorted times: ``(up to, last)``, the last drift for an entering one of at most ``up to``.
 
-def _reached(times: DataFrame, zero: DataFrame, slot: Column, width: int) -> DataFrame:
-    # The first time at or after (time + interval) in the next slot, else the first one of a later slot.
-    marks = times.select(slot.alias("_b"), "_t", F.lit(False).alias("_asks")).union(
-        times.select((slot + 1).alias("_b"), (F.col("_t") + width).alias("_t"), F.lit(True).alias("_asks"))
-    )
-    w = Window.partitionBy("_b").orderBy(F.desc("_t"), F.asc("_asks")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(~F.col("_asks"), F.col("_t")), ignorenulls=True).over(w)
-    near = marks.withColumn("_near", seen).where("_asks").select((F.col("_t") - width).alias("_t"), "_near")
-    per_slot = times.groupBy(slot.alias("_b")).agg(F.min("_t").alias("_first"))  # one row per interval
-    ahead = Window.orderBy("_b")
-    far = F.when(F.lead("_b", 1).over(ahead) >= F.col("_b") + 2, F.lead("_first", 1).over(ahead)).otherwise(F.lead("_first", 2).over(ahead))
-    jump = near.withColumn("_b", slot).join(per_slot.select("_b", far.alias("_far")), "_b", "left")
-    jump = cut_lineage(jump.select("_t", F.coalesce("_near", "_far").alias("_to")).where("_to is not null"))
-    reached = zero
-    while True:
-        more = cut_lineage(reached.join(jump, "_t").select(F.col("_to").alias("_t")))
-        if not more.count():
-            break
-        reached = cut_lineage(reached.union(more).distinct())
-        jump = cut_lineage(jump.join(jump.select(F.col("_t").alias("_to"), F.col("_to").alias("_next")), "_to").select("_t", F.col("_next").alias("_to")))
-    return reached
+    An entering drift lies before the first time, so a walk starts within one interval of it, or just behind.
+    """
+    following = np.searchsorted(t, t + width)
+    ends = np.where(following < len(t), following, np.arange(len(t)))
+    while (further := ends[ends]).tobytes() != ends.tobytes():
+        ends = further
+    first = min(len(t), int(np.searchsorted(t, t[0] + width)) + 1)
+    last = t[ends[:first]]
+    kept = np.flatnonzero(np.r_[last[1:] != last[:-1], True])
+    return t[:first][kept] - width, last[kept]
+
+
+def _entries(parts: DataFrame, width: int) -> DataFrame:
+    """``_part`` and ``_from``: the last drift before every range of times, zero at the start."""
+
+    def steps(table: pa.Table) -> pa.Table:
+        upto, last = _steps(np.sort(table.column("_t").to_numpy()), width)
+        return pa.table({"_part": table.column("_part").slice(0, 1), "upto": pa.array([upto.tolist()]), "last": pa.array([last.tolist()])})
+
+    def follow(table: pa.Table) -> pa.Table:
+        order, entered, last = np.argsort(table.column("_part").to_numpy()), {}, 0
+        for i in order.tolist():
+            entered[i] = last
+            upto = table.column("upto")[i].values.to_numpy()
+            at = int(np.searchsorted(upto, last))
+            last = table.column("last")[i].values[at].as_py() if at < len(upto) else last
+        return pa.table({"_part": table.column("_part"), "_from": pa.array([entered[i] for i in range(len(order))], pa.int64())})
+
+    functions = parts.select("_part", "_t").groupBy("_part").applyInArrow(steps, "_part int, upto array<long>, last array<long>")
+    # one row per range, not per time
+    return cut_lineage(functions.groupBy(F.lit(0).alias("_all")).applyInArrow(lambda t: follow(t), "_part int, _from long"))
 
 
 def event_parameters(epochs: DataFrame, spec: TableSpec, magnitude: float) -> DataFrame:

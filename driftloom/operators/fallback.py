@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import rng
 from driftloom.functions.scalars import stepped
-from driftloom.operators.series import SeriesKey, carry_forward, chunked, lag, position
+from driftloom.operators.series import SeriesKey, carry_forward, chunked, lag, matched, position
 
 RATIO_LIMIT, RATIO_MINIMUM = 0.8, 10
 
@@ -41,7 +41,7 @@ def fill(
     """
     names = [*keys, bucket]
     wanted = real.select(*names, value, *([reason] if reason else []))
-    joined = grid.join(wanted, names, "left")
+    joined = matched(grid, wanted, names)
     cause = F.coalesce(F.col(reason), F.lit("missing")) if reason else F.lit("missing")
     has = F.col(value).isNotNull()
     made = F.when(synthetic.isNotNull(), F.lit("synthetic")).otherwise(F.lit("empty"))
@@ -73,12 +73,16 @@ def fill_from_model(
     A gap of h steps after the last known value takes the model's forecast h steps ahead of it.  Adds
     ``data_type``, ``source`` (real, model or none), ``error`` (why the value is missing) and ``emitted_at``.
     """
-    known = rows.where(F.col(value).isNotNull())
-    steps = lag(known, key, value, 1, "_previous").select(*key.keys, *key.order, (F.col(value) - F.col("_previous")).alias("_dy"))
-    placed = position(chunked(rows, key), key, "_at").join(steps, [*key.keys, *key.order], "left")
-    context = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("y"), F.coalesce("_dy", F.lit(0.0)).alias("dy"), F.col("_at").alias("at")))
-    carried = carry_forward(placed.withColumn("_context", context), key, "_context", "_last")
-    joined = carried.join(coefficients.select(*key.keys, "phi"), list(key.keys), "left")
+    known = F.col(value).isNotNull()
+    placed = position(chunked(rows, key), key, "_at")
+    seen = F.when(known, F.col(value))
+    # the value known before each row, looked up on the rows themselves, so a repeated time stays one row
+    upto = carry_forward(placed.withColumn("_seen", seen), key, "_seen", "_upto")
+    before = lag(upto, key, "_upto", 1, "_before")
+    dy = F.coalesce(F.col(value) - F.col("_before"), F.lit(0.0))
+    context = F.when(known, F.struct(F.col(value).alias("y"), dy.alias("dy"), F.col("_at").alias("at")))
+    carried = carry_forward(before.withColumn("_context", context), key, "_context", "_last")
+    joined = matched(carried, coefficients.select(*key.keys, "phi"), key.keys)
     phi, h = F.col("phi"), F.col("_at") - F.col("_last.at")
     made = F.col("_last.y") + F.col("_last.dy") * phi * (F.lit(1.0) - F.pow(phi, h)) / (F.lit(1.0) - phi)
     real = F.col(value).isNotNull()
@@ -99,7 +103,7 @@ def fill_stream(
     Adds ``source`` (real, model or none), ``error`` (the reason column of the row) and ``emitted_at``.
     A row whose key the model does not know stays, without a value.
     """
-    joined = stream.join(moments.select(*keys, "mean", "std"), list(keys), "left")
+    joined = matched(stream, moments.select(*keys, "mean", "std"), keys)
     made = F.col("mean") + F.col("std") * rng.normal(seed, value, "fallback", row_id)
     real = F.col(value).isNotNull()
     return joined.withColumns({

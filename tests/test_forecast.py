@@ -296,6 +296,25 @@ def test_fill_order_and_provenance(spark):
     assert [r[1] for r in run(True)] == [1.0, 1.0, 1.0, None, None, None]
 
 
+def test_model_repair_keeps_rows_and_null_keys(spark):
+    """A repeated time stays as often as it came, and a null key has its own model."""
+    from driftloom.operators.fallback import fill, fill_from_model
+
+    rows = [(k, START + timedelta(hours=i), None if i % 4 == 3 else float(i * i)) for k in ("a", None) for i in range(9)] + [("a", START + timedelta(hours=4), 20.0)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, y double")
+    coefficients = spark.createDataFrame([("a", 0.5), (None, 0.25)], "k string, phi double")
+    for chunk_rows in (1_000_000, 4):
+        got = fill_from_model(df, SeriesKey(("k",), "ts", ("y",), chunk_rows=chunk_rows), "y", coefficients, F.col("ts")).collect()
+        assert len(got) == len(rows) and {r.source for r in got} == {"real", "model"}
+        made = {(r.k, r.ts.hour): r.y for r in got if r.source == "model"}
+        assert made[(None, 3)] == pytest.approx(4 + 3 * 0.25) and made[("a", 3)] == pytest.approx(4 + 3 * 0.5)
+        assert made[("a", 7)] == pytest.approx(36 + 11 * 0.5)
+    grid = spark.createDataFrame([("a", 1), (None, 1)], "k string, b int")
+    real = spark.createDataFrame([(None, 1, 5.0)], "k string, b int, y double")
+    filled = {r.k: (r.y, r.data_type) for r in fill(grid, real, ["k"], "b", "y", F.lit(1.0)).collect()}
+    assert filled == {"a": (1.0, "synthetic"), None: (5.0, "real")}
+
+
 def test_ratio_warns_only_after_enough_batches(spark):
     def rows(k, real, synthetic):
         kinds = ["real"] * real + ["synthetic"] * synthetic
