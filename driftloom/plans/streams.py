@@ -15,7 +15,7 @@ from driftloom.plans.repairing import GONE
 from driftloom.plans.tables import query, table
 from driftloom.operators.series import SeriesKey, knocked_out
 from driftloom.session import fresh_path
-from driftloom.streaming import buffer, fanout, monitor, runner
+from driftloom.streaming import bars, buffer, fanout, monitor, runner
 from driftloom.streaming.sources import landed_files
 
 
@@ -63,6 +63,24 @@ def stream_monitor(spark, folder):
     return monitor.current_counts(spark, f"{path}/out")
 
 
+@query(
+    "stream_ohlcv",
+    """SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS bucket, arg_min(value, (ts, event_id)) AS open,
+            max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close,
+            count(*) AS volume
+        FROM events GROUP BY 1, 2""",
+)
+def stream_ohlcv(spark, folder):
+    """Daily bars of the streamed events by event time; a late row would fail the query."""
+    path = fresh_path(spark, "bars")
+    key = SeriesKey(("event_type",), "ts", ("event_id",))
+    made = bars.bars(event_stream(spark, folder), key, "value", F.lit(1), "1 day", "1 day")
+    ended = runner.drain(bars.keep_bars(made, f"{path}/out", f"{path}/checkpoint"))
+    if late := bars.late_groups(ended):
+        raise ValueError(f"{late} groups of late rows")
+    return bars.current_bars(spark, f"{path}/out", key.keys)
+
+
 _M = "(SELECT event_type, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1)"
 
 

@@ -32,6 +32,31 @@ def stream_of(spark, path, per_batch=1):
     return landed_files(spark, path, spark.read.parquet(path).schema, files_per_batch=per_batch)
 
 
+def test_bars_equal_the_batch_form_and_late_rows_are_reported(spark):
+    from driftloom.operators.series import SeriesKey, ohlcv
+    from driftloom.streaming import bars
+
+    key, path, out = SeriesKey(("k",), "ts", ("id",)), fresh_path(spark, "landed"), fresh_path(spark, "bars")
+    ids = lambda a, b: spark.range(a, b).select(
+        "id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("k"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"), F.sin("id").alias("v"))
+    for part in range(3):
+        ids(part * 100, part * 100 + 100).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    made = bars.bars(stream_of(spark, path), key, "v", F.lit(1), "30 minutes", "10 minutes")
+    writer = bars.keep_bars(made, f"{out}/t", f"{out}/c")
+    assert bars.late_groups(runner.drain(writer)) == 0
+    half = F.timestamp_micros(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 1800).cast("long") * 1_800_000_000).cast("timestamp_ntz")
+    want = sorted(map(str, ohlcv(ids(0, 300), key, "v", F.lit(1), half).collect()))
+    got = bars.current_bars(spark, f"{out}/t", key.keys)
+    assert sorted(map(str, got.collect())) == want and got.where("k is null").count() > 0
+    # rows of the first minutes come again, long after the watermark has passed them
+    ids(0, 5).coalesce(1).write.mode("append").parquet(path)
+    again = bars.keep_bars(bars.bars(stream_of(spark, path), key, "v", F.lit(1), "30 minutes", "10 minutes"), f"{out}/t", f"{out}/c")
+    query = runner.drain(again)
+    assert sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"]) >= 3
+    assert sorted(map(str, bars.current_bars(spark, f"{out}/t", key.keys).collect())) == want
+
+
 def test_fan_out_isolates_failures_and_filters(spark, landed):
     out, seen = fresh_path(spark, "out"), []
 
