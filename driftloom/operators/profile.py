@@ -50,20 +50,21 @@ def _kinds(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
 
 
 def frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column`` (its position), one value field per type, and ``n``: one pass and one shuffle for all columns.
+    """``column`` (its position), one value field per type, and ``n``: one grouping per type.
 
-    Values keep their type, in the field ``v_<type>``; a missing value has none.  Duplicates combine
-    on the map side, so the shuffle carries distinct values, and a value that fills a third of the
-    table costs one row per task.
+    Values keep their type, in the field ``v_<type>``; a missing value has none.  Each type is grouped
+    by itself, so keys are plain values and every scan reads the columns of its type only.  Duplicates
+    combine on the map side, so the shuffle carries distinct values, and a value that fills a third of
+    the table costs one row per task.
     """
     columns, kinds = list(columns), _kinds(df, columns)
-    pairs = []
+    parts = []
     for kind, names in kinds.items():
-        for c in names:
-            fields = [f"'v_{k}', {present_sql(df, c, k) if k == kind else f'cast(null as {k})'}" for k in kinds]
-            pairs.append(f"named_struct('column', {columns.index(c)}, {', '.join(fields)})")
-    exploded = df.selectExpr(f"inline_outer(array({', '.join(pairs)}))")
-    return exploded.groupBy("column", *[f"v_{k}" for k in kinds]).agg(F.count("*").alias("n"))
+        pairs = [f"named_struct('column', {columns.index(c)}, 'v', {present_sql(df, c, kind)})" for c in names]
+        counted = df.selectExpr(f"inline(array({', '.join(pairs)}))").groupBy("column", "v").agg(F.count("*").alias("n"))
+        values = [(F.col("v") if k == kind else F.lit(None).cast(k)).alias(f"v_{k}") for k in kinds]
+        parts.append(counted.select("column", *values, "n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _counted(counts: DataFrame) -> DataFrame:

@@ -23,30 +23,39 @@ SERIES_MARK = "Time Series"
 RATE_NOTE = "API call frequency"
 
 
-def _top(payload: Column) -> Column:
-    return F.from_json(payload, "map<string,string>")
+def _fields(value: Column, of: str = "variant") -> Column:
+    """Fields of a JSON object by name, or null where ``value`` is no object."""
+    return F.try_variant_get(value, "$", f"map<string,{of}>")
 
 
-def _series_text(top: Column) -> Column:
-    """JSON text under the first key that contains the series mark."""
-    key = F.try_element_at(F.filter(F.map_keys(top), lambda k: k.contains(SERIES_MARK)), F.lit(1))
+def _series(top: Column) -> Column:
+    """Value under the first key (in the order of names) that contains the series mark; null where there is none."""
+    key = F.try_element_at(F.array_sort(F.filter(F.map_keys(top), lambda k: k.contains(SERIES_MARK))), F.lit(1))
     return F.try_element_at(top, key)
 
 
+def _there(value: Column) -> Column:
+    """Whether a variant is there and is not a JSON null."""
+    return value.isNotNull() & ~F.is_variant_null(value)
+
+
 def map_payload(
     df: DataFrame, payload: str, keep: Sequence[str] = (), fields: Sequence[str] = BAR_FIELDS
 ) -> DataFrame:
     """Map of maps: the keys of the series are times, the inner maps hold numbered fields.
 
-    Values that are not numbers become null.
+    The text is parsed once, into a variant.  Values that are not numbers become null, a point that is
+    no object has only nulls, and an object that names a field twice counts as malformed.
     """
-    inner = ", ".join(f"`{f}`: string" for f in fields)
-    # Field names lose their number where they stand, so that one parse finds them by name.
-    text = F.regexp_replace(_series_text(F.col("_top")), r'"[^"]*?\. ([^"]+)"(\s*:)', '"$1"$2')
-    parsed = df.select(*keep, _top(F.col(payload)).alias("_top")).select(*keep, text.alias("_text"))
-    points = parsed.select(*keep, F.explode_outer(F.from_json("_text", f"map<string,struct<{inner}>>")).alias("_at", "_point"))
-    numbers = [F.col("_point")[f].try_cast("double").alias(f) for f in fields]
-    return points.where("_at is not null").select(*keep, F.col("_at").try_cast("timestamp_ntz").alias("ts"), *numbers)
+    top = df.select(*keep, _fields(F.try_parse_json(payload)).alias("_top"))
+    points = top.select(*keep, F.explode_outer(_fields(_series(F.col("_top")))).alias("_at", "_point"))
+    points = points.where("_at is not null").select(*keep, "_at", _fields(F.col("_point"), "string").alias("_point"))
+    # a name may carry a number, as in "1. open"
+    names = F.transform(F.map_keys("_point"), lambda k: F.substring_index(k, ". ", -1))
+    points = points.select(*keep, "_at", names.alias("_names"), F.map_values("_point").alias("_values"))
+    at = [F.nullif(F.array_position("_names", f), F.lit(0)).cast("int") for f in fields]
+    numbers = [F.try_element_at("_values", i).try_cast("double").alias(f) for f, i in zip(fields, at)]
+    return points.select(*keep, F.col("_at").try_cast("timestamp_ntz").alias("ts"), *numbers)
 
 
 def array_payload(
@@ -87,25 +96,31 @@ def _from_seconds(name: str) -> Column:
 
 
 def classified(df: DataFrame, payload: str) -> DataFrame:
-    """Adds ``shape`` (map, arrays, records or null) and ``reason`` (null for a good payload)."""
-    top, text = F.col("_top"), F.col(payload)
-    series = _series_text(top)
-    has_arrays = F.get_json_object(text, "$.chart.result[0]").isNotNull()
-    has_records = F.get_json_object(text, "$.Data[0]").isNotNull()
-    limited = F.coalesce(F.try_element_at(top, F.lit("Note")).contains(RATE_NOTE), F.lit(False))
-    failed = F.try_element_at(top, F.lit("Error Message")).isNotNull() | F.coalesce(
-        F.try_element_at(top, F.lit("Response")) == F.lit("Error"), F.lit(False)
-    )
+    """Adds ``shape`` (map, arrays, records or null) and ``reason`` (null for a good payload).
+
+    Everything is read from one variant per payload.
+    """
+    top, whole = F.col("_top"), F.col("_whole")
+    series = _there(_series(top))
+    has_arrays = _there(F.try_variant_get(whole, "$.chart.result[0]", "variant"))
+    has_records = _there(F.try_variant_get(whole, "$.Data[0]", "variant"))
+
+    def said(field: str) -> Column:
+        return F.try_variant_get(whole, f"$['{field}']", "string")
+
+    limited = F.coalesce(said("Note").contains(RATE_NOTE), F.lit(False))
+    failed = said("Error Message").isNotNull() | F.coalesce(said("Response") == F.lit("Error"), F.lit(False))
+    found = F.when(series, "map").when(has_arrays, "arrays").when(has_records, "records")
     reason = (
         F.when(top.isNull(), F.lit("malformed"))
         .when(failed, F.lit("error"))
-        .when(series.isNotNull() | has_arrays | has_records, F.lit(None).cast("string"))
+        .when(F.col("shape").isNotNull(), F.lit(None).cast("string"))
         .when(limited, F.lit("rate_limited"))
         .otherwise(F.lit("empty"))
     )
-    shape = F.when(series.isNotNull(), "map").when(has_arrays, "arrays").when(has_records, "records")
-    tagged = df.withColumn("_top", _top(text)).withColumn("reason", reason)
-    return tagged.withColumn("shape", F.when(F.col("reason").isNull(), shape)).drop("_top")
+    parsed = df.withColumn("_whole", F.try_parse_json(payload)).withColumn("_top", _fields(whole))
+    tagged = parsed.withColumn("shape", found).withColumn("reason", reason)
+    return tagged.withColumn("shape", F.when(F.col("reason").isNull(), F.col("shape"))).drop("_top", "_whole")
 
 
 def split(df: DataFrame, payload: str) -> tuple[DataFrame, DataFrame]:
