@@ -65,34 +65,51 @@ def fill(
     )
 
 
+#: What a series hands on: its last known value, the last difference, and the rows since.
+CONTEXT = ("_y", "_dy", "_since")
+
+
 def fill_from_model(
-    rows: DataFrame, key: SeriesKey, value: str, coefficients: DataFrame, emitted_at: Column, reason: str | None = None
+    rows: DataFrame, key: SeriesKey, value: str, coefficients: DataFrame, emitted_at: Column, reason: str | None = None,
+    context: DataFrame | None = None, keep_context: bool = False,
 ) -> DataFrame:
     """Missing values of a gridded series from its fitted model (:func:`forecast.fit_ar`) and recent context.
 
     A gap of h steps after the last known value takes the model's forecast h steps ahead of it.  Adds
     ``data_type``, ``source`` (real, model or none), ``error`` (why the value is missing) and ``emitted_at``.
+    ``context`` (``_y``, ``_dy``, ``_since`` per series) is what came before the first row of a series;
+    ``keep_context`` adds these three and the position ``_at`` for every row.
     """
     known = F.col(value).isNotNull()
     placed = position(chunked(rows, key), key, "_at")
+    if context is None:
+        nothing = {"_y0": "double", "_dy0": "double", "_since0": "bigint"}
+        placed = placed.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()})
+    else:
+        placed = matched(placed, context.select(*key.keys, *[F.col(c).alias(f"{c}0") for c in ("_y", "_dy", "_since")]), key.keys)
     seen = F.when(known, F.col(value))
     # the value known before each row, looked up on the rows themselves, so a repeated time stays one row
     upto = carry_forward(placed.withColumn("_seen", seen), key, "_seen", "_upto")
     before = lag(upto, key, "_upto", 1, "_before")
-    dy = F.coalesce(F.col(value) - F.col("_before"), F.lit(0.0))
-    context = F.when(known, F.struct(F.col(value).alias("y"), dy.alias("dy"), F.col("_at").alias("at")))
-    carried = carry_forward(before.withColumn("_context", context), key, "_context", "_last")
-    joined = matched(carried, coefficients.select(*key.keys, "phi"), key.keys)
-    phi, h = F.col("phi"), F.col("_at") - F.col("_last.at")
-    made = F.col("_last.y") + F.col("_last.dy") * phi * (F.lit(1.0) - F.pow(phi, h)) / (F.lit(1.0) - phi)
-    real = F.col(value).isNotNull()
-    source = F.when(real, "real").when(made.isNotNull(), "model").otherwise("none")
-    error = F.when(~real, F.coalesce(F.col(reason), F.lit("missing")) if reason else F.lit("missing"))
-    return joined.withColumns({
+    dy = F.coalesce(F.col(value) - F.coalesce("_before", "_y0"), F.lit(0.0))
+    found = F.when(known, F.struct(F.col(value).cast("double").alias("y"), dy.alias("dy"), F.col("_at").alias("at")))
+    carried = carry_forward(before.withColumn("_found", found), key, "_found", "_last")
+    joined = matched(carried, coefficients.select(*key.keys, "phi"), key.keys).withColumns({
+        "_y": F.coalesce("_last.y", "_y0"), "_dy": F.coalesce("_last.dy", "_dy0"),
+        "_since": F.col("_at") - F.coalesce("_last.at", -F.col("_since0")),
+    })
+    phi = F.col("phi")
+    made = F.col("_y") + F.col("_dy") * phi * (F.lit(1.0) - F.pow(phi, F.col("_since"))) / (F.lit(1.0) - phi)
+    source = F.when(known, "real").when(made.isNotNull(), "model").otherwise("none")
+    error = F.when(~known, F.coalesce(F.col(reason), F.lit("missing")) if reason else F.lit("missing"))
+    filled = joined.withColumns({
         "_filled": F.coalesce(F.col(value), made),
-        "data_type": F.when(real, "real").when(made.isNotNull(), "synthetic").otherwise("empty"),
+        "data_type": F.when(known, "real").when(made.isNotNull(), "synthetic").otherwise("empty"),
         "source": source, "error": error, "emitted_at": emitted_at,
-    }).select(*[F.col("_filled").alias(c) if c == value else F.col(c) for c in rows.columns], "data_type", "source", "error", "emitted_at")
+    })
+    values = [F.col("_filled").alias(c) if c == value else F.col(c) for c in rows.columns]
+    extra = ("_at", "_y", "_dy", "_since") if keep_context else ()
+    return filled.select(*values, "data_type", "source", "error", "emitted_at", *extra)
 
 
 def fill_stream(

@@ -81,6 +81,15 @@ def fallback_carry(spark, folder):
 _LOST = duck.uniform(SEED, "y", "outage", "day_no", duck.text_id("event_type"))
 
 
+def lossy_daily(spark, folder):
+    """Daily totals of every type with three in ten days lost."""
+    day = truncated(F.col("ts"), DAY)
+    daily = table(spark, folder, "events").groupBy("event_type", day.alias("day")).agg(F.round(F.sum("value"), 4).alias("y"))
+    daily = daily.withColumn("_day", floor_to(F.col("day"), DAY * 1_000_000))
+    kept = rng.uniform(SEED, "y", "outage", "_day", rng.text_id("event_type")) >= 0.3
+    return daily.withColumn("y", F.when(kept, F.col("y"))).drop("_day")
+
+
 @query(
     "fallback_model",
     f"""WITH d AS (SELECT *, epoch_us(day) // 86400000000 AS day_no FROM (
@@ -101,13 +110,8 @@ _LOST = duck.uniform(SEED, "y", "outage", "day_no", duck.text_id("event_type"))
         FROM j JOIN f ON j.event_type = f.event_type""",
 )
 def fallback_model(spark, folder):
-    """Daily totals with three in ten days lost, repaired by the fitted model of each type."""
-    day = truncated(F.col("ts"), DAY)
-    daily = table(spark, folder, "events").groupBy("event_type", day.alias("day")).agg(F.round(F.sum("value"), 4).alias("y"))
-    daily = daily.withColumn("_day", floor_to(F.col("day"), DAY * 1_000_000))
-    kept = rng.uniform(SEED, "y", "outage", "_day", rng.text_id("event_type")) >= 0.3
-    daily = daily.withColumn("y", F.when(kept, F.col("y"))).drop("_day")
-    key = SeriesKey(("event_type",), "day")
+    """Lost daily totals repaired by the fitted model of each type."""
+    daily, key = lossy_daily(spark, folder), SeriesKey(("event_type",), "day")
     out = fb.fill_from_model(daily, key, "y", fit_ar(daily, key, "y"), F.col("day") + F.expr("interval 1 day"))
     return out.withColumn("y", F.round("y", 4))
 

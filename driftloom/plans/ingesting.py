@@ -6,6 +6,7 @@ unpacked again; the oracle is the plain selection.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -15,9 +16,11 @@ from driftloom.plans import duck
 from driftloom.plans.tables import query, table
 from driftloom.session import fresh_path
 from driftloom.sinks import writers
+from driftloom.sinks.committed import read_committed, register_sink
 from driftloom.sources import history as h
 from driftloom.sources.custom import register_source
 from driftloom.sources import payloads as p
+from driftloom.streaming.runner import drain
 
 SEED = 42
 
@@ -299,19 +302,45 @@ def parquet_scan(spark, folder):
 
 
 
+# --- a user's own source: quotes by order key ---------------------------------
 
-def _order_slice(lo, hi, options):
-    """Orders with keys in [lo, hi), read where the slice is planned."""
-    import pyarrow.dataset as ds
 
-    rows = ds.dataset(options["path"]).to_table(columns=["o_orderkey", "o_totalprice"], filter=(ds.field("o_orderkey") >= lo) & (ds.field("o_orderkey") < hi))
-    return pa.RecordBatch.from_arrays([c.combine_chunks() for c in rows.columns], names=rows.column_names)
+def _quotes(lo, hi, options):
+    """The quotes of the keys in [lo, hi), made where the slice is read, a bounded batch at a time."""
+    for start in range(lo, hi, 10_000):
+        keys = np.arange(start, min(start + 10_000, hi), dtype=np.int64)
+        columns = [pa.array(keys), pa.array(keys * 7919 % 10007 / 100.0)]
+        yield pa.RecordBatch.from_arrays(columns, names=["quote_key", "quote"])
 
 
-@query("custom_source", "SELECT o_orderkey, o_totalprice FROM orders")
+def _quote_source(reader, spark, folder):
+    """The quotes of all keys that the orders span; ``reader`` is ``spark.read`` or ``spark.readStream``."""
+    register_source(spark, "quotes", "quote_key bigint, quote double", _quotes, "quote_key")
+    span = table(spark, folder, "orders").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")).first()
+    lo, hi = (0, 0) if span.lo is None else (span.lo, span.hi + 1)
+    return reader.format("quotes").option("start", str(lo)).option("end", str(hi)).load()
+
+
+def _quoted(spark, folder, quotes):
+    """Every order with its quote; an order without a key has none."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    return orders.join(quotes, F.col("o_orderkey") == F.col("quote_key"), "left").drop("quote_key")
+
+
+QUOTED_SQL = "SELECT o_orderkey, o_totalprice, ((o_orderkey * 7919) % 10007 + 10007) % 10007 / 100.0::DOUBLE AS quote FROM orders"
+
+
+@query("custom_source", QUOTED_SQL)
 def custom_source(spark, folder):
-    """A user's own source that serves the orders in slices of their keys."""
-    register_source(spark, "order_slices", "o_orderkey bigint, o_totalprice double", _order_slice)
-    end = table(spark, folder, "orders").agg(F.max("o_orderkey") + 1).first()[0]
-    reader = spark.read.format("order_slices").option("end", str(end)).option("sliceRows", str(max(1, end // 8 + 1)))
-    return reader.option("path", f"{folder}/orders.parquet").load()
+    """Orders with the quotes that a user's own source serves in slices of their keys."""
+    return _quoted(spark, folder, _quote_source(spark.read, spark, folder))
+
+
+@query("stream_custom_source", QUOTED_SQL)
+def stream_custom_source(spark, folder):
+    """The same source as a stream, drained into the sink with a commit protocol."""
+    path, quotes = fresh_path(spark, "quotes"), _quote_source(spark.readStream, spark, folder)
+    register_sink(spark, "committed_parts")
+    writer = quotes.writeStream.format("committed_parts").option("path", path).option("checkpointLocation", f"{path}-checkpoint")
+    drain(writer)
+    return _quoted(spark, folder, read_committed(spark, path, quotes.schema))

@@ -7,15 +7,16 @@ import time
 from pyspark.sql import functions as F
 
 from driftloom.operators.fallback import fill_stream
-from driftloom.operators.forecast import fit_moments
+from driftloom.operators.forecast import fit_ar, fit_moments
 from driftloom.operators.generate import generate, stamp
 from driftloom.plans import duck
+from driftloom.plans.fallbacks import lossy_daily
 from driftloom.plans.generation import PRESET, duck_table, rounded
 from driftloom.plans.repairing import GONE
-from driftloom.plans.tables import query, table
+from driftloom.plans.tables import ORACLES, query, table
 from driftloom.operators.series import SeriesKey, knocked_out
-from driftloom.session import fresh_path
-from driftloom.streaming import bars, buffer, fanout, monitor, runner
+from driftloom.session import cut_lineage, fresh_path
+from driftloom.streaming import bars, buffer, fanout, monitor, repair, runner
 from driftloom.streaming.sources import landed_files
 
 
@@ -101,6 +102,23 @@ def stream_fallback(spark, folder):
     return spark.read.parquet(f"{path}/out").drop("batch_id")
 
 
+@query("stream_fallback_model", ORACLES["fallback_model"])
+def stream_fallback_model(spark, folder):
+    """The daily totals land in three files, one micro-batch each, and are repaired from the stored models as they pass."""
+    path, key = fresh_path(spark, "model-repair"), SeriesKey(("event_type",), "day")
+    daily = cut_lineage(lossy_daily(spark, folder))
+    fit_ar(daily, key, "y").write.parquet(f"{path}/model")
+    ends = daily.agg(F.struct(F.min("day").alias("lo"), F.max("day").alias("hi"))).scalar()
+    days = lambda upto: F.timestamp_diff("DAY", ends["lo"], upto)
+    parts = daily.withColumn("_part", F.floor(days(F.col("day")) * 3 / (days(ends["hi"]) + 1)))
+    for part in range(3):
+        parts.where(F.col("_part") == part).select(*daily.columns).coalesce(1).write.mode("append").parquet(f"{path}/landed")
+    stream = landed_files(spark, f"{path}/landed", daily.schema, files_per_batch=1)
+    model = spark.read.parquet(f"{path}/model")
+    runner.drain(repair.repair(stream, key, "y", model, F.col("day") + F.expr("interval 1 day"), path, f"{path}/checkpoint"))
+    return repair.repaired(spark, path).withColumn("y", F.round("y", 4))
+
+
 @query(
     "stream_continuous",
     duck_table(PRESET, "events", "event_id", ["event_id"]),
@@ -171,20 +189,18 @@ def stream_fanout(spark, folder):
 )
 def stream_bounded(spark, folder):
     """The newest twenty readings per user as bounded state of the stream."""
-    path = fresh_path(spark, "buffer")
+    checkpoint = fresh_path(spark, "buffer")
     provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", buffer.ROCKSDB)
     try:
-        kept = buffer.buffered(
-            event_stream(spark, folder), "user_id", ["ts", "event_id", "value"], ["ts", "event_id"], 20, 4
-        )
-        runner.drain(buffer.write_buffer(kept, f"{path}/out", f"{path}/checkpoint"))
+        kept = buffer.buffered(event_stream(spark, folder), "user_id", ["ts", "event_id", "value"], ["ts", "event_id"], 20, 4)
+        runner.drain(buffer.keep_buffer(kept, checkpoint))
     finally:
         if provider is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    return buffer.latest(spark, f"{path}/out", "user_id", ["ts", "event_id"], 20)
+    return buffer.latest(spark, checkpoint, "user_id", ["ts", "event_id"], 20)
 
 
 @query("stream_metrics", "SELECT 1::BIGINT AS batches, count(*) AS records FROM events")
@@ -197,8 +213,10 @@ def stream_metrics(spark, folder):
         sink = fanout.files("table", f"{path}/out")
         writer = fanout.fan_out(event_stream(spark, folder), [sink], f"{path}/status", f"{path}/checkpoint")
         runner.drain(writer.queryName(f"events_{path[-8:]}"))
-        deadline = time.time() + 20
-        while log.pending() == 0 and time.time() < deadline:
+        deadline = time.time() + 60
+        while log.pending() == 0:
+            if time.time() > deadline:
+                raise TimeoutError("no progress event within 60 seconds")
             time.sleep(0.1)
     finally:
         spark.streams.removeListener(log)

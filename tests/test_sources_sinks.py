@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime
 
 import pyarrow as pa
@@ -94,15 +95,79 @@ def test_bar_width_by_span(spark, kind, days, seconds):
     assert spark.range(1).select(h.bar_seconds(kind, F.lit(days))).first()[0] == seconds
 
 
-def test_custom_source(spark):
+def doubles():
+    """A source of numbers and their doubles; a nested function travels to the workers by value."""
+
     def fetch(lo, hi, options):
         ids = list(range(lo, hi))
-        return pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "twice": pa.array([2 * i for i in ids], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "twice": pa.array([2 * i for i in ids], pa.int64())})
+
+    return fetch
 
-    register_source(spark, "doubles", "id bigint, twice bigint", fetch)
-    df = spark.read.format("doubles").option("end", "1000").option("sliceRows", "300").load()
+
+def test_custom_source(spark):
+    register_source(spark, "doubles", "id bigint, twice bigint", doubles(), "id", lambda options: 1000)
+    read = spark.read.format("doubles").option("sliceRows", "300").option("batchRows", "7")
+    df = read.load()
     assert df.rdd.getNumPartitions() == 4
     assert df.agg(F.sum("twice")).first()[0] == 999 * 1000 and df.count() == 1000
+    assert sorted(r.id for r in read.option("last", "3").load().collect()) == [997, 998, 999]
+    assert spark.read.format("doubles").option("end", "0").load().count() == 0
+
+
+@pytest.mark.parametrize("condition, ids", [
+    ("id >= 10 and id < 13", [10, 11, 12]), ("id > 997", [998, 999]), ("id <= 1", [0, 1]), ("id = 5", [5]),
+    ("id between 7 and 8 and twice > 14", [8]), ("id > 5 and id < 5", []), ("id in (3, 4)", [3, 4]), ("id is null", []),
+])
+def test_custom_source_filters_narrow_the_slices(spark, condition, ids):
+    fetched = fresh_path(spark, "fetched")
+    os.makedirs(fetched)
+    fetch = doubles()
+
+    def watched(lo, hi, options):
+        open(f"{fetched}/{lo}-{hi}", "w").close()
+        yield from fetch(lo, hi, options)
+
+    register_source(spark, "watched", "id bigint, twice bigint", watched, "id", lambda options: 1000)
+    df = spark.read.format("watched").option("sliceRows", "100").load().where(condition)
+    assert sorted(r.id for r in df.collect()) == ids
+    if "twice" not in condition and " in " not in condition and "null" not in condition:
+        ranges = [tuple(map(int, f.split("-"))) for f in os.listdir(fetched)]
+        assert sum(hi - lo for lo, hi in ranges) == len(ids)  # nothing else was fetched
+
+
+def test_custom_source_streams_by_offsets(spark):
+    """A stream goes on where it ended, and reads only what has come since."""
+    state, out = {"end": 250}, fresh_path(spark, "offsets")
+    newest = f"{out}/newest"
+    os.makedirs(out)
+
+    def latest(options):
+        with open(newest) as f:
+            return int(f.read())
+
+    register_source(spark, "growing", "id bigint, twice bigint", doubles(), "id", latest)
+    for state["end"] in (250, 250, 400):
+        with open(newest, "w") as f:
+            f.write(str(state["end"]))
+        stream = spark.readStream.format("growing").option("sliceRows", "100").load()
+        writer = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/cp")
+        writer.trigger(availableNow=True).start().awaitTermination()
+        assert sorted(r.id for r in spark.read.parquet(f"{out}/rows").collect()) == list(range(state["end"]))
+
+
+def test_map_payload_odd_shapes(spark):
+    """Points that are no objects, nulls, double names and texts that are no JSON."""
+    key = "Time Series (1min)"
+    bodies = frame(
+        spark, {key: {"2024-01-01": 5, "2024-01-02": {"1. open": 2, "1. high": None}}}, {key: None}, {key: [1]}, [1], "", "{nope",
+        '{"a": 1, "a": 2}', {key: {"x": {"1. open": "3"}}},
+    ).union(spark.createDataFrame([(99, None)], "id int, payload string"))
+    rows = p.map_payload(bodies, "payload", ["id"], ["open", "high"]).collect()
+    assert sorted((r.id, r.ts and r.ts.day, r.open, r.high) for r in rows if r.id == 0) == [(0, 1, None, None), (0, 2, 2.0, None)]
+    assert [(r.id, r.ts, r.open) for r in rows if r.id != 0] == [(7, None, 3.0)]
+    shapes = {r.id: (r["shape"], r.reason) for r in p.classified(bodies, "payload").collect()}
+    assert shapes == {0: ("map", None), 1: (None, "empty"), 2: ("map", None), 7: ("map", None), **{i: (None, "malformed") for i in (3, 4, 5, 6, 99)}}
 
 
 # --- sinks -------------------------------------------------------------------

@@ -1,3 +1,4 @@
+import os
 import time
 
 import pytest
@@ -7,7 +8,7 @@ from driftloom.operators.generate import generate, row_ids
 from driftloom.plans import streams
 from driftloom.plans.streams import stream_bounded  # noqa: F401  (registers the queries)
 from driftloom.schema import PRESET_SERIES, PRESET_TABULAR, TableSpec
-from driftloom.session import fresh_path
+from driftloom.session import cut_lineage, fresh_path
 from driftloom.streaming import buffer, fanout, monitor, runner
 from driftloom.streaming.sources import continuous_rows, landed_files
 
@@ -116,18 +117,93 @@ def test_monitor_counts_equal_batch_counts(spark, landed):
     assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
 
 
-def test_buffer_keeps_the_newest_over_batches(spark, landed):
-    out = fresh_path(spark, "out")
+@pytest.mark.parametrize("ttl", [None, 3600.0])
+def test_buffer_keeps_the_newest_over_batches(spark, landed, ttl):
+    checkpoint = fresh_path(spark, "cp")
+    nulls = spark.range(500, 503).select("id", (F.col("id") % 3).alias("k"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("g0").alias("generator"))
+    nulls.coalesce(1).write.mode("append").parquet(landed)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", buffer.ROCKSDB)
     try:
-        kept = buffer.buffered(stream_of(spark, landed), "k", ["ts", "id"], ["ts", "id"], 5, 2)
-        runner.drain(buffer.write_buffer(kept, f"{out}/rows", f"{out}/cp"))
+        kept = buffer.buffered(stream_of(spark, landed), "k", ["ts", "id"], ["ts", "id"], 5, 2, ttl)
+        writer, deadline = buffer.keep_buffer(kept, checkpoint), time.time() + 60
+        query = runner.drain(writer) if ttl is None else writer.trigger(processingTime="0 seconds").start()
+        while sum(p["numInputRows"] for p in query.recentProgress) < 203 and time.time() < deadline:
+            time.sleep(0.1)
+        query.stop()
+        assert len([p for p in query.recentProgress if p["numInputRows"]]) == 5
+        rows = buffer.latest(spark, checkpoint, "k", ["ts", "id"], 5).collect()
+        assert sorted(r.id for r in rows) == list(range(185, 200))
+        state = spark.read.format("statestore").option("stateVarName", "rows").load(checkpoint)
+        assert state.count() <= 3 * 2 * 5  # of three keys in two slots, however many batches
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    rows = buffer.latest(spark, f"{out}/rows", "k", ["ts", "id"], 5).collect()
-    assert sorted(r.id for r in rows) == list(range(185, 200))
-    sizes = spark.read.parquet(f"{out}/rows").groupBy("k", "slot", "batch_id").count()
-    assert sizes.agg(F.max("count")).first()[0] <= 5
+
+
+def test_stream_repair_equals_the_batch_form(spark):
+    """Series with a null key, gaps across batches, repeated times and a series that starts late."""
+    from driftloom.operators.fallback import fill_from_model
+    from driftloom.operators.forecast import fit_ar
+    from driftloom.operators.series import SeriesKey
+    from driftloom.streaming import repair
+
+    key, path = SeriesKey(("k",), "ts", ("id",)), fresh_path(spark, "repair")
+    name = F.when(F.col("id") % 3 > 0, F.concat(F.lit("k"), F.col("id") % 3))
+    value = F.when((F.col("id") % 7 > 2) & ~F.col("id").between(85, 115), F.sin("id") * 10 + F.col("id"))
+    rows = spark.range(300).select("id", name.alias("k"), F.timestamp_seconds(F.floor(F.col("id") / 6) * 60).cast("timestamp_ntz").alias("ts"), value.alias("v"))
+    rows = rows.unionByName(spark.range(240, 270).select(F.col("id") + 1000, F.lit("late").alias("k"), F.timestamp_seconds(F.col("id") * 10).cast("timestamp_ntz").alias("ts"), F.when(F.col("id") % 2 == 0, F.col("id") * 1.5).alias("v")).toDF("id", "k", "ts", "v"))
+    rows = cut_lineage(rows)
+    fit_ar(rows, key, "v").write.parquet(f"{path}/model")
+    for lo, hi in ((0, 960), (960, 1800), (1800, 9999)):
+        at = F.unix_seconds(F.col("ts").cast("timestamp"))
+        rows.where((at >= lo) & (at < hi)).coalesce(1).write.mode("append").parquet(f"{path}/landed")
+        time.sleep(0.05)
+    model, emitted = spark.read.parquet(f"{path}/model"), F.col("ts")
+    runner.drain(repair.repair(stream_of(spark, f"{path}/landed"), key, "v", model, emitted, path, f"{path}/cp"))
+    want = fill_from_model(rows, key, "v", model, emitted)
+    got = repair.repaired(spark, path).select(*want.columns)
+    assert want.where("source = 'model' and k is null").count() > 0
+    rounded = lambda df: sorted(map(str, df.withColumn("v", F.round("v", 6)).collect()))
+    assert rounded(got) == rounded(want)
+
+
+def test_committed_sink_gives_each_row_once(spark, landed):
+    """A task that fails after it has written its part, and a commit that fails once: no row twice, none lost."""
+    from driftloom.sinks import committed as c
+
+    path, marks = fresh_path(spark, "sink"), fresh_path(spark, "marks")
+    os.makedirs(marks)
+
+    def once(name):
+        first = not os.path.exists(f"{marks}/{name}")
+        open(f"{marks}/{name}", "w").close()
+        return first
+
+    def write(batches, options):
+        part = c.write_part(batches, options)
+        if part.rows and once("task"):
+            raise RuntimeError("the task is lost")
+        return part
+
+    def commit(parts, batch_id, options):
+        if batch_id == 2 and once("commit"):
+            raise RuntimeError("the driver is lost")
+        c.commit_parts(parts, batch_id, options)
+
+    def start():
+        c.register_sink(spark, "flaky_parts", write, commit)
+        writer = stream_of(spark, landed).writeStream.format("flaky_parts").option("path", path)
+        return runner.drain(writer.option("checkpointLocation", f"{path}/cp"))
+
+    for message in ("the task is lost", "the driver is lost"):
+        with pytest.raises(Exception, match=message):
+            start()
+    start()
+    schema = spark.read.parquet(landed).schema
+    got = c.read_committed(spark, path, schema)
+    assert sorted(r.id for r in got.collect()) == list(range(200))
+    assert sorted(got.collect()) == sorted(spark.read.parquet(landed).collect())
+    c.commit_parts([], 3, {"path": path})  # a batch that is committed again replaces itself
+    assert c.read_committed(spark, path, schema).count() == 150
 
 
 def test_continuous_rows_are_the_batch_rows(spark):
