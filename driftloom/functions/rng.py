@@ -76,12 +76,16 @@ def uniform(seed: int, field: str, purpose: str, *ids: str | int) -> Column:
     return F.expr(uniform_sql(seed, field, purpose, *ids))
 
 
-def normal(seed: int, field: str, purpose: str, *ids: str | int) -> Column:
-    """Standard normal double by the Box-Muller transform; the angle takes one 32-bit word."""
+def normal_sql(seed: int, field: str, purpose: str, *ids: str | int) -> str:
     u = uniform_sql(seed, field, purpose, *ids)
     angle = _word(seed, field, purpose + "/angle", 0, ids)
     turn = f"({2.0 * math.pi!r}D * ({angle} / {TWO_32!r}D))"
-    return F.expr(f"(sqrt(-2.0D * ln(1.0D - {u})) * cos({turn}))")
+    return f"(sqrt(-2.0D * ln(1.0D - {u})) * cos({turn}))"
+
+
+def normal(seed: int, field: str, purpose: str, *ids: str | int) -> Column:
+    """Standard normal double by the Box-Muller transform; the angle takes one 32-bit word."""
+    return F.expr(normal_sql(seed, field, purpose, *ids))
 
 
 def indices(seed: int, field: str, purpose: str, sizes: Sequence[int], *ids: str | int) -> list[Column]:

@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    Imputer,
+    ImputerModel,
+    OneHotEncoder,
+    StandardScaler,
+    StandardScalerModel,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+)
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions import rng
-from driftloom.functions.scalars import numeric_columns, text_columns
+from driftloom.functions.scalars import numeric_columns, sql_text, text_columns
 from driftloom.operators.series import SeriesKey, lags as lagged_columns, newest
-from driftloom.session import cut_lineage
+from driftloom.session import cut_lineage, fresh_path, small_methods
 
 
 def default_features(df: DataFrame, targets: Sequence[str]) -> list[str]:
@@ -82,6 +92,113 @@ def load_models(targets: Sequence[str], path: str) -> dict[str, PipelineModel]:
     return {target: PipelineModel.load(f"{path}/{target}") for target in targets}
 
 
+# --- forests as expressions ----------------------------------------------------
+
+
+def forest_nodes(model: PipelineModel) -> DataFrame:
+    """Nodes of the forest, one row each: ``tree``, ``id``, ``prediction``, ``low``, ``high`` (its children, -1 for a leaf),
+    ``feature``, and ``bound`` (largest value, or the categories, that go to ``low``)."""
+    forest, path = model.stages[-1], fresh_path(SparkSession.active(), "nodes")
+    forest.write().save(path)
+    nodes = SparkSession.active().read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    return nodes.select(
+        F.col("treeID").alias("tree"),
+        "id",
+        "prediction",
+        F.col("leftChild").alias("low"),
+        F.col("rightChild").alias("high"),
+        F.col("split.featureIndex").alias("feature"),
+        F.col("split.leftCategoriesOrThreshold").alias("bound"),
+        (F.col("split.numCategories") >= 0).alias("categorical"),
+    )
+
+
+@dataclass(frozen=True)
+class Compiled:
+    """A fitted forest as SQL text.
+
+    ``numbers`` holds (column, value of a missing one, mean, factor) and ``labels`` the known categories of
+    each text column, both in the order of the features.
+    """
+
+    numbers: list[tuple[str, float, float, float]]
+    labels: dict[str, list[str]]
+    nodes: list[dict[int, Row]]
+
+    def position(self, column: str) -> str:
+        """1-based position of the category of a text column; 0 for a missing or unknown one."""
+        known = ", ".join(sql_text(v) for v in self.labels[column])
+        return f"coalesce(array_position(array({known}), cast(`{column}` as string)), 0)" if known else "0"
+
+    def scaled(self, inputs: dict[str, str]) -> str:
+        """Array of the standardised numbers; ``inputs`` gives the SQL of a column where it is not the column itself."""
+        items = []
+        for c, missing, mean, factor in self.numbers:
+            x = f"nanvl(cast({inputs.get(c, f'`{c}`')} as double), cast(null as double))"
+            items.append(f"(coalesce({x}, {missing!r}D) - {mean!r}D) * {factor!r}D")
+        return f"array({', '.join(items)})"
+
+    def trees(self, number: Callable[[int], str], positions: dict[str, str]) -> list[str]:
+        """One CASE expression per tree, over the SQL of the standardised numbers and of the category positions."""
+        hot = [f"{positions[c]} = {i + 1}" for c, known in self.labels.items() for i in range(len(known))]
+
+        def branch(tree: dict[int, Row], at: int) -> str:
+            node = tree[at]
+            if node.low < 0:
+                return f"{node.prediction!r}D"
+            low, high = branch(tree, node.low), branch(tree, node.high)
+            if node.feature < len(self.numbers):
+                return f"IF({number(node.feature)} <= {node.bound[0]!r}D, {low}, {high})"
+            # A category takes part as 0 or 1, whether the split is by categories or by a threshold.
+            inside = 0.0 in node.bound if node.categorical else node.bound[0] < 1.0
+            yes, no = (high, low) if inside else (low, high)
+            return f"IF({hot[node.feature - len(self.numbers)]}, {yes}, {no})"
+
+        return [branch(tree, 0) for tree in self.nodes]
+
+    def sql(self, inputs: dict[str, str], positions: dict[str, str]) -> str:
+        """The whole prediction as one expression, for use inside a lambda; numbers are standardised once."""
+        if not self.numbers:
+            return f"(({' + '.join(self.trees(str, positions))}) / {len(self.nodes)}.0D)"
+        summed = " + ".join(self.trees(lambda i: f"_s[{i}]", positions))
+        return f"(transform(array({self.scaled(inputs)}), _s -> {summed})[0] / {len(self.nodes)}.0D)"
+
+
+def compiled(model: PipelineModel) -> Compiled:
+    """The expression form of a fitted pipeline of :func:`train_forest`.
+
+    What reaches the driver is the model itself: at most ``trees * 2 ** (depth + 1)`` nodes, and the
+    categories that its indexers hold already.
+    """
+    numbers, labels, columns, missing = [], {}, [], {}
+    for stage in model.stages:
+        if isinstance(stage, ImputerModel):
+            columns, missing = stage.getInputCols(), stage.surrogateDF.first().asDict()
+        elif isinstance(stage, StandardScalerModel):
+            factors = [1.0 / s if s != 0.0 else 0.0 for s in stage.std.toArray().tolist()]
+            numbers = [(c, float(missing[c]), m, k) for c, m, k in zip(columns, stage.mean.toArray().tolist(), factors)]
+        elif isinstance(stage, StringIndexerModel):
+            labels[stage.getInputCol()] = list(stage.labels)
+    nodes: list[dict[int, Row]] = [{} for _ in range(model.stages[-1].getNumTrees)]
+    for row in forest_nodes(model).collect():
+        nodes[row.tree][row.id] = row
+    return Compiled(numbers, labels, nodes)
+
+
+def predict_compiled(models: dict[str, Compiled], df: DataFrame) -> DataFrame:
+    """``predict_forest`` by expressions alone: no vector assembly, and a plan that Spark prunes and fuses."""
+    small_methods(df.sparkSession)
+    out = df
+    for target, trees in models.items():
+        helpers = {f"_pos_{c}": F.expr(trees.position(c)) for c in trees.labels}
+        if trees.numbers:
+            helpers["_scaled"] = F.expr(trees.scaled({}))
+        parts = trees.trees(lambda i: f"_scaled[{i}]", {c: f"`_pos_{c}`" for c in trees.labels})
+        predicted = F.expr(f"({' + '.join(parts)}) / {len(parts)}.0D").alias(f"predicted_{target}")
+        out = out.withColumns(helpers).select(*out.columns, predicted)
+    return out
+
+
 # --- recursive generation ----------------------------------------------------
 
 
@@ -109,29 +226,24 @@ def generate_recursively(
     seed: int,
     series_id: str,
     noise_level: float = 0.1,
-    cut_every: int = 4,
 ) -> DataFrame:
     """Forecast step by step, feeding each prediction back as the newest lag.
 
-    The state has one row per series, so a step is a narrow job over the series; the lineage is
-    cut by a written table every few steps.  Noise is N(0, level * |prediction| * 0.1); a factor
-    has that distribution and mentions the prediction once, which keeps the plans small.
+    The state has one row per series.  The forest is an expression (:func:`compiled`), so all steps are
+    one fold over an array inside one projection: no transform per step, no written table, and a plan
+    whose size does not depend on the steps.  Noise is N(0, level * |prediction| * 0.1); a factor has
+    that distribution and mentions the prediction once.
     """
-    predicted = F.col(f"predicted_{value}")
-    for step in range(1, steps + 1):
-        scored = predict_forest({value: model}, state)
-        z = rng.normal(seed, value, "recursive", series_id, step)
-        noisy = predicted * (F.lit(1.0) + F.lit(noise_level * 0.1) * z)
-        scored = scored.withColumn("_new", noisy)
-        point = F.struct(F.lit(step).alias("step"), F.col("_new").alias("generated"))
-        path = F.concat(F.col("_path"), F.array(point)) if "_path" in state.columns else F.array(point)
-        shifted = {f"lag_{i}": F.col(f"lag_{i - 1}") for i in range(lags, 1, -1)}
-        state = scored.withColumns({**shifted, "lag_1": F.col("_new"), "_path": path}).select(
-            *keys, "last_ts", *[f"lag_{i}" for i in range(1, lags + 1)], "_path"
-        )
-        if step % cut_every == 0 and step < steps:
-            state = cut_lineage(state)
-    exploded = state.select(*keys, "last_ts", F.inline("_path"))
+    trees = compiled(model)
+    lagged = {f"lag_{i}": f"element_at(_h, -{i})" for i in range(1, lags + 1)}
+    rest = {c: f"`_pos_{c}`" for c in trees.labels}
+    draws = f"transform(sequence(1, {steps}), _step -> {rng.normal_sql(seed, value, 'recursive', series_id, '_step')})"
+    placed = state.withColumns({"_z": F.expr(draws), **{f"_pos_{c}": F.expr(trees.position(c)) for c in trees.labels}})
+    following = f"{trees.sql(lagged, rest)} * (1.0D + {noise_level * 0.1!r}D * element_at(_z, _step))"
+    start = ", ".join(f"cast(lag_{i} as double)" for i in range(lags, 0, -1))
+    path = f"slice(aggregate(sequence(1, {steps}), array({start}), (_h, _step) -> concat(_h, array({following}))), {lags + 1}, {steps})"
+    exploded = placed.select(*keys, "last_ts", F.posexplode(F.expr(path)).alias("_at", "generated"))
+    exploded = exploded.withColumn("step", F.col("_at") + 1)
     micros = F.col("step").cast("long") * F.lit(step_seconds * 1_000_000).cast("long")
     return exploded.select(
         *keys, "step", F.timestamp_add("MICROSECOND", micros, F.col("last_ts")).alias("ts"), "generated"

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftloom.functions.scalars import missing_sql, numeric_columns, present_sql, text_columns
+from driftloom.functions.scalars import missing_sql, numeric_columns, present_sql, sql_text, text_columns
 from driftloom.session import cut_lineage
 
 # Quantile sketch: rank error at most n / ACCURACY; the bracket is five times as wide on each side.
@@ -90,7 +90,7 @@ def column_counts(df: DataFrame, columns: Sequence[str] | None = None, approxima
     types = [df.schema[c].dataType.simpleString() for c in columns]
     if approximate:
         stats = [
-            f"""named_struct('column', {_text(c)}, 'dtype', '{t}', 'null_count', count_if({missing_sql(df, c)}),
+            f"""named_struct('column', {sql_text(c)}, 'dtype', '{t}', 'null_count', count_if({missing_sql(df, c)}),
                 'unique_count', approx_count_distinct({present_sql(df, c)}))"""
             for c, t in zip(columns, types)
         ]
@@ -100,11 +100,6 @@ def column_counts(df: DataFrame, columns: Sequence[str] | None = None, approxima
     return merged.select(_named(columns).alias("column"), dtype.alias("dtype"), "null_count", "unique_count")
 
 
-def _text(name: str) -> str:
-    """A column name as a SQL literal."""
-    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _moment_fields(v: str) -> str:
     return f"'min', min({v}), 'max', max({v}), 'mean', avg({v}), 'std', stddev_samp({v})"
 
@@ -117,7 +112,7 @@ def _bracket_fields(v: str) -> str:
 def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column: min, max, mean and sample standard deviation, in one aggregate."""
     names = columns or numeric_columns(df)
-    stats = [f"named_struct('column', {_text(c)}, {_moment_fields(present_sql(df, c, 'double'))})" for c in names]
+    stats = [f"named_struct('column', {sql_text(c)}, {_moment_fields(present_sql(df, c, 'double'))})" for c in names]
     return df.agg(F.expr(f"array({', '.join(stats)})").alias("s")).select(F.inline("s"))
 
 

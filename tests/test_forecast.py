@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from driftloom.functions import rng
 from driftloom.operators import fallback as fb
 from driftloom.operators import forecast as f
 from driftloom.operators import learned
@@ -252,12 +253,70 @@ def test_forest_predicts_in_target_units_and_reloads(spark):
     assert learned.predict_forest(models, gaps).where("predicted_y is not null").count() == 2
 
 
+def test_compiled_forest_equals_the_model_and_a_walk_over_its_saved_nodes(spark):
+    """The expression gives what the ML pipeline gives, and what DuckDB finds walking the saved nodes."""
+    import duckdb
+
+    r = np.random.default_rng(11)
+    side = ["u", "d", "it's", "back\\slash"]
+    rows = [(int(i), float(v), int(50 * w), side[int(4 * q)], float(100 * v + 30 * (q > 0.5) + w)) for i, (v, w, q) in enumerate(r.random((500, 3)))]
+    rows += [(1000, None, 3, "u", 1.0), (1001, float("nan"), None, None, 2.0), (1002, 1e300, -7, "never seen", 3.0), (1003, -0.0, 0, "", 4.0)]
+    df = spark.createDataFrame(rows, "id long, x double, n int, side string, y double")
+    train = df.where("id < 1000").withColumn("flat", F.lit(2.0))
+    models = learned.train_forest(train, ["y"], ["x", "n", "flat", "side"], trees=100)
+    df = df.withColumn("flat", F.lit(2.0))
+    trees = {t: learned.compiled(m) for t, m in models.items()}
+    wanted = learned.predict_forest(models, df).toPandas()
+    got = learned.predict_compiled(trees, df)
+    pd.testing.assert_frame_equal(got.orderBy("id").toPandas(), wanted.sort_values("id", ignore_index=True))
+
+    nodes, form = learned.forest_nodes(models["y"]).toPandas(), trees["y"]
+    frame, features = wanted.set_index("id"), []
+    for c, missing, mean, factor in form.numbers:
+        features.append((frame[c].astype(float).fillna(missing) - mean) * factor)
+    features += [(frame["side"] == label).astype(float) for label in form.labels["side"]]
+    inputs = pd.concat([pd.DataFrame({"id": s.index, "feature": i, "v": s.to_numpy()}) for i, s in enumerate(features)])
+    walked = duckdb.sql(
+        """WITH RECURSIVE walk AS (
+               SELECT DISTINCT inputs.id AS row, tree, 0 AS at FROM inputs, (SELECT DISTINCT tree FROM nodes)
+               UNION ALL
+               SELECT row, w.tree, CASE WHEN (n.categorical AND list_contains(n.bound, i.v)) OR (NOT n.categorical AND i.v <= n.bound[1])
+                                        THEN n.low ELSE n.high END
+               FROM walk w JOIN nodes n ON n.tree = w.tree AND n.id = w.at AND n.low >= 0 JOIN inputs i ON i.id = w.row AND i.feature = n.feature)
+           SELECT row, avg(n.prediction) AS y, count(*) AS trees FROM walk w JOIN nodes n ON n.tree = w.tree AND n.id = w.at AND n.low < 0
+           GROUP BY row ORDER BY row"""
+    ).df()
+    assert (walked.trees == 100).all() and walked.row.tolist() == sorted(frame.index)
+    assert np.allclose(walked.y, frame.sort_index().predicted_y, rtol=1e-12)
+    # One plan without Python, ML functions or shuffles.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" not in plan and "Python" not in plan and "Exchange" not in plan
+
+
+def test_recursion_equals_steps_of_the_model(spark):
+    """The fold over steps equals predicting, shifting the lags and predicting again; a null key and missing lags included."""
+    r = np.random.default_rng(3)
+    df = series(spark, a=[float(v) for v in r.random(80)], b=[float(5 + v) for v in r.random(60)]).unionByName(
+        series(spark, z=[1.0, 2.0]).withColumn("k", F.lit(None).cast("string"))
+    )
+    models = learned.train_forest(learned.lag_frame(df, KEY, "y", 3), ["y"], ["lag_1", "lag_2", "lag_3", "k"], trees=12)
+    state = learned.last_lags(df, KEY, "y", 3)
+    out = learned.generate_recursively(models["y"], state, ["k"], "y", 3, 6, 3600, 9, "7").toPandas()
+    current = state
+    for step in range(1, 7):
+        scored = learned.predict_forest(models, current).withColumn("new", F.expr(f"predicted_y * (1.0D + 0.01D * {rng.normal_sql(9, 'y', 'recursive', '7', step)})"))
+        wanted = {row.k: row.new for row in scored.collect()}
+        got = dict(zip(out[out.step == step].k.where(out.k.notna(), None), out[out.step == step].generated))
+        assert len(got) == 3 and all(got[k] == pytest.approx(v, rel=1e-12) for k, v in wanted.items())
+        current = scored.select("k", "last_ts", F.col("new").alias("lag_1"), F.col("lag_1").alias("lag_2"), F.col("lag_2").alias("lag_3"))
+
+
 def test_recursion_feeds_predictions_back(spark):
     df = series(spark, a=[i % 2 for i in range(60)], b=[(i + 1) % 2 for i in range(60)])
     frame = learned.lag_frame(df, KEY, "y", 2)
     model = learned.train_forest(frame, ["y"], ["lag_1", "lag_2"], trees=5)["y"]
     state = learned.last_lags(df, KEY, "y", 2)
-    out = learned.generate_recursively(model, state, ["k"], "y", 2, 5, 3600, 1, "0", noise_level=0.0, cut_every=2)
+    out = learned.generate_recursively(model, state, ["k"], "y", 2, 5, 3600, 1, "0", noise_level=0.0)
     rows = out.orderBy("k", "step").toPandas()
     assert rows[rows.k == "a"].generated.round().tolist() == [0, 1, 0, 1, 0]
     assert rows[rows.k == "b"].generated.round().tolist() == [1, 0, 1, 0, 1]
