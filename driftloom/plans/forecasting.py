@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import rng
 from driftloom.functions.scalars import truncated
 from driftloom.operators import forecast as f
-from driftloom.operators import learned
+from driftloom.operators import learned, refit
 from driftloom.operators.arima import arima_forecast, fit_arima, fit_groups
 from driftloom.operators.arima import forecast_arima as forecast_from
 from driftloom.operators.series import SeriesKey
@@ -194,6 +194,32 @@ def model_saved(spark, folder):
     return out.select("event_type", "step", "ts", F.round("forecast", 4).alias("forecast"), "version")
 
 
+@query(
+    "refit_sums",
+    """WITH s AS (SELECT l_returnflag, l_linestatus, date_trunc('day', l_shipdate)::TIMESTAMP AS day, round(sum(l_extendedprice), 2) AS y
+                  FROM lineitem GROUP BY ALL),
+        a AS (SELECT *, y - lag(y) OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY day) AS dy FROM s),
+        b AS (SELECT *, lag(dy) OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY day) AS ldy FROM a),
+        c AS (SELECT l_returnflag, l_linestatus, count(*) AS n_obs, max(day) AS last_ts, arg_max(y, day) AS y_last,
+                arg_max(dy, day) AS dy_last, count(ldy) AS m, sum(dy * ldy) AS xy, sum(ldy * ldy) AS xx,
+                sum(CASE WHEN ldy IS NOT NULL THEN dy * dy END) AS yy FROM b GROUP BY ALL)
+        SELECT l_returnflag, l_linestatus, n_obs, last_ts, y_last, round(dy_last, 2) AS dy_last, round(xy / xx, 8) AS phi,
+            round(sqrt((yy - 2 * xy / xx * xy + xy / xx * xy) / m), 2) AS sigma FROM c""",
+)
+def refit_sums(spark, folder):
+    """Daily sales come in three batches; each refit reads its batch and the stored sums, and gives the fit of all so far."""
+    sales, path = daily_sales(spark, folder), fresh_path(spark, "sums")
+    edges = [None, "1994-06-30", "1996-11-11", None]
+    for version, (low, high) in enumerate(zip(edges, edges[1:]), 1):
+        batch = sales.where(F.lit(low is None) | (F.col("day") > F.lit(low or "1970-01-01").cast("timestamp_ntz")))
+        batch = batch.where(F.lit(high is None) | (F.col("day") <= F.lit(high or "1970-01-01").cast("timestamp_ntz")))
+        stored = refit.update_sums(batch, FLAGS, "y", path, version)
+    out = refit.fit_sums(stored, FLAGS.keys)
+    return out.select(
+        *FLAGS.keys, "n_obs", "last_ts", "y_last", F.round("dy_last", 2).alias("dy_last"), F.round("phi", 8).alias("phi"), F.round("sigma", 2).alias("sigma")
+    )
+
+
 @query("forecast_arima")
 def forecast_arima(spark, folder):
     return arima_forecast(daily_sales(spark, folder), FLAGS, "y", STEPS, DAY)
@@ -264,12 +290,12 @@ def custom_model(spark, folder):
 
 @query("forest")
 def forest(spark, folder):
-    """Forest per target on the daily sales, saved, loaded and applied."""
+    """Forest per target on the daily sales, saved, loaded and applied as an expression."""
     sales, path = daily_sales(spark, folder), fresh_path(spark, "forest")
     features = ["quantity", "discount", "lines", "l_returnflag", "l_linestatus"]
     learned.save_models(learned.train_forest(sales, ["y"], features), path)
-    out = learned.predict_forest(learned.load_models(["y"], path), sales)
-    return out.select("l_returnflag", "l_linestatus", "day", "y", "predicted_y")
+    trees = {target: learned.compiled(model) for target, model in learned.load_models(["y"], path).items()}
+    return learned.predict_compiled(trees, sales).select("l_returnflag", "l_linestatus", "day", "y", "predicted_y")
 
 
 @query(

@@ -383,3 +383,54 @@ def test_ratio_warns_only_after_enough_batches(spark):
     df = spark.createDataFrame(data, "k string, bucket timestamp_ntz, data_type string")
     got = {r.k: r.warning for r in fb.synthetic_ratio(df, ["k"], "bucket").collect()}
     assert got == {"few": False, "many": True, "fine": False}
+
+
+# --- additive refits -------------------------------------------------------------
+
+
+@pytest.mark.parametrize("p", [1, 3])
+def test_sums_of_batches_equal_those_of_the_whole(spark, p):
+    """Any cut into batches, some of one value, gives the windows and products of the whole series."""
+    from driftloom.operators import refit
+
+    r = np.random.default_rng(p)
+    values = {"a": r.normal(size=90).round(3), "b": r.normal(size=7).round(3), "c": [4.0], None: r.normal(size=40).round(3)}
+    df = series(spark, **{str(k): v for k, v in values.items()}).withColumn("k", F.when(F.col("k") != "None", F.col("k")))
+    df = df.unionByName(df.limit(3).withColumns({"y": F.lit(None).cast("double"), "ts": F.lit(START).cast("timestamp_ntz") + F.expr("interval 30 minutes")}))
+    hour = F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01', ts)")
+    path = fresh_path(spark, "sums")
+    for version, (low, high) in enumerate([(0, 1), (1, 2), (2, 4), (4, 9), (9, 60), (60, 61), (61, 100)], 1):
+        batch = df.where((hour >= low) & (hour < high))
+        got = refit.update_sums(batch, KEY, "y", path, version, p)
+    got = refit.update_sums(batch, KEY, "y", path, version, p)  # a repeated run replaces its version
+    whole = refit.lagged_sums(df, SeriesKey(("k",), "ts", chunk_rows=16), "y", p)
+    a, b = (x.toPandas().sort_values("n_obs", ignore_index=True) for x in (got, whole))
+    for i, (k, y) in enumerate(sorted(values.items(), key=lambda kv: len(kv[1]))):
+        d = np.diff(np.asarray(y))
+        m = np.array([d[t - p : t + 1][::-1] for t in range(p, len(d))]).reshape(-1, p + 1)
+        wanted = [(m[:, i] * m[:, j]).sum() for i in range(p + 1) for j in range(i, p + 1)]
+        for frame in (a, b):
+            row = frame.loc[i]
+            assert (row.k if isinstance(row.k, str) else None) == k and (row.n_obs, row.windows) == (len(y), len(m))
+            assert np.allclose(row.sums, wanted) and list(row["tail"]) == list(y[-p - 1 :]) and list(row["head"]) == list(y[: p + 1])
+    if p == 1:
+        left, right = refit.fit_sums(got, ["k"]).toPandas(), f.fit_ar(df, KEY, "y").toPandas()
+        columns = list(right.columns)
+        pd.testing.assert_frame_equal(left[columns].sort_values("n_obs", ignore_index=True), right.sort_values("n_obs", ignore_index=True), check_dtype=False)
+    else:
+        fitted = refit.fit_orders(got, ["k"], p).where("k = 'a'").first()
+        d = np.diff(values["a"])
+        m = np.array([d[t - p : t + 1][::-1] for t in range(p, len(d))])
+        phi = np.linalg.lstsq(m[:, 1:], m[:, 0], rcond=None)[0]
+        assert np.allclose(fitted.phi, phi) and fitted.sigma == pytest.approx(np.sqrt(((m[:, 0] - m[:, 1:] @ phi) ** 2).mean()))
+
+
+def test_overlapping_batches_fail_and_empty_ones_add_nothing(spark):
+    from driftloom.operators import refit
+
+    df = series(spark, a=range(10))
+    path = fresh_path(spark, "sums")
+    refit.update_sums(df, KEY, "y", path, 1)
+    assert refit.update_sums(df.limit(0), KEY, "y", path, 2).collect() == refit.lagged_sums(df, KEY, "y").collect()
+    with pytest.raises(Exception, match="overlap in time"):
+        refit.update_sums(df, KEY, "y", path, 3)
