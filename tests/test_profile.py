@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.operators import profile as p
+from driftloom.operators import sketches
 from driftloom.operators.conformance import conformance
 from driftloom.schema import TableSpec
 
@@ -104,3 +105,34 @@ def test_generated_rows_conform(spark):
     spec = TableSpec.of("t", PRESET_TABULAR)
     report = conformance(generate(row_ids(spark, 5000), spec), spec)
     assert report.agg(F.sum("violations")).first()[0] == 0
+
+
+def test_merged_profile_equals_that_of_the_whole(spark):
+    """Exact metrics agree, sketches keep their errors, merging is associative, and odd columns are defined."""
+    rows = spark.range(40_000).select(
+        "id",
+        ((F.col("id") * 7919) % 9001).cast("double").alias("x"),
+        F.when(F.col("id") % 10 != 0, 1e9 + F.rand(5)).alias("far"),
+        F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("id") % 2 * 0.0 - 0.0).alias("zero"),
+        F.concat(F.lit("it's "), (F.col("id") % 17).cast("string")).alias("a'b"),
+        F.lit(None).cast("int").alias("none"),
+        F.timestamp_micros(F.col("id") * 1000).alias("at"),
+        (F.col("id") % 5).cast("decimal(10,2)").alias("price"),
+    )
+    cuts = [rows.where("id < 9"), rows.where("id >= 9 and id < 20000"), rows.where("id >= 20000"), rows.limit(0)]
+    one, two, three, none = (sketches.profile_state(c) for c in cuts)
+    at_once = sketches.merge_states(one.unionByName(two).unionByName(three).unionByName(none))
+    by_steps = sketches.merge_states(sketches.merge_states(none.unionByName(one).unionByName(two)).unionByName(three))
+    exact = {(r.column, r.metric): r.value for r in p.profile(rows).collect()}
+    for states in (at_once, by_steps, sketches.profile_state(rows)):
+        got = {(r.column, r.metric): r.value for r in sketches.report(states).collect()}
+        assert set(got) == set(exact)
+        for (column, metric), value in got.items():
+            wanted = exact[column, metric]
+            if metric == "unique_count":
+                assert value == pytest.approx(wanted, rel=0.04, abs=0.5), column
+            elif metric == "median":
+                spread = exact[column, "max"] - exact[column, "min"]
+                assert abs(value - wanted) <= 0.02 * spread + (1 if column == "price" else 0), column
+            else:
+                assert value == pytest.approx(wanted, rel=1e-9 if metric != "std" else 1e-5), (column, metric)
