@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import rng
 from driftloom.functions.scalars import numeric_columns, sql_text, text_columns
 from driftloom.operators.series import SeriesKey, lags as lagged_columns, newest
-from driftloom.session import cut_lineage, fresh_path, small_methods
+from driftloom.session import cut_lineage, fresh_path
 
 
 def default_features(df: DataFrame, targets: Sequence[str]) -> list[str]:
@@ -158,8 +158,6 @@ class Compiled:
 
     def sql(self, inputs: dict[str, str], positions: dict[str, str]) -> str:
         """The whole prediction as one expression, for use inside a lambda; numbers are standardised once."""
-        if not self.numbers:
-            return f"(({' + '.join(self.trees(str, positions))}) / {len(self.nodes)}.0D)"
         summed = " + ".join(self.trees(lambda i: f"_s[{i}]", positions))
         return f"(transform(array({self.scaled(inputs)}), _s -> {summed})[0] / {len(self.nodes)}.0D)"
 
@@ -186,16 +184,16 @@ def compiled(model: PipelineModel) -> Compiled:
 
 
 def predict_compiled(models: dict[str, Compiled], df: DataFrame) -> DataFrame:
-    """``predict_forest`` by expressions alone: no vector assembly, and a plan that Spark prunes and fuses."""
-    small_methods(df.sparkSession)
+    """``predict_forest`` by one expression per target, for plans that a transform of the ML library does not fit.
+
+    The trees stand inside a lambda, which Spark interprets: as generated code, a hundred trees would pass the
+    64 KB that a Java method may have.  For a plain batch, ``predict_forest`` is the faster of the two.
+    """
     out = df
     for target, trees in models.items():
-        helpers = {f"_pos_{c}": F.expr(trees.position(c)) for c in trees.labels}
-        if trees.numbers:
-            helpers["_scaled"] = F.expr(trees.scaled({}))
-        parts = trees.trees(lambda i: f"_scaled[{i}]", {c: f"`_pos_{c}`" for c in trees.labels})
-        predicted = F.expr(f"({' + '.join(parts)}) / {len(parts)}.0D").alias(f"predicted_{target}")
-        out = out.withColumns(helpers).select(*out.columns, predicted)
+        placed = out.withColumns({f"_pos_{c}": F.expr(trees.position(c)) for c in trees.labels})
+        predicted = F.expr(trees.sql({}, {c: f"`_pos_{c}`" for c in trees.labels})).alias(f"predicted_{target}")
+        out = placed.select(*out.columns, predicted)
     return out
 
 

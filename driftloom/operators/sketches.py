@@ -25,7 +25,7 @@ def profile_state(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """One row per column, in one aggregate over one scan; nothing but these rows is shuffled.
 
     ``rows``, ``null_count`` (NaN counts as missing) and ``distinct`` for every column; ``n``, ``min``, ``max``,
-    ``mean``, ``m2`` (sum of squared deviations) and ``ranks`` for numeric ones, where a column without values
+    ``total``, ``m2`` (sum of squared deviations) and ``ranks`` for numeric ones, where a column without values
     has nulls.  Equal values count once whatever their zero's sign.  An empty table gives rows with counts of 0.
     """
     columns, numeric = list(columns or df.columns), set(numeric_columns(df))
@@ -37,7 +37,7 @@ def profile_state(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         stats.append(
             f"""named_struct('column', {sql_text(c)}, 'dtype', '{df.schema[c].dataType.simpleString()}',
                 'rows', count(*), 'null_count', count_if({missing_sql(df, c)}), 'distinct', hll_sketch_agg({hashed}, {DISTINCT_LG}),
-                'n', count({number}), 'min', min({number}), 'max', max({number}), 'mean', avg({number}),
+                'n', count({number}), 'min', min({number}), 'max', max({number}), 'total', sum({number}),
                 'm2', var_pop({number}) * count({number}), 'ranks', kll_sketch_agg_double({number}, {RANKS_K}))"""
         )
     return df.agg(F.expr(f"array({', '.join(stats)})").alias("s")).select(F.inline("s"))
@@ -47,8 +47,9 @@ def merge_states(states: DataFrame) -> DataFrame:
     """States of any batches merged per column and type, again as states: in any order, in one step or many."""
     here = Window.partitionBy("column", "dtype")
     # Deviations are taken from the common mean before they are squared, so large means cost no digits.
-    centre = F.try_divide(F.sum(F.col("n") * F.col("mean")).over(here), F.sum("n").over(here))
-    apart = F.col("m2") + F.col("n") * (F.col("mean") - F.col("_centre")) * (F.col("mean") - F.col("_centre"))
+    centre = F.try_divide(F.sum("total").over(here), F.sum("n").over(here))
+    off = F.try_divide(F.col("total"), F.col("n")) - F.col("_centre")
+    apart = F.col("m2") + F.col("n") * off * off
     return states.withColumn("_centre", centre).groupBy("column", "dtype").agg(
         F.sum("rows").alias("rows"),
         F.sum("null_count").alias("null_count"),
@@ -56,7 +57,7 @@ def merge_states(states: DataFrame) -> DataFrame:
         F.sum("n").alias("n"),
         F.min("min").alias("min"),
         F.max("max").alias("max"),
-        F.first("_centre").alias("mean"),
+        F.sum("total").alias("total"),
         F.sum(apart).alias("m2"),
         F.expr(f"kll_merge_agg_double(ranks, {RANKS_K})").alias("ranks"),
     )
@@ -70,7 +71,7 @@ def report(states: DataFrame) -> DataFrame:
     std = F.sqrt(F.try_divide(F.col("m2"), F.col("n") - 1))
     median = F.when(F.col("n") > 0, F.expr("kll_sketch_get_quantile_double(ranks, 0.5D)"))
     wide = states.withColumns(
-        {"unique_count": F.expr("hll_sketch_estimate(distinct)"), "std": std, "median": median}
+        {"unique_count": F.expr("hll_sketch_estimate(distinct)"), "mean": F.try_divide("total", "n"), "std": std, "median": median}
     ).select("column", *[F.col(m).cast("double").alias(m) for m in METRICS])
     return wide.unpivot("column", list(METRICS), "metric", "value").where("value is not null")
 
