@@ -16,7 +16,7 @@ from driftloom.functions.scalars import missing_sql, numeric_columns, present_sq
 
 # Distinct values: 2 ** DISTINCT_LG registers, a standard error of 1.04 / sqrt(2 ** DISTINCT_LG), here 0.8 %.
 DISTINCT_LG = 14
-# Median: a sketch of this size has a rank error of about 0.35 % of the rows (in 99 of 100 cases).
+# Median: by its published bound, a sketch of this size has a rank error of about 0.35 % of the rows (in 99 of 100 cases).
 RANKS_K = 1000
 METRICS = ("null_count", "unique_count", "min", "max", "mean", "std", "median")
 

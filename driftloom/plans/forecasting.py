@@ -13,7 +13,7 @@ from driftloom.operators.arima import forecast_arima as forecast_from
 from driftloom.operators.series import SeriesKey
 from driftloom.plans import duck
 from driftloom.plans.tables import query, table
-from driftloom.session import fresh_path
+from driftloom.session import cut_lineage, fresh_path
 
 SEED, DAY, STEPS = 42, 86400, 24
 TYPE = SeriesKey(("event_type",), "day")
@@ -208,7 +208,7 @@ def model_saved(spark, folder):
 )
 def refit_sums(spark, folder):
     """Daily sales come in three batches; each refit reads its batch and the stored sums, and gives the fit of all so far."""
-    sales, path = daily_sales(spark, folder), fresh_path(spark, "sums")
+    sales, path = cut_lineage(daily_sales(spark, folder)), fresh_path(spark, "sums")
     edges = [None, "1994-06-30", "1996-11-11", None]
     for version, (low, high) in enumerate(zip(edges, edges[1:]), 1):
         batch = sales.where(F.lit(low is None) | (F.col("day") > F.lit(low or "1970-01-01").cast("timestamp_ntz")))
