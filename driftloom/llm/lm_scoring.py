@@ -1,18 +1,23 @@
 """Language-model scores of documents by a hashed maximum-entropy model.
 
 A token's probability is that of its class, given features of the tokens before it, times that
-of the token within its class.  The class factor is a softmax over hashed n-gram and skip
-features (previous token, pair of previous tokens, token before the previous one, classes of
-the last three), trained by distributed gradient updates: in every round each task starts from the
-common weights, takes steps over its share of the training documents, and the mean of the tasks'
-changes, weighted by their tokens, updates the weights.  All training documents are used once.
-The factor within a class is the class's token counts with one unknown slot each, so the model
-is a proper distribution over the known tokens and the unknown slots.
-
-Frequent tokens (at most ``HEAD``) go to the tasks as a table; counts of all others are joined
-by token, so nothing that grows with the vocabulary is ever broadcast or collected.  A frequent
-token is a class of its own or shares one by frequency; the class of any other token is a hash
-of its ending, which needs no table.
+of the token within its class, given the same features.  The class factor is a softmax over hashed
+n-gram and skip features (previous token, pair of previous tokens, token before the previous one,
+classes of the last three).  Within a class the tokens are the leaves of a binary tree, and every
+branch is a logistic model over the same features, with weights hashed by feature and branch.  Both
+are trained by distributed gradient updates: in every round each task starts from the common
+weights, takes steps over its share of the training documents, and the mean of the tasks' changes
+updates the weights, a slot's changes weighted by the squared gradients that it had in each task,
+so that a feature which few tasks see keeps what they learn.  All training documents are used once.
+
+Every frequent token (at most ``HEAD``) is a leaf of its own.  All others share leaves by a hash, about
+``SHARING`` distinct ones each, and have within their leaf their count, with one unknown slot a leaf, so
+the model is a proper distribution over the known tokens and the unknown slots.  Leaves grow with the
+vocabulary, and so do the slots of the weights, up to ``1 << MOST_BITS``.
+
+Frequent tokens go to the tasks as a table; counts of all others are joined by token, so no table of
+the vocabulary is ever broadcast or collected.  A frequent token is a class of its own or shares one by
+frequency; the class of any other token is a hash of its ending, which needs no table.
 
 Defined cases: null and empty texts are one end token; texts of any length are scored whole;
 without training text every count is zero and the score comes from the unknown slots; repeated
@@ -29,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +46,14 @@ HEAD = 1 << 16
 #: Classes: the OWN most frequent tokens have one each, frequent ones share SHARED, endings the rest.
 OWN, SHARED, ENDINGS = 10, 6, 16
 CLASSES = OWN + SHARED + ENDINGS
-#: Hashed feature slots, rounds, tokens of a step, learning rate.
+#: Hashed feature slots of the class factor at least, rounds, tokens of a step, learning rate.
 SLOTS, ROUNDS, STEP, RATE = 1 << 12, 2, 2048, 0.6
+#: Tokens of a step and learning rate of the branches.
+LEAF_STEP, LEAF_RATE = 512, 0.1
+#: Either factor has as many weights as the power of two above the distinct tokens, within these powers.
+LEAST_BITS, MOST_BITS = (SLOTS * CLASSES).bit_length() - 1, 21
+#: Distinct tokens outside the table for each leaf they share, and weights of a row that a task sends.
+SHARING, BLOCK = 64, 1 << 13
 #: The end token; no word is empty.
 END = b""
 #: Places without a token before every text, as many as features look back; texts are read together up to so many tokens.
@@ -49,10 +61,19 @@ BEFORE, TOGETHER = 3, 1 << 17
 LOG10 = np.log(10.0)
 
 
-def tokens(text: bytes) -> list[bytes]:
-    words = text.lower().split()
-    words.append(END)
-    return words
+def words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Numbers of the words of the texts (binary), and all words in order, lower-cased; the end tokens are left out."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    flat = split.flatten()
+    real = pc.not_equal(pc.binary_length(flat), 0)  # white space at either end leaves an empty piece
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[split.offsets.to_numpy()]
+    return np.diff(before), flat.filter(real).view(pa.binary()).dictionary_encode()
+
+
+def names_of(found: pa.DictionaryArray) -> list[bytes]:
+    """The distinct words; joining and splitting them makes Python objects several times as fast as Arrow does."""
+    names = found.dictionary
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names), b" ")[0].as_py().split()
 
 
 def ending_class(token: bytes) -> int:
@@ -70,6 +91,67 @@ class Vocabulary:
         return self.entry.get(token) or (ending_class(token), -1)
 
 
+@dataclass
+class Tree:
+    """Leaves of every class in a row, and the branches above each of them.
+
+    A branch is named by the first leaf on its right side, which no other branch shares.
+    """
+
+    place: dict[bytes, int]  #: leaf of a frequent token
+    shared: list[int]  #: first shared leaf of every class of endings
+    bits: int  #: of the hash that tells the shared leaves of a class apart
+    first: np.ndarray  #: where the branches above each leaf start in ``above``
+    above: np.ndarray
+    odds: np.ndarray  #: log odds of the right side, by the counts alone
+    room: np.ndarray  #: log of what the counts of a leaf add up to
+
+    def of(self, token: bytes, hashed: int) -> int:
+        place = self.place.get(token)
+        return self.shared[ending_class(token) - OWN - SHARED] + (hashed >> 32 - self.bits) if place is None else place
+
+
+def branches(weight: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``first``, ``above`` and ``odds`` of a tree; ``classes`` are the places where the leaves of a class start, and the end.
+
+    Every run of leaves is split where its halves come nearest to equal weight.
+    """
+    total = np.concatenate([[0.0], np.cumsum(weight)])
+    odds, leaves, above = np.zeros(len(weight)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    low, high = classes[:-1], classes[1:]
+    while (many := high - low > 1).any():
+        low, high = low[many], high[many]
+        half = (total[low] + total[high]) / 2
+        at = np.searchsorted(total, half)
+        at = np.clip(at - (half - total[at - 1] < total[at] - half), low + 1, high - 1)
+        odds[at] = np.log((total[high] - total[at]) / (total[at] - total[low]))
+        size = high - low
+        leaves.append(np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum()))
+        above.append(np.repeat(at, size))
+        low, high = np.concatenate([low, at]), np.concatenate([at, high])
+    leaf = np.concatenate(leaves)
+    order = np.argsort(leaf, kind="stable")
+    first = np.searchsorted(leaf[order], np.arange(len(weight) + 1))
+    return first, np.concatenate(above)[order].astype(np.int32), odds.astype(np.float32)
+
+
+def tree_of(vocabulary: Vocabulary, sums: np.ndarray, kinds: np.ndarray) -> Tree:
+    """The tree of a vocabulary; ``sums`` and ``kinds`` are the counts and distinct tokens of the shared leaves (class, leaf)."""
+    bits = sums.shape[1].bit_length() - 1
+    # within a class, neighbours have like endings
+    head = sorted(vocabulary.entry.items(), key=lambda e: (e[1][0], e[0][::-1]))
+    held = np.bincount([kind for _, (kind, _) in head], minlength=CLASSES).astype(np.int64)
+    size = held + np.repeat([0, sums.shape[1]], [OWN + SHARED, ENDINGS])
+    classes = np.concatenate([[0], np.cumsum(size)])
+    shared = (classes[:-1] + held)[OWN + SHARED :]
+    before = np.cumsum(held) - held
+    place = {token: int(classes[kind] + i - before[kind]) for i, (token, (kind, _)) in enumerate(head)}
+    weight = np.zeros(classes[-1])
+    weight[list(place.values())] = [c + 0.5 for _, (_, c) in head]
+    weight[shared[:, None] + np.arange(sums.shape[1])] = sums + 0.5 * (kinds + 1)
+    return Tree(place, shared.tolist(), bits, *branches(weight, classes), np.log(weight))
+
+
 def count_tokens(docs: DataFrame, text: str = "text", room: int = 200_000) -> DataFrame:
     """``token`` (binary) and ``c`` over all rows, combined in the tasks before the shuffle."""
     small_batches(docs.sparkSession)
@@ -83,8 +165,11 @@ def count_tokens(docs: DataFrame, text: str = "text", room: int = 200_000) -> Da
             return out
 
         for batch in batches:
-            for t in batch.column(0):
-                held.update(tokens(t.as_py()))
+            for texts in together(batch.column(0)):
+                sizes, found = words(pa.array(texts, pa.binary()))
+                held[END] += len(sizes)
+                for token, c in zip(names_of(found), np.bincount(found.indices).tolist(), strict=True):
+                    held[token] += c
                 if len(held) > room:
                     yield drained()
         if held:
@@ -118,9 +203,9 @@ def head_of(counts: DataFrame, most: int = HEAD) -> Vocabulary:
 class Reader(dict):
     """Turns texts into arrays of classes and hashes; every distinct token of a task is looked at once."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 400_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, tree: Tree | None = None, most: int = 400_000) -> None:
         super().__init__()
-        self.vocabulary, self.most = vocabulary, most
+        self.vocabulary, self.tree, self.most = vocabulary, tree, most
         self.forget()
 
     def forget(self) -> None:
@@ -129,6 +214,7 @@ class Reader(dict):
         self.names: list[bytes | None] = [None]
         self.known = 1
         self.kind, self.count, self.hash = np.full(1024, -1, np.int32), np.zeros(1024, np.int64), np.zeros(1024, np.uint32)
+        self.leaf = np.zeros(1024, np.int32)
 
     def __missing__(self, token: bytes) -> int:
         self.names.append(token)
@@ -139,23 +225,25 @@ class Reader(dict):
         """Places of the tokens of all texts, zeros before each, and where each text starts."""
         if len(self) > self.most:
             self.forget()
-        words: list[bytes | None] = []
-        starts = []
-        for t in texts:
-            words += [None] * BEFORE
-            starts.append(len(words))
-            words += t.lower().split()
-            words.append(END)
-        ids = np.array([self[w] for w in words], np.int64)
+        sizes, found = words(pa.array(texts, pa.binary()))
+        starts = np.cumsum(sizes + 1 + BEFORE) - sizes - 1
+        ids = np.zeros(len(found) + len(texts) * (BEFORE + 1), np.int64)
+        ids[starts + sizes] = self[END]
+        names = names_of(found)
+        places = np.fromiter(map(self.__getitem__, names), np.int64, len(names))
+        ids[np.arange(len(found)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)] = places[found.indices.to_numpy()]
         n, at = len(self.names), self.known
         if n > at:
             if n > len(self.kind):
-                self.kind, self.count, self.hash = (np.concatenate([x, np.zeros(2 * n - len(x), x.dtype)]) for x in (self.kind, self.count, self.hash))
+                self.kind, self.count, self.hash, self.leaf = (np.concatenate([x, np.zeros(2 * n - len(x), x.dtype)]) for x in (self.kind, self.count, self.hash, self.leaf))
             fresh = self.names[at:]
             self.kind[at:n], self.count[at:n] = zip(*[self.vocabulary.of(w) for w in fresh], strict=True)
-            self.hash[at:n] = [zlib.crc32(w) for w in fresh]
+            hashes = [zlib.crc32(w) for w in fresh]
+            self.hash[at:n] = hashes
+            if self.tree is not None:
+                self.leaf[at:n] = list(map(self.tree.of, fresh, hashes))
             self.known = n
-        return ids, np.array(starts)
+        return ids, starts
 
 
 def together(column: pa.Array) -> Iterator[list[bytes]]:
@@ -171,23 +259,70 @@ def together(column: pa.Array) -> Iterator[list[bytes]]:
         yield texts
 
 
-def feature_slots(kind: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Slots of the feature templates (rows) at every position, from the tokens before it."""
+MIX = np.uint32(2654435761)
+
+
+def features(kind: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the feature templates (rows) at every position, from the tokens before it."""
     n = len(hashes)
     h1, h2, k = np.zeros(n, np.uint32), np.zeros(n, np.uint32), np.zeros((3, n), np.uint32)
     h1[1:], h2[2:] = hashes[:-1], hashes[:-2]
     for back in range(1, 4):
         k[back - 1, back:] = kind[:-back] + 1
-    mix = np.uint32(2654435761)
-    parts = np.stack([h1, h2 ^ np.uint32(0x9E3779B9), (h1 * np.uint32(31)) ^ (h2 * mix) ^ np.uint32(0x85EBCA6B), (k[0] * np.uint32(64) + k[1]) * np.uint32(64) + k[2] + np.uint32(1 << 20)])
-    return ((parts * mix) >> np.uint32(20)).astype(np.int64)
+    return np.stack([h1, h2 ^ np.uint32(0x9E3779B9), (h1 * np.uint32(31)) ^ (h2 * MIX) ^ np.uint32(0x85EBCA6B), (k[0] * np.uint32(64) + k[1]) * np.uint32(64) + k[2] + np.uint32(1 << 20)])
+
+
+def slots_of(hashed: np.ndarray, slots: int) -> np.ndarray:
+    """Slots of hashed features, of a power of two."""
+    return ((hashed * MIX) >> np.uint32(33 - slots.bit_length())).astype(np.int64)
+
 
+def feature_slots(kind: np.ndarray, hashes: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """Slots of the feature templates (rows) at every position."""
+    return slots_of(features(kind, hashes), slots)
 
-def positions(reader: Reader, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and feature slots of the positions that hold a token."""
-    kind = reader.kind[ids]
-    slots = feature_slots(kind, reader.hash[ids])
-    return kind[ids > 0], slots[:, ids > 0]
+
+def positions(reader: Reader, ids: np.ndarray, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, feature slots, leaves and hashed features of the positions that hold a token."""
+    kind, real = reader.kind[ids], ids > 0
+    hashed = features(kind, reader.hash[ids])[:, real]
+    return kind[real], slots_of(hashed, slots), reader.leaf[ids[real]], hashed
+
+
+def margins(weights: np.ndarray, tree: Tree, leaf: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of all branches above the leaves, one after another: their position, the side (1 or -1) of the leaf, their slots, the log odds of that side."""
+    low = tree.first[leaf]
+    size = tree.first[leaf + 1] - low
+    owner = np.repeat(np.arange(len(leaf)), size)
+    branch = tree.above.take(np.repeat(low - (np.cumsum(size) - size), size) + np.arange(len(owner)))
+    side = (leaf.take(owner) >= branch) * np.float32(2) - np.float32(1)
+    z = tree.odds.take(branch)
+    name = branch.astype(np.uint32) * np.uint32(0x9E3779B1)
+    slots = []
+    for h in hashed:
+        mixed = h.take(owner) + name
+        mixed ^= mixed >> np.uint32(15)
+        slots.append(slots_of(mixed, len(weights)))
+        z += weights.take(slots[-1])
+    return owner, side, slots, np.clip(z * side, -80, 80)
+
+
+def log_leaves(weights: np.ndarray, tree: Tree, leaf: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Log probabilities of the leaves within their classes."""
+    owner, _, _, z = margins(weights, tree, leaf, hashed)
+    return -np.bincount(owner, np.log(1 + np.exp(-z)), len(leaf))
+
+
+def leaf_step(weights: np.ndarray, square: np.ndarray, tree: Tree, leaf: np.ndarray, hashed: np.ndarray) -> None:
+    """One gradient step of the branches above the leaves given, in place."""
+    _, side, slots, z = margins(weights, tree, leaf, hashed)
+    grad = side / (1 + np.exp(z))
+    twice = grad * grad
+    for s in slots:
+        np.add.at(square, s, twice)
+    grad *= np.float32(LEAF_RATE)
+    for s in slots:
+        np.add.at(weights, s, grad / np.sqrt(square.take(s)))
 
 
 def log_classes(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -205,9 +340,10 @@ def step(weights: np.ndarray, square: np.ndarray, bias: np.ndarray, slots: np.nd
     """One gradient step on the positions given, in place; ``square`` holds the squared gradients of the slots."""
     grad = np.exp(log_classes(weights, bias, slots))
     grad[np.arange(len(kind)), kind] -= 1
-    flat = slots.ravel()
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
+    # sorting slot and place as one number is several times as fast as an argsort
+    flat = np.sort(slots.ravel() << 32 | np.arange(slots.size))
+    order = flat & 0xFFFFFFFF
+    flat >>= 32
     first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
     total = np.add.reduceat(grad.take(order % len(kind), axis=0), first, axis=0)
     hit = flat[first]
@@ -215,83 +351,132 @@ def step(weights: np.ndarray, square: np.ndarray, bias: np.ndarray, slots: np.nd
     weights[hit] -= (RATE / np.sqrt(square[hit]))[:, None] * total
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, bias: np.ndarray, text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (slot, class) of the class factor after one pass over all rows of ``docs``."""
+def changes(start: np.ndarray, weights: np.ndarray, square: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    """Changes of a task and the squared gradients of their slots, in half precision, as rows of ``BLOCK`` weights."""
+    change = np.split((weights - start).astype(np.float16).ravel(), weights.size // BLOCK)
+    seen = np.split(np.minimum(square - 1, 6e4).astype(np.float16), len(change))
+    for i in range(len(change)):
+        if seen[i].any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block + i], pa.int32()), pa.array([change[i].tobytes()], pa.binary()), pa.array([seen[i].tobytes()], pa.binary())], ["block", "change", "seen"])
+
+
+def mean_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mean change of every weight of the blocks of a partition, weighted by the squared gradients."""
+    sums: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for block, change, seen in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            weight = np.frombuffer(seen.as_buffer(), np.float16).astype(np.float32)
+            part = np.frombuffer(change.as_buffer(), np.float16).reshape(len(weight), -1) * weight[:, None]
+            held = sums.setdefault(block, [np.zeros(part.shape, np.float32), np.zeros(len(weight), np.float32)])
+            held[0] += part
+            held[1] += weight
+    for block, (part, weight) in sums.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int32()), pa.array([(part / np.where(weight > 0, weight, 1)[:, None]).tobytes()], pa.binary())], ["block", "change"])
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary, tree: Tree, bias: np.ndarray, slots: int, text: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (slot, class) of the class factor and (slot) of the branches after one pass over all rows of ``docs``."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    weights = np.zeros((SLOTS, CLASSES), np.float32)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    weights = np.zeros((slots, CLASSES), np.float32), np.zeros(slots * CLASSES, np.float32)
+    blocks = slots * CLASSES // BLOCK
+    shared = spark.sparkContext.broadcast((vocabulary, tree))
     share = F.floor(unit(F.xxhash64(F.col(text), F.lit("round"))) * rounds)
     for r in range(rounds):
         start = spark.sparkContext.broadcast(weights)
 
-        def task(batches: Iterator[pa.RecordBatch], start=start, r=r) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            w = start.value.copy()
-            square = np.ones(SLOTS, np.float32)
-            reader, seen = Reader(shared.value), 0
+        def task(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            (vocabulary, tree), (of_class, of_branch) = shared.value, (w.copy() for w in start.value)
+            class_square, branch_square = np.ones(slots, np.float32), np.ones(slots * CLASSES, np.float32)
+            reader, seen = Reader(vocabulary, tree), 0
             for batch in batches:
                 for texts in together(batch.column(0)):
-                    ids, _ = reader.read(texts)
-                    kind, slots = positions(reader, ids)
+                    kind, found, leaf, hashed = positions(reader, reader.read(texts)[0], slots)
                     for at in range(0, len(kind), STEP):
-                        step(w, square, bias, slots[:, at : at + STEP], kind[at : at + STEP])
+                        step(of_class, class_square, bias, found[:, at : at + STEP], kind[at : at + STEP])
+                    for at in range(0, len(kind), LEAF_STEP):
+                        leaf_step(of_branch, branch_square, tree, leaf[at : at + LEAF_STEP], hashed[:, at : at + LEAF_STEP])
                     seen += len(kind)
             if seen:
-                change = np.concatenate([((w - start.value) * seen).ravel(), [seen]]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([change.tobytes()], pa.binary())], ["slot", "data"])
+                yield from changes(start.value[0], of_class, class_square, 0)
+                yield from changes(start.value[1], of_branch, branch_square, blocks)
 
         rows = docs.where(share == r).select(octets(F.col(text)).alias("text"))
-        total = added(rows.mapInArrow(task, "slot int, data binary"), 1).get(0)
-        if total is not None:
-            weights = weights + (total[:-1] / total[-1]).reshape(weights.shape).astype(np.float32)
+        parts = rows.mapInArrow(task, "block int, change binary, seen binary")
+        flat = [w.copy().ravel() for w in weights]
+        for row in parts.repartition("block").mapInArrow(mean_changes, "block int, change binary").toLocalIterator():
+            table, place = divmod(row["block"], blocks)
+            flat[table][place * BLOCK : (place + 1) * BLOCK] += np.frombuffer(row["change"], np.float32)
+        weights = flat[0].reshape(slots, CLASSES), flat[1]
         start.unpersist()
     return weights
 
 
-def class_totals(counts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Token counts and numbers of known tokens of every class."""
+def leaf_totals(counts: DataFrame, vocabulary: Vocabulary, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token counts of every class; token counts and distinct tokens of the shared leaves (class, leaf)."""
+    leaves = ENDINGS << bits
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, CLASSES))
+        total = np.zeros(CLASSES + 2 * leaves)
         for batch in batches:
-            kind = np.fromiter((vocabulary.of(t)[0] for t in batch.column(0).to_pylist()), np.int64, batch.num_rows)
-            total[0] += np.bincount(kind, batch.column(1).to_numpy(), minlength=CLASSES)
-            total[1] += np.bincount(kind, minlength=CLASSES)
+            tokens, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            found = [vocabulary.of(t) for t in tokens]
+            total[:CLASSES] += np.bincount([kind for kind, _ in found], c, minlength=CLASSES)
+            rare = np.array([i for i, (_, count) in enumerate(found) if count < 0], np.int64)
+            leaf = np.array([(found[i][0] - OWN - SHARED << bits) + (zlib.crc32(tokens[i]) >> 32 - bits) for i in rare], np.int64)
+            total[CLASSES : CLASSES + leaves] += np.bincount(leaf, c[rare], minlength=leaves)
+            total[CLASSES + leaves :] += np.bincount(leaf, minlength=leaves)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "data"])
 
-    sums = added(counts.select("token", "c").mapInArrow(task, "slot int, data binary"), 1).get(0, np.zeros(2 * CLASSES))
-    return tuple(sums.reshape(2, CLASSES))
+    sums = added(counts.select("token", "c").mapInArrow(task, "slot int, data binary"), 1).get(0, np.zeros(CLASSES + 2 * leaves))
+    return sums[:CLASSES], *sums[CLASSES:].reshape(2, ENDINGS, 1 << bits)
+
+
+def slots_for(vocabulary: int) -> int:
+    """Slots of the class factor; the branches have ``CLASSES`` times as many, of one weight each."""
+    return (1 << min(max(vocabulary.bit_length(), LEAST_BITS), MOST_BITS)) // CLASSES
+
+
+def model_of(training: DataFrame, text: str = "text", rounds: int = ROUNDS, head: int = HEAD) -> tuple[DataFrame, np.ndarray, tuple[Vocabulary, Tree, np.ndarray, np.ndarray]]:
+    """Token counts, log shares of the classes, and the model: vocabulary, tree, weights of classes and of branches."""
+    small_batches(training.sparkSession)
+    counts = written(count_tokens(training, text))
+    v = counts.count()
+    vocabulary = head_of(counts, head)
+    rare = max(1, (v - len(vocabulary.entry)) // (SHARING * ENDINGS))  # shared leaves of a class, before rounding down
+    sums, *leaves = leaf_totals(counts, vocabulary, rare.bit_length() - 1)
+    tree = tree_of(vocabulary, *leaves)
+    bias = np.log((sums + 0.5) / (sums + 0.5).sum()).astype(np.float32)
+    return counts, bias, (vocabulary, tree, *train(training, vocabulary, tree, bias, slots_for(v), text, rounds))
 
 
 def lm_scores(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, head: int = HEAD) -> DataFrame:
     """``key``, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``, learned from ``training``."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    counts = written(count_tokens(training, text))
+    counts, bias, learned = model_of(training, text, rounds, head)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    vocabulary = head_of(counts, head)
-    sums, kinds = class_totals(counts, vocabulary)
-    room = sums + 0.5 * (kinds + 1)  # counts of a class with half a count for each known token and its unknown slot
-    bias = np.log((sums + 0.5) / (sums + 0.5).sum()).astype(np.float32)
-    weights = train(training, vocabulary, bias, text, rounds)
-    model = spark.sparkContext.broadcast((vocabulary, weights))
+    slots = slots_for(v)
+    model = spark.sparkContext.broadcast(learned)
     kind = docs.schema[key].dataType.simpleString()
-    log_room = np.log(room)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weights = model.value
-        reader, row = Reader(vocabulary), TaskContext.get().partitionId() << 33
+        vocabulary, tree, of_class, of_branch = model.value
+        reader, row = Reader(vocabulary, tree), TaskContext.get().partitionId() << 33
         types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
         for batch in batches:
             done = 0
             for texts in together(batch.column(1)):
                 ids, starts = reader.read(texts)
-                kind, slots = positions(reader, ids)
-                logs = np.empty(len(kind))
+                kind, found, leaf, hashed = positions(reader, ids, slots)
+                logs = -tree.room[leaf]
                 for at in range(0, len(kind), STEP):
-                    part = log_classes(weights, bias, slots[:, at : at + STEP])
-                    logs[at : at + STEP] = part[np.arange(len(part)), kind[at : at + STEP]]
-                logs -= log_room[kind]
+                    part = log_classes(of_class, bias, found[:, at : at + STEP])
+                    logs[at : at + STEP] += part[np.arange(len(part)), kind[at : at + STEP]]
+                for at in range(0, len(kind), LEAF_STEP):
+                    logs[at : at + LEAF_STEP] += log_leaves(of_branch, tree, leaf[at : at + LEAF_STEP], hashed[:, at : at + LEAF_STEP])
                 starts = starts - BEFORE * np.arange(1, len(starts) + 1)
                 ids = ids[ids > 0]
                 n = np.diff(np.append(starts, len(ids)))

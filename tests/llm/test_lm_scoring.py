@@ -77,3 +77,67 @@ def test_head_is_the_most_frequent(spark):
     counts = spark.createDataFrame([(bytearray(w.encode()), c) for w, c in [("b", 3), ("a", 3), ("c", 9), ("d", 1)]], "token binary, c long")
     entry = head_of(counts, 3).entry
     assert list(entry) == [b"c", b"a", b"b"] and entry[b"c"] == (0, 9) and head_of(counts, 3).of(b"zz") == (ending_class(b"zz"), -1)
+
+
+def test_features_tell_tokens_of_a_class_apart(spark):
+    """Every second word follows from the one before it, and frequent words of a class are many."""
+    draw = np.random.default_rng(5)
+    rows = [(i, " ".join(f"x{j} y{j}" for j in draw.integers(0, 500, 100))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = lm_scores(docs, docs.where("doc_id % 5 <> 1")).where("doc_id % 5 = 1").collect()
+    # of about 2.7 a word, the class of a word alone can give 1.2
+    assert np.mean([(r.score - r.base_score) / r.n_tokens for r in got]) > 0.8
+
+
+def small_tree():
+    words = [f"{a}{b}{e}".encode() for a in "bdfg" for b in "aeiou" for e in ("tion", "sch", "ez", "ino")]
+    vocabulary = Vocabulary({w: (ending_class(w) if i > 30 else i % 16, 90 - i) for i, w in enumerate(words)})
+    shape = lm_scoring.ENDINGS, 4
+    return words, vocabulary, lm_scoring.tree_of(vocabulary, np.arange(64.0).reshape(shape), np.full(shape, 3))
+
+
+def test_leaves_of_a_class_are_a_distribution():
+    words, vocabulary, tree = small_tree()
+    weights = np.random.default_rng(1).normal(size=1 << 12).astype(np.float32)
+    kinds = np.repeat(np.arange(lm_scoring.ENDINGS), 4) + lm_scoring.OWN + lm_scoring.SHARED
+    kinds = np.concatenate([[vocabulary.of(w)[0] for w in words], kinds])
+    leaves = np.concatenate([[tree.place[w] for w in words], (np.array(tree.shared)[:, None] + np.arange(4)).ravel()])
+    assert sorted(leaves) == list(range(len(tree.room)))
+    for weights, by_counts in ((weights, False), (0 * weights, True)):
+        p = np.exp(lm_scoring.log_leaves(weights, tree, leaves, np.tile(np.arange(4, dtype=np.uint32)[:, None], len(leaves))))
+        assert np.allclose(np.bincount(kinds, p)[np.unique(kinds)], 1, atol=1e-4)
+        if by_counts:
+            room = np.exp(tree.room[leaves])
+            assert np.allclose(p, room / np.bincount(kinds, room)[kinds], rtol=1e-4)
+
+
+def test_shared_leaves_and_slots_grow_with_the_vocabulary(spark):
+    draw = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{j}" for j in draw.integers(0, 1 << 14, 300))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocabulary, tree, of_class, of_branch = lm_scoring.model_of(docs, head=50)[2]
+    assert len(vocabulary.entry) <= 50 and tree.bits == 3 and len(tree.room) == len(vocabulary.entry) + 8 * lm_scoring.ENDINGS
+    assert of_class.shape == (lm_scoring.SLOTS, CLASSES) and of_branch.any()
+    assert lm_scoring.slots_for(1 << 20) * CLASSES == 1 << 21 > lm_scoring.slots_for(1 << 19) * CLASSES
+
+
+def test_a_slot_keeps_what_the_only_task_that_saw_it_learnt():
+    start, size = np.zeros(lm_scoring.BLOCK, np.float32), lm_scoring.BLOCK
+    parts = []
+    for change, seen in ((0.5, 3.0), (0.25, 1.0)):
+        weights, square = np.zeros(size, np.float32), np.ones(size, np.float32)
+        weights[7], square[7] = change, 1 + seen
+        if seen > 1:
+            weights[9], square[9] = -0.5, 1.25
+        parts += lm_scoring.changes(start, weights, square, 2)
+    (mean,) = lm_scoring.mean_changes(iter(parts))
+    got = np.frombuffer(mean.column(1)[0].as_py(), np.float32)
+    assert mean.column(0).to_pylist() == [2] and got[7] == 0.4375 and got[9] == -0.5 and np.count_nonzero(got) == 2
+
+
+def test_words_of_any_bytes():
+    texts = [b" A b\tc\x0bd\x0c\x1ce  f\n", b"", b"  ", "\u00c4x\u00a0Y \u0085 z".encode(), b"\xff X"]
+    sizes, found = lm_scoring.words(lm_scoring.pa.array(texts, lm_scoring.pa.binary()))
+    want = [t.lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and found.to_pylist() == [w for t in want for w in t]
+    assert lm_scoring.names_of(found) == found.dictionary.to_pylist()
