@@ -28,9 +28,9 @@ never matter.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +54,14 @@ LEAF_STEP, LEAF_RATE = 512, 0.1
 LEAST_BITS, MOST_BITS = (SLOTS * CLASSES).bit_length() - 1, 21
 #: Distinct tokens outside the table for each leaf they share, and weights of a row that a task sends.
 SHARING, BLOCK = 64, 1 << 13
+#: CRC-32 of every byte, as ``zlib`` has it.
+CRC = ~np.array([zlib.crc32(bytes([i]), 0xFFFFFFFF) for i in range(256)], np.uint32)
 #: The end token; no word is empty.
 END = b""
+#: Distinct tokens of a partition, on average, up to which counts are joined by a hash table; above it, by sorting.
+HASHED = 1 << 20
+#: Bytes of distinct tokens that a task holds while it counts.
+COUNTED = 1 << 25
 #: Places without a token before every text, as many as features look back; texts are read together up to so many tokens.
 BEFORE, TOGETHER = 3, 1 << 17
 LOG10 = np.log(10.0)
@@ -76,6 +82,24 @@ def names_of(found: pa.DictionaryArray) -> list[bytes]:
     return pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names), b" ")[0].as_py().split()
 
 
+def crc32s(tokens: pa.Array, last: int | None = None, long: int = 48) -> np.ndarray:
+    """``zlib.crc32`` of all tokens (binary), or of their ``last`` bytes, a byte of all of them at a time."""
+    offsets, data = (np.frombuffer(b or b"", t) for b, t in zip(tokens.buffers()[1:], (np.int32, np.uint8), strict=True))
+    offsets = offsets[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64)
+    ends, size = offsets[1:], np.minimum(np.diff(offsets), last or len(data))
+    order = np.argsort(-np.minimum(size, long + 1).astype(np.int8), kind="stable")
+    start, size = (ends - size)[order], size[order]
+    crc = np.full(len(tokens), 0xFFFFFFFF, np.uint32)
+    for at in range(min(long, size[0] if len(size) else 0)):
+        n = np.searchsorted(-size, -at)
+        crc[:n] = CRC[(crc[:n] ^ data[start[:n] + at]) & 0xFF] ^ (crc[:n] >> 8)
+    out = np.empty_like(crc)
+    out[order] = ~crc
+    for i, at, n in zip(order.tolist(), start.tolist(), size[size > long].tolist(), strict=False):
+        out[i] = zlib.crc32(data[at : at + n])
+    return out
+
+
 def ending_class(token: bytes) -> int:
     """Class of a token without an entry: by its last bytes."""
     return OWN + SHARED + zlib.crc32(token[-3:]) % ENDINGS
@@ -90,6 +114,20 @@ class Vocabulary:
     def of(self, token: bytes) -> tuple[int, int]:
         return self.entry.get(token) or (ending_class(token), -1)
 
+    @cached_property
+    def arrays(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Tokens, classes and counts of the entries, in their order."""
+        kind, count = (np.array([e[i] for e in self.entry.values()], np.int64) for i in (0, 1))
+        return pa.array(list(self.entry), pa.binary()), kind.astype(np.int32), count
+
+
+def plain(array: np.ndarray) -> np.ndarray:
+    """A copy with numpy's own dtype object.
+
+    An array out of a pickle, so out of a broadcast, brings another one, and ``np.add.at`` then takes some tens of times as long.
+    """
+    return array.astype(array.dtype.type)
+
 
 @dataclass
 class Tree:
@@ -102,13 +140,13 @@ class Tree:
     shared: list[int]  #: first shared leaf of every class of endings
     bits: int  #: of the hash that tells the shared leaves of a class apart
     first: np.ndarray  #: where the branches above each leaf start in ``above``
+    size: np.ndarray  #: number of those of each leaf
     above: np.ndarray
     odds: np.ndarray  #: log odds of the right side, by the counts alone
     room: np.ndarray  #: log of what the counts of a leaf add up to
 
-    def of(self, token: bytes, hashed: int) -> int:
-        place = self.place.get(token)
-        return self.shared[ending_class(token) - OWN - SHARED] + (hashed >> 32 - self.bits) if place is None else place
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = {k: plain(x) if isinstance(x, np.ndarray) else x for k, x in state.items()}
 
 
 def branches(weight: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,31 +187,35 @@ def tree_of(vocabulary: Vocabulary, sums: np.ndarray, kinds: np.ndarray) -> Tree
     weight = np.zeros(classes[-1])
     weight[list(place.values())] = [c + 0.5 for _, (_, c) in head]
     weight[shared[:, None] + np.arange(sums.shape[1])] = sums + 0.5 * (kinds + 1)
-    return Tree(place, shared.tolist(), bits, *branches(weight, classes), np.log(weight))
+    first, above, odds = branches(weight, classes)
+    return Tree(place, shared.tolist(), bits, first, np.diff(first), above, odds, np.log(weight))
 
 
 def count_tokens(docs: DataFrame, text: str = "text", room: int = 200_000) -> DataFrame:
     """``token`` (binary) and ``c`` over all rows, combined in the tasks before the shuffle."""
     small_batches(docs.sparkSession)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+    def full(held: list[pa.RecordBatch], times: int) -> bool:
+        return sum(map(len, held)) > times * room or sum(x.nbytes for x in held) > times * COUNTED
 
-        def drained() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["token", "c"])
-            held.clear()
-            return out
+    def summed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sums = pa.Table.from_batches(held).group_by("token", use_threads=False).aggregate([("c", "sum")]).combine_chunks()
+        return pa.RecordBatch.from_arrays([x.combine_chunks() for x in (sums["token"], sums["c_sum"])], ["token", "c"])
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             for texts in together(batch.column(0)):
                 sizes, found = words(pa.array(texts, pa.binary()))
-                held[END] += len(sizes)
-                for token, c in zip(names_of(found), np.bincount(found.indices).tolist(), strict=True):
-                    held[token] += c
-                if len(held) > room:
-                    yield drained()
+                tokens = pa.concat_arrays([found.dictionary, pa.array([END], pa.binary())])
+                c = np.append(np.bincount(found.indices, minlength=len(found.dictionary)), len(sizes))
+                held.append(pa.RecordBatch.from_arrays([tokens, pa.array(c, pa.int64())], ["token", "c"]))
+                if full(held, 2):
+                    held = [summed(held)]
+                    if full(held, 1):
+                        yield held.pop()
         if held:
-            yield drained()
+            yield summed(held)
 
     return docs.select(octets(F.col(text)).alias("text")).mapInArrow(task, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -200,49 +242,32 @@ def head_of(counts: DataFrame, most: int = HEAD) -> Vocabulary:
     return Vocabulary(entry)
 
 
-class Reader(dict):
-    """Turns texts into arrays of classes and hashes; every distinct token of a task is looked at once."""
-
-    def __init__(self, vocabulary: Vocabulary, tree: Tree | None = None, most: int = 400_000) -> None:
-        super().__init__()
-        self.vocabulary, self.tree, self.most = vocabulary, tree, most
-        self.forget()
+class Reader:
+    """Turns texts into arrays of classes and hashes; every distinct token of the texts read together is looked at once."""
 
-    def forget(self) -> None:
-        self.clear()
-        self[None] = 0
-        self.names: list[bytes | None] = [None]
-        self.known = 1
-        self.kind, self.count, self.hash = np.full(1024, -1, np.int32), np.zeros(1024, np.int64), np.zeros(1024, np.uint32)
-        self.leaf = np.zeros(1024, np.int32)
-
-    def __missing__(self, token: bytes) -> int:
-        self.names.append(token)
-        self[token] = place = len(self)
-        return place
+    def __init__(self, vocabulary: Vocabulary, tree: Tree | None = None) -> None:
+        self.head, self.head_kind, self.head_count = vocabulary.arrays
+        self.tree = tree
+        self.head_leaf = None if tree is None else np.fromiter(map(tree.place.__getitem__, vocabulary.entry), np.int32, len(vocabulary.entry))
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the tokens of all texts, zeros before each, and where each text starts."""
-        if len(self) > self.most:
-            self.forget()
+        """Places of the tokens of all texts among ``names``, from 1, zeros before each text, and where each text starts."""
         sizes, found = words(pa.array(texts, pa.binary()))
         starts = np.cumsum(sizes + 1 + BEFORE) - sizes - 1
+        self.names = pa.concat_arrays([found.dictionary, pa.array([END], pa.binary())])
         ids = np.zeros(len(found) + len(texts) * (BEFORE + 1), np.int64)
-        ids[starts + sizes] = self[END]
-        names = names_of(found)
-        places = np.fromiter(map(self.__getitem__, names), np.int64, len(names))
-        ids[np.arange(len(found)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)] = places[found.indices.to_numpy()]
-        n, at = len(self.names), self.known
-        if n > at:
-            if n > len(self.kind):
-                self.kind, self.count, self.hash, self.leaf = (np.concatenate([x, np.zeros(2 * n - len(x), x.dtype)]) for x in (self.kind, self.count, self.hash, self.leaf))
-            fresh = self.names[at:]
-            self.kind[at:n], self.count[at:n] = zip(*[self.vocabulary.of(w) for w in fresh], strict=True)
-            hashes = [zlib.crc32(w) for w in fresh]
-            self.hash[at:n] = hashes
-            if self.tree is not None:
-                self.leaf[at:n] = list(map(self.tree.of, fresh, hashes))
-            self.known = n
+        ids[starts + sizes] = len(self.names)
+        ids[np.arange(len(found)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)] = found.indices.to_numpy() + 1
+        place = pc.index_in(self.names, value_set=self.head).fill_null(-1).to_numpy()
+        known, rare = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        entry = place[known]
+        self.kind, self.count, self.hash, self.leaf = (np.full(len(place) + 1, x, t) for x, t in ((-1, np.int32), (-1, np.int64), (0, np.uint32), (0, np.int32)))
+        self.hash[1:] = crc32s(self.names)
+        self.kind[known + 1], self.count[known + 1] = self.head_kind[entry], self.head_count[entry]
+        self.kind[rare + 1] = OWN + SHARED + crc32s(self.names.take(pa.array(rare)), 3) % ENDINGS
+        if self.tree is not None:
+            self.leaf[known + 1] = self.head_leaf[entry]
+            self.leaf[rare + 1] = np.array(self.tree.shared)[self.kind[rare + 1] - OWN - SHARED] + (self.hash[rare + 1].astype(np.int64) >> 32 - self.tree.bits)
         return ids, starts
 
 
@@ -284,45 +309,57 @@ def feature_slots(kind: np.ndarray, hashes: np.ndarray, slots: int = SLOTS) -> n
 
 def positions(reader: Reader, ids: np.ndarray, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Classes, feature slots, leaves and hashed features of the positions that hold a token."""
-    kind, real = reader.kind[ids], ids > 0
-    hashed = features(kind, reader.hash[ids])[:, real]
-    return kind[real], slots_of(hashed, slots), reader.leaf[ids[real]], hashed
-
-
-def margins(weights: np.ndarray, tree: Tree, leaf: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of all branches above the leaves, one after another: their position, the side (1 or -1) of the leaf, their slots, the log odds of that side."""
-    low = tree.first[leaf]
-    size = tree.first[leaf + 1] - low
-    owner = np.repeat(np.arange(len(leaf)), size)
-    branch = tree.above.take(np.repeat(low - (np.cumsum(size) - size), size) + np.arange(len(owner)))
-    side = (leaf.take(owner) >= branch) * np.float32(2) - np.float32(1)
+    kind, real = reader.kind.take(ids), np.flatnonzero(ids)
+    hashed = features(kind, reader.hash.take(ids)).take(real, axis=1)
+    return kind.take(real), slots_of(hashed, slots), reader.leaf.take(ids.take(real)), hashed
+
+
+def margins(weights: np.ndarray, tree: Tree, leaf: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all branches above the leaves, one after another: where those of each leaf end, the side (1 or -1) of the leaf, their slots (feature, branch), the log odds of that side."""
+    low = tree.first.take(leaf)
+    size = tree.size.take(leaf)
+    ends = size.cumsum()
+    owner = np.arange(len(leaf)).repeat(size)
+    low -= ends
+    low += size
+    entry = low.take(owner)
+    entry += np.arange(len(owner))
+    branch = tree.above.take(entry)
+    side = (leaf.take(owner) >= branch).astype(np.float32)
+    side += side
+    side -= 1
+    mixed = hashed.take(owner, axis=1)
+    mixed += branch.view(np.uint32) * np.uint32(0x9E3779B1)
+    mixed ^= mixed >> np.uint32(15)
+    slots = slots_of(mixed, len(weights))
     z = tree.odds.take(branch)
-    name = branch.astype(np.uint32) * np.uint32(0x9E3779B1)
-    slots = []
-    for h in hashed:
-        mixed = h.take(owner) + name
-        mixed ^= mixed >> np.uint32(15)
-        slots.append(slots_of(mixed, len(weights)))
-        z += weights.take(slots[-1])
-    return owner, side, slots, np.clip(z * side, -80, 80)
+    for w in weights.take(slots):
+        z += w
+    z *= side
+    return ends, side, slots, np.clip(z, -80, 80, out=z)
 
 
 def log_leaves(weights: np.ndarray, tree: Tree, leaf: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     """Log probabilities of the leaves within their classes."""
-    owner, _, _, z = margins(weights, tree, leaf, hashed)
-    return -np.bincount(owner, np.log(1 + np.exp(-z)), len(leaf))
+    ends, _, _, z = margins(weights, tree, leaf, hashed)
+    z = np.log(1 + np.exp(np.negative(z, out=z), out=z), out=z)
+    # one more, as a leaf without branches may be the last
+    starts = np.append(0, ends)
+    return -np.add.reduceat(np.append(z, np.float32(0)), starts[:-1], dtype=np.float64) * (starts[:-1] < ends)
 
 
 def leaf_step(weights: np.ndarray, square: np.ndarray, tree: Tree, leaf: np.ndarray, hashed: np.ndarray) -> None:
     """One gradient step of the branches above the leaves given, in place."""
     _, side, slots, z = margins(weights, tree, leaf, hashed)
-    grad = side / (1 + np.exp(z))
+    grad = side / (1 + np.exp(z, out=z))
     twice = grad * grad
     for s in slots:
         np.add.at(square, s, twice)
     grad *= np.float32(LEAF_RATE)
-    for s in slots:
-        np.add.at(weights, s, grad / np.sqrt(square.take(s)))
+    change = square.take(slots)
+    np.divide(grad, np.sqrt(change, out=change), out=change)
+    for s, c in zip(slots, change, strict=True):
+        np.add.at(weights, s, c)
 
 
 def log_classes(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -331,24 +368,49 @@ def log_classes(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> np.
     for s in slots[1:]:
         z += weights.take(s, axis=0)
     z += bias
-    z -= z.max(1, keepdims=True)
+    z -= np.ascontiguousarray(z.T).max(0)[:, None]  # several times as fast as along short rows
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
+def totals(rows: np.ndarray, order: np.ndarray, first: np.ndarray, few: int = 8) -> np.ndarray:
+    """Sums of runs of ``rows`` taken in ``order``; ``first`` is where the runs start.
+
+    Most runs are short, and those of at most ``few`` rows are added row by row, in the order in which ``reduceat`` adds them.
+    """
+    size = np.diff(first, append=len(order))
+    total = rows.take(order[first], axis=0)
+    left, more = np.flatnonzero((size > 1) & (size <= few)), np.flatnonzero(size > few)
+    if len(left):
+        rest = rows.take(order[first[left] + 1], axis=0)
+        for at in range(2, few):
+            held = np.flatnonzero(size[left] > at)
+            rest[held] += rows.take(order[first[left[held]] + at], axis=0)
+        total[left] += rest
+    if len(more):
+        each = size[more]
+        starts = np.cumsum(each) - each
+        run = np.arange(each.sum()) + np.repeat(first[more] - starts, each)
+        total[more] = np.add.reduceat(rows.take(order[run], axis=0), starts, axis=0)
+    return total
+
+
 def step(weights: np.ndarray, square: np.ndarray, bias: np.ndarray, slots: np.ndarray, kind: np.ndarray) -> None:
     """One gradient step on the positions given, in place; ``square`` holds the squared gradients of the slots."""
-    grad = np.exp(log_classes(weights, bias, slots))
+    grad = log_classes(weights, bias, slots)
+    np.exp(grad, out=grad)
     grad[np.arange(len(kind)), kind] -= 1
     # sorting slot and place as one number is several times as fast as an argsort
     flat = np.sort(slots.ravel() << 32 | np.arange(slots.size))
-    order = flat & 0xFFFFFFFF
+    order = (flat & 0xFFFFFFFF) % len(kind)
     flat >>= 32
     first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    total = np.add.reduceat(grad.take(order % len(kind), axis=0), first, axis=0)
-    hit = flat[first]
-    square[hit] += np.einsum("ij,ij->i", total, total)
-    weights[hit] -= (RATE / np.sqrt(square[hit]))[:, None] * total
+    total, hit = totals(grad, order, first), flat[first]
+    seen = square.take(hit) + np.einsum("ij,ij->i", total, total)
+    square[hit] = seen
+    total *= (-RATE / np.sqrt(seen))[:, None]
+    total += weights.take(hit, axis=0)
+    weights[hit] = total
 
 
 def changes(start: np.ndarray, weights: np.ndarray, square: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
@@ -388,14 +450,14 @@ def train(docs: DataFrame, vocabulary: Vocabulary, tree: Tree, bias: np.ndarray,
         start = spark.sparkContext.broadcast(weights)
 
         def task(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            (vocabulary, tree), (of_class, of_branch) = shared.value, (w.copy() for w in start.value)
+            (vocabulary, tree), (of_class, of_branch), log_shares = shared.value, map(plain, start.value), plain(bias)
             class_square, branch_square = np.ones(slots, np.float32), np.ones(slots * CLASSES, np.float32)
             reader, seen = Reader(vocabulary, tree), 0
             for batch in batches:
                 for texts in together(batch.column(0)):
                     kind, found, leaf, hashed = positions(reader, reader.read(texts)[0], slots)
                     for at in range(0, len(kind), STEP):
-                        step(of_class, class_square, bias, found[:, at : at + STEP], kind[at : at + STEP])
+                        step(of_class, class_square, log_shares, found[:, at : at + STEP], kind[at : at + STEP])
                     for at in range(0, len(kind), LEAF_STEP):
                         leaf_step(of_branch, branch_square, tree, leaf[at : at + LEAF_STEP], hashed[:, at : at + LEAF_STEP])
                     seen += len(kind)
@@ -464,8 +526,9 @@ def lm_scores(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: s
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, tree, of_class, of_branch = model.value
+        of_class, of_branch, log_shares = map(plain, (of_class, of_branch, bias))
         reader, row = Reader(vocabulary, tree), TaskContext.get().partitionId() << 33
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         for batch in batches:
             done = 0
             for texts in together(batch.column(1)):
@@ -473,10 +536,9 @@ def lm_scores(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: s
                 kind, found, leaf, hashed = positions(reader, ids, slots)
                 logs = -tree.room[leaf]
                 for at in range(0, len(kind), STEP):
-                    part = log_classes(of_class, bias, found[:, at : at + STEP])
+                    part = log_classes(of_class, log_shares, found[:, at : at + STEP])
                     logs[at : at + STEP] += part[np.arange(len(part)), kind[at : at + STEP]]
-                for at in range(0, len(kind), LEAF_STEP):
-                    logs[at : at + LEAF_STEP] += log_leaves(of_branch, tree, leaf[at : at + LEAF_STEP], hashed[:, at : at + LEAF_STEP])
+                    logs[at : at + STEP] += log_leaves(of_branch, tree, leaf[at : at + STEP], hashed[:, at : at + STEP])
                 starts = starts - BEFORE * np.arange(1, len(starts) + 1)
                 ids = ids[ids > 0]
                 n = np.diff(np.append(starts, len(ids)))
@@ -485,22 +547,21 @@ def lm_scores(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: s
                 base = np.add.reduceat(np.where(count >= 0, np.log10(np.maximum(count, 0) + 0.5), 0.0), starts)
                 owner = np.repeat(np.arange(len(texts)), n)[count < 0]
                 pair, times = np.unique(owner << 32 | ids[count < 0], return_counts=True)
-                names = pa.array([reader.names[i] for i in (pair & 0xFFFFFFFF).tolist()], pa.binary())
+                rare = pa.StructArray.from_arrays([reader.names.take(pa.array((pair & 0xFFFFFFFF) - 1)), pa.array(times, pa.int64())], ["token", "times"])
                 offsets = pa.array(np.searchsorted(pair >> 32, np.arange(len(texts) + 1)), pa.int32())
                 columns = [np.arange(row, row + len(texts)), n, known, base, np.add.reduceat(logs, starts) / LOG10]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(done, len(texts)), *[pa.array(x, t) for x, t in zip(columns, types, strict=False)],
-                     pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))],
-                    ["key", "row", "n", "known", "logs", "parts", "rare", "times"])
+                    [batch.column(0).slice(done, len(texts)), *[pa.array(x, t) for x, t in zip(columns, types, strict=True)], pa.ListArray.from_arrays(offsets, rare)],
+                    ["key", "row", "n", "known", "logs", "parts", "rare"])
                 row, done = row + len(texts), done + len(texts)
 
     rows = docs.select(F.col(key).alias("key"), octets(F.col(text)).alias("text"))
-    rows = written(rows.mapInArrow(task, f"key {kind}, row long, n long, known long, logs double, parts double, rare array<binary>, times array<long>"))
-    pairs = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("row", F.col("p.rare").alias("token"), F.col("p.times").alias("times"))
-    # a token of these pairs has no entry, so none is hot
-    found = pairs.join(counts, "token", "left").groupBy("row").agg(
+    rows = written(rows.mapInArrow(task, f"key {kind}, row long, n long, known long, logs double, parts double, rare array<struct<token: binary, times: long>>"))
+    # a token of these pairs has no entry, so none is hot; a hash table of a partition's tokens spares sorting all pairs
+    few = v <= HASHED * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.select("row", F.inline("rare")).join(counts.hint("shuffle_hash") if few else counts, "token", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("also"))
-    out = rows.drop("rare", "times").join(found, "row", "left")
+    out = rows.drop("rare").join(found, "row", "left")
     logs = F.col("logs") + F.coalesce("more", F.lit(0.0))
     return out.select(
         F.col("key").alias(key), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

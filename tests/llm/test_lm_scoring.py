@@ -1,3 +1,5 @@
+import pickle
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -141,3 +143,67 @@ def test_words_of_any_bytes():
     want = [t.lower().split() for t in texts]
     assert sizes.tolist() == [len(w) for w in want] and found.to_pylist() == [w for t in want for w in t]
     assert lm_scoring.names_of(found) == found.dictionary.to_pylist()
+
+
+def test_arrays_out_of_a_pickle_get_numpys_own_dtype():
+    """Broadcast arrays come out of a pickle; with the dtype object they bring, a scatter took some tens of times as long."""
+    tree = pickle.loads(pickle.dumps(small_tree()[2]))
+    for x in (tree.first, tree.above, tree.odds, tree.room, lm_scoring.plain(pickle.loads(pickle.dumps(np.zeros(3, np.float32))))):
+        assert x.dtype is np.dtype(x.dtype.type)
+
+
+def test_checksums_are_those_of_zlib():
+    draw = np.random.default_rng(4)
+    tokens = [draw.bytes(n) for n in [0, 1, 2, 3, 47, 48, 49, 50, 5000, *draw.integers(0, 60, 300).tolist()]]
+    for some in (tokens, tokens[:1], []):
+        column = lm_scoring.pa.array([b"left out", *some], lm_scoring.pa.binary())[1:]
+        assert lm_scoring.crc32s(column).tolist() == [zlib.crc32(t) for t in some]
+        assert lm_scoring.crc32s(column, 3).tolist() == [zlib.crc32(t[-3:]) for t in some]
+
+
+def test_a_reader_gives_every_token_its_entry():
+    words, vocabulary, tree = small_tree()
+    texts = [b" ".join(words[i::3]) + b" Unseen one" for i in range(3)] + [b"", b"  "]
+    reader = Reader(vocabulary, tree)
+    ids, starts = reader.read(texts)
+    for text, start in zip(texts, starts, strict=True):
+        assert not ids[start - lm_scoring.BEFORE : start].any()
+        for i, token in enumerate([*text.lower().split(), b""]):
+            at, hashed = ids[start + i], zlib.crc32(token)
+            assert reader.names[at - 1].as_py() == token and reader.hash[at] == hashed and (reader.kind[at], reader.count[at]) == vocabulary.of(token)
+            shared = tree.shared[ending_class(token) - lm_scoring.OWN - lm_scoring.SHARED] + (hashed >> 32 - tree.bits)
+            assert reader.leaf[at] == tree.place.get(token, shared)
+
+
+def test_totals_of_short_and_long_runs():
+    draw = np.random.default_rng(6)
+    size = np.array([1, 40, 2, 8, 9, 1, 100, 3])
+    rows, order = draw.normal(size=(50, 4)).astype(np.float32), draw.integers(0, 50, size.sum())
+    want = np.stack([rows[part].sum(0) for part in np.split(order, np.cumsum(size)[:-1])])
+    assert np.allclose(lm_scoring.totals(rows, order, np.cumsum(size) - size), want, atol=1e-4)
+
+
+def test_classes_with_scores_beyond_what_an_exponential_holds():
+    slots, bias = np.zeros((4, 2), np.int64), np.zeros(CLASSES, np.float32)
+    for far in (60, -60):
+        weights = np.full((1, CLASSES), far, np.float32)
+        weights[0, 3] += 1
+        p = np.exp(log_classes(weights, bias, slots))
+        assert np.allclose(p.sum(1), 1) and np.allclose(p[:, 3] / p[:, 0], np.exp(4), rtol=1e-4)
+
+
+def test_counts_drained_in_parts(docs):
+    want = Counter(w for r in docs.collect() for w in [*(r.text or "").encode().lower().split(), b""])
+    for room in (3, 200_000):
+        assert {bytes(r.token): r.c for r in lm_scoring.count_tokens(docs, room=room).collect()} == want
+
+
+def test_rare_tokens_meet_their_counts_without_sorting(docs, monkeypatch):
+    """The same rows either way; partitions with more tokens than a hash table should hold are sorted."""
+    got = []
+    for most in (lm_scoring.HASHED, 0):
+        monkeypatch.setattr(lm_scoring, "HASHED", most)
+        out = lm_scores(docs, docs.where("doc_id <> 8"), rounds=1, head=5)
+        assert ("ShuffledHashJoin" in out._jdf.queryExecution().sparkPlan().toString()) == (most > 0)
+        got.append(sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in out.collect()))
+    assert got[0] == got[1]
